@@ -1,22 +1,25 @@
-"""Tokenizer metrics (A1-A8) as aggregate plans.
+"""Tokenizer metrics (A1-A8) as one aggregate plan for all tokenizers.
 
 Every metric is a ratio of sums.  The plan never re-encodes a line per
-metric (the reference encodes each text eight times per tokenizer):
+metric (the reference encodes each text eight times per tokenizer) and its
+shape does not grow with the number of tokenizers:
 
-1. one pass over the lines gives line-level sums per language
-   (examples, words, lines with words, characters) and the pre-token counts
+1. one pass over the lines gives line-level sums per language (examples,
+   words, lines with words, characters) and the pre-token counts
    ``(language, has_words, pretoken) -> n`` (partial aggregation map-side, so
    a hot word like ``the`` is summed before the shuffle);
-2. each *distinct* pre-token is encoded once and the per-pre-token values
-   (pieces, unknown pieces, cleaned piece lengths) are joined back to the
-   aggregated counts -- both sides are unique per key, so the join cannot
-   skew on frequent words;
-3. ``rollup(language)`` gives the overall ``all`` rows and the per-language
-   rows in one aggregate; rows are told apart by ``grouping_id()``, not by
-   NULL, so a NULL or empty language never merges with the total.
-
-Token-length median / p95 are exact (``percentile`` with a frequency
-column over the length histogram -- linear interpolation as NumPy).
+2. each *distinct* pre-token is encoded once per tokenizer; the encodings
+   of all tokenizers are stacked (``tokenizer, pretoken, n_pieces, n_unk,
+   lens``) and joined back to the aggregated counts on ``pretoken`` -- both
+   sides are unique per key and tokenizer, so the join cannot skew on
+   frequent words;
+3. ``GROUPING SETS ((tokenizer), (tokenizer, language))`` gives the overall
+   ``all`` rows and the per-language rows in one aggregate; rows are told
+   apart by ``grouping_id()``, not by NULL, so a NULL or empty language never
+   merges with the total.
+
+Token-length median / p95 are exact (``percentile`` with a frequency column
+over the length histogram -- linear interpolation as NumPy).
 """
 
 from __future__ import annotations
@@ -33,8 +36,6 @@ REPORT_COLUMNS = ["language", "tokenizer", "num_examples", "fertility",
                   "char_per_token", "unk_rate", "vocab_coverage",
                   "mean_token_chars", "median_token_chars", "p95_token_chars"]
 
-_KEY = ["gid", "language"]
-
 
 def _clean_len(token: str) -> int:
     """Length of a special token after marker removal (fixed strings)."""
@@ -44,13 +45,15 @@ def _clean_len(token: str) -> int:
     return len(s.strip())
 
 
-def _rollup(df: DataFrame, *aggs) -> DataFrame:
-    return (df.rollup("language").agg(F.grouping_id().alias("gid"), *aggs)
+def _by_tokenizer_and_language(df: DataFrame, *aggs) -> DataFrame:
+    """Aggregate over (tokenizer) and (tokenizer, language); gid 1 = all."""
+    return (df.groupingSets([["tokenizer"], ["tokenizer", "language"]], "tokenizer", "language")
+            .agg(F.grouping_id().alias("gid"), *aggs)
             .withColumn("gid", F.col("gid").cast("int")))
 
 
 def line_features(lines: DataFrame, text_col: str = "text") -> DataFrame:
-    """``language, clean, n_words, n_chars`` per line (tag-aware)."""
+    """``language, clean, _text, n_words, n_chars`` per line (tag-aware)."""
     t = F.col(text_col)
     return (lines.select(tx.language_tag(t).alias("language"),
                          tx.strip_language_tag(t).alias("clean"),
@@ -61,11 +64,12 @@ def line_features(lines: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def line_stats(features: DataFrame) -> DataFrame:
-    return _rollup(features,
-                   F.count(F.lit(1)).alias("num_examples"),
-                   F.sum(F.col("n_words").cast("bigint")).alias("words"),
-                   F.sum(F.when(F.col("n_words") > 0, 1).otherwise(0).cast("bigint")).alias("lines_with_words"),
-                   F.sum(F.col("n_chars").cast("bigint")).alias("chars"))
+    return (features.rollup("language").agg(
+        F.grouping_id().cast("int").alias("gid"),
+        F.count(F.lit(1)).alias("num_examples"),
+        F.sum(F.col("n_words").cast("bigint")).alias("words"),
+        F.sum(F.when(F.col("n_words") > 0, 1).otherwise(0).cast("bigint")).alias("lines_with_words"),
+        F.sum(F.col("n_chars").cast("bigint")).alias("chars")))
 
 
 def pretoken_table(features: DataFrame) -> DataFrame:
@@ -76,87 +80,112 @@ def pretoken_table(features: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def encoded_pretokens(pt_table: DataFrame, tok: Tokenizer) -> DataFrame:
-    """Per distinct pre-token: piece count, unknown count, cleaned lengths."""
-    distinct = pt_table.select("pretoken").distinct()
-    enc = tok.encode_distinct(distinct, "pretoken")
-    return enc.select(
-        "pretoken",
-        F.size("pieces").cast("bigint").alias("n_pieces"),
-        F.size(F.filter("pieces", lambda p: p.isin(tx.UNK_TOKENS))).cast("bigint").alias("n_unk"),
-        F.transform(tx.clean_pieces(F.col("pieces")), lambda p: F.length(p)).alias("lens"))
-
-
-def piece_stats(pt_table: DataFrame, enc: DataFrame) -> DataFrame:
-    j = pt_table.join(enc, "pretoken")
-    return _rollup(j,
-                   F.sum(F.col("n") * F.col("n_pieces")).alias("pieces_all"),
-                   F.sum(F.when(F.col("has_words"), F.col("n") * F.col("n_pieces"))
-                         .otherwise(0)).alias("pieces_words"),
-                   F.sum(F.col("n") * F.col("n_unk")).alias("unk"))
-
-
-def length_stats(pt_table: DataFrame, enc: DataFrame, features: DataFrame,
-                 tok: Tokenizer) -> DataFrame:
+def encoded_pretokens(distinct: DataFrame, tokenizers) -> DataFrame:
+    """Per tokenizer and distinct pre-token: pieces, unknowns, cleaned lengths."""
+    parts = []
+    for tok in tokenizers:
+        enc = tok.encode_distinct(distinct, "pretoken")
+        parts.append(enc.select(
+            F.lit(tok.name).alias("tokenizer"), "pretoken",
+            F.size("pieces").cast("bigint").alias("n_pieces"),
+            F.size(F.filter("pieces", lambda p: p.isin(tx.UNK_TOKENS))).cast("bigint").alias("n_unk"),
+            F.transform(tx.clean_pieces(F.col("pieces")), lambda p: F.length(p)).alias("lens")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _specials_of(tokenizers) -> F.Column:
+    """Special tokens added per line, by tokenizer name (bounded literal)."""
+    expr = F.lit(0)
+    for tok in tokenizers:
+        if tok.add_special_tokens:
+            expr = F.when(F.col("tokenizer") == tok.name, F.lit(2)).otherwise(expr)
+    return expr
+
+
+def piece_stats(joined: DataFrame) -> DataFrame:
+    return _by_tokenizer_and_language(
+        joined,
+        F.sum(F.col("n") * F.col("n_pieces")).alias("pieces_all"),
+        F.sum(F.when(F.col("has_words"), F.col("n") * F.col("n_pieces")).otherwise(0)).alias("pieces_words"),
+        F.sum(F.col("n") * F.col("n_unk")).alias("unk"))
+
+
+def length_stats(joined: DataFrame, features: DataFrame, tokenizers) -> DataFrame:
     """Mean / median / p95 of cleaned piece lengths (empties dropped)."""
-    hist = (pt_table.join(enc, "pretoken")
-            .select("language", "n", F.explode("lens").alias("len"))
-            .groupBy("language", "len").agg(F.sum("n").alias("w")))
-    if tok.add_special_tokens:
+    hist = (joined.select("tokenizer", "language", "n", F.explode("lens").alias("len"))
+            .groupBy("tokenizer", "language", "len").agg(F.sum("n").alias("w")))
+    with_specials = [t.name for t in tokenizers if t.add_special_tokens]
+    if with_specials:
         special_lens = [L for L in (_clean_len(CLS), _clean_len(SEP)) if L > 0]
         per_lang = features.groupBy("language").agg(F.count(F.lit(1)).alias("lines"))
-        extra = [per_lang.select("language", F.lit(L).alias("len"),
-                                 F.col("lines").alias("w")) for L in special_lens]
-        hist = reduce(DataFrame.unionByName, [hist] + extra)
-        hist = hist.groupBy("language", "len").agg(F.sum("w").alias("w"))
+        extra = [per_lang.select(F.lit(name).alias("tokenizer"), "language",
+                                 F.lit(L).alias("len"), F.col("lines").alias("w"))
+                 for name in with_specials for L in special_lens]
+        hist = (reduce(DataFrame.unionByName, [hist] + extra)
+                .groupBy("tokenizer", "language", "len").agg(F.sum("w").alias("w")))
     pct = F.percentile(F.col("len"), F.array(F.lit(0.5), F.lit(0.95)), F.col("w"))
-    return _rollup(hist,
-                   (F.sum(F.col("len") * F.col("w")) / F.sum("w")).alias("mean_token_chars"),
-                   pct.alias("pct"))
+    return _by_tokenizer_and_language(
+        hist, (F.sum(F.col("len") * F.col("w")) / F.sum("w")).alias("mean_token_chars"),
+        pct.alias("pct"))
 
 
-def vocab_coverage(features: DataFrame, vocab: DataFrame) -> DataFrame:
+def vocab_coverage(features: DataFrame, vocabs: dict) -> DataFrame:
     """Share of distinct, case-sensitive word types that are pieces as is.
 
     Word types come from the raw line (one tag strip, as the reference);
-    ``all`` is over distinct words of every language, not a sum.
+    ``all`` is over distinct words of every language, not a sum of languages.
+    The vocabularies are stacked and joined on the word (a shuffle join;
+    AQE turns it into a broadcast when the vocabularies are small).
     """
     types = (features.select("language", F.explode(tx.simple_words(F.col("_text"))).alias("word"))
              .distinct())
-    hits = vocab.select(F.col("piece").alias("word")).distinct().withColumn("hit", F.lit(1))
-    flagged = types.join(hits, "word", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    per_lang = (flagged.groupBy("language")
-                .agg((F.sum("hit") / F.count(F.lit(1))).alias("vocab_coverage"))
-                .withColumn("gid", F.lit(0)))
-    overall = (flagged.groupBy("word").agg(F.max("hit").alias("hit"))
-               .agg((F.sum("hit") / F.count(F.lit(1))).alias("vocab_coverage"))
-               .withColumn("gid", F.lit(1))
-               .withColumn("language", F.lit(None).cast("string")))
-    return per_lang.select(*_KEY, "vocab_coverage").unionByName(
-        overall.select(*_KEY, "vocab_coverage"))
-
-
-def _join(a: DataFrame, b: DataFrame) -> DataFrame:
+    vocab = reduce(DataFrame.unionByName,
+                   [v.select(F.lit(name).alias("tokenizer"), F.col("piece").alias("word"))
+                    for name, v in vocabs.items()]).distinct()
+    hits = (types.join(vocab, "word").select("tokenizer", "language", "word"))
+    # denominators do not depend on the tokenizer; a (tokenizer, language)
+    # without any hit is absent here and becomes 0.0 in the report
+    per_lang_n = types.groupBy("language").agg(F.count(F.lit(1)).alias("types"))
+    all_n = types.select("word").distinct().agg(F.count(F.lit(1)).alias("types"),
+                                                F.lit(1).alias("gid"))
+    per_lang = (hits.groupBy("tokenizer", "language").agg(F.count(F.lit(1)).alias("hit"))
+                .join(per_lang_n, "language")
+                .select("tokenizer", F.lit(0).alias("gid"), "language",
+                        (F.col("hit") / F.col("types")).alias("vocab_coverage")))
+    overall = (hits.select("tokenizer", "word").distinct()
+               .groupBy("tokenizer").agg(F.count(F.lit(1)).alias("hit"), F.lit(1).alias("gid"))
+               .join(all_n, "gid")
+               .select("tokenizer", "gid", F.lit(None).cast("string").alias("language"),
+                       (F.col("hit") / F.col("types")).alias("vocab_coverage")))
+    return per_lang.unionByName(overall)
+
+
+def _join(a: DataFrame, b: DataFrame, on_tokenizer: bool = True) -> DataFrame:
     b = b.withColumnRenamed("gid", "_g").withColumnRenamed("language", "_l")
     cond = (F.col("gid") == F.col("_g")) & F.col("language").eqNullSafe(F.col("_l"))
+    if on_tokenizer:
+        b = b.withColumnRenamed("tokenizer", "_t")
+        cond = cond & (F.col("tokenizer") == F.col("_t"))
+        return a.join(b, cond, "left").drop("_g", "_l", "_t")
     return a.join(b, cond, "left").drop("_g", "_l")
 
 
-def _finish(df: DataFrame) -> DataFrame:
-    return df.withColumn("language", F.when(F.col("gid") == 1, F.lit("all"))
-                         .otherwise(F.col("language")))
-
-
-def tokenizer_metrics(features: DataFrame, pt_table: DataFrame, tok: Tokenizer,
-                      vocab: DataFrame, round_to: int | None = 9) -> DataFrame:
-    """All metrics for one tokenizer, overall and per language."""
-    enc = encoded_pretokens(pt_table, tok)
+def tokenizer_report(lines: DataFrame, tokenizers, vocabs: dict,
+                     text_col: str = "text", round_to: int | None = 9) -> DataFrame:
+    """A7 + A8: one row per (language, tokenizer); ``all`` rows first, then
+    each language in order, tokenizers in the given order."""
+    tokenizers = list(tokenizers)
+    features = line_features(lines, text_col)
+    pt = pretoken_table(features)
+    enc = encoded_pretokens(pt.select("pretoken").distinct(), tokenizers)
+    joined = pt.join(enc, "pretoken")
     ls = line_stats(features)
-    ps = piece_stats(pt_table, enc)
-    lens = length_stats(pt_table, enc, features, tok)
-    cov = vocab_coverage(features, vocab)
-    specials = 2 if tok.add_special_tokens else 0
-    df = _join(_join(_join(ls, ps), lens), cov)
+    ps = piece_stats(joined)
+    lens = length_stats(joined, features, tokenizers)
+    cov = vocab_coverage(features, {t.name: vocabs[t.name] for t in tokenizers})
+    df = _join(_join(ps, lens), cov)
+    df = _join(df, ls, on_tokenizer=False)
+    specials = _specials_of(tokenizers)
     pieces_all = F.coalesce(F.col("pieces_all"), F.lit(0))
     pieces_words = F.coalesce(F.col("pieces_words"), F.lit(0))
     tokens_all = pieces_all + specials * F.col("num_examples")
@@ -171,40 +200,41 @@ def tokenizer_metrics(features: DataFrame, pt_table: DataFrame, tok: Tokenizer,
         "median_token_chars": F.when(has_len, F.col("pct")[0]).otherwise(0.0),
         "p95_token_chars": F.when(has_len, F.col("pct")[1]).otherwise(0.0),
     }
-    out = [F.col("gid"), F.col("language"), F.lit(tok.name).alias("tokenizer"),
-           F.col("num_examples").cast("bigint").alias("num_examples")]
+    order = F.lit(None).cast("int")
+    for i, tok in enumerate(tokenizers):
+        order = F.when(F.col("tokenizer") == tok.name, F.lit(i)).otherwise(order)
+    out = [F.when(F.col("gid") == 1, F.lit("all")).otherwise(F.col("language")).alias("language"),
+           "tokenizer", F.col("num_examples").cast("bigint").alias("num_examples")]
     for k, v in cols.items():
         v = v.cast("double")
         out.append((F.round(v, round_to) if round_to is not None else v).alias(k))
-    return _finish(df.select(*out))
+    return (df.select(*out, F.col("gid"), order.alias("_tok_order"))
+            .orderBy(F.desc("gid"), F.asc("language"), F.asc("_tok_order"))
+            .select(*REPORT_COLUMNS))
 
 
-def tokenizer_report(lines: DataFrame, tokenizers, vocabs: dict,
-                     text_col: str = "text", round_to: int | None = 9) -> DataFrame:
-    """One row per (language, tokenizer); ``all`` rows first, then each
-    language in order, tokenizers in the given order."""
-    features = line_features(lines, text_col)
-    pt_table = pretoken_table(features)
-    parts = []
-    for i, tok in enumerate(tokenizers):
-        m = tokenizer_metrics(features, pt_table, tok, vocabs[tok.name], round_to)
-        parts.append(m.withColumn("_tok_order", F.lit(i)))
-    report = reduce(DataFrame.unionByName, parts)
-    return (report.orderBy(F.desc("gid"), F.asc("language"), F.asc("_tok_order"))
-            .select(*REPORT_COLUMNS))
+def tokenizer_metrics(lines: DataFrame, tok: Tokenizer, vocab: DataFrame,
+                      text_col: str = "text", round_to: int | None = 9) -> DataFrame:
+    """A7 for a single tokenizer (overall and per language)."""
+    return tokenizer_report(lines, [tok], {tok.name: vocab}, text_col, round_to)
 
 
-def token_counts(lines: DataFrame, tok: Tokenizer, text_col: str = "text") -> DataFrame:
-    """Frequency of every output piece over the tag-stripped lines."""
+def token_counts(lines: DataFrame, tokenizers, text_col: str = "text") -> DataFrame:
+    """Frequency of every output piece over the tag-stripped lines,
+    ``tokenizer, token, n``."""
+    tokenizers = list(tokenizers)
     features = line_features(lines, text_col)
-    pt_table = (features.select(F.explode(tx.pretokens(F.col("clean"))).alias("pretoken"))
-                .groupBy("pretoken").agg(F.count(F.lit(1)).alias("n")))
-    enc = tok.encode_distinct(pt_table.select("pretoken"), "pretoken")
-    counts = (pt_table.join(enc, "pretoken")
-              .select(F.explode("pieces").alias("token"), "n")
-              .groupBy("token").agg(F.sum("n").alias("n")))
-    if tok.add_special_tokens:
+    pt = (features.select(F.explode(tx.pretokens(F.col("clean"))).alias("pretoken"))
+          .groupBy("pretoken").agg(F.count(F.lit(1)).alias("n")))
+    parts = [tok.encode_distinct(pt.select("pretoken"), "pretoken")
+             .select(F.lit(tok.name).alias("tokenizer"), "pretoken", "pieces") for tok in tokenizers]
+    enc = reduce(DataFrame.unionByName, parts)
+    counts = (pt.join(enc, "pretoken")
+              .select("tokenizer", F.explode("pieces").alias("token"), "n"))
+    with_specials = [t.name for t in tokenizers if t.add_special_tokens]
+    if with_specials:
         n_lines = features.agg(F.count(F.lit(1)).alias("n"))
-        sp = [n_lines.select(F.lit(s).alias("token"), "n") for s in (CLS, SEP)]
-        counts = reduce(DataFrame.unionByName, [counts] + sp).groupBy("token").agg(F.sum("n").alias("n"))
-    return counts.select("token", F.col("n").cast("bigint").alias("n"))
+        counts = reduce(DataFrame.unionByName, [counts] + [
+            n_lines.select(F.lit(name).alias("tokenizer"), F.lit(s).alias("token"), "n")
+            for name in with_specials for s in (CLS, SEP)])
+    return (counts.groupBy("tokenizer", "token").agg(F.sum("n").cast("bigint").alias("n")))

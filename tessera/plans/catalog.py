@@ -273,9 +273,7 @@ for _name, _cols in [("fertility", ["fertility"]), ("char_per_token", ["char_per
 def token_counts(spark, sf):
     c = Corpus(spark, sf)
     test = c.split("test")
-    parts = [mt.token_counts(test, tok).select(F.lit(tok.name).alias("tokenizer"), "token", "n")
-             for tok in c.rule_tokenizers]
-    return reduce(DataFrame.unionByName, parts)
+    return mt.token_counts(test, c.rule_tokenizers)
 
 
 @query("word_types", o.with_base(

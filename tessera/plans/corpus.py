@@ -55,6 +55,16 @@ def tag_variant(lang: Column, c: Column, k: Column) -> Column:
     return expr
 
 
+def prepare_lines(lines: DataFrame, lowercase: bool = False) -> DataFrame:
+    """The reference's prepare stage: clean each line, keep good lines, render
+    the ``<lang> text`` tag.  Map-only."""
+    cleaned = lines.select("doc_id", "lang", "line_no",
+                           tx.clean_line(F.col("line"), lowercase).alias("clean"))
+    return (cleaned.filter(tx.is_good_line(F.col("clean")))
+            .select("doc_id", "lang", "line_no",
+                    tx.render_tag(F.col("lang"), F.col("clean")).alias("text")))
+
+
 class Corpus:
     def __init__(self, spark: SparkSession, sf_dir: str, seed: int = 42,
                  lowercase: bool = False, closed_vocab_size: int = 500):
@@ -78,12 +88,10 @@ class Corpus:
     # -- prepared corpus (the real pipeline) -------------------------------
     @cached_property
     def prepared(self) -> DataFrame:
-        cleaned = self.doc_lines.select(
-            "doc_id", "lang", "line_no",
-            tx.clean_line(F.col("line"), self.lowercase).alias("clean"))
-        return (cleaned.filter(tx.is_good_line(F.col("clean")))
-                .select("doc_id", "lang", "line_no",
-                        tx.render_tag(F.col("lang"), F.col("clean")).alias("text")))
+        """Cleaned, filtered, tagged lines, written once to the checkpoint
+        folder: cleaning (with the NFC UDF) is not repeated by the split's
+        histogram and labelling passes nor by any other consumer."""
+        return prepare_lines(self.doc_lines, self.lowercase).checkpoint(eager=True)
 
     @cached_property
     def splits(self) -> DataFrame:

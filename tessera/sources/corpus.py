@@ -29,13 +29,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def balance(df: DataFrame, key_cols) -> DataFrame:
+    """Spread rows over the cluster's cores when the scan gives fewer splits.
+
+    A large input has one task per file split already and is left as is
+    (no shuffle).  A small input (one file, one row group) would otherwise
+    run all per-row work -- regexes, NFC -- in a single task; it is
+    hash-partitioned on ``key_cols`` (deterministic on retry).  Applied to
+    documents, before the line explode, so filters on line values cannot be
+    pushed below the exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores * 2, *key_cols)
+
+
 def document_lines(documents: DataFrame, text_col: str = "text",
-                   key_cols=("doc_id", "lang", "source")) -> DataFrame:
+                   key_cols=("doc_id", "lang", "source"), rebalance: bool = True) -> DataFrame:
     """Explode each document into ``(…keys, line_no, line)``; 0-based lines.
 
-    Map-only: a document's lines stay in the task that read it.
+    Map-only for a large input: a document's lines stay in the task that
+    read it (a single text value is bounded by the 2 GB row limit, so no
+    document can hold an unbounded share of the lines).
     """
     keys = [c for c in key_cols if c in documents.columns]
+    if rebalance and "doc_id" in keys:
+        documents = balance(documents.select(*keys, text_col), ["doc_id"])
     return (documents
             .select(*keys, F.posexplode(F.split(F.col(text_col), LINE_BREAK, -1))
                     .alias("line_no", "line"))

@@ -15,8 +15,10 @@ Two ways to apply it:
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import text as tx
 
@@ -116,6 +118,62 @@ class ClosedVocabTokenizer(Tokenizer):
         return spark.createDataFrame(rows, "piece string").distinct()
 
 
+class ModelTokenizer(Tokenizer):
+    """A tokenizer backed by a learned model applied per pre-token in Python.
+
+    ``word_fn(payload, word) -> list[str]`` is a small per-word helper; the
+    model ``payload`` (bounded by the vocabulary size) is broadcast once.
+    Both UDFs are Arrow-batched and memoise words within a batch, so a
+    frequent word is encoded once per batch, not once per occurrence.
+    The text is NFC-normalised first (the library tokenizers' normaliser).
+    """
+
+    def __init__(self, spark, name: str, payload, word_fn, add_special_tokens: bool = True):
+        self.name, self.add_special_tokens = name, add_special_tokens
+        bc = spark.sparkContext.broadcast(payload)
+
+        def run(words):
+            model, memo, out = bc.value, {}, []
+            for w in words:
+                r = memo.get(w)
+                if r is None:
+                    r = memo[w] = word_fn(model, w)
+                out.append(r)
+            return out
+
+        @F.arrow_udf(T.ArrayType(T.StringType()))
+        def _per_word(words: pa.Array) -> pa.Array:
+            vals = words.to_pylist()
+            res = run([w for w in vals if w is not None])
+            it = iter(res)
+            return pa.array([None if w is None else next(it) for w in vals],
+                            type=pa.list_(pa.string()))
+
+        @F.arrow_udf(T.ArrayType(T.StringType()))
+        def _per_line(lines: pa.Array) -> pa.Array:
+            model, memo, out = bc.value, {}, []
+            for pts in lines.to_pylist():
+                if pts is None:
+                    out.append(None)
+                    continue
+                toks = []
+                for w in pts:
+                    r = memo.get(w)
+                    if r is None:
+                        r = memo[w] = word_fn(model, w)
+                    toks.extend(r)
+                out.append(toks)
+            return pa.array(out, type=pa.list_(pa.string()))
+
+        self._per_word, self._per_line = _per_word, _per_line
+
+    def pieces(self, pt: Column) -> Column:
+        return self._per_word(pt)
+
+    def encode_text(self, text: Column) -> Column:
+        return self.wrap(self._per_line(tx.pretokens(tx.nfc(text))))
+
+
 def pretoken_counts(lines: DataFrame, text_col: str = "text") -> DataFrame:
     """``pretoken, n``: pre-token frequencies (partial aggregation map-side)."""
     return (lines.select(F.explode(tx.pretokens(F.col(text_col))).alias("pretoken"))

@@ -328,3 +328,78 @@ def boundary_words_raw(spark, sf):
 def boundary_summary(spark, sf):
     c = Corpus(spark, sf)
     return bd.macro_summary(bd.score_words(gold_words(c), c.rule_tokenizers, round_to=None))
+
+
+# ---------------------------------------------------------------------------
+# Vocabulary learning and encoding
+# ---------------------------------------------------------------------------
+from tessera.operators import bpe as bp  # noqa: E402
+
+# Vocabulary size of the registered BPE queries (the reference's config uses
+# 16000 on its full corpus; the registered plan learns a smaller model so the
+# driver's per-round check stays short -- all word types are still used).
+BPE_VOCAB_SIZE = 600
+BPE_MIN_FREQUENCY = 2
+_MODELS: dict = {}
+
+
+def _word_freq(c: Corpus) -> DataFrame:
+    return bp.word_frequency(c.split("train"), "text")
+
+
+def bpe_model(spark, sf, vocab_size: int = BPE_VOCAB_SIZE):
+    key = ("bpe", sf, vocab_size)
+    if key not in _MODELS:
+        c = Corpus(spark, sf)
+        wf = _word_freq(c).checkpoint(eager=True)
+        _MODELS[key] = bp.train_bpe(wf, vocab_size=vocab_size, min_frequency=BPE_MIN_FREQUENCY)
+    return _MODELS[key]
+
+
+_WF_SQL = (f"wf AS (SELECT pt AS word, count(*) AS freq FROM "
+           f"(SELECT unnest({s.pretokens(s.nfc('text'))}) AS pt FROM train_lines) GROUP BY pt)")
+
+
+@query("word_frequency", o.with_base(_WF_SQL, select="SELECT word, freq FROM wf"))
+def word_frequency(spark, sf):
+    return _word_freq(Corpus(spark, sf)).select("word", F.col("freq").cast("bigint"))
+
+
+@query("alphabet", o.with_base(
+    _WF_SQL,
+    select="SELECT symbol, CAST(4 + row_number() OVER (ORDER BY symbol) AS INTEGER) AS id FROM "
+           "(SELECT DISTINCT unnest(regexp_extract_all(word, '(?s).')) AS symbol FROM wf)"))
+def alphabet_q(spark, sf):
+    return bp.alphabet(_word_freq(Corpus(spark, sf)))
+
+
+@query("bpe_pair_counts", o.with_base(
+    _WF_SQL,
+    "wc AS (SELECT regexp_extract_all(word, '(?s).') AS ch, freq FROM wf)",
+    select="SELECT ch[i] AS left, ch[i + 1] AS right, CAST(sum(freq) AS BIGINT) AS n "
+           "FROM (SELECT ch, freq, unnest(range(1, len(ch))) AS i FROM wc WHERE len(ch) > 1) GROUP BY ALL"))
+def bpe_pair_counts(spark, sf):
+    wf = _word_freq(Corpus(spark, sf))
+    words = wf.select("freq", tx.characters(F.col("word")).alias("symbols"))
+    return bp.pair_counts(words).select("left", "right", F.col("n").cast("bigint"))
+
+
+@query("bpe_merges")
+def bpe_merges(spark, sf):
+    m = bpe_model(spark, sf)
+    return spark.createDataFrame([(i, a, b, a + b) for i, (a, b) in enumerate(m.merges)],
+                                 "rank int, left string, right string, merged string")
+
+
+@query("vocab_table")
+def vocab_table(spark, sf):
+    return bpe_model(spark, sf).vocab_df(spark)
+
+
+@query("bpe_encode")
+def bpe_encode(spark, sf):
+    c = Corpus(spark, sf)
+    tok = bp.BpeTokenizer(bpe_model(spark, sf), spark)
+    e = tok.encode_text(tx.strip_language_tag(F.col("text")))
+    return c.split("test").select("doc_id", "line_no", F.array_join(e, " ").alias("tokens"),
+                                  F.size(e).cast("bigint").alias("n_tokens"))

@@ -403,3 +403,105 @@ def bpe_encode(spark, sf):
     e = tok.encode_text(tx.strip_language_tag(F.col("text")))
     return c.split("test").select("doc_id", "line_no", F.array_join(e, " ").alias("tokens"),
                                   F.size(e).cast("bigint").alias("n_tokens"))
+
+
+# ---------------------------------------------------------------------------
+# WordPiece against a vocabulary table
+# ---------------------------------------------------------------------------
+from tessera.operators import mlm as ml  # noqa: E402
+from tessera.operators.wordpiece import WordPieceTokenizer  # noqa: E402
+
+
+@query("wordpiece_encode")
+def wordpiece_encode(spark, sf):
+    """WordPiece with the ``##`` vocabulary the chunk3 rule emits on the
+    training split (a user-supplied vocabulary table in general)."""
+    c = Corpus(spark, sf)
+    wp = WordPieceTokenizer(c.rule_vocabs["chunk3"], spark)
+    e = wp.encode_text(tx.strip_language_tag(F.col("text")))
+    return c.split("test").select("doc_id", "line_no", F.array_join(e, " ").alias("tokens"),
+                                  F.size(e).cast("bigint").alias("n_tokens"))
+
+
+# ---------------------------------------------------------------------------
+# Masked-LM data (M1-M3): closed-vocabulary ids of the tagged lines
+# ---------------------------------------------------------------------------
+MLM_MAX_LENGTH = 128
+MLM_BATCH = 64
+
+
+def _mlm_examples(c: Corpus) -> DataFrame:
+    words = c.tokenizer("closed_vocab").words
+    id_map = F.create_map(*[x for i, w in enumerate(words) for x in (F.lit(w), F.lit(5 + i))])
+    lines = c.splits.filter(F.col("split").isin("train", "valid"))
+    ids = ml.to_ids(tx.pretokens(F.col("text")), id_map)
+    return ml.examples(lines.select("doc_id", "line_no", "split", ids.alias("ids")),
+                       F.col("ids"), MLM_MAX_LENGTH)
+
+
+def _ids_str(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+
+
+_MLM_SQL = [
+    "ids_cte AS (SELECT tok, CAST(4 + rn AS INTEGER) AS id FROM (SELECT pretoken AS tok, "
+    "row_number() OVER (ORDER BY n DESC, pretoken) AS rn FROM train_pt) WHERE rn <= 500)",
+    f"""mt AS (SELECT doc_id, line_no, split, unnest(pts) AS tok, generate_subscripts(pts, 1) AS pos
+        FROM (SELECT doc_id, line_no, split, {s.pretokens('text')} AS pts FROM splits WHERE split IN ('train', 'valid')))""",
+    """mi AS (SELECT mt.doc_id, mt.line_no, mt.split, list(coalesce(ids_cte.id, 1) ORDER BY mt.pos) AS ids
+        FROM mt LEFT JOIN ids_cte ON ids_cte.tok = mt.tok GROUP BY mt.doc_id, mt.line_no, mt.split)""",
+    f"mx AS (SELECT doc_id, line_no, split, list_concat([2], ids[1:{MLM_MAX_LENGTH - 2}], [3]) AS input_ids FROM mi)",
+]
+
+
+def _h01(parts: str) -> str:
+    return f"(CAST(('0x' || substr(md5(concat_ws(':', '42', '0', {parts})), 1, 8)) AS BIGINT) / 4294967296.0)"
+
+
+@query("mlm_examples", o.with_base(
+    *_MLM_SQL,
+    select="SELECT doc_id, line_no, split, array_to_string(input_ids, ' ') AS input_ids, "
+           "CAST(len(input_ids) AS BIGINT) AS n_ids FROM mx"))
+def mlm_examples(spark, sf):
+    ex = _mlm_examples(Corpus(spark, sf))
+    return ex.select("doc_id", "line_no", "split", _ids_str(F.col("input_ids")).alias("input_ids"),
+                     F.size("input_ids").cast("bigint").alias("n_ids"))
+
+
+_K = "CAST(doc_id AS VARCHAR), CAST(line_no AS VARCHAR), CAST(i - 1 AS VARCHAR)"
+_MASK_SQL = (
+    "mk AS (SELECT doc_id, line_no, input_ids, list_transform(input_ids, lambda x, i: "
+    f"CASE WHEN x IN (0, 2, 3) OR {_h01(_K + ', ' + repr('p'))} >= 0.15 THEN struct_pack(m := x, l := -100) "
+    f"WHEN {_h01(_K + ', ' + repr('v'))} < 0.8 THEN struct_pack(m := 4, l := x) "
+    f"WHEN {_h01(_K + ', ' + repr('v'))} < 0.9 THEN struct_pack(m := CAST(floor({_h01(_K + ', ' + repr('r'))} * 505) AS INTEGER), l := x) "
+    "ELSE struct_pack(m := x, l := x) END) AS ml FROM mx WHERE split = 'train')")
+
+
+@query("mlm_masked", o.with_base(
+    *_MLM_SQL, _MASK_SQL,
+    select="SELECT doc_id, line_no, array_to_string(list_transform(ml, lambda e: e.m), ' ') AS masked_ids, "
+           "array_to_string(list_transform(ml, lambda e: e.l), ' ') AS labels, "
+           "CAST(len(list_filter(ml, lambda e: e.l <> -100)) AS BIGINT) AS n_masked FROM mk"))
+def mlm_masked(spark, sf):
+    c = Corpus(spark, sf)
+    ex = _mlm_examples(c).filter(F.col("split") == "train")
+    vocab_size = 5 + len(c.tokenizer("closed_vocab").words)
+    m = ml.mask(ex, vocab_size)
+    return m.select("doc_id", "line_no", _ids_str(F.col("masked_ids")).alias("masked_ids"),
+                    _ids_str(F.col("labels")).alias("labels"),
+                    F.size(F.filter("labels", lambda x: x != ml.IGNORE)).cast("bigint").alias("n_masked"))
+
+
+@query("mlm_batches", o.with_base(
+    *_MLM_SQL,
+    f"""mb AS (SELECT doc_id, line_no, len(input_ids) AS n,
+          row_number() OVER (ORDER BY md5(concat_ws(':', '42', '0', CAST(doc_id AS VARCHAR), CAST(line_no AS VARCHAR))), doc_id, line_no) - 1 AS r
+        FROM mx WHERE split = 'train')""",
+    select=f"""SELECT doc_id, line_no, CAST(r // {MLM_BATCH} AS BIGINT) AS batch_id, CAST(r % {MLM_BATCH} AS INTEGER) AS position,
+      CAST(max(n) OVER (PARTITION BY r // {MLM_BATCH}) AS INTEGER) AS batch_len,
+      CAST(max(n) OVER (PARTITION BY r // {MLM_BATCH}) - n AS INTEGER) AS n_pad FROM mb"""))
+def mlm_batches(spark, sf):
+    ex = _mlm_examples(Corpus(spark, sf)).filter(F.col("split") == "train")
+    b = ml.batches(ex, MLM_BATCH)
+    return b.select("doc_id", "line_no", "batch_id", "position", F.col("batch_len").cast("int"),
+                    (F.col("batch_len") - F.size("input_ids")).cast("int").alias("n_pad"))

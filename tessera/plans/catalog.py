@@ -8,6 +8,7 @@ value hash compares like with like.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -505,3 +506,62 @@ def mlm_batches(spark, sf):
     b = ml.batches(ex, MLM_BATCH)
     return b.select("doc_id", "line_no", "batch_id", "position", F.col("batch_len").cast("int"),
                     (F.col("batch_len") - F.size("input_ids")).cast("int").alias("n_pad"))
+
+
+# ---------------------------------------------------------------------------
+# Unigram LM vocabulary (V6-V9)
+# ---------------------------------------------------------------------------
+from tessera.operators import unigram as ug  # noqa: E402
+
+UNIGRAM_VOCAB_SIZE = 600
+UNIGRAM_SEED_SIZE = 5000
+UNIGRAM_MAX_PIECE = 16
+
+
+def unigram_model(spark, sf, vocab_size: int = UNIGRAM_VOCAB_SIZE):
+    key = ("unigram", sf, vocab_size)
+    if key not in _MODELS:
+        wf = _word_freq(Corpus(spark, sf))
+        _MODELS[key] = ug.train_unigram(wf, vocab_size=vocab_size, seed_size=UNIGRAM_SEED_SIZE,
+                                        max_piece_len=UNIGRAM_MAX_PIECE)
+    return _MODELS[key]
+
+
+@query("unigram_seed", o.with_base(
+    _WF_SQL,
+    f"""subs AS (SELECT substring(word, s, l) AS piece, freq * l AS sc, l = 1 AS is_char
+        FROM (SELECT word, freq, s, unnest(range(1, least({UNIGRAM_MAX_PIECE}, length(word) - s + 1) + 1)) AS l
+              FROM (SELECT word, freq, unnest(range(1, length(word) + 1)) AS s FROM wf)))""",
+    "scored AS (SELECT piece, CAST(sum(sc) AS BIGINT) AS score, bool_or(is_char) AS is_char FROM subs GROUP BY piece)",
+    select=f"""SELECT piece, score, is_char FROM scored WHERE is_char
+UNION ALL
+SELECT piece, score, is_char FROM (SELECT * FROM scored WHERE NOT is_char ORDER BY score DESC, piece LIMIT {UNIGRAM_SEED_SIZE})"""))
+def unigram_seed(spark, sf):
+    wf = _word_freq(Corpus(spark, sf))
+    return ug.seed_pieces(wf, UNIGRAM_MAX_PIECE, UNIGRAM_SEED_SIZE).select(
+        "piece", F.col("score").cast("bigint"), "is_char")
+
+
+@query("unigram_em_step")
+def unigram_em_step(spark, sf):
+    """One EM pass from the seed scores: expected count per piece."""
+    wf = _word_freq(Corpus(spark, sf)).checkpoint(eager=True)
+    seed = ug.seed_pieces(wf, UNIGRAM_MAX_PIECE, UNIGRAM_SEED_SIZE).collect()
+    total = sum(float(r["score"]) for r in seed)
+    logp = {r["piece"]: math.log(r["score"] / total) for r in seed}
+    return (ug._lattice_pass(wf, logp, UNIGRAM_MAX_PIECE, "em")
+            .select("piece", F.col("value").alias("expected_count")))
+
+
+@query("unigram_vocab")
+def unigram_vocab(spark, sf):
+    return unigram_model(spark, sf).vocab_df(spark)
+
+
+@query("unigram_encode")
+def unigram_encode(spark, sf):
+    c = Corpus(spark, sf)
+    tok = ug.UnigramTokenizer(unigram_model(spark, sf), spark)
+    e = tok.encode_text(tx.strip_language_tag(F.col("text")))
+    return c.split("test").select("doc_id", "line_no", F.array_join(e, " ").alias("tokens"),
+                                  F.size(e).cast("bigint").alias("n_tokens"))

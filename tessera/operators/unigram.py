@@ -113,8 +113,11 @@ def _forward_backward(word: str, logp: dict, max_len: int):
     return z, counts
 
 
-def viterbi(word: str, logp: dict, max_len: int, unk: str | None = UNK, unk_score: float = -1e9):
-    """Best segmentation; uncovered characters fused into one ``unk``."""
+def viterbi(word: str, logp: dict, max_len: int, unk: str | None = UNK, unk_score: float = -1e9,
+            unk_text: bool = False):
+    """Best segmentation; a run of characters no piece covers is fused into
+    one unknown token -- ``unk``, or the run's own text when ``unk_text``
+    (what the library's Unigram reports as the token, with the unknown id)."""
     n = len(word)
     best = [-math.inf] * (n + 1)
     back = [None] * (n + 1)
@@ -128,24 +131,18 @@ def viterbi(word: str, logp: dict, max_len: int, unk: str | None = UNK, unk_scor
                 best[j], back[j] = best[i] + lp, (i, False)
         if unk is not None and best[j - 1] > -math.inf and best[j - 1] + unk_score > best[j]:
             best[j], back[j] = best[j - 1] + unk_score, (j - 1, True)
-    out, j = [], n
     if best[n] == -math.inf:
-        return [unk] if unk else [word], best[n]
+        return ([word] if unk_text else [unk]) if unk else [word], best[n]
+    spans, j = [], n
     while j > 0:
         i, is_unk = back[j]
-        if is_unk:
-            if out and out[-1] is UNK_MARK:
-                pass
-            else:
-                out.append(UNK_MARK)
+        if is_unk and spans and spans[-1][2]:
+            spans[-1][0] = i
         else:
-            out.append(word[i:j])
+            spans.append([i, j, is_unk])
         j = i
-    out.reverse()
-    return [unk if p is UNK_MARK else p for p in out], best[n]
-
-
-UNK_MARK = object()
+    spans.reverse()
+    return [word[a:b] if (not u or unk_text) else unk for a, b, u in spans], best[n]
 
 
 # ---------------------------------------------------------------------------
@@ -277,7 +274,7 @@ def train_unigram(word_freq: DataFrame, vocab_size: int = 16000, special_tokens=
 
 def _uni_word(payload, word):
     logp, max_len, unk, unk_score = payload
-    return viterbi(word, logp, max_len, unk, unk_score)[0]
+    return viterbi(word, logp, max_len, unk, unk_score, unk_text=True)[0]
 
 
 class UnigramTokenizer(ModelTokenizer):

@@ -48,13 +48,13 @@ def _line_sql(fn, src: str = "dirty", col: str = "line") -> str:
 # ---------------------------------------------------------------------------
 @query("corpus_lines", o.with_base(select="SELECT doc_id, lang, source, line_no, line FROM doc_lines"))
 def corpus_lines(spark, sf):
-    return Corpus(spark, sf).doc_lines.select("doc_id", "lang", "source", "line_no", "line")
+    return Corpus.of(spark, sf).doc_lines.select("doc_id", "lang", "source", "line_no", "line")
 
 
 @query("nonempty_lines", o.with_base(
     select=f"SELECT doc_id, line_no, {s.strip('line')} AS line FROM doc_lines WHERE length({s.strip('line')}) > 0"))
 def nonempty_lines(spark, sf):
-    c = Corpus(spark, sf)
+    c = Corpus.of(spark, sf)
     return (c.doc_lines.select("doc_id", "line_no", tx.ustrip("line").alias("line"))
             .filter(F.length("line") > 0))
 
@@ -75,7 +75,7 @@ def gold_words(c: Corpus) -> DataFrame:
 @query("gold_segments", o.with_base(
     select="SELECT word, array_to_string(segments, '|') AS segments, CAST(len(segments) AS BIGINT) AS n_segments FROM gold"))
 def gold_segments(spark, sf):
-    g = gold_words(Corpus(spark, sf))
+    g = gold_words(Corpus.of(spark, sf))
     return g.select("word", F.array_join("segments", "|").alias("segments"),
                     F.size("segments").cast("bigint").alias("n_segments"))
 
@@ -85,7 +85,7 @@ def gold_segments(spark, sf):
 # ---------------------------------------------------------------------------
 def _dirty_map(fn):
     def run(spark, sf):
-        return Corpus(spark, sf).dirty.select("doc_id", "line_no", fn(F.col("line")).alias("line"))
+        return Corpus.of(spark, sf).dirty.select("doc_id", "line_no", fn(F.col("line")).alias("line"))
     return run
 
 
@@ -100,26 +100,26 @@ query("clean_lines", _line_sql(s.clean))(_dirty_map(tx.clean_line))
 @query("good_lines", o.with_base(
     select=f"SELECT doc_id, line_no, c AS line FROM fixture_base WHERE {s.good('c')}"))
 def good_lines(spark, sf):
-    c = Corpus(spark, sf).dirty.select("doc_id", "line_no", tx.clean_line(F.col("line")).alias("line"))
+    c = Corpus.of(spark, sf).dirty.select("doc_id", "line_no", tx.clean_line(F.col("line")).alias("line"))
     return c.filter(tx.is_good_line(F.col("line")))
 
 
 @query("tagged_lines", o.with_base(select="SELECT doc_id, line_no, lang, text FROM prepared"))
 def tagged_lines(spark, sf):
-    return Corpus(spark, sf).prepared.select("doc_id", "line_no", "lang", "text")
+    return Corpus.of(spark, sf).prepared.select("doc_id", "line_no", "lang", "text")
 
 
 @query("untag_lines", o.with_base(
     select=f"SELECT doc_id, line_no, {s.strip_tag('text')} AS line FROM tagged_fixture"))
 def untag_lines(spark, sf):
-    return Corpus(spark, sf).tagged_fixture.select(
+    return Corpus.of(spark, sf).tagged_fixture.select(
         "doc_id", "line_no", tx.strip_language_tag(F.col("text")).alias("line"))
 
 
 @query("tag_language", o.with_base(
     select=f"SELECT doc_id, line_no, {s.lang_tag('text')} AS language FROM tagged_fixture"))
 def tag_language(spark, sf):
-    return Corpus(spark, sf).tagged_fixture.select(
+    return Corpus.of(spark, sf).tagged_fixture.select(
         "doc_id", "line_no", tx.language_tag(F.col("text")).alias("language"))
 
 
@@ -128,7 +128,7 @@ def tag_language(spark, sf):
            f"CAST(len({s.words(s.strip_tag('text'))}) AS BIGINT) AS n_words FROM tagged_fixture"))
 def line_words(spark, sf):
     w = tx.simple_words(tx.strip_language_tag(F.col("text")))
-    return Corpus(spark, sf).tagged_fixture.select(
+    return Corpus.of(spark, sf).tagged_fixture.select(
         "doc_id", "line_no", F.array_join(w, " ").alias("words"),
         F.size(w).cast("bigint").alias("n_words"))
 
@@ -138,7 +138,7 @@ def line_words(spark, sf):
            f"CAST(len({s.pretokens(s.strip_tag('text'))}) AS BIGINT) AS n_pretokens FROM prepared"))
 def pretokens_q(spark, sf):
     p = tx.pretokens(tx.strip_language_tag(F.col("text")))
-    return Corpus(spark, sf).prepared.select(
+    return Corpus.of(spark, sf).prepared.select(
         "doc_id", "line_no", F.array_join(p, " ").alias("pretokens"),
         F.size(p).cast("bigint").alias("n_pretokens"))
 
@@ -156,7 +156,7 @@ def _clean_pieces_sql(fn) -> str:
 
 def _clean_pieces_spark(fn):
     def run(spark, sf):
-        c = Corpus(spark, sf)
+        c = Corpus.of(spark, sf)
         test = c.split("test").select(tx.strip_language_tag(F.col("text")).alias("t"))
         parts = [test.select(F.lit(t).alias("tokenizer"),
                              F.explode(c.tokenizer(t).encode_text(F.col("t"))).alias("token"))
@@ -175,7 +175,7 @@ query("clean_pieces_nospecial", _clean_pieces_sql(s.clean_token))(_clean_pieces_
     select=f"SELECT doc_id, line_no, array_to_string(list_concat(['[CLS]'], {s.pretokens(s.strip_tag('text'))}, ['[SEP]']), ' ') AS tokens "
            f"FROM test_lines"))
 def template_single(spark, sf):
-    t = Corpus(spark, sf).split("test")
+    t = Corpus.of(spark, sf).split("test")
     return t.select("doc_id", "line_no", F.array_join(
         tx.template_single(tx.pretokens(tx.strip_language_tag(F.col("text")))), " ").alias("tokens"))
 
@@ -188,7 +188,7 @@ def template_single(spark, sf):
            "list_transform(range(len(b.p) + 1), lambda x: '1')), ' ') AS type_ids "
            "FROM pa a JOIN pa b ON a.doc_id = b.doc_id AND b.line_no = a.line_no + 1"))
 def template_pair(spark, sf):
-    pa = Corpus(spark, sf).prepared.select(
+    pa = Corpus.of(spark, sf).prepared.select(
         "doc_id", "line_no", tx.pretokens(tx.strip_language_tag(F.col("text"))).alias("p"))
     a = pa.alias("a")
     b = pa.select("doc_id", (F.col("line_no") - 1).alias("line_no"), F.col("p").alias("q"))
@@ -203,26 +203,26 @@ def template_pair(spark, sf):
 # ---------------------------------------------------------------------------
 @query("languages", o.with_base(select=f"SELECT DISTINCT {s.lang_tag('text')} AS language FROM prepared ORDER BY 1"))
 def languages(spark, sf):
-    p = Corpus(spark, sf).prepared
+    p = Corpus.of(spark, sf).prepared
     return p.select(tx.language_tag(F.col("text")).alias("language")).distinct().orderBy("language")
 
 
 @query("shuffled_lines", o.with_base(
     select="SELECT doc_id, line_no, shuffle_key, CAST(r AS BIGINT) AS shuffle_rank FROM ranked"))
 def shuffled_lines(spark, sf):
-    p = Corpus(spark, sf).prepared
+    p = Corpus.of(spark, sf).prepared
     return sp.shuffled(p, LINE_KEY).select("doc_id", "line_no", "shuffle_key",
                                            F.col("shuffle_rank").cast("bigint"))
 
 
 @query("split_lines", o.with_base(select="SELECT doc_id, line_no, lang, split FROM splits"))
 def split_lines(spark, sf):
-    return Corpus(spark, sf).splits.select("doc_id", "line_no", "lang", "split")
+    return Corpus.of(spark, sf).splits.select("doc_id", "line_no", "lang", "split")
 
 
 @query("split_summary", o.with_base(select="SELECT split, count(*) AS n_lines FROM splits GROUP BY split"))
 def split_summary(spark, sf):
-    return sp.split_summary(Corpus(spark, sf).splits)
+    return sp.split_summary(Corpus.of(spark, sf).splits)
 
 
 # ---------------------------------------------------------------------------
@@ -233,7 +233,7 @@ def split_summary(spark, sf):
     select="SELECT tokenizer, doc_id, line_no, array_to_string(tokens, ' ') AS tokens, "
            "CAST(len(tokens) AS BIGINT) AS n_tokens FROM enc"))
 def encoded_lines(spark, sf):
-    c = Corpus(spark, sf)
+    c = Corpus.of(spark, sf)
     test = c.split("test").select("doc_id", "line_no",
                                   tx.strip_language_tag(F.col("text")).alias("clean"))
     parts = []
@@ -251,13 +251,13 @@ def _report(c: Corpus, lines: DataFrame) -> DataFrame:
 
 @query("tokenizer_report", o.report_sql("test_lines"))
 def tokenizer_report(spark, sf):
-    c = Corpus(spark, sf)
+    c = Corpus.of(spark, sf)
     return _report(c, c.split("test"))
 
 
 def _fixture_metric(cols):
     def run(spark, sf):
-        c = Corpus(spark, sf)
+        c = Corpus.of(spark, sf)
         return _report(c, c.tagged_fixture).select("language", "tokenizer", *cols)
     return run
 
@@ -272,7 +272,7 @@ for _name, _cols in [("fertility", ["fertility"]), ("char_per_token", ["char_per
     o.encoded_cte("test_lines"),
     select="SELECT tokenizer, token, count(*) AS n FROM (SELECT tokenizer, unnest(tokens) AS token FROM enc) GROUP BY ALL"))
 def token_counts(spark, sf):
-    c = Corpus(spark, sf)
+    c = Corpus.of(spark, sf)
     test = c.split("test")
     return mt.token_counts(test, c.rule_tokenizers)
 
@@ -281,7 +281,7 @@ def token_counts(spark, sf):
     select=f"SELECT {s.lang_tag('text')} AS language, word, count(*) AS n FROM "
            f"(SELECT text, unnest({s.words('text')}) AS word FROM test_lines) GROUP BY ALL"))
 def word_types(spark, sf):
-    t = Corpus(spark, sf).split("test")
+    t = Corpus.of(spark, sf).split("test")
     return (t.select(tx.language_tag(F.col("text")).alias("language"),
                      F.explode(tx.simple_words(F.col("text"))).alias("word"))
             .groupBy("language", "word").agg(F.count(F.lit(1)).alias("n")))
@@ -306,7 +306,7 @@ def leaderboard_q(spark, sf):
            "list_distinct(list_transform(range(1, len(segments)), lambda i: list_sum(list_transform(segments[1:i], lambda x: length(x))))) "
            "ELSE [] END), lambda x: CAST(x AS VARCHAR)), ',') AS gold_boundaries FROM gold"))
 def boundary_offsets_q(spark, sf):
-    g = gold_words(Corpus(spark, sf))
+    g = gold_words(Corpus.of(spark, sf))
     off = bd.boundary_offsets(F.col("segments"))
     return g.select("word", F.array_join(F.transform(F.array_sort(off), lambda x: x.cast("string")), ",")
                     .alias("gold_boundaries"))
@@ -314,20 +314,20 @@ def boundary_offsets_q(spark, sf):
 
 @query("boundary_words", o.boundary_sql())
 def boundary_words(spark, sf):
-    c = Corpus(spark, sf)
+    c = Corpus.of(spark, sf)
     return bd.score_words(gold_words(c), c.rule_tokenizers)
 
 
 @query("boundary_words_raw", o.boundary_sql(drop_specials=False, raw_cols=True))
 def boundary_words_raw(spark, sf):
-    c = Corpus(spark, sf)
+    c = Corpus.of(spark, sf)
     return bd.score_words(gold_words(c), c.rule_tokenizers, drop_specials=False).select(
         "tokenizer", "word", "precision", "recall", "f1")
 
 
 @query("boundary_summary", o.boundary_sql(summary=True))
 def boundary_summary(spark, sf):
-    c = Corpus(spark, sf)
+    c = Corpus.of(spark, sf)
     return bd.macro_summary(bd.score_words(gold_words(c), c.rule_tokenizers, round_to=None))
 
 
@@ -351,7 +351,7 @@ def _word_freq(c: Corpus) -> DataFrame:
 def bpe_model(spark, sf, vocab_size: int = BPE_VOCAB_SIZE):
     key = ("bpe", sf, vocab_size)
     if key not in _MODELS:
-        c = Corpus(spark, sf)
+        c = Corpus.of(spark, sf)
         wf = _word_freq(c).checkpoint(eager=True)
         _MODELS[key] = bp.train_bpe(wf, vocab_size=vocab_size, min_frequency=BPE_MIN_FREQUENCY)
     return _MODELS[key]
@@ -363,7 +363,7 @@ _WF_SQL = (f"wf AS (SELECT pt AS word, count(*) AS freq FROM "
 
 @query("word_frequency", o.with_base(_WF_SQL, select="SELECT word, freq FROM wf"))
 def word_frequency(spark, sf):
-    return _word_freq(Corpus(spark, sf)).select("word", F.col("freq").cast("bigint"))
+    return _word_freq(Corpus.of(spark, sf)).select("word", F.col("freq").cast("bigint"))
 
 
 @query("alphabet", o.with_base(
@@ -371,7 +371,7 @@ def word_frequency(spark, sf):
     select="SELECT symbol, CAST(4 + row_number() OVER (ORDER BY symbol) AS INTEGER) AS id FROM "
            "(SELECT DISTINCT unnest(regexp_extract_all(word, '(?s).')) AS symbol FROM wf)"))
 def alphabet_q(spark, sf):
-    return bp.alphabet(_word_freq(Corpus(spark, sf)))
+    return bp.alphabet(_word_freq(Corpus.of(spark, sf)))
 
 
 @query("bpe_pair_counts", o.with_base(
@@ -380,7 +380,7 @@ def alphabet_q(spark, sf):
     select="SELECT ch[i] AS left, ch[i + 1] AS right, CAST(sum(freq) AS BIGINT) AS n "
            "FROM (SELECT ch, freq, unnest(range(1, len(ch))) AS i FROM wc WHERE len(ch) > 1) GROUP BY ALL"))
 def bpe_pair_counts(spark, sf):
-    wf = _word_freq(Corpus(spark, sf))
+    wf = _word_freq(Corpus.of(spark, sf))
     words = wf.select("freq", tx.characters(F.col("word")).alias("symbols"))
     return bp.pair_counts(words).select("left", "right", F.col("n").cast("bigint"))
 
@@ -399,7 +399,7 @@ def vocab_table(spark, sf):
 
 @query("bpe_encode")
 def bpe_encode(spark, sf):
-    c = Corpus(spark, sf)
+    c = Corpus.of(spark, sf)
     tok = bp.BpeTokenizer(bpe_model(spark, sf), spark)
     e = tok.encode_text(tx.strip_language_tag(F.col("text")))
     return c.split("test").select("doc_id", "line_no", F.array_join(e, " ").alias("tokens"),
@@ -417,7 +417,7 @@ from tessera.operators.wordpiece import WordPieceTokenizer  # noqa: E402
 def wordpiece_encode(spark, sf):
     """WordPiece with the ``##`` vocabulary the chunk3 rule emits on the
     training split (a user-supplied vocabulary table in general)."""
-    c = Corpus(spark, sf)
+    c = Corpus.of(spark, sf)
     wp = WordPieceTokenizer(c.rule_vocabs["chunk3"], spark)
     e = wp.encode_text(tx.strip_language_tag(F.col("text")))
     return c.split("test").select("doc_id", "line_no", F.array_join(e, " ").alias("tokens"),
@@ -464,7 +464,7 @@ def _h01(parts: str) -> str:
     select="SELECT doc_id, line_no, split, array_to_string(input_ids, ' ') AS input_ids, "
            "CAST(len(input_ids) AS BIGINT) AS n_ids FROM mx"))
 def mlm_examples(spark, sf):
-    ex = _mlm_examples(Corpus(spark, sf))
+    ex = _mlm_examples(Corpus.of(spark, sf))
     return ex.select("doc_id", "line_no", "split", _ids_str(F.col("input_ids")).alias("input_ids"),
                      F.size("input_ids").cast("bigint").alias("n_ids"))
 
@@ -484,7 +484,7 @@ _MASK_SQL = (
            "array_to_string(list_transform(ml, lambda e: e.l), ' ') AS labels, "
            "CAST(len(list_filter(ml, lambda e: e.l <> -100)) AS BIGINT) AS n_masked FROM mk"))
 def mlm_masked(spark, sf):
-    c = Corpus(spark, sf)
+    c = Corpus.of(spark, sf)
     ex = _mlm_examples(c).filter(F.col("split") == "train")
     vocab_size = 5 + len(c.tokenizer("closed_vocab").words)
     m = ml.mask(ex, vocab_size)
@@ -502,7 +502,7 @@ def mlm_masked(spark, sf):
       CAST(max(n) OVER (PARTITION BY r // {MLM_BATCH}) AS INTEGER) AS batch_len,
       CAST(max(n) OVER (PARTITION BY r // {MLM_BATCH}) - n AS INTEGER) AS n_pad FROM mb"""))
 def mlm_batches(spark, sf):
-    ex = _mlm_examples(Corpus(spark, sf)).filter(F.col("split") == "train")
+    ex = _mlm_examples(Corpus.of(spark, sf)).filter(F.col("split") == "train")
     b = ml.batches(ex, MLM_BATCH)
     return b.select("doc_id", "line_no", "batch_id", "position", F.col("batch_len").cast("int"),
                     (F.col("batch_len") - F.size("input_ids")).cast("int").alias("n_pad"))
@@ -521,7 +521,7 @@ UNIGRAM_MAX_PIECE = 16
 def unigram_model(spark, sf, vocab_size: int = UNIGRAM_VOCAB_SIZE):
     key = ("unigram", sf, vocab_size)
     if key not in _MODELS:
-        wf = _word_freq(Corpus(spark, sf))
+        wf = _word_freq(Corpus.of(spark, sf))
         _MODELS[key] = ug.train_unigram(wf, vocab_size=vocab_size, seed_size=UNIGRAM_SEED_SIZE,
                                         max_piece_len=UNIGRAM_MAX_PIECE)
     return _MODELS[key]
@@ -537,7 +537,7 @@ def unigram_model(spark, sf, vocab_size: int = UNIGRAM_VOCAB_SIZE):
 UNION ALL
 SELECT piece, score, is_char FROM (SELECT * FROM scored WHERE NOT is_char ORDER BY score DESC, piece LIMIT {UNIGRAM_SEED_SIZE})"""))
 def unigram_seed(spark, sf):
-    wf = _word_freq(Corpus(spark, sf))
+    wf = _word_freq(Corpus.of(spark, sf))
     return ug.seed_pieces(wf, UNIGRAM_MAX_PIECE, UNIGRAM_SEED_SIZE).select(
         "piece", F.col("score").cast("bigint"), "is_char")
 
@@ -545,7 +545,7 @@ def unigram_seed(spark, sf):
 @query("unigram_em_step")
 def unigram_em_step(spark, sf):
     """One EM pass from the seed scores: expected count per piece."""
-    wf = _word_freq(Corpus(spark, sf)).checkpoint(eager=True)
+    wf = _word_freq(Corpus.of(spark, sf)).checkpoint(eager=True)
     seed = ug.seed_pieces(wf, UNIGRAM_MAX_PIECE, UNIGRAM_SEED_SIZE).collect()
     total = sum(float(r["score"]) for r in seed)
     logp = {r["piece"]: math.log(r["score"] / total) for r in seed}
@@ -560,7 +560,7 @@ def unigram_vocab(spark, sf):
 
 @query("unigram_encode")
 def unigram_encode(spark, sf):
-    c = Corpus(spark, sf)
+    c = Corpus.of(spark, sf)
     tok = ug.UnigramTokenizer(unigram_model(spark, sf), spark)
     e = tok.encode_text(tx.strip_language_tag(F.col("text")))
     return c.split("test").select("doc_id", "line_no", F.array_join(e, " ").alias("tokens"),

@@ -66,6 +66,19 @@ def prepare_lines(lines: DataFrame, lowercase: bool = False) -> DataFrame:
 
 
 class Corpus:
+    _shared: dict = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> "Corpus":
+        """One instance per (application, data folder): the prepared corpus
+        is checkpointed once and every query of the session reads it, as a
+        pipeline reads a written table instead of re-cleaning the text."""
+        key = (spark.sparkContext.applicationId, sf_dir)
+        c = cls._shared.get(key)
+        if c is None:
+            c = cls._shared[key] = cls(spark, sf_dir)
+        return c
+
     def __init__(self, spark: SparkSession, sf_dir: str, seed: int = 42,
                  lowercase: bool = False, closed_vocab_size: int = 500):
         self.spark, self.sf_dir, self.seed = spark, sf_dir, seed

@@ -222,8 +222,12 @@ def _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, top_k,
             merges.append((vocab[l], vocab[r]))
             mapping[(l, r)] = new_id
         rounds += 1
-        nxt = (words.select("freq", _apply_batch(F.col("ids"), mapping).alias("ids"))
-               .filter(F.size("ids") > 1))
+        # only word types holding a left symbol of the batch can change; the
+        # (interpreted) merge lambda is skipped for every other row
+        lefts = F.array(*[F.lit(l) for l in sorted({l for l, _ in mapping})])
+        merged = F.when(F.arrays_overlap(F.col("ids"), lefts),
+                        _apply_batch(F.col("ids"), mapping)).otherwise(F.col("ids"))
+        nxt = words.select("freq", merged.alias("ids")).filter(F.size("ids") > 1)
         if rounds % checkpoint_every == 0:
             nxt = nxt.checkpoint(eager=True)  # reliable: cuts lineage
         else:

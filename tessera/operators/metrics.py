@@ -175,8 +175,10 @@ def tokenizer_report(lines: DataFrame, tokenizers, vocabs: dict,
     """A7 + A8: one row per (language, tokenizer); ``all`` rows first, then
     each language in order, tokenizers in the given order."""
     tokenizers = list(tokenizers)
-    features = line_features(lines, text_col)
-    pt = pretoken_table(features)
+    # both are read by several branches of the plan: written once (reliable
+    # checkpoint) instead of being re-derived per branch
+    features = line_features(lines, text_col).checkpoint(eager=True)
+    pt = pretoken_table(features).checkpoint(eager=True)
     enc = encoded_pretokens(pt.select("pretoken").distinct(), tokenizers)
     joined = pt.join(enc, "pretoken")
     ls = line_stats(features)

@@ -75,7 +75,7 @@ def gold_words(c: Corpus) -> DataFrame:
 @query("gold_segments", o.with_base(
     select="SELECT word, array_to_string(segments, '|') AS segments, CAST(len(segments) AS BIGINT) AS n_segments FROM gold"))
 def gold_segments(spark, sf):
-    g = gold_words(Corpus.of(spark, sf))
+    g = Corpus.of(spark, sf).gold
     return g.select("word", F.array_join("segments", "|").alias("segments"),
                     F.size("segments").cast("bigint").alias("n_segments"))
 
@@ -306,7 +306,7 @@ def leaderboard_q(spark, sf):
            "list_distinct(list_transform(range(1, len(segments)), lambda i: list_sum(list_transform(segments[1:i], lambda x: length(x))))) "
            "ELSE [] END), lambda x: CAST(x AS VARCHAR)), ',') AS gold_boundaries FROM gold"))
 def boundary_offsets_q(spark, sf):
-    g = gold_words(Corpus.of(spark, sf))
+    g = Corpus.of(spark, sf).gold
     off = bd.boundary_offsets(F.col("segments"))
     return g.select("word", F.array_join(F.transform(F.array_sort(off), lambda x: x.cast("string")), ",")
                     .alias("gold_boundaries"))
@@ -315,20 +315,20 @@ def boundary_offsets_q(spark, sf):
 @query("boundary_words", o.boundary_sql())
 def boundary_words(spark, sf):
     c = Corpus.of(spark, sf)
-    return bd.score_words(gold_words(c), c.rule_tokenizers)
+    return bd.score_words(c.gold, c.rule_tokenizers)
 
 
 @query("boundary_words_raw", o.boundary_sql(drop_specials=False, raw_cols=True))
 def boundary_words_raw(spark, sf):
     c = Corpus.of(spark, sf)
-    return bd.score_words(gold_words(c), c.rule_tokenizers, drop_specials=False).select(
+    return bd.score_words(c.gold, c.rule_tokenizers, drop_specials=False).select(
         "tokenizer", "word", "precision", "recall", "f1")
 
 
 @query("boundary_summary", o.boundary_sql(summary=True))
 def boundary_summary(spark, sf):
     c = Corpus.of(spark, sf)
-    return bd.macro_summary(bd.score_words(gold_words(c), c.rule_tokenizers, round_to=None))
+    return bd.macro_summary(bd.score_words(c.gold, c.rule_tokenizers, round_to=None))
 
 
 # ---------------------------------------------------------------------------

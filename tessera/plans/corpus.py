@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,15 @@ def prepare_lines(lines: DataFrame, lowercase: bool = False) -> DataFrame:
                     tx.render_tag(F.col("lang"), F.col("clean")).alias("text")))
 
 
+def spread(df: DataFrame, key_cols=()) -> DataFrame:
+    """Hash-partition into at least twice the cores (or the shuffle
+    partition count, if larger) for CPU-heavy per-row work."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism * 2,
+            int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *[F.col(c) for c in key_cols])
+
+
 class Corpus:
     _shared: dict = {}
 
@@ -99,16 +109,20 @@ class Corpus:
                                      dirty_line(F.col("line"), k).alias("line"))
 
     # -- prepared corpus (the real pipeline) -------------------------------
-    @cached_property
-    def prepared(self) -> DataFrame:
-        """Cleaned, filtered, tagged lines, written once to the checkpoint
-        folder: cleaning (with the NFC UDF) is not repeated by the split's
-        histogram and labelling passes nor by any other consumer."""
-        return prepare_lines(self.doc_lines, self.lowercase).checkpoint(eager=True)
-
     @cached_property
     def splits(self) -> DataFrame:
-        return sp.exact_split(self.prepared, LINE_KEY, self.seed)
+        """Cleaned, filtered, tagged lines with their split, written once to
+        the checkpoint folder (the prepare stage's output table).  Cleaning
+        (with the NFC UDF) runs once: the split's histogram and labelling
+        passes read a persisted copy, every later query reads the table."""
+        raw = prepare_lines(self.doc_lines, self.lowercase).persist(StorageLevel.MEMORY_AND_DISK)
+        out = sp.exact_split(raw, LINE_KEY, self.seed).checkpoint(eager=True)
+        raw.unpersist()
+        return out
+
+    @property
+    def prepared(self) -> DataFrame:
+        return self.splits.drop("split", "shuffle_key")
 
     def split(self, name: str) -> DataFrame:
         return self.splits.filter(F.col("split") == name)
@@ -128,7 +142,7 @@ class Corpus:
     def train_pretokens(self) -> DataFrame:
         """``pretoken, n`` over the tag-stripped training lines."""
         lines = self.split("train").select(tx.strip_language_tag(F.col("text")).alias("t"))
-        return tk.pretoken_counts(lines, "t")
+        return tk.pretoken_counts(lines, "t").checkpoint(eager=True)
 
     @cached_property
     def rule_tokenizers(self):
@@ -138,5 +152,14 @@ class Corpus:
     def rule_vocabs(self) -> dict:
         return {t.name: t.vocab(self.spark, self.train_pretokens) for t in self.rule_tokenizers}
 
+    @cached_property
+    def gold(self) -> DataFrame:
+        """Gold segmentations derived from the corpus words, written once and
+        spread over all cores (scoring is CPU-heavy per row, the table is
+        small in bytes, so size-based coalescing would pack it into a few
+        tasks)."""
+        from tessera.plans.catalog import gold_words
+        return spread(gold_words(self), ["word"]).checkpoint(eager=True)
+
     def tokenizer(self, name: str):
         return {t.name: t for t in self.rule_tokenizers}[name]

@@ -213,7 +213,10 @@ def prune(word_freq: DataFrame, logp: dict, keep: int, max_len: int, chars) -> d
         del others[p]
         alt, _ = viterbi(p, others, max_len, unk=None)
         log_sp = math.log(f) - math.log(total)
-        log_alt = sum(math.log(vfreq.get(a, 0.0) + f) for a in alt) - math.log(total + f * (len(alt) - 1))
+        # removing p moves its count to its alternatives; every alternative
+        # piece is then drawn from the new total
+        log_total_alt = math.log(total + f * (len(alt) - 1))
+        log_alt = sum(math.log(vfreq.get(a, 0.0) + f) - log_total_alt for a in alt)
         losses.append((round(f * (log_sp - log_alt), 9), p))
     losses.sort(key=lambda x: (-x[0], x[1]))
     n_keep = max(keep - len(chars & set(logp)), 0)

@@ -565,3 +565,17 @@ def unigram_encode(spark, sf):
     e = tok.encode_text(tx.strip_language_tag(F.col("text")))
     return c.split("test").select("doc_id", "line_no", F.array_join(e, " ").alias("tokens"),
                                   F.size(e).cast("bigint").alias("n_tokens"))
+
+
+@query("tokenizer_report_trained")
+def tokenizer_report_trained(spark, sf):
+    """A8 with the learned tokenizers next to the rule ones: BPE and Unigram
+    (templated, as the reference's own tokenizers) and WordPiece against the
+    chunk3 vocabulary table."""
+    c = Corpus.of(spark, sf)
+    bm, um = bpe_model(spark, sf), unigram_model(spark, sf)
+    toks = [bp.BpeTokenizer(bm, spark), ug.UnigramTokenizer(um, spark),
+            WordPieceTokenizer(c.rule_vocabs["chunk3"], spark)] + list(c.rule_tokenizers)
+    vocabs = dict(c.rule_vocabs)
+    vocabs.update({t.name: t.vocab(spark) for t in toks[:3]})
+    return mt.tokenizer_report(c.split("test"), toks, vocabs)

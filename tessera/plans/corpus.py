@@ -135,7 +135,8 @@ class Corpus:
         base = self.dirty.select("doc_id", "lang", "line_no", c.alias("c"))
         return (base.filter(F.length("c") > 0)
                 .select("doc_id", "line_no", "lang",
-                        tag_variant(F.col("lang"), F.col("c"), k).alias("text")))
+                        tag_variant(F.col("lang"), F.col("c"), k).alias("text"))
+                .checkpoint(eager=True))
 
     # -- tokenizers ----------------------------------------------------------
     @cached_property

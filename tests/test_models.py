@@ -94,8 +94,13 @@ def test_unigram_training_properties(spark, train_lines):
     model = ug.train_unigram(wf, vocab_size=200, seed_size=400, max_piece_len=8)
     assert len(model.pieces) <= 200 and [p for p, _ in model.pieces[:5]] == SPECIALS
     tok = ug.UnigramTokenizer(model, spark, add_special_tokens=False)
-    sample = list(words)[:200]
+    sample = sorted(words, key=lambda w: -words[w])[:200]
     enc = spark.createDataFrame([(w,) for w in sample], "w string").select("w", tok.pieces(F.col("w")).alias("p"))
+    n_pieces = n_chars = 0
     for r in enc.collect():
         assert "".join(r["p"]) == r["w"]
+        n_pieces += len(r["p"]) * words[r["w"]]
+        n_chars += len(r["w"]) * words[r["w"]]
+    # a useful model keeps frequent multi-character pieces
+    assert n_pieces < 0.6 * n_chars
     assert ug.viterbi("zzab", {"a": -1.0, "b": -1.0, "ab": -1.5}, 16, "[UNK]", -20.0)[0] == ["[UNK]", "ab"]

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators.tokenizers import CLS, SEP, Tokenizer
+from tessera.session import materialize
 
 REPORT_COLUMNS = ["language", "tokenizer", "num_examples", "fertility",
                   "char_per_token", "unk_rate", "vocab_coverage",
@@ -177,8 +178,8 @@ def tokenizer_report(lines: DataFrame, tokenizers, vocabs: dict,
     tokenizers = list(tokenizers)
     # both are read by several branches of the plan: written once (reliable
     # checkpoint) instead of being re-derived per branch
-    features = line_features(lines, text_col).checkpoint(eager=True)
-    pt = pretoken_table(features).checkpoint(eager=True)
+    features = materialize(line_features(lines, text_col), "report_lines")
+    pt = materialize(pretoken_table(features), "report_pretokens")
     enc = encoded_pretokens(pt.select("pretoken").distinct(), tokenizers)
     joined = pt.join(enc, "pretoken")
     ls = line_stats(features)

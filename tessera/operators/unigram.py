@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators.bpe import bounded_plan_strings
 from tessera.operators.tokenizers import UNK, ModelTokenizer
+from tessera.session import materialize
 
 UNK_PENALTY = 10.0
 
@@ -252,7 +253,7 @@ def train_unigram(word_freq: DataFrame, vocab_size: int = 16000, special_tokens=
     specials = list(special_tokens or tx.SPECIAL_TOKENS)
     target = vocab_size - len(specials)
     with bounded_plan_strings(spark):
-        wf = word_freq.select("word", "freq").checkpoint(eager=True)
+        wf = materialize(word_freq.select("word", "freq"), "unigram_words")
         seed = seed_pieces(wf, max_piece_len, seed_size).collect()
         chars = sorted(r["piece"] for r in seed if r["is_char"])
         total = sum(float(r["score"]) for r in sorted(seed, key=lambda r: r["piece"]))

@@ -23,6 +23,7 @@ from tessera.operators.leaderboard import leaderboard
 from tessera.plans import oracle as o
 from tessera.plans import sqlfrag as s
 from tessera.plans.corpus import LINE_KEY, Corpus
+from tessera.session import materialize
 
 GOLD_SUFFIX = r"^(.+)(tion|ing|and|ed|ly|er)$"
 
@@ -352,7 +353,7 @@ def bpe_model(spark, sf, vocab_size: int = BPE_VOCAB_SIZE):
     key = ("bpe", sf, vocab_size)
     if key not in _MODELS:
         c = Corpus.of(spark, sf)
-        wf = _word_freq(c).checkpoint(eager=True)
+        wf = materialize(_word_freq(c), "word_freq")
         _MODELS[key] = bp.train_bpe(wf, vocab_size=vocab_size, min_frequency=BPE_MIN_FREQUENCY)
     return _MODELS[key]
 
@@ -545,7 +546,7 @@ def unigram_seed(spark, sf):
 @query("unigram_em_step")
 def unigram_em_step(spark, sf):
     """One EM pass from the seed scores: expected count per piece."""
-    wf = _word_freq(Corpus.of(spark, sf)).checkpoint(eager=True)
+    wf = materialize(_word_freq(Corpus.of(spark, sf)), "word_freq")
     seed = ug.seed_pieces(wf, UNIGRAM_MAX_PIECE, UNIGRAM_SEED_SIZE).collect()
     total = sum(float(r["score"]) for r in seed)
     logp = {r["piece"]: math.log(r["score"] / total) for r in seed}

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import split as sp
 from tessera.operators import tokenizers as tk
+from tessera.session import materialize
 from tessera.sources.corpus import document_lines, read_table
 
 LINE_KEY = ["doc_id", "line_no"]
@@ -116,7 +117,7 @@ class Corpus:
         (with the NFC UDF) runs once: the split's histogram and labelling
         passes read a persisted copy, every later query reads the table."""
         raw = prepare_lines(self.doc_lines, self.lowercase).persist(StorageLevel.MEMORY_AND_DISK)
-        out = sp.exact_split(raw, LINE_KEY, self.seed).checkpoint(eager=True)
+        out = materialize(sp.exact_split(raw, LINE_KEY, self.seed), "splits", ["split"])
         raw.unpersist()
         return out
 
@@ -133,17 +134,17 @@ class Corpus:
         c = tx.clean_line(F.col("line"))
         k = (F.col("doc_id") * 3 + F.col("line_no")) % 6
         base = self.dirty.select("doc_id", "lang", "line_no", c.alias("c"))
-        return (base.filter(F.length("c") > 0)
-                .select("doc_id", "line_no", "lang",
-                        tag_variant(F.col("lang"), F.col("c"), k).alias("text"))
-                .checkpoint(eager=True))
+        out = (base.filter(F.length("c") > 0)
+               .select("doc_id", "line_no", "lang",
+                        tag_variant(F.col("lang"), F.col("c"), k).alias("text")))
+        return materialize(out, "tagged_fixture")
 
     # -- tokenizers ----------------------------------------------------------
     @cached_property
     def train_pretokens(self) -> DataFrame:
         """``pretoken, n`` over the tag-stripped training lines."""
         lines = self.split("train").select(tx.strip_language_tag(F.col("text")).alias("t"))
-        return tk.pretoken_counts(lines, "t").checkpoint(eager=True)
+        return materialize(tk.pretoken_counts(lines, "t"), "train_pretokens")
 
     @cached_property
     def rule_tokenizers(self):
@@ -160,7 +161,7 @@ class Corpus:
         small in bytes, so size-based coalescing would pack it into a few
         tasks)."""
         from tessera.plans.catalog import gold_words
-        return spread(gold_words(self), ["word"]).checkpoint(eager=True)
+        return spread(materialize(gold_words(self), "gold"), ["word"])
 
     def tokenizer(self, name: str):
         return {t.name: t for t in self.rule_tokenizers}[name]

@@ -61,3 +61,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
+
+
+def materialize(df, name: str, partition_by=None):
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    return a frame reading it back.
+
+    Cuts lineage like ``checkpoint()`` but computes the plan once (an eager
+    checkpoint of an unpersisted plan runs it twice) and later readers get
+    column pruning, filter pushdown and, with ``partition_by``, partition
+    pruning.  The folder is the cluster's shared one, so the table survives
+    executor loss.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return spark.read.parquet(path)

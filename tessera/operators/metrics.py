@@ -94,6 +94,13 @@ def encoded_pretokens(distinct: DataFrame, tokenizers) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism * 2,
+            int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, F.col(key))
+
+
 def _specials_of(tokenizers) -> F.Column:
     """Special tokens added per line, by tokenizer name (bounded literal)."""
     expr = F.lit(0)
@@ -180,7 +187,10 @@ def tokenizer_report(lines: DataFrame, tokenizers, vocabs: dict,
     # checkpoint) instead of being re-derived per branch
     features = materialize(line_features(lines, text_col), "report_lines")
     pt = materialize(pretoken_table(features), "report_pretokens")
-    enc = encoded_pretokens(pt.select("pretoken").distinct(), tokenizers)
+    # distinct pre-tokens are few bytes but CPU-heavy to encode: spread them
+    # over all cores instead of letting size-based coalescing pack them
+    distinct = _spread(pt.select("pretoken").distinct(), "pretoken")
+    enc = encoded_pretokens(distinct, tokenizers)
     joined = pt.join(enc, "pretoken")
     ls = line_stats(features)
     ps = piece_stats(joined)

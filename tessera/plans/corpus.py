@@ -60,8 +60,12 @@ def tag_variant(lang: Column, c: Column, k: Column) -> Column:
 def prepare_lines(lines: DataFrame, lowercase: bool = False) -> DataFrame:
     """The reference's prepare stage: clean each line, keep good lines, render
     the ``<lang> text`` tag.  Map-only."""
+    # explode of a one-element array: the generated column is computed once
+    # and the good-line filter stays above it (a filter on a projected column
+    # would be pushed below the projection with the regex chain inlined,
+    # evaluating it once per reference)
     cleaned = lines.select("doc_id", "lang", "line_no",
-                           tx.clean_line(F.col("line"), lowercase).alias("clean"))
+                           F.explode(F.array(tx.clean_line(F.col("line"), lowercase))).alias("clean"))
     return (cleaned.filter(tx.is_good_line(F.col("clean")))
             .select("doc_id", "lang", "line_no",
                     tx.render_tag(F.col("lang"), F.col("clean")).alias("text")))

@@ -580,3 +580,25 @@ def tokenizer_report_trained(spark, sf):
     vocabs = dict(c.rule_vocabs)
     vocabs.update({t.name: t.vocab(spark) for t in toks[:3]})
     return mt.tokenizer_report(c.split("test"), toks, vocabs)
+
+
+# ---------------------------------------------------------------------------
+# Second corpus: conversations, the speaker role as the group key
+# ---------------------------------------------------------------------------
+from tessera.plans.corpus import prepare_lines  # noqa: E402
+
+_CONV_SQL = (f"conv_lines AS (SELECT doc_id, line_no, '<' || lang || '> ' || c AS text FROM "
+             f"(SELECT conv_id AS doc_id, turn AS line_no, role AS lang, {s.clean('text')} AS c "
+             f"FROM conversations) WHERE {s.good('c')})")
+
+
+@query("conversation_report", o.report_sql("conv_lines").replace(
+    "WITH ", "WITH " + _CONV_SQL + ",\n", 1))
+def conversation_report(spark, sf):
+    """A8 over the conversation turns, grouped by role instead of language,
+    with the rule tokenizers (and vocabularies) learned on the documents."""
+    c = Corpus.of(spark, sf)
+    turns = c.table("conversations").select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("line_no"),
+        F.col("role").alias("lang"), F.col("text").alias("line"))
+    return mt.tokenizer_report(prepare_lines(turns), c.rule_tokenizers, c.rule_vocabs)

@@ -166,7 +166,7 @@ def digests(conversations: DataFrame, window: int = WINDOW, learn: str = "assist
 
 
 def _frame(rows, columns) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=columns)
+    frame = pd.DataFrame(rows, columns=columns, dtype=object)  # ids may be null and large
     return frame.astype({c: "Int64" for c in ("conv_id", "loss_from", "loss_to") if c in frame})
 
 

@@ -72,7 +72,7 @@ class Model:
             ids: dict[str, int] = defaultdict(lambda: len(ids))
             lengths = np.array([len(w) for w in words[i:j]], np.int64)
             flat = np.fromiter((ids[w] for part in words[i:j] for w in part), np.int64, int(lengths.sum()))
-            table = np.array([self.score_word(w) for w in ids]).reshape(-1, len(self.langs))
+            table = np.array([self.score_word(w) for w in ids]).reshape(len(ids), len(self.langs))
             total = np.zeros((j - i, len(self.langs)))
             for k in range(len(self.langs)):
                 total[:, k] = np.bincount(np.repeat(np.arange(j - i), lengths), table[flat, k], j - i)

@@ -115,7 +115,7 @@ def _rank(seed: int) -> Column:
     """Random odds over inclusion odds as a fixed-point key: ``odds / (1 +
     odds)`` keeps their order and lies in (0, 1)."""
     u, p = uniform(seed, "id", "h"), F.col("p")
-    odds = (u / (1 - u)) * ((1 - p) / p)
+    odds = (u / (1 - u)) * F.try_divide(1 - p, p)
     return F.floor(odds / (1 + odds) * float((1 << KEY_BITS) - 1))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,13 +49,15 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id",
     short_batches(docs.sparkSession)
 
     def run(batches):
-        for pdf in batches:
-            fp = [fold(shingle_hashes([] if t is None else utf8(t).lower().split(), shingle)) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "key": pdf["key"], "fp": np.array(fp, np.uint64).view(np.int64)})
+        for batch in batches:
+            fp = [fold(shingle_hashes([] if t is None else utf8(t).lower().split(), shingle))
+                  for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"),
+                                              pa.array(np.array(fp, np.uint64).view(np.int64))], ["id", "key", "fp"])
 
     return (docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"),
                         F.col(text_col).alias("text"))
-            .mapInPandas(run, "id long, key long, fp long"))
+            .mapInArrow(run, "id long, key long, fp long"))
 
 
 def plan_segments(bits: int, distance: int, segments: int):

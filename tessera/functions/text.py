@@ -8,6 +8,7 @@ Arrow-batched UDF that receives NULL for pure-ASCII rows.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -69,17 +70,10 @@ def is_ascii(c) -> Column:
     return F.length(c) == F.octet_length(c)
 
 
-# Marked nondeterministic only as an optimizer barrier: NFC is a pure
-# function, but a deterministic UDF lets Catalyst inline the cleaned column
-# into a pushed-down filter, which evaluates the UDF (and the regex chain
-# built on it) once per reference instead of once per row.
-_nfc_udf = _nfc_arrow.asNondeterministic()
-
-
 def nfc(c) -> Column:
     """Unicode NFC.  ASCII rows are already NFC and cross to Python as NULL."""
     c = _c(c)
-    return F.coalesce(_nfc_udf(F.when(~is_ascii(c), c)), c)
+    return F.coalesce(_nfc_arrow(F.when(~is_ascii(c), c)), c)
 
 
 # ---------------------------------------------------------------------------
@@ -146,6 +140,15 @@ def pretokens(c) -> Column:
     return F.regexp_extract_all(_c(c), F.lit(PRETOKEN_PATTERN), 0)
 
 
+def pretokens_with_specials(c, specials) -> Column:
+    """:func:`pretokens` with special tokens matched in the raw text first,
+    wherever they stand (the library adds them as tokens of their own)."""
+    if not specials:
+        return pretokens(c)
+    special = "|".join(re.escape(x) for x in specials)
+    return F.regexp_extract_all(_c(c), F.lit(rf"(?U){special}|(?:(?!{special})\w)+|(?:(?!{special})[^\w\s])+"), 0)
+
+
 def characters(c) -> Column:
     """Array of the code points of a string (surrogate pairs kept whole)."""
     return F.regexp_extract_all(_c(c), F.lit(r"(?s)."), 0)

@@ -19,12 +19,11 @@ from tessera.functions import text as tx
 def boundary_offsets(segments) -> Column:
     """B1: ``{len(s1), len(s1)+len(s2), ...}`` without the last, distinct."""
     seg = F.col(segments) if isinstance(segments, str) else segments
-    n = F.size(seg)
-    offsets = F.transform(
-        F.sequence(F.lit(1), n - 1),
-        lambda i: F.aggregate(F.slice(seg, 1, i), F.lit(0), lambda acc, x: acc + F.length(x)))
-    # sequence(1, 0) counts down, so guard n > 1.
-    return F.when(n > 1, F.array_distinct(offsets)).otherwise(F.array().cast("array<int>"))
+    # linear in the word: segments as runs of one mark, joined by commas; the
+    # k-th comma stands after as many marks as its index less k
+    marks = F.array_join(F.transform(seg, lambda x: F.repeat(F.lit("x"), F.length(x))), ",")
+    commas = F.filter(F.transform(F.split(marks, ""), lambda c, i: F.when(c == ",", i)), lambda i: i.isNotNull())
+    return F.array_distinct(F.transform(commas, lambda at, k: at - k))
 
 
 def predicted_offsets(pieces, drop_specials: bool = True) -> Column:

@@ -1,29 +1,31 @@
 """Byte-pair-encoding vocabulary learning and encoding (V1-V5) on Spark.
 
 Learning runs on the **word-type table** ``(freq, ids)`` -- one row per
-distinct pre-token, symbols as int ids -- never on the corpus.  Each round
-is one distributed job:
-
-1. weighted adjacent-pair counts: ``explode`` the pairs of every word type,
-   ``groupBy(left, right).sum(freq)`` (map-side partial sums);
-2. the ranked top of the pair table (bounded, ``top_k`` rows) reaches the
-   driver, ordered by ``(count desc, left id, right id)`` -- the library's
-   tie order;
-3. the driver takes the longest prefix of that ranking that can be merged
-   in one pass with the same result as merging one pair per round: no
-   symbol is used both as a left and as a right element in the batch (this
-   also excludes ``(a, a)``), every joined string is new, counts are not
-   below ``min_frequency``, and the vocabulary does not overflow.  Merging
-   ``(a, b)`` changes only pairs ending in ``a`` or starting with ``b``; a
-   pair that does neither keeps its count, and pairs created by the merge
-   rank after it, so the batch order is the sequential order.  A pair that
-   breaks the rule at rank 1 is merged alone;
-4. the batch is applied to every word type in one projection (a literal
-   ``map<pair, new id>``, left-to-right, non-overlapping), single-symbol
-   words are dropped from the table.
-
-The table is persisted per round and checkpointed to the session's
-checkpoint folder every ``checkpoint_every`` rounds to cut lineage.
+distinct pre-token, symbols as numbers -- never on the corpus:
+
+1. weighted adjacent-pair counts of all word types (one aggregate, map-side
+   partial sums).  The ``max_pairs`` first of them in the library's order
+   ``(count desc, left, right)`` are the driver's candidates; where there are
+   more, the last candidate is the *frontier*: a pair that is not held ranks
+   after it, and stays there, as merging others only lowers its count.
+2. the driver takes the longest prefix of the ranking that can be merged in
+   one pass with the same result as one pair per round: no symbol is used both
+   as a left and as a right element in the batch (this also excludes ``(a,
+   a)``), every joined string is new, counts are not below ``min_frequency``,
+   and the vocabulary does not overflow.  Merging ``(a, b)`` changes only pairs
+   ending in ``a`` or starting with ``b``; a pair that does neither keeps its
+   count, and pairs created by the merge rank after it, so the batch order is
+   the sequential order.  A pair that breaks the rule at rank 1 is merged alone;
+3. one job applies the batch to the word types that hold a left symbol of it
+   and returns the *changes* of pair counts -- for a merged pair at most four
+   rows per symbol of the vocabulary, whatever the corpus.  New pairs that are
+   too rare to be merged are dropped where they arise;
+4. with no candidate left before the frontier, step 1 is run again on the
+   current words.
+
+The table of a round is computed from the cached one of the round before; every
+``checkpoint_every`` rounds it is written to the checkpoint folder instead (the
+written one before is deleted), which cuts the lineage.
 
 Encoding applies the learned merges by rank to each *distinct* pre-token
 (Arrow UDF, model broadcast once), unseen characters become ``[UNK]``.
@@ -31,6 +33,7 @@ Encoding applies the learned merges by rank to each *distinct* pre-token
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -39,8 +42,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators.tokenizers import UNK, ModelTokenizer
+from tessera.session import discard, materialize
 
 _SHIFT = 1 << 31
+#: Symbols are code points; merged ones count on from here in the order made.
+FIRST_MERGED = 0x110000
+#: Pairs the driver holds at most.
+MAX_PAIRS = 500_000
 
 
 # ---------------------------------------------------------------------------
@@ -106,9 +114,11 @@ class BpeModel:
                                      "rank int, left string, right string")
 
     def save(self, spark: SparkSession, path: str, mode: str = "overwrite"):
-        """K4: ``vocab`` and ``merges`` parquet tables under ``path``."""
+        """K4: ``vocab``, ``merges`` and ``settings`` parquet tables under ``path``."""
         self.vocab_df(spark).coalesce(1).write.mode(mode).parquet(f"{path}/vocab")
         self.merges_df(spark).coalesce(1).write.mode(mode).parquet(f"{path}/merges")
+        (spark.createDataFrame([(self.special_tokens, self.unk_token)], "special_tokens array<string>, unk_token string")
+         .coalesce(1).write.mode(mode).parquet(f"{path}/settings"))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "BpeModel":
@@ -116,126 +126,186 @@ class BpeModel:
         vocab = [r["piece"] for r in spark.read.parquet(f"{path}/vocab").orderBy("id").collect()]
         merges = [(r["left"], r["right"])
                   for r in spark.read.parquet(f"{path}/merges").orderBy("rank").collect()]
-        return cls(vocab, merges)
+        settings = spark.read.parquet(f"{path}/settings").first()
+        return cls(vocab, merges, list(settings["special_tokens"]), settings["unk_token"])
 
 
-def _choose_batch(top, vocab: list, known: set, vocab_size: int, min_frequency: int):
-    batch, L, R, new = [], set(), set(), set()
-    for row in top:
-        l, r, n = row["left"], row["right"], row["n"]
-        if n < max(min_frequency, 1) or len(vocab) + len(batch) >= vocab_size:
+def _choose_batch(ranked, text, known: dict, room: int, min_frequency: int):
+    """The longest prefix of ``ranked`` (``(-n, left, right)`` in order) that
+    is merged at once; ``text`` gives a symbol's string."""
+    batch, lefts, rights, new = [], set(), set(), set()
+    for n, left, right in ranked:
+        if -n < max(min_frequency, 1) or len(batch) >= room:
             break
-        joined = vocab[l] + vocab[r]
-        if not batch:
-            batch.append((l, r, joined))
-            if joined in known or l == r:
-                break
-            L.add(l), R.add(r), new.add(joined)
-            continue
-        if l in R or r in L or l == r or joined in known or joined in new:
+        joined = text(left) + text(right)
+        alone = left == right or joined in known
+        if batch and (alone or joined in new or left in rights or right in lefts):
             break
-        batch.append((l, r, joined))
-        L.add(l), R.add(r), new.add(joined)
+        batch.append((left, right, joined))
+        if alone:
+            break
+        lefts.add(left), rights.add(right), new.add(joined)
     return batch
 
 
-def _apply_batch(ids: Column, mapping: dict) -> Column:
-    """Merge the batch pairs left to right, non-overlapping."""
-    m = F.create_map(*[x for (l, r), v in mapping.items()
-                       for x in (F.lit(l * _SHIFT + r), F.lit(v))])
-
-    def step(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        hit = F.try_element_at(m, last.cast("bigint") * F.lit(_SHIFT) + x.cast("bigint"))
-        merged = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(hit))
-        return F.when((F.size(acc) > 0) & hit.isNotNull(), merged).otherwise(F.concat(acc, F.array(x)))
+def _merged(ids: Column, mapping: dict) -> Column:
+    """Merge the batch's pairs left to right, in time linear in the word.
 
-    return F.aggregate(ids, F.array().cast("array<int>"), step)
+    No symbol is both a left and a right one, so matches cannot overlap: each
+    position is a merge, the second half of one, or neither.  ``(a, a)``, which
+    can overlap, comes alone and is replaced in the joined word.
+    """
+    (first, *_), (new, *_) = mapping, mapping.values()
+    if first[0] == first[1]:
+        a = first[0]
+        joined = F.regexp_replace(F.concat(F.lit(","), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")),
+                                  f",{a},{a}(?=,|$)", f",{new}")
+        return F.transform(F.split(F.substring(joined, 2, 2147483647), ","), lambda x: x.cast("int"))
+    table = F.create_map(*[x for (left, right), v in mapping.items() for x in (F.lit(left * _SHIFT + right), F.lit(v))])
+    after = F.concat(F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0))), F.array(F.lit(-1)))
+    hits = F.zip_with(ids, after, lambda x, y: F.try_element_at(table, x.cast("bigint") * F.lit(_SHIFT) + y.cast("bigint")))
+    before = F.concat(F.array(F.lit(None).cast("int")), hits)
+    marked = F.zip_with(F.zip_with(ids, hits, lambda x, h: F.coalesce(h, x)), F.slice(before, 1, F.size(ids)),
+                        lambda x, h: F.when(h.isNull(), x))
+    return F.filter(marked, lambda x: x.isNotNull())
+
+
+def _pairs(ids: Column) -> Column:
+    n = F.greatest(F.size(ids) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(ids, 1, n).alias("left"), F.slice(ids, 2, n).alias("right"))
 
 
 def train_bpe(word_freq: DataFrame, vocab_size: int = 16000, min_frequency: int = 2,
-              special_tokens=None, top_k: int = 4096, checkpoint_every: int = 10,
-              max_rounds: int | None = None, partitions: int | None = None) -> BpeModel:
-    """V4: exact BPE merges in batched distributed rounds (see module doc)."""
-    spark = word_freq.sparkSession
-    with bounded_plan_strings(spark):
-        return _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, top_k,
-                          checkpoint_every, max_rounds, partitions)
+              special_tokens=None, max_pairs: int = MAX_PAIRS, checkpoint_every: int = 5,
+              partitions: int | None = None) -> BpeModel:
+    """V4: exact BPE merges in batched distributed rounds (see module doc).
+
+    ``partitions`` spreads the word types; by default as shuffles do.
+    """
+    with bounded_plan_strings(word_freq.sparkSession):
+        return _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, max_pairs, checkpoint_every, partitions)
+
+
+def _candidates(words: DataFrame, min_frequency: int, max_pairs: int):
+    """``({(left, right): n}, frontier)`` of the current words."""
+    top = (pair_counts(words, "ids").filter(F.col("n") >= max(min_frequency, 1))
+           .orderBy(F.desc("n"), "left", "right").limit(max_pairs).collect())
+    counts = {(r["left"], r["right"]): r["n"] for r in top}
+    last = top[-1] if len(top) == max_pairs else None
+    return counts, (-last["n"], last["left"], last["right"]) if last else None
 
 
 class bounded_plan_strings:
-    """Iterative jobs stack cached plans; their printed form (event logs,
-    listeners) grows with every round.  Bound it while the loop runs."""
+    """Settings while an iterative job runs: cached plans stack, so their
+    printed form (event logs, listeners) is bounded, and rounds are many and
+    small, so plans are not re-planned between stages."""
+
+    SETTINGS = {"spark.sql.maxPlanStringLength": "200000", "spark.sql.adaptive.enabled": "false"}
 
-    def __init__(self, spark, limit: str = "200000"):
-        self.spark, self.limit = spark, limit
+    def __init__(self, spark):
+        self.spark = spark
 
     def __enter__(self):
-        self.old = self.spark.conf.get("spark.sql.maxPlanStringLength", None)
-        self.spark.conf.set("spark.sql.maxPlanStringLength", self.limit)
+        self.old = {k: self.spark.conf.get(k, None) for k in self.SETTINGS}
+        for k, v in self.SETTINGS.items():
+            self.spark.conf.set(k, v)
 
     def __exit__(self, *exc):
-        if self.old is None:
-            self.spark.conf.unset("spark.sql.maxPlanStringLength")
-        else:
-            self.spark.conf.set("spark.sql.maxPlanStringLength", self.old)
+        for k, v in self.old.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
 
 
-def _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, top_k,
-               checkpoint_every, max_rounds, partitions) -> BpeModel:
-    spark = word_freq.sparkSession
+def _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, max_pairs, checkpoint_every, partitions):
     specials = list(special_tokens or tx.SPECIAL_TOKENS)
     alpha = [r["symbol"] for r in alphabet(word_freq, len(specials)).orderBy("id").collect()]
     vocab = specials + [a for a in alpha if a not in specials]
-    known = set(vocab)
-    char_id = {t: i for i, t in enumerate(vocab)}
-    cmap = F.create_map(*[x for t, i in char_id.items() if i >= len(specials)
-                          for x in (F.lit(t), F.lit(i))])
-    parts = partitions or spark.sparkContext.defaultParallelism
-    words = (word_freq
-             .select(F.col("freq").cast("bigint").alias("freq"),
-                     F.transform(tx.characters(F.col("word")), lambda c: cmap[c]).alias("ids"))
-             .filter(F.size("ids") > 1)
-             .repartition(parts))
-    words = words.persist(StorageLevel.MEMORY_AND_DISK)
-    merges, rounds = [], 0
-    prev = None
-    while len(vocab) < vocab_size and (max_rounds is None or rounds < max_rounds):
-        # one job: materialises this round's table (from the cached previous
-        # one) and ranks its pairs
-        top = (pair_counts(words, "ids").orderBy(F.desc("n"), "left", "right")
-               .limit(top_k).collect())
-        if prev is not None:
-            prev.unpersist()
-            prev = None
-        batch = _choose_batch(top, vocab, known, vocab_size, min_frequency)
+    made: list[str] = []                        # merged symbols, in order
+    known = {t: ord(t) for t in alpha}          # string -> symbol
+    text = lambda x: chr(x) if x < FIRST_MERGED else made[x - FIRST_MERGED]
+    words = (word_freq.select(F.col("freq").cast("bigint").alias("freq"),
+                              F.transform(tx.characters(F.col("word")), lambda c: F.ascii(c)).alias("ids"))
+             .filter(F.size("ids") > 1))
+    words = (words.repartition(partitions) if partitions else words).persist(StorageLevel.MEMORY_AND_DISK)
+    counts, frontier = _candidates(words, min_frequency, max_pairs)
+    heap = [(-n, *pair) for pair, n in counts.items()]
+    heapq.heapify(heap)
+    merges, rounds, written = [], 0, None
+
+    def ranked():
+        """Candidates in order; what a change has outdated is dropped."""
+        while heap:
+            entry = heapq.heappop(heap)
+            if counts.get(entry[1:]) == -entry[0]:
+                taken.append(entry)
+                if frontier is None or entry <= frontier:
+                    yield entry
+                else:
+                    return
+
+    while len(vocab) < vocab_size:
+        taken: list = []
+        batch = _choose_batch(ranked(), text, known, vocab_size - len(vocab), min_frequency)
         if not batch:
-            break
-        mapping = {}
-        for l, r, joined in batch:
-            if joined in known:
-                new_id = vocab.index(joined)
-            else:
-                new_id = len(vocab)
+            if frontier is None:
+                break
+            counts, frontier = _candidates(words, min_frequency, max_pairs)
+            heap = [(-n, *pair) for pair, n in counts.items()]
+            heapq.heapify(heap)
+            continue
+        mapping, again = {}, False
+        for left, right, joined in batch:
+            merges.append((text(left), text(right)))
+            again |= joined in known            # a string met before: its pairs gain
+            if joined not in known:
+                known[joined] = FIRST_MERGED + len(made)
+                made.append(joined)
                 vocab.append(joined)
-                known.add(joined)
-            merges.append((vocab[l], vocab[r]))
-            mapping[(l, r)] = new_id
+            mapping[left, right] = known[joined]
+        for entry in taken:                     # taken from the heap to look at
+            if entry[1:] not in mapping:
+                heapq.heappush(heap, entry)
         rounds += 1
-        # only word types holding a left symbol of the batch can change; the
-        # (interpreted) merge lambda is skipped for every other row
-        lefts = F.array(*[F.lit(l) for l in sorted({l for l, _ in mapping})])
-        merged = F.when(F.arrays_overlap(F.col("ids"), lefts),
-                        _apply_batch(F.col("ids"), mapping)).otherwise(F.col("ids"))
-        nxt = words.select("freq", merged.alias("ids")).filter(F.size("ids") > 1)
-        if rounds % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)  # reliable: cuts lineage
-        else:
+        fresh = FIRST_MERGED + len(made) - len(mapping)
+        ids = F.col("ids")
+        # only word types holding a left symbol of the batch can change
+        lefts = F.array(*[F.lit(x) for x in sorted({left for left, _ in mapping})])
+        nxt = (words.filter(F.size("ids") > 1)
+               .select("freq", F.when(F.arrays_overlap(ids, lefts), _merged(ids, mapping)).alias("new"), "ids")
+               .select("freq", F.coalesce("new", "ids").alias("ids"),
+                       F.when(F.size("new") < F.size("ids"), F.col("ids")).alias("old")))
+        if rounds % checkpoint_every:
             nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        prev, words = words, nxt
+        else:
+            nxt = materialize(nxt, "bpe-words")
+        changed = nxt.filter("old is not null")
+        delta = (changed.select((-F.col("freq")).alias("f"), F.explode(_pairs(F.col("old"))).alias("p"))
+                 .unionByName(changed.select(F.col("freq").alias("f"), F.explode(_pairs(F.col("ids"))).alias("p")))
+                 .groupBy("p.left", "p.right").agg(F.sum("f").alias("n")))
+        floor = -frontier[0] if frontier else max(min_frequency, 1)
+        new = (F.col("left") >= fresh) | (F.col("right") >= fresh)
+        for r in delta.filter((F.col("n") != 0) & (~new | (F.col("n") >= floor))).collect():
+            pair = r["left"], r["right"]
+            n = counts.get(pair, 0) + r["n"]
+            if pair in counts or max(pair) >= fresh:
+                if n >= max(min_frequency, 1):
+                    counts[pair] = n
+                    heapq.heappush(heap, (-n, *pair))
+                else:
+                    counts.pop(pair, None)
+        words.unpersist()
+        if not rounds % checkpoint_every:
+            discard(*([written] if written is not None else []))
+            written = nxt
+        words = nxt
+        if again:
+            counts, frontier = _candidates(words, min_frequency, max_pairs)
+            heap = [(-n, *pair) for pair, n in counts.items()]
+            heapq.heapify(heap)
     words.unpersist()
-    if prev is not None:
-        prev.unpersist()
+    discard(*([written] if written is not None else []))
     return BpeModel(vocab, merges, specials, rounds=rounds)
 
 
@@ -243,30 +313,40 @@ def _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, top_k,
 # V5  encoding
 # ---------------------------------------------------------------------------
 def bpe_encode_word(word: str, ranks: dict, vocab: set, unk: str = UNK) -> list:
-    """Apply merges by rank (lowest first, leftmost on ties) to one word."""
+    """Apply merges by rank (lowest first, leftmost on ties) to one word: a
+    heap of the pairs of neighbours over a linked list, so that a long word
+    takes little more than linear time."""
     syms = [c if c in vocab else unk for c in word]
-    while len(syms) > 1:
-        best, at = None, -1
-        for i in range(len(syms) - 1):
-            rk = ranks.get((syms[i], syms[i + 1]))
-            if rk is not None and (best is None or rk < best):
-                best, at = rk, i
-        if best is None:
-            break
-        syms[at:at + 2] = [syms[at] + syms[at + 1]]
-    return syms
+    n = len(syms)
+    after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+    heap = [(ranks[pair], i, pair) for i, pair in enumerate(zip(syms, syms[1:])) if pair in ranks]
+    heapq.heapify(heap)
+    while heap:
+        _, i, pair = heapq.heappop(heap)
+        j = after[i]
+        if not alive[i] or j >= n or (syms[i], syms[j]) != pair:
+            continue
+        syms[i] += syms[j]
+        alive[j] = False
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+        for a, b in ((before[i], i), (i, k)):
+            if a >= 0 and b < n and (rank := ranks.get((syms[a], syms[b]))) is not None:
+                heapq.heappush(heap, (rank, a, (syms[a], syms[b])))
+    return [s for s, here in zip(syms, alive) if here]
 
 
 class BpeTokenizer(ModelTokenizer):
     """Tokenizer view of a trained :class:`BpeModel` (template on by default,
     as the reference's own tokenizers add ``[CLS]``/``[SEP]``)."""
 
-    def __init__(self, model: BpeModel, spark: SparkSession, name: str = "custom_bpe",
+    def __init__(self, model: BpeModel, spark: SparkSession, name: str = "bpe",
                  add_special_tokens: bool = True):
         self.model = model
         payload = ({(a, b): i for i, (a, b) in enumerate(model.merges)}, set(model.vocab),
                    model.unk_token)
-        super().__init__(spark, name, payload, _bpe_word, add_special_tokens)
+        super().__init__(spark, name, payload, _bpe_word, add_special_tokens, model.special_tokens)
 
     def vocab(self, spark, train_pretokens=None):
         return self.model.vocab_df(spark).select("piece")

@@ -5,14 +5,14 @@ metric (the reference encodes each text eight times per tokenizer) and its
 shape does not grow with the number of tokenizers:
 
 1. one pass over the lines gives line-level sums per language (examples,
-   words, lines with words, characters) and the pre-token counts
-   ``(language, has_words, pretoken) -> n`` (partial aggregation map-side, so
-   a hot word like ``the`` is summed before the shuffle);
-2. each *distinct* pre-token is encoded once per tokenizer; the encodings
-   of all tokenizers are stacked (``tokenizer, pretoken, n_pieces, n_unk,
-   lens``) and joined back to the aggregated counts on ``pretoken`` -- both
-   sides are unique per key and tokenizer, so the join cannot skew on
-   frequent words;
+   words, lines with words, characters), one gives the counts
+   ``(tokenizer, language, has_words, pretoken) -> n`` (partial aggregation
+   map-side, so a hot word like ``the`` is summed before the shuffle);
+   tokenizers that split texts alike share them;
+2. each *distinct* pre-token is encoded once per tokenizer, after it has been
+   spread, and written (``tokenizer, pretoken, n_pieces, n_unk, lens``); that
+   small table is joined back to the counts on ``pretoken`` -- both sides are
+   unique per key and tokenizer, so the join cannot skew on frequent words;
 3. ``GROUPING SETS ((tokenizer), (tokenizer, language))`` gives the overall
    ``all`` rows and the per-language rows in one aggregate; rows are told
    apart by ``grouping_id()``, not by NULL, so a NULL or empty language never
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators.tokenizers import CLS, SEP, Tokenizer
-from tessera.session import materialize
+from tessera.session import discard, materialize
 
 REPORT_COLUMNS = ["language", "tokenizer", "num_examples", "fertility",
                   "char_per_token", "unk_rate", "vocab_coverage",
@@ -57,7 +57,7 @@ def line_features(lines: DataFrame, text_col: str = "text") -> DataFrame:
     """``language, clean, _text, n_words, n_chars`` per line (tag-aware)."""
     t = F.col(text_col)
     return (lines.select(tx.language_tag(t).alias("language"),
-                         tx.strip_language_tag(t).alias("clean"),
+                         F.explode(F.array(tx.strip_language_tag(t))).alias("clean"),
                          t.alias("_text"))
             .select("language", "clean", "_text",
                     F.size(tx.simple_words(F.col("clean"))).alias("n_words"),
@@ -73,24 +73,39 @@ def line_stats(features: DataFrame) -> DataFrame:
         F.sum(F.col("n_chars").cast("bigint")).alias("chars")))
 
 
-def pretoken_table(features: DataFrame) -> DataFrame:
-    """``language, has_words, pretoken, n`` aggregated over all lines."""
-    return (features.select("language", (F.col("n_words") > 0).alias("has_words"),
-                            F.explode(tx.pretokens(F.col("clean"))).alias("pretoken"))
-            .groupBy("language", "has_words", "pretoken")
-            .agg(F.count(F.lit(1)).alias("n")))
+def _splitters(tokenizers) -> dict:
+    """Tokenizers by how they split a text: ``{key: [tokenizers]}``."""
+    out: dict = {}
+    for tok in tokenizers:
+        out.setdefault((type(tok).pretokens, getattr(tok, "specials", ())), []).append(tok)
+    return out
+
+
+def pretoken_table(features: DataFrame, tokenizers) -> DataFrame:
+    """``splitter, language, has_words, pretoken, n`` over all lines; a
+    ``splitter`` numbers the ways in which the tokenizers split a text."""
+    parts = [features.select(F.lit(i).alias("splitter"), "language", (F.col("n_words") > 0).alias("has_words"),
+                             F.explode(group[0].pretokens(F.col("clean"))).alias("pretoken"))
+             for i, group in enumerate(_splitters(tokenizers).values())]
+    return (reduce(DataFrame.unionByName, parts)
+            .groupBy("splitter", "language", "has_words", "pretoken").agg(F.count(F.lit(1)).alias("n")))
 
 
-def encoded_pretokens(distinct: DataFrame, tokenizers) -> DataFrame:
-    """Per tokenizer and distinct pre-token: pieces, unknowns, cleaned lengths."""
+def encoded_pretokens(distinct: DataFrame, tokenizers, unk_tokens=tuple(tx.UNK_TOKENS)) -> DataFrame:
+    """Per tokenizer and distinct ``(splitter, pretoken)``: pieces, unknowns
+    (pieces in ``unk_tokens``), cleaned lengths."""
     parts = []
-    for tok in tokenizers:
-        enc = tok.encode_distinct(distinct, "pretoken")
-        parts.append(enc.select(
-            F.lit(tok.name).alias("tokenizer"), "pretoken",
-            F.size("pieces").cast("bigint").alias("n_pieces"),
-            F.size(F.filter("pieces", lambda p: p.isin(tx.UNK_TOKENS))).cast("bigint").alias("n_unk"),
-            F.transform(tx.clean_pieces(F.col("pieces")), lambda p: F.length(p)).alias("lens")))
+    for i, group in enumerate(_splitters(tokenizers).values()):
+        mine = distinct.filter(F.col("splitter") == i)
+        for tok in group:
+            # explode of a one-element array: the pieces are evaluated once
+            enc = (tok.encode_distinct(mine, "pretoken")
+                   .select("splitter", "pretoken", F.explode(F.array("pieces")).alias("pieces")))
+            parts.append(enc.select(
+                F.lit(tok.name).alias("tokenizer"), "splitter", "pretoken",
+                F.size("pieces").cast("bigint").alias("n_pieces"),
+                F.size(F.filter("pieces", lambda p: p.isin(list(unk_tokens)))).cast("bigint").alias("n_unk"),
+                F.transform(tx.clean_pieces(F.col("pieces")), lambda p: F.length(p)).alias("lens")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -179,19 +194,22 @@ def _join(a: DataFrame, b: DataFrame, on_tokenizer: bool = True) -> DataFrame:
 
 
 def tokenizer_report(lines: DataFrame, tokenizers, vocabs: dict,
-                     text_col: str = "text", round_to: int | None = 9) -> DataFrame:
+                     text_col: str = "text", round_to: int | None = 9,
+                     unk_tokens=tuple(tx.UNK_TOKENS)) -> DataFrame:
     """A7 + A8: one row per (language, tokenizer); ``all`` rows first, then
-    each language in order, tokenizers in the given order."""
+    each language in order, tokenizers in the given order.  Pieces in
+    ``unk_tokens`` count as unknown."""
     tokenizers = list(tokenizers)
-    # both are read by several branches of the plan: written once (reliable
-    # checkpoint) instead of being re-derived per branch
-    features = materialize(line_features(lines, text_col), "report_lines")
-    pt = materialize(pretoken_table(features), "report_pretokens")
+    # counts and encodings are read by several branches of the plan: written
+    # once; the texts are not, their two cheap passes read the input again
+    features = line_features(lines, text_col)
+    pt = materialize(pretoken_table(features, tokenizers), "report_pretokens")
     # distinct pre-tokens are few bytes but CPU-heavy to encode: spread them
     # over all cores instead of letting size-based coalescing pack them
-    distinct = _spread(pt.select("pretoken").distinct(), "pretoken")
-    enc = encoded_pretokens(distinct, tokenizers)
-    joined = pt.join(enc, "pretoken")
+    distinct = materialize(_spread(pt.select("splitter", "pretoken").distinct(), "pretoken"), "report_distinct")
+    enc = materialize(encoded_pretokens(distinct, tokenizers, unk_tokens), "report_encodings")
+    discard(distinct)
+    joined = pt.join(enc, ["splitter", "pretoken"])
     ls = line_stats(features)
     ps = piece_stats(joined)
     lens = length_stats(joined, features, tokenizers)
@@ -237,12 +255,14 @@ def token_counts(lines: DataFrame, tokenizers, text_col: str = "text") -> DataFr
     ``tokenizer, token, n``."""
     tokenizers = list(tokenizers)
     features = line_features(lines, text_col)
-    pt = (features.select(F.explode(tx.pretokens(F.col("clean"))).alias("pretoken"))
-          .groupBy("pretoken").agg(F.count(F.lit(1)).alias("n")))
-    parts = [tok.encode_distinct(pt.select("pretoken"), "pretoken")
-             .select(F.lit(tok.name).alias("tokenizer"), "pretoken", "pieces") for tok in tokenizers]
+    pt = (pretoken_table(features, tokenizers).groupBy("splitter", "pretoken").agg(F.sum("n").alias("n")))
+    parts = []
+    for i, group in enumerate(_splitters(tokenizers).values()):
+        mine = pt.filter(F.col("splitter") == i).select("splitter", "pretoken")
+        parts += [tok.encode_distinct(mine, "pretoken")
+                  .select(F.lit(tok.name).alias("tokenizer"), "splitter", "pretoken", "pieces") for tok in group]
     enc = reduce(DataFrame.unionByName, parts)
-    counts = (pt.join(enc, "pretoken")
+    counts = (pt.join(enc, ["splitter", "pretoken"])
               .select("tokenizer", F.explode("pieces").alias("token"), "n"))
     with_specials = [t.name for t in tokenizers if t.add_special_tokens]
     if with_specials:

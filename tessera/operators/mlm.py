@@ -24,9 +24,15 @@ PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = 0, 1, 2, 3, 4
 IGNORE = -100
 
 
-def to_ids(tokens: Column, id_map: Column, unk_id: int = UNK_ID) -> Column:
-    """Map token strings to ids with a bounded literal/broadcast map."""
-    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(id_map, t), F.lit(unk_id)))
+def ids_by_join(df: DataFrame, tokens: str, vocab: DataFrame, keys, unk_id: int = UNK_ID) -> DataFrame:
+    """``keys, ids``: the ids of the token strings, joined from ``vocab(piece,
+    id)``; a piece that is not in it gets ``unk_id``.  ``keys`` names a row."""
+    rows = df.select(*keys, F.posexplode_outer(tokens).alias("_at", "piece"))
+    known = vocab.select("piece", F.col("id").cast("int").alias("id")).dropDuplicates(["piece"])
+    return (rows.join(known, "piece", "left")
+            .select(*keys, F.when(F.col("_at").isNotNull(), F.struct(
+                "_at", F.coalesce("id", F.lit(unk_id)).alias("id"))).alias("_t"))
+            .groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("_t")), lambda t: t["id"]).alias("ids")))
 
 
 def examples(df: DataFrame, ids: Column, max_length: int = 128) -> DataFrame:
@@ -69,16 +75,44 @@ def mask(df: DataFrame, vocab_size: int, seed: int = 42, epoch: int = 0,
 
 
 def batches(df: DataFrame, batch_size: int = 64, seed: int = 42, epoch: int = 0,
-            key_cols=("doc_id", "line_no")) -> DataFrame:
-    """M3: ``batch_id``, ``position`` and the padded ids of each row."""
-    keyed = df.withColumn("_h", hash_key(seed, F.lit(epoch), *[F.col(c) for c in key_cols]))
-    ranked = global_rank(keyed, "_h", list(key_cols), rank_col="_rank")
+            key_cols=("doc_id", "line_no"), by_length: bool = False) -> DataFrame:
+    """M3: ``batch_id``, ``position`` and the padded arrays of each row.
+
+    ``df`` has ``input_ids``, or ``masked_ids`` and ``labels`` from
+    :func:`mask`; ids are padded with ``[PAD]``, labels with -100.  Rows are
+    batched in the order of a seeded hash, ``by_length`` in that of their
+    length first, so that little is padded.
+    """
+    ids = "masked_ids" if "masked_ids" in df.columns else "input_ids"
+    h = hash_key(seed, F.lit(epoch), *[F.col(c) for c in key_cols])
+    keyed = df.withColumn("_h", h)
+    if by_length:
+        ranked = _rank_by_length(keyed.withColumn("_n", F.size(ids)), key_cols)
+    else:
+        ranked = global_rank(keyed, "_h", list(key_cols), rank_col="_rank")
     w = Window.partitionBy("batch_id")
-    out = (ranked.withColumn("batch_id", (F.col("_rank") / batch_size).cast("bigint"))
+    out = (ranked.withColumn("batch_id", F.expr(f"_rank div {batch_size}"))
            .withColumn("position", (F.col("_rank") % batch_size).cast("int"))
-           .withColumn("batch_len", F.max(F.size("input_ids")).over(w)))
-    n_pad = F.col("batch_len") - F.size("input_ids")
-    return (out.withColumn("padded_ids", F.concat("input_ids", F.array_repeat(F.lit(PAD_ID), n_pad)))
-            .withColumn("padded_mask", F.concat(F.array_repeat(F.lit(1), F.size("input_ids")),
-                                                F.array_repeat(F.lit(0), n_pad)))
-            .drop("_h", "_rank"))
+           .withColumn("batch_len", F.max(F.size(ids)).over(w)))
+    n_pad = F.col("batch_len") - F.size(ids)
+    out = (out.withColumn("padded_ids", F.concat(ids, F.array_repeat(F.lit(PAD_ID), n_pad)))
+           .withColumn("padded_mask", F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), n_pad))))
+    if "labels" in df.columns:
+        out = out.withColumn("padded_labels", F.concat("labels", F.array_repeat(F.lit(IGNORE), n_pad)))
+    return out.drop("_h", "_rank", "_n")
+
+
+def _rank_by_length(keyed: DataFrame, key_cols, digits: int = 2) -> DataFrame:
+    """Global rank by length, hash and key: rows are numbered inside cells of
+    one length and hash prefix, whose counts (lengths are bounded by the
+    examples' maximum) give each cell its first rank."""
+    cell = F.substring("_h", 1, digits)
+    cells = sorted(tuple(r) for r in keyed.groupBy("_n", cell.alias("c")).count().collect())
+    starts, at = [], 0
+    for n, c, count in cells:
+        starts.append((n, c, at))
+        at += count
+    first = keyed.sparkSession.createDataFrame(starts, "_n int, _c string, _start bigint")
+    w = Window.partitionBy("_n", "_c").orderBy("_h", *key_cols)
+    return (keyed.withColumn("_c", cell).join(first, ["_n", "_c"])
+            .withColumn("_rank", F.col("_start") + F.row_number().over(w) - 1).drop("_c", "_start"))

@@ -10,7 +10,6 @@ bucket only.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,12 +40,6 @@ def bucket_histogram(df: DataFrame, h_col: str, digits: int = 4):
     return buckets, starts, sum(counts), counts
 
 
-def _start_of(bucket_col: Column, buckets, starts) -> Column:
-    """Literal map bucket -> first rank (bounded by 16**digits entries)."""
-    m = F.create_map(*[x for b, s in zip(buckets, starts) for x in (F.lit(b), F.lit(s))])
-    return m[bucket_col]
-
-
 def global_rank(df: DataFrame, h_col: str, tie_cols, digits: int = 4,
                 rank_col: str = "rank") -> DataFrame:
     """0-based exact rank by ``(h_col, *tie_cols)`` for every row.
@@ -65,61 +58,61 @@ def global_rank(df: DataFrame, h_col: str, tie_cols, digits: int = 4,
             .drop("b", "start"))
 
 
-def labelled_cut(df: DataFrame, h_col: str, tie_cols, boundaries, labels,
-                 digits: int = 4, label_col: str = "split") -> DataFrame:
+def cut_keys(df: DataFrame, h_col: str, tie_cols, ranks, digits: int = 4, small: int = 1000):
+    """The keys ``(h, *ties)`` of the rows at the given 0-based ranks; a rank
+    outside the data is None.
+
+    Histograms of the hash narrow a rank down to a prefix, ``digits`` hex
+    digits at a time (``16 ** digits`` counts at most reach the driver), until
+    ``small`` rows at most share it; their keys are then sorted on the driver.
+    """
+    found = {}
+    for rank in ranks:
+        prefix, below, held = "", 0, df
+        total = None
+        while True:
+            size = len(prefix) + digits
+            cells = sorted((r["c"], r["count"]) for r in held.groupBy(
+                F.substring(h_col, 1, size).alias("c")).count().collect())
+            total = sum(n for _, n in cells) if total is None else total
+            if not 0 <= rank < total:
+                found[rank] = None
+                break
+            for cell, n in cells:
+                if rank < below + n:
+                    break
+                below += n
+            prefix, held = cell, df.filter(F.col(h_col).startswith(cell))
+            if n <= small or len(prefix) >= 32:
+                keys = [F.col(h_col), *[F.col(c) for c in tie_cols]]
+                rows = held.select(*keys).orderBy(*keys).limit(rank - below + 1).collect()
+                found[rank] = tuple(rows[-1])
+                break
+    return found
+
+
+def before_key(columns, key) -> Column:
+    """Whether ``columns`` come before ``key`` in order."""
+    out = F.lit(False)
+    for c, v in reversed(list(zip(columns, key))):
+        out = (F.col(c) < F.lit(v)) | ((F.col(c) == F.lit(v)) & out)
+    return out
+
+
+def labelled_cut(df: DataFrame, h_col: str, tie_cols, boundaries, labels, label_col: str = "split") -> DataFrame:
     """Label rows by rank ranges ``[0,b1) [b1,b2) ... [bk, n)`` exactly.
 
-    Only rows of the (at most ``len(boundaries)``) buckets that a boundary
-    falls strictly inside are ranked (a window over those buckets); every
-    other row is labelled map-side from its bucket id.
+    The keys at the boundaries are found first; a row's label then follows from
+    comparing its key with them, in one projection without an exchange.
     ``boundaries`` may be a callable ``n -> list`` evaluated on the count.
     """
-    buckets, starts, n, counts = bucket_histogram(df, h_col, digits)
     if callable(boundaries):
-        boundaries = boundaries(n)
-    b = _bucket(F.col(h_col), digits)
-
-    def label_for_rank(rank: Column) -> Column:
-        expr = F.lit(labels[-1])
-        for bound, lab in reversed(list(zip(boundaries, labels[:-1]))):
-            expr = F.when(rank < F.lit(bound), F.lit(lab)).otherwise(expr)
-        return expr
-
-    cut_buckets, bucket_label = set(), {}
-    for bk, st, cnt in zip(buckets, starts, counts):
-        inside = [x for x in boundaries if st < x < st + cnt]
-        if inside:
-            cut_buckets.add(bk)
-        else:
-            bucket_label[bk] = labels[bisect_right(list(boundaries), st)]
-
-    # Non-cut buckets: label is a function of the bucket id, monotone in it;
-    # express it as ranges of bucket ids.
-    ranges, prev = [], None
-    for bk in buckets:
-        if bk in bucket_label:
-            lab = bucket_label[bk]
-            if prev and prev[2] == lab:
-                prev[1] = bk
-            else:
-                prev = [bk, bk, lab]
-                ranges.append(prev)
-    expr = F.lit(None).cast("string")
-    for lo, hi, lab in reversed(ranges):
-        expr = F.when((b >= lo) & (b <= hi), F.lit(lab)).otherwise(expr)
-
-    cuts = sorted(cut_buckets)
-    plain = df.filter(~b.isin(cuts)) if cuts else df
-    plain = plain.withColumn(label_col, expr)
-    if not cuts:
-        return plain
-    start_of = dict(zip(buckets, starts))
-    w = Window.partitionBy("b").orderBy(F.col(h_col), *[F.col(c) for c in tie_cols])
-    start_col = F.lit(None).cast("bigint")
-    for bk in cuts:
-        start_col = F.when(F.col("b") == bk, F.lit(start_of[bk])).otherwise(start_col)
-    ranked = (df.filter(b.isin(cuts)).withColumn("b", b)
-              .withColumn("_r", start_col + F.row_number().over(w) - 1)
-              .withColumn(label_col, label_for_rank(F.col("_r")))
-              .drop("b", "_r"))
-    return plain.unionByName(ranked)
+        boundaries = boundaries(df.count())
+    keys = cut_keys(df, h_col, tie_cols, sorted({b for b in boundaries if b > 0}))
+    expr = F.lit(labels[-1])
+    for bound, label in reversed(list(zip(boundaries, labels[:-1]))):
+        if bound <= 0:
+            continue
+        key = keys[bound]
+        expr = F.lit(label) if key is None else F.when(before_key([h_col, *tie_cols], key), F.lit(label)).otherwise(expr)
+    return df.withColumn(label_col, expr)

@@ -3,8 +3,8 @@
 The reference shuffles an in-memory list with a seeded Mersenne twister and
 cuts it at ``int(n*0.8)`` and ``int(n*0.1)``.  Here the shuffle order is the
 md5 of ``seed:key`` (repeatable on any engine and any partitioning) and the
-cut is exact, computed with :func:`tessera.operators.ranking.labelled_cut`
-so only the two buckets holding a cut point are ever ranked.
+cut is exact: :func:`tessera.operators.ranking.labelled_cut` finds the keys at
+the cut points, then every row is labelled by comparing its key.
 """
 
 from __future__ import annotations
@@ -36,22 +36,20 @@ def shuffled(df: DataFrame, key_cols, seed: int = 42) -> DataFrame:
 
 
 def exact_split(df: DataFrame, key_cols, seed: int = 42, train_ratio: float = 0.8,
-                valid_ratio: float = 0.1, checkpoint: bool = False) -> DataFrame:
-    """Add ``split`` in {train, valid, test} with exact sizes.
+                valid_ratio: float = 0.1) -> DataFrame:
+    """Add ``shuffle_key`` (if it is not there) and ``split`` in {train,
+    valid, test} with exact sizes.
 
-    ``checkpoint=True`` writes the input once to the session's checkpoint
-    folder first, so an expensive upstream (cleaning) is not recomputed for
-    the histogram and the labelling pass.
+    ``df`` is read for a count and two histograms of the key besides the
+    labelling pass, so pass a written table where it is costly to derive.
     """
-    if checkpoint:
-        df = df.checkpoint(eager=True)
-    keyed = with_shuffle_key(df, key_cols, seed)
+    keyed = df if "shuffle_key" in df.columns else with_shuffle_key(df, key_cols, seed)
 
     def bounds(n):
         n_train, n_valid, _ = split_sizes(n, train_ratio, valid_ratio)
         return [n_train, n_train + n_valid]
 
-    return labelled_cut(keyed, "shuffle_key", key_cols, bounds, SPLIT_LABELS)
+    return labelled_cut(keyed, "shuffle_key", list(key_cols), bounds, SPLIT_LABELS)
 
 
 def split_summary(split_df: DataFrame) -> DataFrame:

@@ -37,13 +37,17 @@ class Tokenizer:
         """Add ``pieces array<string>`` for every row of ``df[col]``."""
         return df.withColumn("pieces", self.pieces(F.col(col)))
 
+    def pretokens(self, text: Column) -> Column:
+        """The units that :meth:`pieces` takes, of a whole text."""
+        return tx.pretokens(text)
+
     # -- per line ----------------------------------------------------------
     def wrap(self, tokens: Column) -> Column:
         return tx.template_single(tokens, CLS, SEP) if self.add_special_tokens else tokens
 
     def encode_text(self, text: Column) -> Column:
         """Token array of a whole text (pre-tokenize, encode, template)."""
-        return self.wrap(F.flatten(F.transform(tx.pretokens(text), self.pieces)))
+        return self.wrap(F.flatten(F.transform(self.pretokens(text), self.pieces)))
 
     def encode_lines(self, df: DataFrame, text_col: str, out: str = "tokens") -> DataFrame:
         return df.withColumn(out, self.encode_text(F.col(text_col)))
@@ -123,55 +127,59 @@ class ModelTokenizer(Tokenizer):
 
     ``word_fn(payload, word) -> list[str]`` is a small per-word helper; the
     model ``payload`` (bounded by the vocabulary size) is broadcast once.
-    Both UDFs are Arrow-batched and memoise words within a batch, so a
-    frequent word is encoded once per batch, not once per occurrence.
-    The text is NFC-normalised first (the library tokenizers' normaliser).
+    Special tokens in the text are tokens of their own; what stands between
+    them is NFC-normalised and pre-tokenized, on every path.  Words are
+    memoised within an Arrow batch.
     """
 
-    def __init__(self, spark, name: str, payload, word_fn, add_special_tokens: bool = True):
-        self.name, self.add_special_tokens = name, add_special_tokens
+    def __init__(self, spark, name: str, payload, word_fn, add_special_tokens: bool = True,
+                 specials=tuple(tx.SPECIAL_TOKENS)):
+        self.name, self.add_special_tokens, self.specials = name, add_special_tokens, tuple(specials)
         bc = spark.sparkContext.broadcast(payload)
+        own = frozenset(self.specials)
 
-        def run(words):
-            model, memo, out = bc.value, {}, []
-            for w in words:
-                r = memo.get(w)
-                if r is None:
-                    r = memo[w] = word_fn(model, w)
-                out.append(r)
-            return out
+        def encode(memo, word):
+            found = memo.get(word)
+            if found is None:
+                found = memo[word] = [word] if word in own else word_fn(bc.value, word)
+            return found
 
         @F.arrow_udf(T.ArrayType(T.StringType()))
         def _per_word(words: pa.Array) -> pa.Array:
-            vals = words.to_pylist()
-            res = run([w for w in vals if w is not None])
-            it = iter(res)
-            return pa.array([None if w is None else next(it) for w in vals],
+            memo: dict = {}
+            return pa.array([None if w is None else encode(memo, w) for w in words.to_pylist()],
                             type=pa.list_(pa.string()))
 
         @F.arrow_udf(T.ArrayType(T.StringType()))
         def _per_line(lines: pa.Array) -> pa.Array:
-            model, memo, out = bc.value, {}, []
-            for pts in lines.to_pylist():
-                if pts is None:
-                    out.append(None)
-                    continue
-                toks = []
-                for w in pts:
-                    r = memo.get(w)
-                    if r is None:
-                        r = memo[w] = word_fn(model, w)
-                    toks.extend(r)
-                out.append(toks)
-            return pa.array(out, type=pa.list_(pa.string()))
+            memo: dict = {}
+            return pa.array([None if words is None else [p for w in words for p in encode(memo, w)]
+                             for words in lines.to_pylist()], type=pa.list_(pa.string()))
 
         self._per_word, self._per_line = _per_word, _per_line
 
+    def pretokens(self, text: Column) -> Column:
+        return tx.pretokens_with_specials(tx.nfc(text), self.specials)
+
     def pieces(self, pt: Column) -> Column:
         return self._per_word(pt)
 
     def encode_text(self, text: Column) -> Column:
-        return self.wrap(self._per_line(tx.pretokens(tx.nfc(text))))
+        return self.wrap(self._per_line(self.pretokens(text)))
+
+
+class FunctionTokenizer(ModelTokenizer):
+    """A plain ``encode_fn(text) -> list[str]`` as a tokenizer.
+
+    The function sees whole texts (nothing is normalised or split for it);
+    ``pieces`` calls it on a pre-token.  It must be picklable.
+    """
+
+    def __init__(self, spark, encode_fn, name: str = "function", add_special_tokens: bool = False):
+        super().__init__(spark, name, None, lambda _, word: list(encode_fn(word)), add_special_tokens, ())
+
+    def pretokens(self, text: Column) -> Column:
+        return F.array(text)
 
 
 def pretoken_counts(lines: DataFrame, text_col: str = "text") -> DataFrame:

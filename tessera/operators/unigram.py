@@ -14,8 +14,10 @@ All corpus-sized work runs on the word-type table ``(word, freq)``:
   expected count below 0.5 leave the model, single characters never do.
 * V8 ``prune``: Viterbi counts per piece (distributed like V7); the loss of
   removing a piece compares its log-probability with that of its best
-  segmentation into the other pieces; the lowest-loss pieces are removed
-  until ``shrink x size`` remain, then EM again, down to ``vocab_size``.
+  segmentation into the other pieces, found by a distributed pass over the
+  piece table; the lowest-loss pieces are removed until ``shrink x size``
+  remain, then EM again, down to ``vocab_size`` -- or to the single
+  characters, which always stay, if there are more of these.
 * V9 encoding: Viterbi best path per pre-token; runs of characters that no
   piece covers become one ``[UNK]``.
 
@@ -28,7 +30,7 @@ the model and scores are rounded to 1e-9 before ranking, ties by piece.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators.bpe import bounded_plan_strings
 from tessera.operators.tokenizers import UNK, ModelTokenizer
-from tessera.session import materialize
+from tessera.session import Tables
 
 UNK_PENALTY = 10.0
 
@@ -115,10 +117,11 @@ def _forward_backward(word: str, logp: dict, max_len: int):
 
 
 def viterbi(word: str, logp: dict, max_len: int, unk: str | None = UNK, unk_score: float = -1e9,
-            unk_text: bool = False):
+            unk_text: bool = False, without_itself: bool = False):
     """Best segmentation; a run of characters no piece covers is fused into
     one unknown token -- ``unk``, or the run's own text when ``unk_text``
-    (what the library's Unigram reports as the token, with the unknown id)."""
+    (what the library's Unigram reports as the token, with the unknown id).
+    ``without_itself`` leaves out the piece that is the whole word."""
     n = len(word)
     best = [-math.inf] * (n + 1)
     back = [None] * (n + 1)
@@ -128,7 +131,7 @@ def viterbi(word: str, logp: dict, max_len: int, unk: str | None = UNK, unk_scor
             if best[i] == -math.inf:
                 continue
             lp = logp.get(word[i:j])
-            if lp is not None and best[i] + lp > best[j]:
+            if lp is not None and best[i] + lp > best[j] and not (without_itself and j - i == n):
                 best[j], back[j] = best[i] + lp, (i, False)
         if unk is not None and best[j - 1] > -math.inf and best[j - 1] + unk_score > best[j]:
             best[j], back[j] = best[j - 1] + unk_score, (j - 1, True)
@@ -197,31 +200,40 @@ def em_step(word_freq: DataFrame, logp: dict, max_len: int = 16, chars=()):
 
 
 def prune(word_freq: DataFrame, logp: dict, keep: int, max_len: int, chars) -> dict:
-    """Remove the pieces whose loss is lowest until ``keep`` remain."""
-    rows = _lattice_pass(word_freq, logp, max_len, "viterbi").collect()
-    vfreq = {r["piece"]: r["value"] for r in rows if r["piece"] is not None}
+    """Remove the pieces whose loss is lowest until ``keep`` remain (or only
+    ``chars``, which stay).  The losses are worked out on the executors; the
+    survivors, at most ``keep``, come back."""
+    spark = word_freq.sparkSession
     chars = set(chars)
+    used = _lattice_pass(word_freq, logp, max_len, "viterbi")
+    vfreq = {r["piece"]: r["value"] for r in used.collect() if r["piece"] is not None}
     total = sum(vfreq[p] for p in sorted(vfreq)) or 1.0
-    losses = []
-    for p in sorted(logp):
-        if p in chars:
-            continue
-        f = vfreq.get(p, 0.0)
-        if f <= 0:
-            losses.append((0.0, p))
-            continue
-        others = dict(logp)
-        del others[p]
-        alt, _ = viterbi(p, others, max_len, unk=None)
-        log_sp = math.log(f) - math.log(total)
-        # removing p moves its count to its alternatives; every alternative
-        # piece is then drawn from the new total
-        log_total_alt = math.log(total + f * (len(alt) - 1))
-        log_alt = sum(math.log(vfreq.get(a, 0.0) + f) - log_total_alt for a in alt)
-        losses.append((round(f * (log_sp - log_alt), 9), p))
-    losses.sort(key=lambda x: (-x[0], x[1]))
-    n_keep = max(keep - len(chars & set(logp)), 0)
-    survivors = {p for _, p in losses[:n_keep]} | (chars & set(logp))
+    shared = spark.sparkContext.broadcast((logp, vfreq))
+
+    def losses(batches):
+        scores, freq = shared.value
+        for pdf in batches:
+            out = []
+            for p in pdf["piece"]:
+                f = freq.get(p, 0.0)
+                if f <= 0:
+                    out.append(0.0)
+                    continue
+                alt, _ = viterbi(p, scores, max_len, unk=None, without_itself=True)
+                # removing p moves its count to its alternatives; every
+                # alternative piece is then drawn from the new total
+                moved = math.log(total + f * (len(alt) - 1))
+                log_alt = sum(math.log(freq.get(a, 0.0) + f) - moved for a in alt)
+                out.append(round(f * (math.log(f) - math.log(total) - log_alt), 9))
+            yield pd.DataFrame({"piece": pdf["piece"], "loss": out})
+
+    fixed = chars & set(logp)
+    room = max(keep - len(fixed), 0)
+    rest = spark.createDataFrame([(p,) for p in sorted(logp) if p not in fixed], "piece string")
+    kept = (rest.repartition(spark.sparkContext.defaultParallelism * 2).mapInPandas(losses, "piece string, loss double")
+            .orderBy(F.desc("loss"), "piece").limit(room))
+    survivors = fixed | ({r["piece"] for r in kept.collect()} if room else set())
+    shared.destroy()
     return {p: logp[p] for p in sorted(survivors)}
 
 
@@ -231,6 +243,7 @@ class UnigramModel:
     unk_token: str = UNK
     max_piece_len: int = 16
     rounds: int = 0
+    special_tokens: list = field(default_factory=lambda: list(tx.SPECIAL_TOKENS))
 
     def vocab_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(p, i, float(s)) for i, (p, s) in enumerate(self.pieces)],
@@ -238,22 +251,33 @@ class UnigramModel:
 
     def save(self, spark: SparkSession, path: str, mode: str = "overwrite"):
         self.vocab_df(spark).coalesce(1).write.mode(mode).parquet(f"{path}/vocab")
+        (spark.createDataFrame([(self.unk_token, self.max_piece_len, self.special_tokens)],
+                               "unk_token string, max_piece_len int, special_tokens array<string>")
+         .coalesce(1).write.mode(mode).parquet(f"{path}/settings"))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "UnigramModel":
         rows = spark.read.parquet(f"{path}/vocab").orderBy("id").collect()
-        return cls([(r["piece"], r["score"]) for r in rows])
+        settings = spark.read.parquet(f"{path}/settings").first()
+        return cls([(r["piece"], r["score"]) for r in rows], settings["unk_token"], settings["max_piece_len"],
+                   special_tokens=list(settings["special_tokens"]))
 
 
 def train_unigram(word_freq: DataFrame, vocab_size: int = 16000, special_tokens=None,
                   max_piece_len: int = 16, seed_size: int = 1_000_000, em_iters: int = 2,
                   shrink: float = 0.75) -> UnigramModel:
-    """V8: seed -> (EM x em_iters -> prune to shrink x size) until vocab_size."""
+    """V8: seed -> (EM x em_iters -> prune to shrink x size) until vocab_size.
+
+    ``max_piece_len`` and ``seed_size`` are the public library's defaults and
+    bound the model the driver holds.  Single characters are never pruned: with
+    more of them than ``vocab_size`` holds, they are the result, which is then
+    larger than asked for.
+    """
     spark = word_freq.sparkSession
     specials = list(special_tokens or tx.SPECIAL_TOKENS)
     target = vocab_size - len(specials)
-    with bounded_plan_strings(spark):
-        wf = materialize(word_freq.select("word", "freq"), "unigram_words")
+    with bounded_plan_strings(spark), Tables() as tables:
+        wf = tables.keep(word_freq.select("word", "freq"), "unigram_words")
         seed = seed_pieces(wf, max_piece_len, seed_size).collect()
         chars = sorted(r["piece"] for r in seed if r["is_char"])
         total = sum(float(r["score"]) for r in sorted(seed, key=lambda r: r["piece"]))
@@ -264,7 +288,7 @@ def train_unigram(word_freq: DataFrame, vocab_size: int = 16000, special_tokens=
             for _ in range(em_iters):
                 logp, _, _ = em_step(wf, logp, max_piece_len, chars)
             rounds += 1
-            if len(logp) <= target:
+            if len(logp) <= target or set(logp) <= set(chars):
                 break
             logp = prune(wf, logp, max(target, int(len(logp) * shrink)), max_piece_len, chars)
         logp, _, _ = em_step(wf, logp, max_piece_len, chars)
@@ -273,7 +297,7 @@ def train_unigram(word_freq: DataFrame, vocab_size: int = 16000, special_tokens=
         keep = set(chars) | {p for p, _ in [kv for kv in ranked if kv[0] not in chars][:max(target - len(chars), 0)]}
         ranked = [kv for kv in ranked if kv[0] in keep]
     pieces = [(s, 0.0) for s in specials] + [(p, s) for p, s in ranked if p not in specials]
-    return UnigramModel(pieces, max_piece_len=max_piece_len, rounds=rounds)
+    return UnigramModel(pieces, max_piece_len=max_piece_len, rounds=rounds, special_tokens=specials)
 
 
 def _uni_word(payload, word):
@@ -282,14 +306,14 @@ def _uni_word(payload, word):
 
 
 class UnigramTokenizer(ModelTokenizer):
-    def __init__(self, model: UnigramModel, spark: SparkSession, name: str = "custom_unigram",
+    def __init__(self, model: UnigramModel, spark: SparkSession, name: str = "unigram",
                  add_special_tokens: bool = True):
         self.model = model
-        specials = set(tx.SPECIAL_TOKENS)
+        specials = set(model.special_tokens)
         logp = {p: s for p, s in model.pieces if p not in specials}
         unk_score = (min(logp.values()) if logp else 0.0) - UNK_PENALTY
         super().__init__(spark, name, (logp, model.max_piece_len, model.unk_token, unk_score),
-                         _uni_word, add_special_tokens)
+                         _uni_word, add_special_tokens, model.special_tokens)
 
     def vocab(self, spark, train_pretokens=None):
         return self.model.vocab_df(spark).select("piece")

@@ -2,15 +2,19 @@
 
 Greedy longest-match-first per pre-token (Wu et al. 2016): the first piece
 is a plain vocabulary entry, later pieces carry the ``##`` prefix; a word
-that cannot be covered, or is longer than ``max_chars``, becomes one
-``[UNK]``.  The vocabulary is collected once (bounded by the vocabulary
-size the caller chose) and broadcast; encoding is an Arrow UDF over
-pre-tokens with per-batch memoisation.
+that cannot be covered, or is longer than ``max_chars`` (the public library's
+default), becomes one ``[UNK]``.
+
+A vocabulary of up to ``max_broadcast`` pieces is broadcast and applied by an
+Arrow UDF.  A larger one stays a table: the substrings of the distinct
+pre-tokens are joined with it, and the longest match at each position is
+walked; lines get their pieces by a join with the distinct pre-tokens.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.operators.tokenizers import UNK, ModelTokenizer
 
@@ -47,13 +51,47 @@ def _wp(payload, word):
 class WordPieceTokenizer(ModelTokenizer):
     def __init__(self, vocab_df: DataFrame, spark: SparkSession, name: str = "wordpiece",
                  add_special_tokens: bool = False, unk: str = UNK, max_chars: int = 100,
-                 max_vocab: int = 1_000_000):
-        rows = vocab_df.select("piece").limit(max_vocab + 1).collect()
-        if len(rows) > max_vocab:
-            raise ValueError(f"vocabulary larger than {max_vocab} pieces; not broadcast")
-        self._vocab = sorted({r["piece"] for r in rows})
-        super().__init__(spark, name, (set(self._vocab), unk, PREFIX, max_chars), _wp,
-                         add_special_tokens)
+                 max_broadcast: int = 1_000_000):
+        self._vocab = vocab_df.select("piece").distinct()
+        self.unk, self.max_chars = unk, max_chars
+        rows = self._vocab.limit(max_broadcast + 1).collect()
+        self.joined = len(rows) > max_broadcast
+        known = set() if self.joined else {r["piece"] for r in rows}
+        super().__init__(spark, name, (known, unk, PREFIX, max_chars), _wp, add_special_tokens, ())
 
     def vocab(self, spark, train_pretokens=None):
-        return spark.createDataFrame([(p,) for p in self._vocab], "piece string")
+        return self._vocab
+
+    def encode_distinct(self, df: DataFrame, col: str = "pretoken") -> DataFrame:
+        return self._by_join(df, col) if self.joined else super().encode_distinct(df, col)
+
+    def encode_lines(self, df: DataFrame, text_col: str, out: str = "tokens") -> DataFrame:
+        if not self.joined:
+            return super().encode_lines(df, text_col, out)
+        rows = df.withColumn("_row", F.struct(*df.columns))
+        words = rows.select("_row", F.posexplode_outer(self.pretokens(F.col(text_col))).alias("_at", "_w"))
+        pieces = self._by_join(words.select("_w").distinct().filter("_w is not null"), "_w")
+        tokens = (words.join(pieces, "_w", "left").groupBy("_row")
+                  .agg(F.array_sort(F.collect_list(F.when(F.col("_w").isNotNull(), F.struct("_at", "pieces")))).alias("_p")))
+        return tokens.select("_row.*", self.wrap(F.flatten(F.transform("_p", lambda p: p["pieces"]))).alias(out))
+
+    def encode_text(self, text: Column) -> Column:
+        if self.joined:
+            raise ValueError("a vocabulary too large to broadcast has no column form: use encode_lines")
+        return super().encode_text(text)
+
+    def _by_join(self, df: DataFrame, col: str) -> DataFrame:
+        word = F.col(col)
+        starts = df.select(word.alias("_word")).distinct().filter(F.length("_word") <= self.max_chars).select(
+            "_word", F.explode(F.sequence(F.lit(1), F.length("_word"))).alias("_i"))
+        spans = starts.select("_word", "_i", F.explode(F.sequence(F.lit(1), F.length("_word") - F.col("_i") + 1)).alias("_n"))
+        prefix = F.when(F.col("_i") > 1, F.lit(PREFIX)).otherwise(F.lit(""))
+        found = (spans.withColumn("piece", F.concat(prefix, F.substring("_word", F.col("_i"), F.col("_n"))))
+                 .join(self._vocab, "piece").groupBy("_word", "_i").agg(F.max(F.struct("_n", "piece")).alias("_m"))
+                 .groupBy("_word").agg(F.sort_array(F.collect_list(F.struct("_i", "_m._n", "_m.piece"))).alias("_all")))
+        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
+        walk = F.aggregate("_all", start, lambda acc, m: F.when(m["_i"] == acc["at"], F.struct(
+            (acc["at"] + m["_n"]).alias("at"), F.concat(acc["out"], F.array(m["piece"])).alias("out"))).otherwise(acc))
+        whole = found.select("_word", walk.alias("_walked")).filter(F.col("_walked.at") == F.length("_word") + 1)
+        return (df.join(whole, word == F.col("_word"), "left")
+                .withColumn("pieces", F.coalesce("_walked.out", F.array(F.lit(self.unk)))).drop("_word", "_walked"))

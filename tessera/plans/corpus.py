@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,11 +58,12 @@ def tag_variant(lang: Column, c: Column, k: Column) -> Column:
 
 def prepare_lines(lines: DataFrame, lowercase: bool = False) -> DataFrame:
     """The reference's prepare stage: clean each line, keep good lines, render
-    the ``<lang> text`` tag.  Map-only."""
+    the ``<lang> text`` tag.  Map-only; ``lines`` is keyed by ``doc_id,
+    line_no`` as both corpus sources give it."""
     # explode of a one-element array: the generated column is computed once
     # and the good-line filter stays above it (a filter on a projected column
     # would be pushed below the projection with the regex chain inlined,
-    # evaluating it once per reference)
+    # evaluating it once per reference); filters on other columns go below
     cleaned = lines.select("doc_id", "lang", "line_no",
                            F.explode(F.array(tx.clean_line(F.col("line"), lowercase))).alias("clean"))
     return (cleaned.filter(tx.is_good_line(F.col("clean")))
@@ -71,6 +71,13 @@ def prepare_lines(lines: DataFrame, lowercase: bool = False) -> DataFrame:
                     tx.render_tag(F.col("lang"), F.col("clean")).alias("text")))
 
 
+def prepare_corpus(lines: DataFrame, seed: int = 42, lowercase: bool = False) -> DataFrame:
+    """Lines to split lines, end to end: the prepared lines with their shuffle
+    key are written once, the split is a label on that table."""
+    keyed = sp.with_shuffle_key(prepare_lines(lines, lowercase), LINE_KEY, seed)
+    return sp.exact_split(materialize(keyed, "prepared"), LINE_KEY, seed)
+
+
 def spread(df: DataFrame, key_cols=()) -> DataFrame:
     """Hash-partition into at least twice the cores (or the shuffle
     partition count, if larger) for CPU-heavy per-row work."""
@@ -95,8 +102,12 @@ class Corpus:
         return c
 
     def __init__(self, spark: SparkSession, sf_dir: str, seed: int = 42,
-                 lowercase: bool = False, closed_vocab_size: int = 500):
+                 lowercase: bool = False, closed_vocab_size: int = 500, partitions: int | None = None):
+        """``partitions``: parts the documents are dealt into before the lines
+        are cut (the driver tables are one file each); by default twice the
+        cores."""
         self.spark, self.sf_dir, self.seed = spark, sf_dir, seed
+        self.partitions = partitions or 2 * spark.sparkContext.defaultParallelism
         self.lowercase, self.closed_vocab_size = lowercase, closed_vocab_size
 
     def table(self, name: str) -> DataFrame:
@@ -105,7 +116,7 @@ class Corpus:
     # -- sources ---------------------------------------------------------
     @cached_property
     def doc_lines(self) -> DataFrame:
-        return document_lines(self.table("documents"))
+        return document_lines(self.table("documents"), partitions=self.partitions)
 
     @cached_property
     def dirty(self) -> DataFrame:
@@ -116,14 +127,9 @@ class Corpus:
     # -- prepared corpus (the real pipeline) -------------------------------
     @cached_property
     def splits(self) -> DataFrame:
-        """Cleaned, filtered, tagged lines with their split, written once to
-        the checkpoint folder (the prepare stage's output table).  Cleaning
-        (with the NFC UDF) runs once: the split's histogram and labelling
-        passes read a persisted copy, every later query reads the table."""
-        raw = prepare_lines(self.doc_lines, self.lowercase).persist(StorageLevel.MEMORY_AND_DISK)
-        out = materialize(sp.exact_split(raw, LINE_KEY, self.seed), "splits", ["split"])
-        raw.unpersist()
-        return out
+        """Cleaned, filtered, tagged lines with their split (the prepare stage's
+        output table): the texts are cleaned and written once."""
+        return prepare_corpus(self.doc_lines, self.seed, self.lowercase)
 
     @property
     def prepared(self) -> DataFrame:

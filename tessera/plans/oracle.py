@@ -10,6 +10,8 @@ from __future__ import annotations
 from tessera.plans import sqlfrag as s
 
 SEED = 42
+#: Gold fixture: prefix, stem, suffix, ending -- one to four segments.
+GOLD = "^(un|re|en|be|th)?(.+?)(tion|ing|heit|que)?(ed|er|en|ly|es|s)?$"
 
 BASE = rf"""
 doc_lines AS (
@@ -79,13 +81,9 @@ train_pt AS (
 top500 AS (SELECT pretoken FROM train_pt ORDER BY n DESC, pretoken LIMIT 500),
 topl AS (SELECT list(pretoken) AS tl FROM top500),
 gold AS (
-  SELECT word,
-    CASE WHEN regexp_matches(word, '^(.+)(tion|ing|and|ed|ly|er)$')
-         THEN [regexp_extract(word, '^(.+)(tion|ing|and|ed|ly|er)$', 1),
-               regexp_extract(word, '^(.+)(tion|ing|and|ed|ly|er)$', 2)]
-         ELSE [word] END AS segments
+  SELECT word, list_filter([regexp_extract(word, '{GOLD}', 1), regexp_extract(word, '{GOLD}', 2),
+                            regexp_extract(word, '{GOLD}', 3), regexp_extract(word, '{GOLD}', 4)], lambda x: x <> '') AS segments
   FROM (SELECT DISTINCT unnest({s.words('text')}) AS word FROM prepared)
-  WHERE length(word) >= 5
 )
 """
 

@@ -8,6 +8,7 @@ session (and its ``spark.checkpoint.dir``) is used unchanged.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -51,7 +52,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     A cluster names a shared folder (HDFS/object store) in
     ``spark.checkpoint.dir``; that is read from the session and used as is.
-    Only when it is unset (local runs, tests) a scratch folder is created.
+    Only a local master gets a scratch folder where it is unset (tests, bench);
+    anywhere else executors could not see one another's files, so that raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -59,6 +61,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
@@ -72,7 +76,7 @@ def materialize(df, name: str, partition_by=None):
     checkpoint of an unpersisted plan runs it twice) and later readers get
     column pruning, filter pushdown and, with ``partition_by``, partition
     pruning.  The folder is the cluster's shared one, so the table survives
-    executor loss.
+    executor loss.  :func:`discard` deletes it.
     """
     import uuid
 
@@ -83,7 +87,40 @@ def materialize(df, name: str, partition_by=None):
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Delete tables that :func:`materialize` returned and nothing reads any
+    more; frames without such a table are left alone."""
+    for df in tables:
+        path = getattr(df, "_tessera_path", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Tables:
+    """Tables that belong to one computation: ``with Tables() as t:
+    t.keep(df, "name")`` writes them, leaving the block deletes them."""
+
+    def __init__(self):
+        self._kept = []
+
+    def keep(self, df, name: str, partition_by=None):
+        out = materialize(df, name, partition_by)
+        self._kept.append(out)
+        return out
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *exc):
+        discard(*self._kept)
+        self._kept.clear()
 
 
 _SHIPPED: set = set()

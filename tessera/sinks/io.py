@@ -27,11 +27,11 @@ def write_metrics_csv(report: DataFrame, path: str, mode: str = "overwrite") ->
 
 def write_boundary_csvs(words: DataFrame, summary: DataFrame, path: str, language: str,
                         mode: str = "overwrite") -> None:
-    """K3: word-level and summary tables of one gold language."""
-    (words.withColumn("language", F.lit(language)).coalesce(1).write.mode(mode)
-     .partitionBy("language").option("header", True).csv(f"{path}/word_level"))
-    (summary.withColumn("language", F.lit(language)).coalesce(1).write.mode(mode)
-     .partitionBy("language").option("header", True).csv(f"{path}/summary"))
+    """K3: word-level and summary tables of one gold language.  The word-level
+    table is written by as many tasks as it has partitions; the summary has a
+    row per tokenizer."""
+    words.write.mode(mode).option("header", True).csv(f"{path}/word_level/language={language}")
+    summary.coalesce(1).write.mode(mode).option("header", True).csv(f"{path}/summary/language={language}")
 
 
 def write_json_metrics(spark: SparkSession, metrics: dict, path: str, mode: str = "overwrite") -> None:

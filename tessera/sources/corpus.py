@@ -29,24 +29,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def balance(df: DataFrame, key_cols) -> DataFrame:
-    """Spread rows over the cluster's cores when the scan gives fewer splits.
-
-    A large input has one task per file split already and is left as is
-    (no shuffle).  A small input (one file, one row group) would otherwise
-    run all per-row work -- regexes, NFC -- in a single task; it is
-    hash-partitioned on ``key_cols`` (deterministic on retry).  Applied to
-    documents, before the line explode, so filters on line values cannot be
-    pushed below the exchange.
+def balance(df: DataFrame, key_cols, partitions: int | None = None) -> DataFrame:
+    """Hash-partition ``df`` on ``key_cols`` for CPU-heavy per-row work.
+
+    ``partitions`` is the caller's choice; without it rows stay as they were
+    read (one task per file split), whatever the input's size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores * 2, *key_cols)
+    return df.repartition(partitions, *key_cols) if partitions else df
 
 
 def document_lines(documents: DataFrame, text_col: str = "text",
-                   key_cols=("doc_id", "lang", "source"), rebalance: bool = True) -> DataFrame:
+                   key_cols=("doc_id", "lang", "source"), partitions: int | None = None) -> DataFrame:
     """Explode each document into ``(…keys, line_no, line)``; 0-based lines.
 
     Map-only for a large input: a document's lines stay in the task that
@@ -54,8 +47,8 @@ def document_lines(documents: DataFrame, text_col: str = "text",
     document can hold an unbounded share of the lines).
     """
     keys = [c for c in key_cols if c in documents.columns]
-    if rebalance and "doc_id" in keys:
-        documents = balance(documents.select(*keys, text_col), ["doc_id"])
+    if "doc_id" in keys:
+        documents = balance(documents.select(*keys, text_col), ["doc_id"], partitions)
     return (documents
             .select(*keys, F.posexplode(F.split(F.col(text_col), LINE_BREAK, -1))
                     .alias("line_no", "line"))
@@ -72,36 +65,49 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
 def read_language_files(spark: SparkSession, raw_dir: str, languages) -> DataFrame:
     """Lines of ``<raw_dir>/<lang>/*.txt`` for the given languages.
 
-    Returns ``lang, source, line_no, line``.  ``line_no`` is a per-scan row id
-    (deterministic for a fixed file layout); the text source has no line
-    numbers.  Invalid UTF-8 is repaired with U+FFFD, as a strict reader would
-    otherwise fail; ``is_valid_utf8`` on the raw bytes is kept as a column.
+    Returns ``lang, source, doc_id, line_no, line, valid_utf8``: ``doc_id`` is a
+    hash of language and file name and ``line_no`` counts the file's lines from
+    0, so a line's key does not depend on splits or partitions, nor on where
+    the corpus lies.  Files are read whole (a raw file is a document); lines end
+    as in Python's text mode.  Invalid UTF-8 is repaired with U+FFFD and shown
+    by ``valid_utf8``; a leading byte-order mark stays in the first line, as in
+    Python.  A language without a folder is skipped with a warning.
     """
     paths = []
     for lang in languages:
-        p = f"{raw_dir.rstrip('/')}/{lang}"
-        if not _fs_exists(spark, p):
-            warnings.warn(f"missing directory {p}")
-            continue
-        paths.append(p)
-    schema = "lang string, source string, line_no bigint, line string, valid_utf8 boolean"
+        path = f"{raw_dir.rstrip('/')}/{lang}"
+        if _fs_exists(spark, path):
+            paths.append(path)
+        else:
+            warnings.warn(f"no folder for language {lang!r}: {path}")
+    schema = "lang string, source string, doc_id bigint, line_no bigint, line string, valid_utf8 boolean"
     if not paths:
         return spark.createDataFrame([], schema)
-    df = (spark.read.option("pathGlobFilter", "*.txt")
-          .option("recursiveFileLookup", "false")
-          .text(paths)
-          .select(F.col("value"), F.col("_metadata.file_path").alias("source")))
-    return df.select(
-        F.regexp_extract("source", r"/([^/]+)/[^/]+$", 1).alias("lang"),
-        "source",
-        F.monotonically_increasing_id().alias("line_no"),
-        F.make_valid_utf8("value").alias("line"),
-        F.is_valid_utf8("value").alias("valid_utf8"))
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.txt")
+             .option("recursiveFileLookup", "false").load(paths).select("path", "content"))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    named = files.select(language_of_path(F.col("path")).alias("lang"), F.col("path").alias("source"),
+                         F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), text.alias("text"),
+                         F.is_valid_utf8(F.col("content").cast("string")).alias("valid_utf8"))
+    # a text that ends with a line break has no further, empty line
+    body = F.regexp_replace("text", rf"(?:{LINE_BREAK})\z", "")
+    return (named.filter(F.length("text") > 0)
+            .select("lang", "source", F.xxhash64("lang", "name").alias("doc_id"), "valid_utf8",
+                    F.posexplode(F.split(body, LINE_BREAK, -1)).alias("line_no", "line"))
+            .select("lang", "source", "doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line", "valid_utf8"))
+
+
+def language_of_path(path):
+    """Name of a file's folder; paths come URL-encoded from the file source."""
+    folder = F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1)
+    # '+' is a plain character in a path, but a blank in url_decode
+    return F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
 
 
 def read_nonempty_lines(spark: SparkSession, path: str) -> DataFrame:
-    """R2: ``line.strip()`` of every line whose stripped form is non-empty."""
-    df = spark.read.text(path).select(tx.ustrip("value").alias("line"))
+    """R2: ``line.strip()`` of every line whose stripped form is non-empty;
+    invalid UTF-8 is repaired with U+FFFD."""
+    df = spark.read.text(path).select(tx.ustrip(F.make_valid_utf8("value")).alias("line"))
     return df.filter(F.length("line") > 0)
 
 
@@ -116,14 +122,19 @@ def read_gold_tsv(spark: SparkSession, path: str) -> DataFrame:
     the missing columns.  Words ``NA``/``null`` are kept as text.
     """
     if not _fs_exists(spark, path):
-        raise FileNotFoundError(f"Gold morpheme file not found: {path}")
+        raise FileNotFoundError(f"no gold segmentation at {path}")
     df = (spark.read.option("header", True).option("sep", "\t")
           .option("nullValue", "\u0000never\u0000").csv(path))
     missing = {"word", "segments"} - set(df.columns)
     if missing:
-        raise ValueError(f"Gold file is missing columns: {sorted(missing)}")
+        raise ValueError(f"{path} needs the columns word and segments; absent: {sorted(missing)}")
     return df.select(tx.ustrip(F.coalesce("word", F.lit(""))).alias("word"),
-                     tx.ustrip(F.coalesce("segments", F.lit(""))).alias("segments"))
+                     tx.split_segments(F.coalesce("segments", F.lit(""))).alias("segments"))
+
+
+def gold_language(path: str) -> str:
+    """Language of a gold file, from its name ``<lang>_gold.tsv``."""
+    return path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".tsv").removesuffix("_gold")
 
 
 METRICS_SCHEMA = T.StructType([

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.sources.corpus import language_of_path
 
 
 def stream_language_files(spark: SparkSession, raw_dir: str, max_files_per_trigger: int = 100) -> DataFrame:
@@ -22,7 +23,7 @@ def stream_language_files(spark: SparkSession, raw_dir: str, max_files_per_trigg
           .option("maxFilesPerTrigger", max_files_per_trigger)
           .load(f"{raw_dir.rstrip('/')}/*/"))
     return df.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("lang"),
+        language_of_path(F.col("_metadata.file_path")).alias("lang"),
         F.col("_metadata.file_path").alias("source"),
         F.make_valid_utf8("value").alias("line"))
 

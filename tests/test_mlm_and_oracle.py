@@ -47,7 +47,27 @@ def test_hash01_matches_md5(spark):
     assert math.isclose(v, int(h[:8], 16) / 4294967296.0)
 
 
-CHEAP = ["corpus_lines", "clean_lines", "good_lines", "untag_lines", "line_words", "pretokens",
+def test_ids_by_join_and_collated_batches(spark):
+    rows = [(i, 0, ["the"] * (i % 5) + ["cat", "?"]) for i in range(20)] + [(20, 0, [])]
+    df = spark.createDataFrame(rows, "doc_id long, line_no long, tokens array<string>")
+    vocab = spark.createDataFrame([("the", 7), ("cat", 9)], "piece string, id int")
+    ids = mlm.ids_by_join(df, "tokens", vocab, ["doc_id", "line_no"])
+    got = {r["doc_id"]: r["ids"] for r in ids.collect()}
+    assert got == {i: [{"the": 7, "cat": 9}.get(t, 1) for t in toks] for i, _, toks in rows}
+    masked = mlm.mask(mlm.examples(ids, F.col("ids"), 10), 10, probability=0.5)
+    for by_length in (False, True):
+        out = mlm.batches(masked, 4, by_length=by_length).orderBy("batch_id", "position").collect()
+        assert [(r["batch_id"], r["position"]) for r in out] == [(i // 4, i % 4) for i in range(21)]
+        for r in out:
+            n = len(r["masked_ids"])
+            pad = r["batch_len"] - n
+            assert list(r["padded_ids"]) == list(r["masked_ids"]) + [0] * pad
+            assert list(r["padded_labels"]) == list(r["labels"]) + [-100] * pad
+            assert list(r["padded_mask"]) == [1] * n + [0] * pad
+    assert [len(r["masked_ids"]) for r in out] == sorted(len(r["masked_ids"]) for r in out)
+
+
+CHEAP = ["wordpiece_encode", "benchmark_coverage", "mlm_masked", "mlm_batches_by_length", "gold_segments", "corpus_lines", "clean_lines", "good_lines", "untag_lines", "line_words", "pretokens",
          "split_lines", "split_summary", "encoded_lines", "tokenizer_report", "boundary_summary",
          "word_frequency", "bpe_pair_counts", "mlm_batches", "unigram_seed"]
 
@@ -56,7 +76,8 @@ def test_registered_queries_match_oracle(spark, sf001):
     duckdb = pytest.importorskip("duckdb")
     import __spark_entry__ as entry
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf001}/documents.parquet')")
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf001}/{t}.parquet')")
     qs, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(qs)
 

@@ -2,15 +2,18 @@
 encoding against the library for the same vocabulary, Unigram properties."""
 import json
 import math
+import random
 import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import bpe
+from tessera.operators import bpe, metrics
 from tessera.operators import unigram as ug
+from tessera.operators.metrics import token_counts, tokenizer_report
 from tessera.operators.wordpiece import WordPieceTokenizer, wordpiece_word
 from tessera.plans.corpus import Corpus
+from tessera.sources.models import load_tokenizers
 
 SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
 
@@ -20,39 +23,106 @@ def train_lines(spark, sf001):
     return Corpus(spark, sf001).split("train")
 
 
-def test_bpe_equals_library(spark, train_lines):
+def library_bpe(texts, vocab_size, min_frequency=2):
     tokenizers = pytest.importorskip("tokenizers")
     from tokenizers import models, normalizers, pre_tokenizers, trainers
-    texts = [r["text"] for r in train_lines.select("text").collect()]
-    wf = bpe.word_frequency(train_lines, "text")
-    m = bpe.train_bpe(wf, vocab_size=300, min_frequency=2)
     tok = tokenizers.Tokenizer(models.BPE(unk_token="[UNK]"))
     tok.normalizer = normalizers.Sequence([normalizers.NFC()])
     tok.pre_tokenizer = pre_tokenizers.Whitespace()
-    tok.train_from_iterator(texts, trainers.BpeTrainer(vocab_size=300, min_frequency=2,
+    tok.train_from_iterator(texts, trainers.BpeTrainer(vocab_size=vocab_size, min_frequency=min_frequency,
                                                        special_tokens=SPECIALS, show_progress=False))
-    js = json.loads(tok.to_str())
-    lib = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in js["model"]["merges"]]
-    assert m.merges == lib
-    assert m.vocab == [t for t, _ in sorted(js["model"]["vocab"].items(), key=lambda kv: kv[1])]
+    js = json.loads(tok.to_str())["model"]
+    merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in js["merges"]]
+    return tok, merges, [t for t, _ in sorted(js["vocab"].items(), key=lambda kv: kv[1])]
+
+
+def encoded(spark, tok, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    return [r["tokens"] for r in tok.encode_lines(df, "t").orderBy("k").collect()]
+
+
+TRICKY = ["unseen \u2603 symbol", "a [MASK] b", "x[SEP]y ([UNK])", "Cafe\u0301 de\u0301ja\u0300 vu", "", "[MASK[MASK]]", "\u212b \ufb01"]
+
+
+def test_bpe_equals_library(spark, train_lines):
+    texts = [r["text"] for r in train_lines.select("text").collect()]
+    m = bpe.train_bpe(bpe.word_frequency(train_lines, "text"), vocab_size=2100, max_pairs=3000)
+    tok, merges, vocab = library_bpe(texts, 2100)
+    assert m.merges == merges and m.vocab == vocab and len(merges) > 1900
     enc = bpe.BpeTokenizer(m, spark)
-    sample = texts[:100] + ["unseen ☃ symbol"]
-    got = [r[0] for r in spark.createDataFrame([(t,) for t in sample], "t string")
-           .select(enc.encode_text(F.col("t"))).collect()]
+    sample = texts[:100] + TRICKY
+    got = encoded(spark, enc, sample)
     assert [g[1:-1] for g in got] == [tok.encode(t).tokens for t in sample]
     assert all(g[0] == "[CLS]" and g[-1] == "[SEP]" for g in got)
     d = tempfile.mkdtemp(prefix="tessera-bpe-")
     m.save(spark, d)
     back = bpe.BpeModel.load(spark, d)
-    assert back.vocab == m.vocab and back.merges == m.merges
+    assert (back.vocab, back.merges, back.special_tokens, back.unk_token) == (m.vocab, m.merges, SPECIALS, "[UNK]")
+
+
+def test_bpe_ties_equal_library(spark):
+    """Small alphabets, equal counts, self-pairs, strings made twice, few pairs held."""
+    rng = random.Random(8)
+    for k in range(5):
+        texts = [" ".join("".join(rng.choice("abcd"[: 2 + k % 3]) for _ in range(rng.randrange(1, 9)))
+                          for _ in range(rng.randrange(1, 14))) for _ in range(8)]
+        df = spark.createDataFrame([(t,) for t in texts], "text string")
+        m = bpe.train_bpe(bpe.word_frequency(df, "text"), vocab_size=40, min_frequency=1 + k % 2, max_pairs=[1, 2, 5, 50, 5000][k])
+        assert m.merges == library_bpe(texts, 40, 1 + k % 2)[1], texts
+
+
+def test_bpe_long_word_equals_plain_merging():
+    rng = random.Random(9)
+    merges = [("a", "b"), ("b", "a"), ("a", "a"), ("ab", "ab"), ("aa", "b"), ("ba", "aa"), ("abab", "a")]
+    ranks = {p: i for i, p in enumerate(merges)}
+    vocab = {"a", "b"} | {x + y for x, y in merges}
+    for _ in range(300):
+        syms = [rng.choice("abz") for _ in range(rng.randrange(40))]
+        want = [c if c in vocab else "[UNK]" for c in syms]
+        while True:
+            found = [(ranks[p], i) for i, p in enumerate(zip(want, want[1:])) if p in ranks]
+            if not found:
+                break
+            _, i = min(found)
+            want[i:i + 2] = [want[i] + want[i + 1]]
+        assert bpe.bpe_encode_word("".join(syms), ranks, vocab) == want
+    assert "".join(bpe.bpe_encode_word("ab" * 100_000, ranks, vocab)) == "ab" * 100_000
 
 
-def test_bpe_self_pairs_and_ties(spark):
+def test_reports_encode_as_texts_are_encoded(spark):
+    """Per-pre-token encoding sees the same NFC text and special tokens as encode_text."""
+    m = bpe.BpeModel(SPECIALS + ["ca", "c", "a", "f", "\u00e9", "caf", "caf\u00e9"], [("c", "a"), ("ca", "f"), ("caf", "\u00e9")])
+    tok = bpe.BpeTokenizer(m, spark, add_special_tokens=False)
+    lines = spark.createDataFrame([("cafe\u0301 [MASK] cafe",)], "text string")
+    assert encoded(spark, tok, ["cafe\u0301 [MASK] cafe"]) == [["caf\u00e9", "[MASK]", "caf", "[UNK]"]]
+    r = tokenizer_report(lines, [tok], {"bpe": m.vocab_df(spark)}).filter("language = 'all'").first()
+    assert (r["fertility"], r["unk_rate"]) == (round(4 / 3, 9), 0.25)
+    counts = {x["token"]: x["n"] for x in token_counts(lines, [tok]).collect()}
+    assert counts == {"caf\u00e9": 1, "[MASK]": 1, "caf": 1, "[UNK]": 1}
+
+
+def test_report_encodes_once_per_tokenizer(spark, monkeypatch):
+    m = bpe.BpeModel(SPECIALS + ["a", "b"], [])
+    toks = [bpe.BpeTokenizer(m, spark, "one"), bpe.BpeTokenizer(m, spark, "two")]
+    plans = []
+    real = metrics.materialize
+
+    def spy(df, name, *a):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return real(df, name, *a)
+
+    monkeypatch.setattr(metrics, "materialize", spy)
+    lines = spark.createDataFrame([("ab ba",)], "text string")
+    tokenizer_report(lines, toks, {t.name: m.vocab_df(spark) for t in toks}).collect()
+    assert dict(plans)["report_encodings"].count("ArrowEvalPython") == 2
+
+
+def test_bpe_self_pairs(spark):
     wf = spark.createDataFrame([("aaa", 5), ("aa", 3), ("ab", 4), ("ba", 4)], "word string, freq long")
     m = bpe.train_bpe(wf, vocab_size=5 + 2 + 3, min_frequency=1)
     # (a,a) counts 5*2+3 = 13 and is merged alone first
     assert m.merges[0] == ("a", "a")
-    assert bpe.bpe_encode_word("aaaa", {p: i for i, p in enumerate(m.merges)}, set(m.vocab)) [0] == "aa"
+    assert bpe.bpe_encode_word("aaaa", {p: i for i, p in enumerate(m.merges)}, set(m.vocab))[0] == "aa"
 
 
 def test_wordpiece_matches_library(spark):
@@ -68,6 +138,46 @@ def test_wordpiece_matches_library(spark):
     assert list(r) == ["un", "##aff", "##able", "a", "##b", "[UNK]"]
 
 
+def test_wordpiece_too_large_to_broadcast(spark):
+    vocab = spark.createDataFrame([(v,) for v in ["un", "##aff", "##able", "aff", "a", "##b", "b", "[UNK]"]], "piece string")
+    texts = ["unaffable ab abc", "", "a a [MASK] b", "b" * 101]
+    small = WordPieceTokenizer(vocab, spark, add_special_tokens=True)
+    large = WordPieceTokenizer(vocab, spark, add_special_tokens=True, max_broadcast=2)
+    assert large.joined and not small.joined
+    assert encoded(spark, large, texts) == encoded(spark, small, texts)
+    words = spark.createDataFrame([("unaffable",), ("abc",), ("x",)], "pretoken string")
+    assert sorted(map(tuple, large.encode_distinct(words).collect())) == sorted(map(tuple, small.encode_distinct(words).collect()))
+    with pytest.raises(ValueError):
+        large.encode_text(F.col("t"))
+
+
+def test_unigram_ends_with_more_characters_than_it_may_have(spark):
+    alphabet = [chr(0x4e00 + i) for i in range(62)]
+    wf = spark.createDataFrame([(a + b, 3) for a, b in zip(alphabet, alphabet[1:])], "word string, freq long")
+    model = ug.train_unigram(wf, vocab_size=40, seed_size=100)
+    assert sorted(p for p, _ in model.pieces[5:]) == alphabet
+
+
+def test_unigram_prune_leaves_out_the_piece_itself(spark):
+    wf = spark.createDataFrame([("abab", 4), ("ab", 9), ("ba", 1)], "word string, freq long")
+    logp = {"a": -3.0, "b": -3.0, "ab": -1.0, "abab": -2.5, "ba": -9.0}
+    # abab falls apart into two ab at little loss; ab is what the words are made of
+    assert sorted(ug.prune(wf, logp, 3, 16, ["a", "b"])) == ["a", "ab", "b"]
+
+
+def test_unigram_save_and_load(spark):
+    model = ug.UnigramModel([(s, 0.0) for s in SPECIALS] + [("a", -1.0), ("abcdefghijklmnopqrst", -1.5), ("b", -2.0)],
+                            unk_token="[UNK]", max_piece_len=20)
+    d = tempfile.mkdtemp(prefix="tessera-unigram-")
+    model.save(spark, d)
+    back = ug.UnigramModel.load(spark, d)
+    texts = ["abcdefghijklmnopqrst a zz", "[MASK] ab"]
+    want = encoded(spark, ug.UnigramTokenizer(model, spark), texts)
+    assert want[0] == ["[CLS]", "abcdefghijklmnopqrst", "a", "zz", "[SEP]"]
+    assert encoded(spark, load_tokenizers(spark, {"u": d})["u"], texts) == want
+    assert back == ug.UnigramModel(model.pieces, "[UNK]", 20)
+
+
 def test_unigram_viterbi_matches_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     pieces = [("[UNK]", 0.0), ("a", -2.0), ("b", -2.5), ("ab", -3.0), ("abc", -6.0), ("c", -3.0), ("bc", -4.5)]

@@ -3,8 +3,11 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
+from tessera.operators import boundaries as bd
+from tessera.operators import tokenizers as tk
+from tessera.operators.split import split_summary
+from tessera.plans.corpus import prepare_corpus
 from tessera.sinks import io
 from tessera.sources import corpus as src
 
@@ -14,50 +17,76 @@ def scratch():
     return tempfile.mkdtemp(prefix="tessera-test-")
 
 
+def write(path, data):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as f:
+        f.write(data if isinstance(data, bytes) else data.encode())
+
+
 def test_language_files(spark, scratch):
-    os.makedirs(f"{scratch}/raw/twi/nested")
-    os.makedirs(f"{scratch}/raw/ewe")
-    with open(f"{scratch}/raw/twi/a.txt", "wb") as f:
-        f.write("﻿one\r\ntwo\rthree\n\nfour \xff\n".encode("utf-8").replace(b"\xc3\xbf", b"\xff"))
-    with open(f"{scratch}/raw/twi/notes.md", "w") as f:
-        f.write("skip me\n")
-    with open(f"{scratch}/raw/twi/nested/b.txt", "w") as f:
-        f.write("nested\n")
-    with open(f"{scratch}/raw/ewe/c.txt", "w") as f:
-        f.write("ewe line\n")
-    with pytest.warns(UserWarning):
-        df = src.read_language_files(spark, f"{scratch}/raw", ["twi", "ewe", "dagbani"])
-    rows = df.orderBy("lang", "line_no").collect()
-    by_lang = {}
-    for r in rows:
-        by_lang.setdefault(r["lang"], []).append(r)
-    assert [r["line"] for r in by_lang["ewe"]] == ["ewe line"]
-    twi = [r["line"] for r in by_lang["twi"]]
-    assert "nested" not in twi and "skip me" not in twi
-    assert twi[1:4] == ["two", "three", ""]
-    assert any("�" in x for x in twi) and not all(r["valid_utf8"] for r in by_lang["twi"])
-
-
-def test_gold_tsv_checks(spark, scratch):
-    p = f"{scratch}/g_gold.tsv"
-    with open(p, "w") as f:
-        f.write("word\tsegments\nsukuufoɔ\tsukuu|foɔ\nNA\tN|A\nnull\tnull\n")
-    rows = src.read_gold_tsv(spark, p).collect()
-    assert [r["word"] for r in rows] == ["sukuufoɔ", "NA", "null"]
-    bad = f"{scratch}/bad.tsv"
-    with open(bad, "w") as f:
-        f.write("word\tsegs\nx\ty\n")
+    write(f"{scratch}/raw/north side/a.txt", b"one\r\ntwo\rthree\n\nfour \xff\n")
+    write(f"{scratch}/raw/north side/notes.md", "skip me\n")
+    write(f"{scratch}/raw/north side/nested/b.txt", "nested\n")
+    write(f"{scratch}/raw/a+b/c.txt", "\ufefflast line")
+    write(f"{scratch}/raw/a+b/empty.txt", "")
+    with pytest.warns(UserWarning, match="south"):
+        df = src.read_language_files(spark, f"{scratch}/raw", ["north side", "a+b", "south"])
+    rows = [tuple(r) for r in df.select("lang", "line_no", "line", "valid_utf8").orderBy("lang", "line_no").collect()]
+    assert rows == [("a+b", 0, "\ufefflast line", True)] + [
+        ("north side", i, x, False) for i, x in enumerate(["one", "two", "three", "", "four \ufffd"])]
+    assert src.read_language_files(spark, f"{scratch}/raw", []).count() == 0
+
+
+def test_files_to_split_files(spark, scratch):
+    """Three languages of raw files end up in the same splits, however they are partitioned."""
+    for lang in ("xa", "xb", "xc"):
+        for k in range(3):
+            write(f"{scratch}/raw/{lang}/{k}.txt", "".join(f"{i}. {lang} line {k} {i}\n" for i in range(40)) + "!!\n7.\n")
+    lines = src.read_language_files(spark, f"{scratch}/raw", ["xa", "xb", "xc"])
+    found = []
+    for parts in (1, 4, 64):
+        split = prepare_corpus(lines.repartition(parts))
+        found.append(sorted((r["text"], r["split"]) for r in split.select("text", "split").collect()))
+        assert {r["split"]: r["n_lines"] for r in split_summary(split).collect()} == {"train": 288, "valid": 36, "test": 36}
+    assert found[0] == found[1] == found[2] and len(found[0]) == 360
+    io.write_splits(split, f"{scratch}/out")
+    for name in ("train", "valid", "test"):
+        back = sorted(r["text"] for r in src.read_split_text(spark, f"{scratch}/out", name).collect())
+        assert back == [t for t, s in found[0] if s == name]
+        assert all(t.startswith(("<xa> xa line", "<xb> xb line", "<xc> xc line")) for t in back)
+
+
+def test_nonempty_lines(spark, scratch):
+    write(f"{scratch}/l.txt", b"  a \n\n\xc2\xa0\nb\xff\n")
+    assert [r["line"] for r in src.read_nonempty_lines(spark, f"{scratch}/l.txt").collect()] == ["a", "b\ufffd"]
+
+
+def test_gold_file_to_boundary_tables(spark, scratch):
+    path = f"{scratch}/xa_gold.tsv"
+    write(path, "word\tsegments\nunlocked\t un|lock|ed \nNA\tN|A\nnull\tnull\n")
+    gold = src.read_gold_tsv(spark, path)
+    assert [tuple(r) for r in gold.collect()] == [("unlocked", ["un", "lock", "ed"]), ("NA", ["N", "A"]), ("null", ["null"])]
+    language = src.gold_language(path)
+    assert language == "xa"
+    words = bd.score_words(gold, [tk.Chunk3Tokenizer(), tk.PretokTokenizer()])
+    io.write_boundary_csvs(words.repartition(3), bd.macro_summary(words), f"{scratch}/b", language)
+    back = spark.read.option("header", True).csv(f"{scratch}/b/word_level")
+    assert {r["language"] for r in back.collect()} == {"xa"} and back.count() == 6
+    cut = back.filter("tokenizer = 'chunk3' and word = 'unlocked'").first()
+    assert (cut["gold_boundaries"], cut["predicted_boundaries"], cut["f1"]) == ("2,6", "3,6", "0.5")
+    assert spark.read.option("header", True).csv(f"{scratch}/b/summary").count() == 2
+    write(f"{scratch}/bad.tsv", "word\tsegs\nx\ty\n")
     with pytest.raises(ValueError, match="segments"):
-        src.read_gold_tsv(spark, bad)
+        src.read_gold_tsv(spark, f"{scratch}/bad.tsv")
     with pytest.raises(FileNotFoundError):
         src.read_gold_tsv(spark, f"{scratch}/missing.tsv")
 
 
 def test_split_and_metrics_round_trip(spark, scratch):
-    df = spark.createDataFrame([("<tw> a", "train"), ("<tw> b", "test"), ("<ee> c", "valid")],
+    df = spark.createDataFrame([("<xa> a", "train"), ("<xa> b", "test"), ("<xb> c", "valid")],
                                "text string, split string")
     io.write_splits(df, f"{scratch}/splits")
-    assert sorted(r["text"] for r in src.read_split_text(spark, f"{scratch}/splits", "train").collect()) == ["<tw> a"]
+    assert sorted(r["text"] for r in src.read_split_text(spark, f"{scratch}/splits", "train").collect()) == ["<xa> a"]
     rep = spark.createDataFrame([("all", "t", 3, 1.0, 2.0, 0.0, 0.5, 1.5, 1.0, 2.0)],
                                 src.METRICS_SCHEMA)
     io.write_metrics_csv(rep, f"{scratch}/m")

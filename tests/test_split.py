@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from tessera.operators import split as sp
-from tessera.operators.ranking import global_rank, hash_key
+from tessera.operators.ranking import global_rank, hash_key, labelled_cut
 
 
 def test_sizes_disjoint_and_partition_independent(spark):
@@ -35,3 +35,18 @@ def test_global_rank_is_permutation(spark):
     base = spark.range(0, 300).withColumn("h", hash_key(7, "id"))
     ranks = sorted(r["rank"] for r in global_rank(base, "h", ["id"]).collect())
     assert ranks == list(range(300))
+
+
+def test_labelling_has_no_exchange_and_odd_sizes(spark):
+    base = spark.range(0, 5000).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("line_no"))
+    plan = sp.exact_split(base, ["doc_id", "line_no"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    for n in (0, 1, 2, 9, 10):
+        rows = sp.exact_split(base.limit(n), ["doc_id", "line_no"]).collect()
+        assert [sum(r["split"] == s for r in rows) for s in ("train", "valid", "test")] == list(sp.split_sizes(n))
+
+
+def test_equal_hashes_are_cut_by_the_key(spark):
+    df = spark.range(0, 40).select(F.lit("a" * 32).alias("h"), "id")
+    out = {r["id"]: r["split"] for r in labelled_cut(df, "h", ["id"], [10, 30], ["x", "y", "z"]).collect()}
+    assert [out[i] for i in range(40)] == ["x"] * 10 + ["y"] * 20 + ["z"] * 10

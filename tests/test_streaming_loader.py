@@ -13,17 +13,17 @@ from tessera.streaming.cleaning import start_prepare
 
 def test_stream_equals_batch(spark):
     d = tempfile.mkdtemp(prefix="tessera-stream-")
-    os.makedirs(f"{d}/raw/twi")
-    lines = ["12. Awurade yɛ me hwɛfoɔ", "  ", "7.", "Café  au lait", "ab"]
-    with open(f"{d}/raw/twi/a.txt", "w") as f:
+    os.makedirs(f"{d}/raw/north side")
+    lines = ["12. Cafe\u0301 by the river", "  ", "7.", "Two  wide rivers", "ab"]
+    with open(f"{d}/raw/north side/a.txt", "w") as f:
         f.write("\n".join(lines) + "\n")
     q = start_prepare(spark, f"{d}/raw", f"{d}/out", f"{d}/ckpt")
     q.awaitTermination(120)
     got = sorted(r["text"] for r in spark.read.parquet(f"{d}/out").collect())
-    batch = spark.createDataFrame([(0, "twi", i, s) for i, s in enumerate(lines)],
+    batch = spark.createDataFrame([(0, "north side", i, s) for i, s in enumerate(lines)],
                                   "doc_id long, lang string, line_no long, line string")
     exp = sorted(r["text"] for r in prepare_lines(batch).collect())
-    assert got == exp == ["<twi> Awurade yɛ me hwɛfoɔ", "<twi> Café au lait"]
+    assert got == exp == ["<north side> Caf\u00e9 by the river", "<north side> Two wide rivers"]
 
 
 def test_loader_skips_missing(spark):
@@ -31,7 +31,7 @@ def test_loader_skips_missing(spark):
     m = BpeModel(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "a", "b", "ab"], [("a", "b")])
     m.save(spark, f"{d}/bpe")
     with pytest.warns(UserWarning):
-        toks = load_tokenizers(spark, {"custom_bpe": f"{d}/bpe", "custom_unigram": f"{d}/missing"})
-    assert list(toks) == ["custom_bpe"]
-    r = spark.createDataFrame([("abab ba",)], "t string").select(toks["custom_bpe"].encode_text(F.col("t"))).first()[0]
+        toks = load_tokenizers(spark, {"mine": f"{d}/bpe", "other": f"{d}/missing"})
+    assert list(toks) == ["mine"]
+    r = spark.createDataFrame([("abab ba",)], "t string").select(toks["mine"].encode_text(F.col("t"))).first()[0]
     assert list(r) == ["[CLS]", "ab", "ab", "b", "a", "[SEP]"]

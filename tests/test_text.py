@@ -1,95 +1,72 @@
-"""Per-row functions against plain-Python statements of the same rules."""
-import unicodedata
-
-import regex
+"""Text functions: inputs and results written out by hand."""
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 
 
-def py_clean(t, lower=False):
-    t = unicodedata.normalize("NFC", t).strip()
-    if lower:
-        t = t.lower()
-    t = regex.sub(r"\s+", " ", t)
-    return regex.sub(r"^\d+[\.:]\s*", "", t)
-
-
-def py_good(t, n=3):
-    return len(t.strip()) >= n and bool(regex.search(r"\p{L}", t))
-
-
-def py_untag(t):
-    return regex.sub(r"^<[^>]+>\s*", "", t).strip()
-
-
-def py_tag(t):
-    return t[1:t.index(">")] if t.startswith("<") and ">" in t else "unknown"
+def run(spark, fn, values):
+    df = spark.createDataFrame(list(enumerate(values)), "k int, t string")
+    return [r[1] for r in df.select("k", fn(F.col("t"))).orderBy("k").collect()]
 
 
-def py_words(t):
-    return regex.findall(r"\p{L}+(?:['’\-]\p{L}+)*", py_untag(t))
+@pytest.mark.parametrize("raw, clean", [
+    ("7. Seven pots", "Seven pots"), ("2:10 first", "10 first"), ("3.14 round", "14 round"), (" 9:  nine", "nine"),
+    ("\u3000two\u2003\u2003wide\u00a0", "two wide"), ("e\u0301te\u0301", "\u00e9t\u00e9"), ("tab\tand\x0bfeed", "tab and feed"),
+    ("\x1cunit\x1f", "unit"), ("12", "12"), ("12.", ""), ("", ""), (" \n ", ""), ("\u0663. third", "third")])
+def test_clean_line(spark, raw, clean):
+    assert run(spark, tx.clean_line, [raw]) == [clean]
 
 
-def py_marker(t):
-    return t.replace("##", "").replace("▁", "").replace("Ġ", "").strip()
+def test_clean_line_in_lower_case(spark):
+    assert run(spark, lambda c: tx.clean_line(c, True), ["4. RIVER \u00c9tang"]) == ["river \u00e9tang"]
 
 
-LINES = [
-    "12. Hello world", "3:16 In the beginning", "   padded\t", "a  b  c",
-    "Café au lait", "7.", "2024 - 10", "ab", " 5. five", "  ", "",
-    "<fr> bonjour", "<fr><de> y", "<> x", "<unclosed text", "no tag here", "<fr> 123",
-    "don't stop-it now’s", "ɔkyerɛkyerɛni", "x\x1cy\x1f", "　wide　",
-]
+def test_good_lines(spark):
+    assert run(spark, tx.is_good_line, ["cat", "ca", " ca ", "123", "1 a", "\u6c34\u6c34\u6c34", "..!"]) == [
+        True, False, False, False, True, True, False]
 
 
-def test_clean_good_tags_words(spark):
-    df = spark.createDataFrame([(s,) for s in LINES], "t string")
-    rows = df.select(
-        "t", tx.clean_line(F.col("t")).alias("c"), tx.clean_line(F.col("t"), True).alias("cl"),
-        tx.is_good_line(tx.clean_line(F.col("t"))).alias("g"),
-        tx.strip_language_tag(F.col("t")).alias("u"), tx.language_tag(F.col("t")).alias("lang"),
-        tx.simple_words(F.col("t")).alias("w"), tx.ustrip(F.col("t")).alias("s")).collect()
-    for r in rows:
-        t = r["t"]
-        assert r["c"] == py_clean(t), t
-        assert r["cl"] == py_clean(t, True), t
-        assert r["g"] == py_good(py_clean(t)), t
-        assert r["u"] == py_untag(t), t
-        assert r["lang"] == py_tag(t), t
-        assert list(r["w"]) == py_words(t), t
-        assert r["s"] == t.strip(), t
+def test_tags(spark):
+    lines = ["<xa> sun", "<xa><xb> moon", "<> star", "<open sky", "bare", "<xa>", "< xa > gap", "a <xa> later"]
+    assert run(spark, tx.language_tag, lines) == ["xa", "xa", "", "unknown", "unknown", "xa", " xa ", "unknown"]
+    assert run(spark, tx.strip_language_tag, lines) == [
+        "sun", "<xb> moon", "<> star", "<open sky", "bare", "", "gap", "a <xa> later"]
+    assert run(spark, lambda c: tx.render_tag(F.lit("xa"), c), ["sun"]) == ["<xa> sun"]
 
 
-def test_verse_rule_keeps_second_number(spark):
-    df = spark.createDataFrame([("3:16 x",), ("3.14 x",)], "t string")
-    assert [r[0] for r in df.select(tx.clean_line(F.col("t"))).collect()] == ["16 x", "14 x"]
+def test_words_and_pretokens(spark):
+    assert run(spark, tx.simple_words, ["<xa> rock-pool's edge, 2nd isn\u2019t -x-"]) == [
+        ["rock-pool's", "edge", "nd", "isn\u2019t", "x"]]
+    assert run(spark, tx.pretokens, ["Well, now!! it's 3.5 a_b"]) == [
+        ["Well", ",", "now", "!!", "it", "'", "s", "3", ".", "5", "a_b"]]
+    with_specials = lambda c: tx.pretokens_with_specials(c, ["[MASK]", "[SEP]"])
+    assert run(spark, with_specials, ["a[MASK]b ([SEP]) [x]"]) == [
+        ["a", "[MASK]", "b", "(", "[SEP]", ")", "[", "x", "]"]]
+    assert run(spark, lambda c: tx.pretokens_with_specials(c, []), ["a[MASK]"]) == [["a", "[", "MASK", "]"]]
+    assert run(spark, tx.characters, ["a\U0001f642\u00e9"]) == [["a", "\U0001f642", "\u00e9"]]
 
 
-def test_double_tag_and_empty_tag(spark):
-    df = spark.createDataFrame([("<fr><de> y",), ("<> x",)], "t string")
-    r = df.select(tx.language_tag("t").alias("l"), tx.strip_language_tag("t").alias("u")).collect()
-    assert (r[0]["l"], r[0]["u"]) == ("fr", "<de> y")
-    assert (r[1]["l"], r[1]["u"]) == ("", "<> x")
+def test_pieces(spark):
+    pieces = ["##ing", "\u2581sea", "\u0120land", "##", "[SEP]", "<s>", "in##side", " x "]
+    assert run(spark, tx.clean_subword_marker, pieces) == ["ing", "sea", "land", "", "[SEP]", "<s>", "inside", "x"]
+    assert run(spark, tx.clean_token, pieces) == ["ing", "sea", "land", "", "", "", "inside", "x"]
+    df = spark.createDataFrame([(pieces,)], "p array<string>")
+    assert df.select(tx.clean_pieces(F.col("p"), True)).first()[0] == ["ing", "sea", "land", "inside", "x"]
 
 
-def test_markers_and_specials(spark):
-    toks = ["##ab", "▁x", "Ġy", "###", "#▁#", "[CLS]", "<s>", "▁", "a##b"]
-    df = spark.createDataFrame([(toks,)], "p array<string>")
-    r = df.select(F.transform("p", tx.clean_subword_marker).alias("a"),
-                  F.transform("p", tx.clean_token).alias("b"),
-                  tx.clean_pieces(F.col("p"), True).alias("c")).first()
-    assert list(r["a"]) == [py_marker(t) for t in toks]
-    specials = set(tx.BOUNDARY_SPECIAL_TOKENS)
-    assert list(r["b"]) == ["" if t in specials else py_marker(t) for t in toks]
-    assert list(r["c"]) == [x for x in r["b"] if x]
+def test_templates_and_segments(spark):
+    df = spark.createDataFrame([(["q"], ["r", "s"])], "a array<string>, b array<string>")
+    single = df.select(tx.template_single(F.col("a"))).first()[0]
+    pair = df.select(*tx.template_pair(F.col("a"), F.col("b"))).first()
+    assert single == ["[CLS]", "q", "[SEP]"]
+    assert list(pair) == [["[CLS]", "q", "[SEP]", "r", "s", "[SEP]"], [0, 0, 0, 1, 1, 1]]
+    assert run(spark, tx.split_segments, [" un|do|ing ", "whole"]) == [["un", "do", "ing"], ["whole"]]
 
 
-def test_pretokens_and_templates(spark):
-    df = spark.createDataFrame([("Hello, world!! it's 3.5",)], "t string")
-    r = df.select(tx.pretokens("t").alias("p")).first()
-    assert list(r["p"]) == ["Hello", ",", "world", "!!", "it", "'", "s", "3", ".", "5"]
-    toks, types = tx.template_pair(F.array(F.lit("a")), F.array(F.lit("b"), F.lit("c")))
-    r = df.select(toks.alias("t"), types.alias("y")).first()
-    assert list(r["t"]) == ["[CLS]", "a", "[SEP]", "b", "c", "[SEP]"]
-    assert list(r["y"]) == [0, 0, 0, 1, 1, 1]
+def test_a_filter_on_the_language_reaches_the_scan(spark, sf001):
+    from tessera.plans.corpus import prepare_lines
+    from tessera.sources.corpus import document_lines
+    docs = spark.read.parquet(f"{sf001}/documents.parquet")
+    plan = prepare_lines(document_lines(docs)).filter("lang = 'fr'")._jdf.queryExecution().toString()
+    assert "EqualTo(lang,fr)" in plan and plan.count("ArrowEvalPython") <= 2  # once in each of two printed plans

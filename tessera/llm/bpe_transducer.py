@@ -6,6 +6,8 @@ import base64
 import gc
 import hashlib
 import re
+import sys
+from array import array
 
 import pandas as pd
 import regex
@@ -17,15 +19,29 @@ from tessera.llm.tables import short_batches, utf8
 
 #: Memory bounds per Python worker: of a full table, what was met least
 #: recently goes and is worked out again when needed.
-MAX_STATES, MAX_PAIRS, MAX_SEGMENTS = 200_000, 500_000, 250_000
+MAX_STATES, MAX_PAIRS, MAX_SEGMENTS = 200_000, 300_000, 150_000
 #: Longer segments are not remembered.
 LONG_SEGMENT = 64
 
+#: Bytes whose steps stand in a dense table, ``DENSE`` to a state; steps on
+#: others are rarer and stand in a dictionary.  A step is a number: the next
+#: state's place in the table, then ``TOKEN_BITS`` of the last token.
+COMMON = b" etaoinshrdlucmfgypwbvkxjqz\xc3\xa9.,"
+DENSE, TOKEN_BITS = 32, 24
+_CLASS = bytes(COMMON.index(b) if b in COMMON else DENSE - 1 for b in range(256))
+_EMPTY = array("q", [-1] * DENSE)
+_TOKEN = (1 << TOKEN_BITS) - 1
+
 # The White_Space characters, which \s means in the public pattern.
 SPACE = "\t\n\v\f\r \x85\xa0  -     　"
-#: Cuts a text where the pattern's matches cannot reach across: a run of
-#: non-spaces with the one space before it, or spaces.
-_SEGMENT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
+#: Cuts a text at ends of the public pattern's matches, which look at nothing
+#: before them.  The first line's parts are such matches as they are, known from
+#: the ASCII character behind them; what begins otherwise is a run of non-spaces
+#: (with the one space before it), which the pattern itself cuts, or of spaces.
+_SEGMENT = re.compile(
+    r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[\0-@\[-`{-\x7f]|\Z)"
+    r"| ?[0-9]+(?=[\0-/:-\x7f]|\Z)| ?[!-/:-@\[-`{-~]+(?=[\t-\r 0-9A-Za-z]|\Z)"
+    f"| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 
 
 def read_ranks(lines) -> dict[bytes, int]:
@@ -57,9 +73,12 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.longest = max(map(len, ranks), default=0)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.edges: dict[tuple[int, int], list[tuple[bytes, float]]] = {}
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.length = {r: len(t) for t, r in ranks.items()}
+        if max(self.bytes_of, default=0) >= _TOKEN:
+            raise ValueError(f"ranks beyond {_TOKEN}")
         self.trie: list[dict[int, int]] = [{}]
         self.token_at: list[int | None] = [None]
         self.depth = [0]
@@ -76,12 +95,13 @@ class Transducer:
             self.token_at[node] = rank
         self._clear()
 
-    def _clear(self, first=((0, None),)):
-        #: A state is ((trie node, last token), ...), the oldest live prefix
-        #: first.  ``steps`` maps 256 * state + byte to 256 * next state and token.
-        self.states = [((0, None),)]
+    def _clear(self, first=(0,)):
+        #: A state has a number for each live prefix, the oldest first: its trie
+        #: node, then TOKEN_BITS of its last token plus one (0: it is empty).
+        self.states = [(0,)]
         self.number = {self.states[0]: 0}
-        self.steps: dict[int, tuple[int, int]] = {}
+        self.table = array("q", _EMPTY)
+        self.others: dict[int, int] = {}
         return self._numbered(first)
 
     def _numbered(self, state) -> int:
@@ -89,23 +109,45 @@ class Transducer:
         if number is None:
             number = self.number[state] = len(self.states)
             self.states.append(state)
+            self.table.extend(_EMPTY)
         return number
 
     def together(self, left: int, right: int) -> bool:
-        """Whether the merges leave ``left, right`` of their joined bytes."""
-        found = self.pairs.get((left, right))
+        """Whether the merges leave ``left, right`` of their joined bytes.
+
+        They don't if a symbol that stands at the end of ``left`` for a while
+        and one that stands at the beginning of ``right`` merge before either is
+        merged into its own token; of equal ranks the leftmost merge is first.
+        """
+        found = self.pairs.get(left << TOKEN_BITS | right)
         if found is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            a, b = self.bytes_of[left], self.bytes_of[right]
-            found = self.pairs[left, right] = self.merged(a + b) == [left, right]
+            rank = self.ranks.get
+            found = self.pairs[left << TOKEN_BITS | right] = not any(
+                (m := rank(x + y)) is not None and m < until_x and m <= until_y
+                for x, until_x in self._edge(left, 1) for y, until_y in self._edge(right, 0))
+        return found
+
+    def _edge(self, token: int, side: int) -> list[tuple[bytes, float]]:
+        """The symbols that stand at one side (0: first, 1: last) of a token in
+        the course of its merges, and the rank that ends each."""
+        found = self.edges.get((token, side))
+        if found is None:
+            data, until = self.bytes_of[token], float("inf")
+            found = self.edges[token, side] = [(data, until)]
+            while len(data) > 1:
+                until = self.ranks[data]
+                data = self.merged(data, 2)[side]
+                found.append((data, until))
         return found
 
-    def merged(self, data: bytes) -> list[int]:
-        """Plain merging by rank, leftmost first (for short strings)."""
+    def merged(self, data: bytes, stop: int = 1) -> list[bytes]:
+        """Plain merging by rank, leftmost first, down to ``stop`` symbols (for
+        short strings)."""
         parts = [data[i:i + 1] for i in range(len(data))]
         ranks = self.ranks
-        while len(parts) > 1:
+        while len(parts) > stop:
             best, at = None, 0
             for i in range(len(parts) - 1):
                 r = ranks.get(parts[i] + parts[i + 1])
@@ -114,27 +156,31 @@ class Transducer:
             if best is None:
                 break
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        return parts
 
     def _first(self, token: int) -> bool:
         """Whether a token can stand at the start: the merges make it."""
-        found = self.pairs.get((-1, token))
+        found = self.pairs.get(~token)
         if found is None:
-            found = self.pairs[-1, token] = self.merged(self.bytes_of[token]) == [token]
+            found = self.pairs[~token] = len(self.merged(self.bytes_of[token])) == 1
         return found
 
-    def _step(self, key: int) -> tuple[int, int]:
-        byte = key & 255
-        moved = [(nxt, before) for node, before in self.states[key >> 8]
-                 if (nxt := self.trie[node].get(byte)) is not None]
+    def _step(self, at: int, byte: int) -> int:
+        """Work out a step from the state whose place in the table is ``at``."""
+        moved = [(nxt, live & _TOKEN) for live in self.states[at // DENSE]
+                 if (nxt := self.trie[live >> TOKEN_BITS].get(byte)) is not None]
         for node, before in moved:  # the oldest prefix has the longest last token
             token = self.token_at[node]
-            if token is not None and self._first(token) and (before is None or self.together(before, token)):
+            if token is not None and self._first(token) and (not before or self.together(before - 1, token)):
                 break
         else:
             raise ValueError(f"no token ends with byte {byte}")
-        nxt = self._numbered((*((n, b) for n, b in moved if self.trie[n]), (0, token)))
-        found = self.steps[key] = nxt << 8, token
+        nxt = self._numbered((*(n << TOKEN_BITS | b for n, b in moved if self.trie[n]), token + 1))
+        found = nxt * DENSE << TOKEN_BITS | token
+        if _CLASS[byte] < DENSE - 1:
+            self.table[at + _CLASS[byte]] = found
+        else:
+            self.others[at << 8 | byte] = found
         return found
 
     def encode(self, data: bytes) -> list[int]:
@@ -146,18 +192,20 @@ class Transducer:
             self._clear()
         ids: list[int] = []
         last: list[int] = []  # last token after each byte not yet emitted
-        state, get, flush = 0, self.steps.get, 64 * self.longest
-        for byte in data:
-            found = get(state + byte)
-            if found is None:
-                found = self._step(state + byte)
-            state, token = found
-            last.append(token)
-            if len(last) > flush:
-                ids += self._agreed(last, state >> 8)
+        at, step = 0, 64 * self.longest
+        for start in range(0, len(data), step):
+            part = data[start:start + step] if len(data) > step else data
+            table, others, rare = self.table, self.others, DENSE - 1
+            for c, byte in zip(part.translate(_CLASS), part):
+                found = table[at + c] if c < rare else others.get(at << 8 | byte, -1)
+                if found < 0:
+                    found = self._step(at, byte)
+                at = found >> TOKEN_BITS
+                last.append(found & _TOKEN)
+            if start + step < len(data):
+                ids += self._agreed(last, at // DENSE)
                 if len(self.states) > MAX_STATES:
-                    state = self._clear(self.states[state >> 8]) << 8
-                    get = self.steps.get
+                    at = self._clear(self.states[at // DENSE]) * DENSE
         return ids + self._back(last, len(last))
 
     def _back(self, last, end: int) -> list[int]:
@@ -173,7 +221,7 @@ class Transducer:
 
     def _agreed(self, last, state: int) -> list[int]:
         """Take off and return the tokens that all live prefixes share."""
-        ends = {len(last) - self.depth[node] for node, _ in self.states[state]}
+        ends = {len(last) - self.depth[live >> TOKEN_BITS] for live in self.states[state]}
         while len(ends) > 1:  # follow the longest prefix back until all meet
             end = max(ends)
             ends.remove(end)
@@ -206,8 +254,7 @@ class Encoder:
     def _segment(self, segment: str) -> bytes:
         ids = self.older.get(segment)
         if ids is None:
-            ids = b"".join(i.to_bytes(4, "little") for m in self.pattern.findall(segment)
-                           for i in self.transducer.encode(utf8(m)))
+            ids = b"".join([self._packed(utf8(m)) for m in self.pattern.findall(segment)])
         if len(segment) <= LONG_SEGMENT:
             if len(self.known) >= MAX_SEGMENTS:
                 self.older, self.known = self.known, {}
@@ -215,6 +262,13 @@ class Encoder:
         return ids
 
 
+    def _packed(self, pretoken: bytes) -> bytes:
+        ids = array("I", self.transducer.encode(pretoken))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+
 class Utf8Stream:
     """Incremental UTF-8: a state machine over the bytes of a character.
 

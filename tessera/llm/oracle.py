@@ -25,8 +25,15 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text
 t AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
       FROM d),
-g AS (SELECT r, n, unnest(range(0, len(w) - n + 1)) AS i, w FROM t, (VALUES (3), (10)) AS s(n) WHERE len(w) >= n),
-k AS (SELECT r, n, i, count(*) OVER (PARTITION BY r, n, list_slice(w, i + 1, i + n)) AS c FROM g),
+p AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) - 1 AS i FROM t),
+h AS MATERIALIZED (SELECT r, n, i, x FROM (
+  SELECT r, 3 AS n, i, string_agg(a, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS x,
+         lead(i, 2) OVER (PARTITION BY r ORDER BY i) AS last FROM p
+  UNION ALL
+  SELECT r, 10, i, string_agg(a, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING),
+         lead(i, 9) OVER (PARTITION BY r ORDER BY i) FROM p) WHERE last IS NOT NULL),
+m AS (SELECT r, n, x FROM h GROUP BY r, n, x HAVING count(*) > 1),
+k AS (SELECT h.r, h.n, h.i, 2 AS c FROM h JOIN m ON m.r = h.r AND m.n = h.n AND m.x = h.x),
 c AS (SELECT r, n, count(DISTINCT p) AS covered
       FROM (SELECT r, n, unnest(range(i, i + n)) AS p FROM k WHERE c > 1) GROUP BY r, n),
 l AS (SELECT r, unnest(range(0, len(w) - 100)) AS i, w FROM t JOIN c USING (r) WHERE c.n = 10 AND c.covered > 100),

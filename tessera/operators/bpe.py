@@ -161,7 +161,7 @@ def _merged(ids: Column, mapping: dict) -> Column:
         joined = F.regexp_replace(F.concat(F.lit(","), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")),
                                   f",{a},{a}(?=,|$)", f",{new}")
         return F.transform(F.split(F.substring(joined, 2, 2147483647), ","), lambda x: x.cast("int"))
-    table = F.create_map(*[x for (left, right), v in mapping.items() for x in (F.lit(left * _SHIFT + right), F.lit(v))])
+    table = F.expr("map(" + ",".join(f"{left * _SHIFT + right}L,{v}" for (left, right), v in mapping.items()) + ")")
     after = F.concat(F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0))), F.array(F.lit(-1)))
     hits = F.zip_with(ids, after, lambda x, y: F.try_element_at(table, x.cast("bigint") * F.lit(_SHIFT) + y.cast("bigint")))
     before = F.concat(F.array(F.lit(None).cast("int")), hits)
@@ -271,7 +271,7 @@ def _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, max_pairs,
         fresh = FIRST_MERGED + len(made) - len(mapping)
         ids = F.col("ids")
         # only word types holding a left symbol of the batch can change
-        lefts = F.array(*[F.lit(x) for x in sorted({left for left, _ in mapping})])
+        lefts = F.expr("array(" + ",".join(str(x) for x in sorted({left for left, _ in mapping})) + ")")
         nxt = (words.filter(F.size("ids") > 1)
                .select("freq", F.when(F.arrays_overlap(ids, lefts), _merged(ids, mapping)).alias("new"), "ids")
                .select("freq", F.coalesce("new", "ids").alias("ids"),

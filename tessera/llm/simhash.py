@@ -143,7 +143,9 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, segments: int
     first = (rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("first"))
              .join(_labels(rows, distance, segments).select("fp", "label"), "fp")
              .groupBy("label").agg(F.min("first").alias("first"))
-             .select(F.col("first.id").alias("__id"), F.col("first.key").alias("__key")))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__key"))
-    kept = docs.join(first, same, "left_semi").withColumn("__key", F.xxhash64(text_col))
-    return kept.dropDuplicates([id_col, "__key"]).drop("__key")
+             .select(F.col("first.no").alias("__no"), F.coalesce("first.id", F.lit(0)).alias("__id"),
+                     F.col("first.key").alias("__key")))
+    number = F.col(id_col).cast("long")
+    keys = {"__no": number.isNull(), "__id": F.coalesce(number, F.lit(0)), "__key": F.xxhash64(text_col)}
+    # both steps are on the same keys: the texts are exchanged once
+    return docs.withColumns(keys).join(first, list(keys), "left_semi").dropDuplicates(list(keys)).drop(*keys)

@@ -7,10 +7,10 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import chunks, short_batches
+from tessera.llm.tables import chunks, discard, short_batches, stage
 
 UNKNOWN = "und"
 #: Bounds of the model: labelled documents read per language, words kept per
@@ -19,6 +19,9 @@ MAX_DOCS, MAX_WORDS, MAX_GRAMS = 4000, 50_000, 50_000
 #: Longest n-gram that an unseen word falls back to.
 LONGEST = 4
 
+#: Characters that are scored together; one longer text is scored alone.
+BLOCK_CHARS = 1_000_000
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Runs of letters, for the word counts on Spark.
 LETTERS = r"\p{L}+"
@@ -67,11 +70,11 @@ class Model:
         language under equal priors.  Ties go to the first language by code
         point; a null text and one without letters is ``und`` with score 0."""
         lang, score = [], []
-        words = [[] if t is None else letter_words(t) for t in texts]
-        for i, j in chunks([len(w) for w in words], 500_000):
+        for i, j in chunks([len(t or "") for t in texts], BLOCK_CHARS):
+            words = [[] if t is None else letter_words(t) for t in texts[i:j]]
             ids: dict[str, int] = defaultdict(lambda: len(ids))
-            lengths = np.array([len(w) for w in words[i:j]], np.int64)
-            flat = np.fromiter((ids[w] for part in words[i:j] for w in part), np.int64, int(lengths.sum()))
+            lengths = np.array([len(w) for w in words], np.int64)
+            flat = np.fromiter((ids[w] for part in words for w in part), np.int64, int(lengths.sum()))
             table = np.array([self.score_word(w) for w in ids]).reshape(len(ids), len(self.langs))
             total = np.zeros((j - i, len(self.langs)))
             for k in range(len(self.langs)):
@@ -102,23 +105,22 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS,
           longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on labelled rows of ``docs`` (text and language not null).
 
-    The fit reads at most ``max_docs`` documents per language, those with the
-    smallest hash of id and text, and keeps the most frequent items, so the
-    model that reaches the driver has a bounded size whatever the corpus has.
+    The fit reads at most ``max_docs`` documents per language, those with a
+    small hash of id and text, and keeps the most frequent items, so the model
+    that reaches the driver has a bounded size whatever the corpus has.
     """
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
                            F.xxhash64(id_col, text_col).alias("h")).dropna(subset=["lang", "text"])
-    pick = (labelled.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-            .filter(F.col("r") <= max_docs).groupBy("lang").agg(F.max("h").alias("cut")))
-    cuts = {r["lang"]: r["cut"] for r in pick.collect()}
+    cuts = _hash_cuts(labelled, max_docs)
     langs = sorted(cuts)
     at = {lang: i for i, lang in enumerate(langs)}
     below = F.lit(False)
-    for lang, cut in cuts.items():
-        below = below | ((F.col("lang") == lang) & (F.col("h") <= cut))
+    for lang, (bits, end) in cuts.items():
+        below = below | ((F.col("lang") == lang) & (F.shiftrightunsigned("h", 64 - bits) < end))
     counted = (labelled.filter(below)
                .select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))).alias("w"))
-               .groupBy("lang", "w").agg(F.count("*").alias("n"))).persist()
+               .groupBy("lang", "w").agg(F.count("*").alias("n")))
+    counted = stage(counted, "lang-words")
     try:
         words = _top(counted.withColumnRenamed("w", "g"), max_words, at)
         grams = {}
@@ -130,16 +132,63 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS,
                    .groupBy("lang", "g").agg(F.sum("n").alias("n")))
             grams[n] = _top(cut.filter("g != ' '"), max_grams, at)
     finally:
-        counted.unpersist()
+        discard(counted)
     return Model(langs, words, grams)
 
 
+def _hash_cuts(labelled: DataFrame, most: int, step: int = 12) -> dict[str, tuple[int, int]]:
+    """Per language ``(bits, end)``: the rows whose hash begins, in ``bits``
+    bits, with a number below ``end`` are at most ``most``.
+
+    Read off histograms of the hash (2 ** ``step`` counts a language at most);
+    a language of which not even the first cell fits is looked at more finely.
+    """
+    cuts: dict[str, tuple[int, int]] = {}
+    bits, rows = 0, labelled.select("lang", "h")
+    while bits + step <= 60:
+        bits += step
+        cells: dict[str, dict[int, int]] = {}
+        counted = rows.groupBy("lang", F.shiftrightunsigned("h", 64 - bits).alias("c")).count()
+        for r in counted.collect():
+            cells.setdefault(r["lang"], {})[r["c"]] = r["count"]
+        coarse = []
+        for lang, counts in cells.items():
+            held, end = 0, 1 << bits if bits == step else 1 << step
+            for c in sorted(counts):
+                if held + counts[c] > most:
+                    end = c
+                    break
+                held += counts[c]
+            cuts[lang] = bits, end
+            if not held:
+                coarse.append(lang)
+        if not coarse:
+            break
+        rows = rows.filter(F.col("lang").isin(coarse) & (F.shiftrightunsigned("h", 64 - bits) == 0))
+    return cuts
+
+
 def _top(counted: DataFrame, most: int, at: dict[str, int]) -> dict[str, dict[int, int]]:
-    """``{item: {language: count}}`` of each language's ``most`` frequent items."""
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "g")
-    rows = counted.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("lang", "g", "n")
+    """``{item: {language: count}}`` of each language's frequent items: those
+    whose frequency is so high that all as frequent as they are ``most`` at
+    most.  Which frequency that is comes from a histogram, so no language's
+    items are sorted in one task."""
+    levels: dict[str, list] = {}
+    for r in counted.groupBy("lang", "n").agg(F.count("*").alias("items")).collect():
+        levels.setdefault(r["lang"], []).append((r["n"], r["items"]))
+    enough = F.lit(False)
+    for lang, found in levels.items():
+        held, least = 0, None
+        for n, items in sorted(found, reverse=True):
+            held += items
+            if held > most:
+                break
+            least = n
+        if least is not None:
+            enough = enough | ((F.col("lang") == lang) & (F.col("n") >= least))
     out: dict[str, dict[int, int]] = {}
-    for lang, item, n in rows.orderBy("g", "lang").toPandas().itertuples(index=False):
+    rows = counted.filter(enough).select("lang", "g", "n").toPandas().sort_values(["g", "lang"])
+    for lang, item, n in rows.itertuples(index=False):
         out.setdefault(item, {})[at[lang]] = n
     return out
 

@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.session import materialize
+from tessera.session import discard, materialize  # noqa: F401
 
 #: Rows that one Arrow batch may hold; documents are long, so batches are short.
 BATCH_ROWS = 512
@@ -26,15 +26,6 @@ def stage(df: DataFrame, name: str, partition_by=None) -> DataFrame:
     return materialize(df, f"llm-{name}", partition_by)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that :func:`stage` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if path.getName().startswith("llm-"):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def chunks(sizes, most: int):
     """Cut a sequence of sizes into runs of about ``most`` in sum; yields
     ``(start, end)``.  One larger item is a run of its own."""

@@ -36,3 +36,15 @@ def test_held_out_accuracy_and_no_peeking(spark, sf001):
     assert len(rows) > 40
     assert sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.97
     assert got.filter(~F.col("score").between(0, 1)).count() == 0
+
+
+def test_the_fit_is_bounded(spark):
+    df = spark.range(5000).select(F.when(F.col("id") < 4800, "a").otherwise("b").alias("lang"), F.xxhash64("id").alias("h"))
+    for most, step in ((100, 12), (100, 3), (5000, 12), (1, 4)):
+        cuts = li._hash_cuts(df, most, step)
+        for lang, (bits, end) in cuts.items():
+            n = df.filter((F.col("lang") == lang) & (F.shiftrightunsigned("h", 64 - bits) < end)).count()
+            assert n <= most and (n > 0 or most == 1) and (most < 5000 or n == df.filter(F.col("lang") == lang).count())
+    items = spark.createDataFrame([("a", f"w{i}", i // 3) for i in range(30)] + [("b", "x", 1)], "lang string, g string, n long")
+    got = li._top(items, 7, {"a": 0, "b": 1})
+    assert sorted(got) == ["w24", "w25", "w26", "w27", "w28", "w29", "x"] and got["x"] == {1: 1}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,17 @@ from tessera.llm.tables import short_batches, utf8
 SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+"
 _SENTENCE = re.compile(SENTENCE)
 
+#: Sentence marks of other scripts, and scripts without blanks between words
+#: (Thai, Lao, Myanmar, Khmer, kana, Han), where a character counts as a word.
+MARKS = ".!?\u2026\u3002\uff01\uff1f\uff61\u061f\u06d4\u0964\u0965\u0589"
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\s{MARKS}{UNSPACED}]+[{MARKS}]*\s*|[{MARKS}]+\s*|[{UNSPACED}][{MARKS}]*\s*")
+_ASCII_WORD = re.compile(r"[^\s.!?]+[.!?]*\s*|[.!?]+\s*")
+_END = re.compile(rf"[{MARKS}]+\s*|\n\s*")
+
+#: Words of which one at least starts a piece; see :func:`pieces`.
+WINDOW = 10
+
 #: Characters of the texts whose runs are compared before they are shuffled.
 GATHER_CHARS = 16_000_000
 
@@ -25,6 +37,51 @@ def sentences(text: str) -> list[str]:
     return _SENTENCE.findall(text)
 
 
+def _words(text: str):
+    """``(words, at)``: a text's words (UTF-8, A-Z in lower case) and the
+    offset at which each begins, the blanks behind a word being its own."""
+    chunks = (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+    words = utf8(" ".join(" ".join(chunks).split())).lower().split(b" ") if chunks else []
+    blank = len(text) - len(text.lstrip())
+    return words, np.cumsum([blank, *map(len, chunks)])[:-1]
+
+
+def _starts(text: str, words: list[bytes], at: np.ndarray, window: int) -> np.ndarray:
+    """Numbers of the words that start a piece: those that start a sentence, and
+    of every ``window`` words in a row without such a one the word with the
+    smallest hash (of equal ones the last)."""
+    n = len(words)
+    ends = np.zeros(len(text) + 1, bool)
+    ends[[m.end() for m in _END.finditer(text)]] = True
+    first = ends[at]
+    first[:1] = True
+    order = np.fromiter(map(zlib.crc32, words), np.uint64, n) * np.uint64(2654435761) % np.uint64(2**32) + np.uint64(1)
+    order[first] = 0
+    # the smallest of each window: the spans looked at double up to it
+    least = (order << np.uint64(31)) | (np.uint64(2**31 - 1) - np.arange(n, dtype=np.uint64))
+    span = 1
+    while span < window and len(least) > 1:
+        step = min(span, window - span)
+        least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
+        span += step
+    if n >= window:
+        first[2**31 - 1 - (least & np.uint64(2**31 - 1)).astype(np.int64)] = True
+    return np.flatnonzero(first)
+
+
+def pieces(text: str, window: int = WINDOW) -> list[str]:
+    """Sentences, cut further where they are longer than ``window`` words, so
+    that no piece is.  Whether a word starts a piece depends on the ``window``
+    words on either side only: a passage is cut alike in every text but for so
+    many words at its ends.  Where a passage is whole sentences it is cut alike
+    up to its ends.  A text is its pieces joined."""
+    words, at = _words(text)
+    if not words:
+        return [text] if text else []
+    cuts = [0, *at[_starts(text, words, at, window)[1:]].tolist(), len(text)]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def runs(counts: np.ndarray, least_sentences: int, least_words: int) -> list[tuple[int, int]]:
     """The runs ``[i, j)`` of consecutive sentences to hash: the shortest one
     from each sentence on and the shortest one up to each sentence that has at
@@ -39,10 +96,17 @@ def runs(counts: np.ndarray, least_sentences: int, least_words: int) -> list[tup
     return sorted(found)
 
 
-def run_hashes(text: str, least_sentences: int, least_words: int):
+def run_hashes(text: str, least_sentences: int, least_words: int, window: int | None = None):
     """The runs of a text and the 128-bit hash of each; what counts of a
     sentence are its words (runs of characters but the six ASCII blanks), A-Z in
-    lower case."""
+    lower case.  With a ``window`` the runs are of :func:`pieces`."""
+    if window:
+        words, offset = _words(text)
+        starts = np.append(_starts(text, words, offset, window), len(words)) if words else np.zeros(1, np.int64)
+        ends = np.cumsum([0, *[len(w) + 1 for w in words]])
+        found = runs(np.diff(starts), 1, least_words)
+        joined, at = b" ".join([*words, b""]), ends[starts].tolist()
+        return found, [xxhash.xxh3_128_digest(joined[at[i]:at[j]]) for i, j in found]
     parts = [utf8(s).lower().split() for s in sentences(text)]
     counts = np.fromiter(map(len, parts), np.int64, len(parts))
     # every word is followed by a blank, so a run is one slice
@@ -53,14 +117,16 @@ def run_hashes(text: str, least_sentences: int, least_words: int):
     return found, [xxhash.xxh3_128_digest(joined[at[i]:at[j]]) for i, j in found]
 
 
-_SPAN = "h long, h2 int, no boolean, id long, key int, i int, j int, sure boolean"
+# Rows are packed while they are shuffled: h2 and key in ``p``; sure, no, i and
+# j - i (30 bits each, a text has fewer sentences) in ``q``.
+_SPAN = "h long, id long, p long, q long"
 _PLACE = ["no", "id", "key", "i", "j"]
 
 
-def _hashed(texts: pd.DataFrame, least_sentences: int, least_words: int) -> pd.DataFrame:
+def _hashed(texts: pd.DataFrame, least_sentences: int, least_words: int, window: int | None = None) -> pd.DataFrame:
     found, digests, n = [], [], []
     for text in texts["text"]:
-        r, d = run_hashes(text, least_sentences, least_words)
+        r, d = run_hashes(text, least_sentences, least_words, window)
         found += r
         digests += d
         n.append(len(r))
@@ -73,10 +139,22 @@ def _hashed(texts: pd.DataFrame, least_sentences: int, least_words: int) -> pd.D
     # of equal runs in these texts, only those at the first place go on to meet others
     first = out.groupby(["h", "h2"], sort=False).transform("first")[_PLACE]
     out["sure"] = (first != out[_PLACE]).any(axis=1)
+    h2, key, sure, no, i, j = (out[c].to_numpy(np.int64) for c in ("h2", "key", "sure", "no", "i", "j"))
+    out["p"] = h2 << 32 | key & 0xFFFFFFFF
+    out["q"] = sure << 61 | no << 60 | i << 30 | j - i
     return out[[c.split()[0] for c in _SPAN.split(", ")]]
 
 
-def spans(docs: DataFrame, least_sentences: int, least_words: int, id_col: str, text_col: str) -> DataFrame:
+def _unpacked(found: DataFrame) -> DataFrame:
+    bits = lambda c, at, n: F.shiftright(c, at).bitwiseAND(F.lit((1 << n) - 1))
+    i = bits("q", 30, 30)
+    return found.select("h", F.shiftright("p", 32).cast("int").alias("h2"), (bits("q", 60, 1) == 1).alias("no"), "id",
+                        F.shiftright(F.shiftleft("p", 32), 32).cast("int").alias("key"), i.cast("int").alias("i"),
+                        (i + bits("q", 0, 30)).cast("int").alias("j"), (bits("q", 61, 1) == 1).alias("sure"))
+
+
+def spans(docs: DataFrame, least_sentences: int, least_words: int, id_col: str, text_col: str,
+          window: int | None = None) -> DataFrame:
     """One row per run of each text: its hash, its place (``no``: the id is
     null) and whether an earlier one is known already (``sure``), because both
     are in texts that one task has gathered.  So of a run that is everywhere a
@@ -89,10 +167,10 @@ def spans(docs: DataFrame, least_sentences: int, least_words: int, id_col: str,
             held.append(pdf)
             chars += int(pdf["text"].str.len().sum())
             if chars >= GATHER_CHARS:
-                yield _hashed(pd.concat(held), least_sentences, least_words)
+                yield _hashed(pd.concat(held), least_sentences, least_words, window)
                 held, chars = [], 0
         if chars:
-            yield _hashed(pd.concat(held), least_sentences, least_words)
+            yield _hashed(pd.concat(held), least_sentences, least_words, window)
 
     return _keyed(docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("text")), "__i", "text").filter(
         "text is not null").select("no", "id", "key", "text").mapInPandas(run, _SPAN)
@@ -106,20 +184,21 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def later_spans(docs: DataFrame, least_sentences: int = 2, least_words: int = 20, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
+                text_col: str = "text", window: int | None = None) -> DataFrame:
     """``(no, id, key, spans)``: per document the runs ``[i, j)`` of sentences
-    that also occur earlier in the table (by id, nulls last, then hash of the
+    (with a ``window``: of pieces) that also occur earlier in the table (by id, nulls last, then hash of the
     text, then position), be it in the same document."""
-    found = spans(docs, least_sentences, least_words, id_col, text_col)
+    found = spans(docs, least_sentences, least_words, id_col, text_col, window)
     # what is decided already need not meet others of its hash
-    salt = F.when(F.col("sure"), F.xxhash64("id", "key", "i", "j")).otherwise(F.lit(0).cast("long"))
-    same = Window.partitionBy("h", "h2", salt).orderBy(*_PLACE)
+    place = F.when(F.col("q") >= 1 << 61, F.xxhash64("id", "p", "q")).otherwise(F.col("h"))
+    found = _unpacked(found.withColumn("h", place).repartition("h"))
+    same = Window.partitionBy("h", "h2", "sure").orderBy(*_PLACE)
     return (found.withColumn("r", F.rank().over(same)).filter("sure or r > 1")
             .groupBy("no", "id", "key").agg(F.collect_set(F.struct("i", "j")).alias("spans")))
 
 
 def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int = 20, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", window: int | None = None) -> DataFrame:
     """``docs`` with sentences removed that any non-first repeated run covers.
 
     Runs are hashed (128 bits, of which 96 are compared) and joined over the
@@ -131,9 +210,15 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int =
     sentences; texts too short for a run are left alone; rows are never
     dropped (a text may become empty).  Occurrences that overlap inside one text
     count.  An empty table stays empty.
+
+    Without a ``window`` a repeat is seen only if it holds whole sentences.  With
+    one the runs are of :func:`pieces` instead (any number of them, the two
+    columns count them): every repeat of ``least_words + 3 * window`` words or
+    more goes, wherever it begins and ends, but for up to ``window`` words at
+    either end; of whole sentences, every one of ``least_words`` words.
     """
     others = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    later = later_spans(docs, least_sentences, least_words, id_col, text_col)
+    later = later_spans(docs, least_sentences, least_words, id_col, text_col, window)
     rows = docs.select(F.struct(*[c for c in others if c != text_col]).alias("row"), F.col(id_col).alias("__i"),
                        F.col(text_col).alias("text"))
     short_batches(docs.sparkSession)
@@ -142,7 +227,7 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int =
     def cut(text: pd.Series, repeated: pd.Series) -> pd.DataFrame:
         out = []
         for t, found in zip(text, repeated):
-            parts = [] if t is None else sentences(t)
+            parts = [] if t is None else pieces(t, window) if window else sentences(t)
             covered = np.zeros(len(parts) + 1, np.int64)
             for s in found if found is not None else ():
                 covered[s["i"]] += 1
@@ -159,10 +244,11 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int =
 
 
 def dedup(docs: DataFrame, least_sentences: int = 2, least_words: int = 20, id_col: str = "doc_id",
-          text_col: str = "text") -> DataFrame:
-    """:func:`remove_repeats` with the columns of ``docs``, without the rows of
+          text_col: str = "text", window: int | None = WINDOW) -> DataFrame:
+    """:func:`remove_repeats` of pieces with the columns of ``docs``, without the rows of
     which nothing but blanks is left (rows that had no text before stay)."""
     kept = {f"__{c}": F.col(c) for c in ("n_sentences", "n_removed") if c in docs.columns}
-    out = remove_repeats(docs.withColumns(kept) if kept else docs, least_sentences, least_words, id_col, text_col)
+    out = remove_repeats(docs.withColumns(kept) if kept else docs, least_sentences, least_words, id_col, text_col,
+                         window)
     out = out.filter((F.col("n_removed") == 0) | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*[F.col(f"__{c}").alias(c) if f"__{c}" in kept else F.col(c) for c in docs.columns])

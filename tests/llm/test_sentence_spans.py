@@ -70,3 +70,47 @@ def test_odd_rows(odd, none):
     assert sorted(map(repr, out.select(*odd.columns).collect())) == sorted(map(repr, odd.collect()))
     assert ss.dedup(odd).count() == odd.count()
     assert ss.remove_repeats(none).count() == ss.dedup(none).count() == 0
+
+
+def words(rng, n):
+    return [f"u{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def left_of(df, passage, **how):
+    return {r["doc_id"]: sum(w in r["text"] for w in passage) for r in ss.dedup(df, **how).collect()}
+
+
+def test_passages_go_inside_and_across_sentences(spark):
+    rng = random.Random(5)
+    one, two = words(rng, 50), words(rng, 50)
+    rows = []
+    for body in (" ".join(one), " ".join(two[:25]) + ". " + " ".join(two[25:])):
+        for _ in range(40):
+            around = [" ".join(words(rng, rng.randrange(1, 30))) for _ in range(2)]
+            rows.append((len(rows), f"{around[0]} {body} {around[1]}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for passage, ids in ((one, range(40)), (two, range(40, 80))):
+        got = left_of(df, passage)
+        assert got[ids[0]] == 50 and max(got[i] for i in ids[1:]) <= 2 * (ss.WINDOW - 1)
+        assert min(left_of(df, passage, window=None)[i] for i in ids) == 50  # whole sentences do not see them
+
+
+def test_passages_without_blanks_or_ascii_marks_go(spark):
+    rng = random.Random(6)
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(20000)) for _ in range(n))
+    passage = han(60)
+    rows = [(i, f"{han(i % 12 + 3)}\u3002{passage}\u3002{han(9)}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = left_of(df, passage)
+    assert got[0] == 60 and max(n for i, n in got.items() if i) <= 1
+    assert all(r["text"].endswith(rows[r["doc_id"]][1][-9:]) for r in ss.dedup(df).collect())
+
+
+def test_pieces_join_to_the_text_and_are_short():
+    rng = random.Random(7)
+    for _ in range(500):
+        text = "".join(rng.choice(["a", "B", "\u4e16", " ", "\xa0", ".", "?! ", "\n", "\u3002", "\u00e9", "w "]) for _ in range(rng.randrange(80)))
+        parts = ss.pieces(text, 4)
+        assert "".join(parts) == text and all(len(ss._words(p)[0]) <= 4 for p in parts)
+        found, hashes = ss.run_hashes(text, 2, 6, 4)
+        assert len(found) == len(hashes) and all(0 <= i < j <= len(parts) for i, j in found)

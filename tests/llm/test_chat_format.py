@@ -42,6 +42,63 @@ def test_rewritten_history_is_found(template):
         list(cf.turn_spans([Turn("user", " a "), Turn("assistant", " b "), Turn("user", " c ")], template))
 
 
+def numbered_rounds(turns):
+    return "<bos>" + "".join(f"[Round {i + 1}]{t.role}:{t.text}\n" for i, t in enumerate(turns))
+
+
+def user_first(turns):
+    if turns[0].role != "user":
+        raise ValueError("a user turn must come first")
+    return cf.render(turns)
+
+
+LONG = [Turn("assistant" if i % 2 else "user", f"t{i}") for i in range(150)]
+
+
+@pytest.mark.parametrize("template", [numbered_rounds, user_first])
+@pytest.mark.parametrize("n", [1, 31, 32, 33, 50, 64, 150])
+def test_long_conversations_are_rendered_as_a_whole(template, n):
+    assert list(cf.turn_spans(LONG[:n], template)) == list(cf.turn_spans(LONG[:n], template, None))
+    assert "".join(cf.turn_spans(LONG[:n], template)) == template(LONG[:n])
+
+
+@pytest.mark.parametrize("n", [41, 50, 64, 150])
+def test_history_rewritten_behind_the_window_is_found(n):
+    keeps_40 = lambda turns: cf.render(turns[-40:])
+    assert "".join(cf.turn_spans(LONG[:40], keeps_40)) == cf.render(LONG[:40])
+    with pytest.raises(cf.Rewrites):
+        list(cf.turn_spans(LONG[:n], keeps_40))
+
+
+def test_whole_prefixes_are_rendered_few_times():
+    long = []
+
+    def template(turns):
+        if len(turns) > cf.WINDOW:
+            long.append(len(turns))
+        return "".join(f"{t.role}:{t.text}\n" for t in turns)
+
+    list(cf.turn_spans(LONG * 20, template))
+    assert sum(long) <= 3 * len(LONG * 20)
+
+
+def test_other_templates_reach_spark(spark):
+    rows = [(c, i, *t) for c, n in ((1, 50), (2, 3), (None, 70)) for i, t in enumerate(LONG[:n])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got, template = {}, lambda turns: "<bos>" + "".join(f"[Round {i + 1}]{t.role}:{t.text}\n" for i, t in enumerate(turns))
+    for r in cf.format_turns(df, template=template).orderBy("position").collect():
+        assert ((r["loss_from"], r["loss_to"]) == (0, len(r["span"]))) == (r["position"] % 2 == 1)
+        got[r["conv_id"]] = got.get(r["conv_id"], "") + r["span"]
+    assert got == {c: numbered_rounds(LONG[:n]) for c, n in ((1, 50), (2, 3), (None, 70))}
+    read = lambda span: Turn(*span.rstrip("\n").split("]")[1].split(":"))
+    own = {r["conv_id"]: r for r in cf.digests(df).collect()}
+    for r in cf.digests(df, template=template, read=read).collect():
+        assert (r["n_turns"], r["turns_sha256"]) == (own[r["conv_id"]]["n_turns"], own[r["conv_id"]]["turns_sha256"])
+        assert r["formatted_chars"] == len(got[r["conv_id"]])
+    with pytest.raises(ValueError, match="read"):
+        cf.digests(df, template=numbered_rounds)
+
+
 def test_digests_equal_the_input(spark):
     rng = random.Random(4)
     rows = []

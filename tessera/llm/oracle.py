@@ -79,4 +79,63 @@ SELECT d.doc_id, coalesce(kept.n_sentences, 0)::BIGINT AS n_sentences, coalesce(
 FROM d LEFT JOIN kept ON kept.r = d.r
 """
 
-ORACLE: dict[str, str] = {"op1_url_filter": _URL, "op2_quality_rules": _QUALITY, "op10_sentence_spans": _SPANS}
+_DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang,
+                  coalesce(source, '') AS source FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+p AS MATERIALIZED (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS count,
+            1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(s.n, 0) + 5 * l.v) AS p,
+            1 + (1000000000::HUGEINT * (kept.n + 5)) // (l.n + 5 * l.v) AS q
+      FROM g JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+          FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+      FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+      LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE count > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f)
+WHERE part = 'pair' OR rank <= 50
+"""
+
+_FILTERS = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+      FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             {'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words),
+              'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+              'D': regexp_matches(text, '[#$%&*|]'),
+              'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)} AS fails
+      FROM w LEFT JOIN l USING (doc_id)),
+cell AS (SELECT part, (CASE WHEN fails.A THEN 'A' ELSE '' END) || (CASE WHEN fails.B THEN 'B' ELSE '' END) ||
+                (CASE WHEN fails.C THEN 'C' ELSE '' END) || (CASE WHEN fails.D THEN 'D' ELSE '' END) ||
+                (CASE WHEN fails.E THEN 'E' ELSE '' END) AS failed,
+                count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+f(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.x || b.x || c.x || e.x || g.x AS filter_order FROM f a, f b, f c, f e, f g
+      WHERE len(list_distinct([a.x, b.x, c.x, e.x, g.x])) = 5),
+s AS (SELECT *, filter_order[step] AS x, regexp_matches(failed, '[' || filter_order[1:step - 1] || '-]') AS gone,
+             contains(failed, filter_order[step]) AS fails FROM cell, o, range(1, 6) t(step)),
+r AS (SELECT part, filter_order, step, x, sum(n) FILTER (NOT gone AND NOT fails) AS kept,
+             sum(n) FILTER (NOT gone AND fails) AS removed, sum(n) FILTER (gone AND fails) AS redundant,
+             sum(n) FILTER (failed = x) AS unique_fails, sum(good) FILTER (NOT gone AND fails) AS good_lost,
+             sum(toxic) FILTER (NOT gone AND fails) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, x), 0)::BIGINT AS shapley
+FROM r
+"""
+
+ORACLE: dict[str, str] = {"op1_url_filter": _URL, "op2_quality_rules": _QUALITY, "op10_sentence_spans": _SPANS,
+                          "op11_source_divergence": _DIVERGENCE, "op12_filter_audit": _FILTERS}

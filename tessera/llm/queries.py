@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import (bpe_transducer, chat_format, language_id, mixing, multi_index, repetition, sentence_spans,
-                         sharding, simhash, url_filter)
+from tessera.llm import (bpe_transducer, chat_format, divergence, filter_audit, language_id, mixing, multi_index,
+                         repetition, sentence_spans, sharding, simhash, url_filter)
 from tessera.sources.corpus import read_table
 
 #: The rules of op1: verdict, host, path.
@@ -86,6 +86,15 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", "text")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_chat_format, op4_language_id, op5_byte_bpe,
-                            op6_simhash, op7_neighbours, op8_mixing, op9_sharding, op10_sentence_spans)}
+                            op6_simhash, op7_neighbours, op8_mixing, op9_sharding, op10_sentence_spans,
+                            op11_source_divergence, op12_filter_audit)}

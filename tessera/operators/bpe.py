@@ -8,24 +8,26 @@ distinct pre-token, symbols as numbers -- never on the corpus:
    ``(count desc, left, right)`` are the driver's candidates; where there are
    more, the last candidate is the *frontier*: a pair that is not held ranks
    after it, and stays there, as merging others only lowers its count.
-2. the driver takes the longest prefix of the ranking that can be merged in
-   one pass with the same result as one pair per round: no symbol is used both
-   as a left and as a right element in the batch (this also excludes ``(a,
-   a)``), every joined string is new, counts are not below ``min_frequency``,
-   and the vocabulary does not overflow.  Merging ``(a, b)`` changes only pairs
-   ending in ``a`` or starting with ``b``; a pair that does neither keeps its
-   count, and pairs created by the merge rank after it, so the batch order is
-   the sequential order.  A pair that breaks the rule at rank 1 is merged alone;
-3. one job applies the batch to the word types that hold a left symbol of it
-   and returns the *changes* of pair counts -- for a merged pair at most four
-   rows per symbol of the vocabulary, whatever the corpus.  New pairs that are
-   too rare to be merged are dropped where they arise;
-4. with no candidate left before the frontier, step 1 is run again on the
+2. the driver foresees the next merges, up to ``ahead`` of them: it merges a
+   bounded sample of the most frequent word types (``sample_types``), taking the
+   counts of the pairs met so far as they are and those of new pairs from the sample.
+3. one job applies this sequence, in order, to every word type and returns the
+   changes of pair counts *step by step* -- for a merge at most four rows per
+   symbol of the vocabulary, whatever the corpus.  New pairs too rare to be
+   merged are dropped where they arise;
+4. the driver replays the steps with these exact counts and commits merges as
+   long as each one is the first of the true ranking.  What was foreseen wrongly is
+   taken back: the next job starts from the committed merges.  The first
+   merge of a sequence is always right, so a poor sample costs rounds, never results;
+5. with no candidate left before the frontier, step 1 is run again on the
    current words.
 
-The table of a round is computed from the cached one of the round before; every
-``checkpoint_every`` rounds it is written to the checkpoint folder instead (the
-written one before is deleted), which cuts the lineage.
+A merge whose string exists already (made from other symbols) can raise the
+counts of pairs that are not held; it ends its sequence and step 1 follows.
+
+The word types are written to the checkpoint folder with the committed merges
+applied every ``checkpoint_every`` rounds (the table before is deleted); in
+between, a job applies the merges committed since then first.
 
 Encoding applies the learned merges by rank to each *distinct* pre-token
 (Arrow UDF, model broadcast once), unseen characters become ``[UNK]``.
@@ -34,21 +36,26 @@ Encoding applies the learned merges by rank to each *distinct* pre-token
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators.tokenizers import UNK, ModelTokenizer
-from tessera.session import discard, materialize
+from tessera.session import Tables
 
-_SHIFT = 1 << 31
 #: Symbols are code points; merged ones count on from here in the order made.
 FIRST_MERGED = 0x110000
 #: Pairs the driver holds at most.
 MAX_PAIRS = 500_000
+#: Word types the driver holds to foresee merges, and merges foreseen at once.
+SAMPLE_TYPES = 50_000
+AHEAD = 2_000
+#: Entries of a task's table of count changes before it is handed on.
+HELD_CHANGES = 200_000
 
 
 # ---------------------------------------------------------------------------
@@ -130,75 +137,125 @@ class BpeModel:
         return cls(vocab, merges, list(settings["special_tokens"]), settings["unk_token"])
 
 
-def _choose_batch(ranked, text, known: dict, room: int, min_frequency: int):
-    """The longest prefix of ``ranked`` (``(-n, left, right)`` in order) that
-    is merged at once; ``text`` gives a symbol's string."""
-    batch, lefts, rights, new = [], set(), set(), set()
-    for n, left, right in ranked:
-        if -n < max(min_frequency, 1) or len(batch) >= room:
-            break
-        joined = text(left) + text(right)
-        alone = left == right or joined in known
-        if batch and (alone or joined in new or left in rights or right in lefts):
-            break
-        batch.append((left, right, joined))
-        if alone:
-            break
-        lefts.add(left), rights.add(right), new.add(joined)
-    return batch
-
-
-def _merged(ids: Column, mapping: dict) -> Column:
-    """Merge the batch's pairs left to right, in time linear in the word.
-
-    No symbol is both a left and a right one, so matches cannot overlap: each
-    position is a merge, the second half of one, or neither.  ``(a, a)``, which
-    can overlap, comes alone and is replaced in the joined word.
+def merge_word(ids: list, table: dict, changes=None, freq: int = 1, first: int = 0) -> list:
+    """``ids`` after the merges ``{(left, right): (step, symbol)}`` in the order of
+    their steps, each from left to right.
+
+    ``changes[step, left, right]`` gains what step ``first`` and those after it
+    change of the pair's count, times ``freq``.  A heap of the pairs of neighbours over
+    a linked list: little more than linear time in a long word.
     """
-    (first, *_), (new, *_) = mapping, mapping.values()
-    if first[0] == first[1]:
-        a = first[0]
-        joined = F.regexp_replace(F.concat(F.lit(","), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")),
-                                  f",{a},{a}(?=,|$)", f",{new}")
-        return F.transform(F.split(F.substring(joined, 2, 2147483647), ","), lambda x: x.cast("int"))
-    table = F.expr("map(" + ",".join(f"{left * _SHIFT + right}L,{v}" for (left, right), v in mapping.items()) + ")")
-    after = F.concat(F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0))), F.array(F.lit(-1)))
-    hits = F.zip_with(ids, after, lambda x, y: F.try_element_at(table, x.cast("bigint") * F.lit(_SHIFT) + y.cast("bigint")))
-    before = F.concat(F.array(F.lit(None).cast("int")), hits)
-    marked = F.zip_with(F.zip_with(ids, hits, lambda x, h: F.coalesce(h, x)), F.slice(before, 1, F.size(ids)),
-                        lambda x, h: F.when(h.isNull(), x))
-    return F.filter(marked, lambda x: x.isNotNull())
-
-
-def _pairs(ids: Column) -> Column:
-    n = F.greatest(F.size(ids) - 1, F.lit(0))
-    return F.arrays_zip(F.slice(ids, 1, n).alias("left"), F.slice(ids, 2, n).alias("right"))
+    ids, n = list(ids), len(ids)
+    heap = [(table[pair][0], i, pair) for i, pair in enumerate(zip(ids, ids[1:])) if pair in table]
+    if not heap:
+        return ids
+    heapq.heapify(heap)
+    after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+    while heap:
+        step, i, pair = heapq.heappop(heap)
+        j = after[i]
+        if not alive[i] or j >= n or (ids[i], ids[j]) != pair:
+            continue
+        new, a, k = table[pair][1], before[i], after[j]
+        if changes is not None and step >= first:
+            changes[step, *pair] -= freq
+            if a >= 0:
+                changes[step, ids[a], pair[0]] -= freq
+                changes[step, ids[a], new] += freq
+            if k < n:
+                changes[step, pair[1], ids[k]] -= freq
+                changes[step, new, ids[k]] += freq
+        ids[i], alive[j], after[i] = new, False, k
+        if k < n:
+            before[k] = i
+        for x, y in ((a, i), (i, k)):
+            # a pair that arises after its step was taken stays
+            if x >= 0 and y < n and (hit := table.get((ids[x], ids[y]))) and hit[0] > step:
+                heapq.heappush(heap, (hit[0], x, (ids[x], ids[y])))
+    return [x for x, here in zip(ids, alive) if here]
+
+
+class _Sample:
+    """The most frequent word types on the driver, merged ahead of the others."""
+
+    def __init__(self, words: list):
+        self.freq, self.ids = [f for f, _ in words], [list(ids) for _, ids in words]
+        self.where = defaultdict(set)       # pair -> words that held it at some time
+        for w, ids in enumerate(self.ids):
+            for pair in zip(ids, ids[1:]):
+                self.where[pair].add(w)
+        self.log: list = []                 # per step, the words it changed as they were before
+
+    def merge(self, pair, new) -> dict:
+        """Merge one pair; returns the changes of pair counts."""
+        changes, old = defaultdict(int), []
+        for w in self.where.get(pair, ()):
+            ids, f = self.ids[w], self.freq[w]
+            out, i, n = [], 0, len(ids)
+            while i < n:
+                hit = i + 1 < n and ids[i] == pair[0] and ids[i + 1] == pair[1]
+                out.append(new if hit else ids[i])
+                i += 2 if hit else 1
+            if len(out) == n:
+                continue
+            for p in zip(ids, ids[1:]):
+                changes[p] -= f
+            for p in zip(out, out[1:]):
+                changes[p] += f
+            old.append((w, ids))
+            self.ids[w] = out
+        for w, _ in old:
+            for p in zip(self.ids[w], self.ids[w][1:]):
+                if new in p:
+                    self.where[p].add(w)
+        self.log.append(old)
+        return changes
+
+    def keep(self, steps: int):
+        """Take all but the first ``steps`` merges since the last call back."""
+        for old in reversed(self.log[steps:]):
+            for w, ids in old:
+                self.ids[w] = ids
+        self.log = []
+
+
+class _Ranking:
+    """Pair counts in the order ``(count desc, left, right)``: a heap from which
+    outdated entries are dropped when they come up."""
+
+    def __init__(self, counts: dict, least: int):
+        self.counts, self.least = counts, least
+        self.heap = [(-n, *pair) for pair, n in counts.items()]
+        heapq.heapify(self.heap)
+
+    def first(self):
+        while self.heap and self.counts.get(self.heap[0][1:]) != -self.heap[0][0]:
+            heapq.heappop(self.heap)
+        return self.heap[0] if self.heap else None
+
+    def change(self, pair, by: int):
+        n = self.counts.get(pair, 0) + by
+        if n >= self.least:
+            self.counts[pair] = n
+            heapq.heappush(self.heap, (-n, *pair))
+        else:
+            self.counts.pop(pair, None)
 
 
 def train_bpe(word_freq: DataFrame, vocab_size: int = 16000, min_frequency: int = 2,
               special_tokens=None, max_pairs: int = MAX_PAIRS, checkpoint_every: int = 5,
-              partitions: int | None = None) -> BpeModel:
-    """V4: exact BPE merges in batched distributed rounds (see module doc).
-
-    ``partitions`` spreads the word types; by default as shuffles do.
+              partitions: int | None = None, sample_types: int = SAMPLE_TYPES, ahead: int = AHEAD) -> BpeModel:
+    """V4: exact BPE merges, foreseen in sequences and verified on all word types
+    (see module doc).  ``partitions`` spreads the word types; by default as shuffles do.
     """
-    with bounded_plan_strings(word_freq.sparkSession):
-        return _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, max_pairs, checkpoint_every, partitions)
-
-
-def _candidates(words: DataFrame, min_frequency: int, max_pairs: int):
-    """``({(left, right): n}, frontier)`` of the current words."""
-    top = (pair_counts(words, "ids").filter(F.col("n") >= max(min_frequency, 1))
-           .orderBy(F.desc("n"), "left", "right").limit(max_pairs).collect())
-    counts = {(r["left"], r["right"]): r["n"] for r in top}
-    last = top[-1] if len(top) == max_pairs else None
-    return counts, (-last["n"], last["left"], last["right"]) if last else None
+    with bounded_plan_strings(word_freq.sparkSession), Tables() as tables:
+        return _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, max_pairs, checkpoint_every, partitions,
+                          sample_types, ahead, tables)
 
 
 class bounded_plan_strings:
-    """Settings while an iterative job runs: cached plans stack, so their
-    printed form (event logs, listeners) is bounded, and rounds are many and
-    small, so plans are not re-planned between stages."""
+    """Settings while an iterative job runs: rounds are many and small, so plans
+    are not re-planned between stages and their printed form is bounded."""
 
     SETTINGS = {"spark.sql.maxPlanStringLength": "200000", "spark.sql.adaptive.enabled": "false"}
 
@@ -218,94 +275,151 @@ class bounded_plan_strings:
                 self.spark.conf.set(k, v)
 
 
-def _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, max_pairs, checkpoint_every, partitions):
+def _candidates(words: DataFrame, least: int, max_pairs: int):
+    """``({(left, right): n}, frontier)`` of the current words."""
+    top = (pair_counts(words, "ids").filter(F.col("n") >= least)
+           .orderBy(F.desc("n"), "left", "right").limit(max_pairs).toArrow())
+    left, right, n = (top.column(c).to_pylist() for c in ("left", "right", "n"))
+    frontier = (-n[-1], left[-1], right[-1]) if len(n) == max_pairs else None
+    return dict(zip(zip(left, right), n)), frontier
+
+
+def _table(merges: list, start: int = 0) -> dict:
+    return {(left, right): (start + k, new) for k, (left, right, new) in enumerate(merges)}
+
+
+def _merged(words: DataFrame, merges: list) -> DataFrame:
+    """The word types after ``merges``."""
+    if not merges:
+        return words
+    table = _table(merges)
+
+    def run(batches):
+        for batch in batches:
+            ids = [merge_word(x, table) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("freq"), pa.array(ids, pa.list_(pa.int32()))], ["freq", "ids"])
+
+    return words.mapInArrow(run, "freq bigint, ids array<int>").filter(F.size("ids") > 1)
+
+
+def _changes(words: DataFrame, pending: list, sequence: list) -> DataFrame:
+    """``step, left, right, n``: what each merge of the sequence, made after the
+    pending ones, changes of the pair counts."""
+    table = _table(pending, -len(pending)) | _table(sequence)
+
+    def rows(found):
+        keys = list(found)
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array([k[c] for k in keys], pa.int32()) for c in range(3)), pa.array(found.values(), pa.int64())],
+            ["step", "left", "right", "n"])
+
+    def run(batches):
+        found = defaultdict(int)
+        for batch in batches:
+            for freq, ids in zip(batch.column("freq").to_pylist(), batch.column("ids").to_pylist()):
+                merge_word(ids, table, found, freq)
+            if len(found) > HELD_CHANGES:
+                yield rows(found)
+                found = defaultdict(int)
+        if found:
+            yield rows(found)
+
+    return (words.mapInArrow(run, "step int, left int, right int, n bigint")
+            .groupBy("step", "left", "right").agg(F.sum("n").alias("n")).filter("n != 0"))
+
+
+def _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, max_pairs, checkpoint_every, partitions,
+               sample_types, ahead, tables):
     specials = list(special_tokens or tx.SPECIAL_TOKENS)
     alpha = [r["symbol"] for r in alphabet(word_freq, len(specials)).orderBy("id").collect()]
     vocab = specials + [a for a in alpha if a not in specials]
     made: list[str] = []                        # merged symbols, in order
     known = {t: ord(t) for t in alpha}          # string -> symbol
     text = lambda x: chr(x) if x < FIRST_MERGED else made[x - FIRST_MERGED]
+    least = max(min_frequency, 1)
     words = (word_freq.select(F.col("freq").cast("bigint").alias("freq"),
                               F.transform(tx.characters(F.col("word")), lambda c: F.ascii(c)).alias("ids"))
              .filter(F.size("ids") > 1))
-    words = (words.repartition(partitions) if partitions else words).persist(StorageLevel.MEMORY_AND_DISK)
-    counts, frontier = _candidates(words, min_frequency, max_pairs)
-    heap = [(-n, *pair) for pair, n in counts.items()]
-    heapq.heapify(heap)
-    merges, rounds, written = [], 0, None
-
-    def ranked():
-        """Candidates in order; what a change has outdated is dropped."""
-        while heap:
-            entry = heapq.heappop(heap)
-            if counts.get(entry[1:]) == -entry[0]:
-                taken.append(entry)
-                if frontier is None or entry <= frontier:
-                    yield entry
-                else:
-                    return
+    words = tables.keep(words.repartition(partitions) if partitions else words, "bpe-words")
+    sample = _Sample([(r["freq"], r["ids"]) for r in
+                      words.orderBy(F.desc("freq"), "ids").limit(sample_types).collect()])
+    counts, frontier = _candidates(words, least, max_pairs)
+    ranking = _Ranking(counts, least)
+    merges, pending, rounds, written = [], [], 0, 0
+
+    def foreseen():
+        """The next merges ``(left, right, symbol)`` by the sample, and whether
+        the last one's string is known already."""
+        guess, names = _Ranking(dict(counts), least), []
+        fresh = FIRST_MERGED + len(made)
+        name = lambda x: names[x - fresh] if x >= fresh else text(x)
+        new_names: set = set()
+        sequence = []
+        while len(sequence) < min(ahead, vocab_size - len(vocab)):
+            entry = guess.first()
+            if entry is None or frontier is not None and entry > frontier:
+                break
+            pair = entry[1:]
+            joined = name(pair[0]) + name(pair[1])
+            again = joined in known or joined in new_names
+            symbol = known.get(joined, fresh + len(names))
+            if joined in new_names:             # made by this sequence itself: left to the next one
+                break
+            sequence.append((*pair, symbol))
+            if again:
+                return sequence, True
+            names.append(joined)
+            new_names.add(joined)
+            for changed, by in sample.merge(pair, symbol).items():
+                if changed in guess.counts or max(changed) >= fresh:
+                    guess.change(changed, by)
+            guess.counts.pop(pair, None)        # also where the sample does not hold all of it
+        return sequence, False
 
     while len(vocab) < vocab_size:
-        taken: list = []
-        batch = _choose_batch(ranked(), text, known, vocab_size - len(vocab), min_frequency)
-        if not batch:
+        sequence, again = foreseen()
+        if not sequence:
             if frontier is None:
                 break
-            counts, frontier = _candidates(words, min_frequency, max_pairs)
-            heap = [(-n, *pair) for pair, n in counts.items()]
-            heapq.heapify(heap)
+            if pending:
+                words, pending = tables.replace(words, _merged(words, pending), "bpe-words"), []
+            counts, frontier = _candidates(words, least, max_pairs)
+            ranking = _Ranking(counts, least)
             continue
-        mapping, again = {}, False
-        for left, right, joined in batch:
+        rounds += 1
+        fresh = FIRST_MERGED + len(made)
+        floor = -frontier[0] if frontier else least
+        new = (F.col("left") >= fresh) | (F.col("right") >= fresh)
+        found = _changes(words, pending, sequence).filter(~new | (F.col("n") >= floor) | (F.col("n") < 0)).toArrow()
+        steps = defaultdict(list)
+        for step, left, right, n in zip(*(found.column(c).to_pylist() for c in ("step", "left", "right", "n"))):
+            steps[step].append(((left, right), n))
+        committed = 0
+        for step, (left, right, symbol) in enumerate(sequence):
+            entry = ranking.first()
+            if entry is None or entry[1:] != (left, right) or frontier is not None and entry > frontier:
+                break
+            joined = text(left) + text(right)
             merges.append((text(left), text(right)))
-            again |= joined in known            # a string met before: its pairs gain
             if joined not in known:
-                known[joined] = FIRST_MERGED + len(made)
+                known[joined] = symbol
                 made.append(joined)
                 vocab.append(joined)
-            mapping[left, right] = known[joined]
-        for entry in taken:                     # taken from the heap to look at
-            if entry[1:] not in mapping:
-                heapq.heappush(heap, entry)
-        rounds += 1
-        fresh = FIRST_MERGED + len(made) - len(mapping)
-        ids = F.col("ids")
-        # only word types holding a left symbol of the batch can change
-        lefts = F.expr("array(" + ",".join(str(x) for x in sorted({left for left, _ in mapping})) + ")")
-        nxt = (words.filter(F.size("ids") > 1)
-               .select("freq", F.when(F.arrays_overlap(ids, lefts), _merged(ids, mapping)).alias("new"), "ids")
-               .select("freq", F.coalesce("new", "ids").alias("ids"),
-                       F.when(F.size("new") < F.size("ids"), F.col("ids")).alias("old")))
-        if rounds % checkpoint_every:
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        else:
-            nxt = materialize(nxt, "bpe-words")
-        changed = nxt.filter("old is not null")
-        delta = (changed.select((-F.col("freq")).alias("f"), F.explode(_pairs(F.col("old"))).alias("p"))
-                 .unionByName(changed.select(F.col("freq").alias("f"), F.explode(_pairs(F.col("ids"))).alias("p")))
-                 .groupBy("p.left", "p.right").agg(F.sum("f").alias("n")))
-        floor = -frontier[0] if frontier else max(min_frequency, 1)
-        new = (F.col("left") >= fresh) | (F.col("right") >= fresh)
-        for r in delta.filter((F.col("n") != 0) & (~new | (F.col("n") >= floor))).collect():
-            pair = r["left"], r["right"]
-            n = counts.get(pair, 0) + r["n"]
-            if pair in counts or max(pair) >= fresh:
-                if n >= max(min_frequency, 1):
-                    counts[pair] = n
-                    heapq.heappush(heap, (-n, *pair))
-                else:
-                    counts.pop(pair, None)
-        words.unpersist()
-        if not rounds % checkpoint_every:
-            discard(*([written] if written is not None else []))
-            written = nxt
-        words = nxt
+            for pair, n in steps[step]:
+                if pair in counts or max(pair) >= fresh and n > 0:
+                    ranking.change(pair, n)
+            committed += 1
+        sample.keep(committed)
+        pending += sequence[:committed]
+        again = again and committed == len(sequence)
+        if again or rounds - written >= checkpoint_every:
+            words, pending, written = tables.replace(words, _merged(words, pending), "bpe-words"), [], rounds
         if again:
-            counts, frontier = _candidates(words, min_frequency, max_pairs)
-            heap = [(-n, *pair) for pair, n in counts.items()]
-            heapq.heapify(heap)
-    words.unpersist()
-    discard(*([written] if written is not None else []))
+            for left, right, symbol in sequence[-1:]:
+                sample.merge((left, right), symbol)
+                sample.keep(1)
+            counts, frontier = _candidates(words, least, max_pairs)
+            ranking = _Ranking(counts, least)
     return BpeModel(vocab, merges, specials, rounds=rounds)
 
 

@@ -137,6 +137,7 @@ class ModelTokenizer(Tokenizer):
         self.name, self.add_special_tokens, self.specials = name, add_special_tokens, tuple(specials)
         bc = spark.sparkContext.broadcast(payload)
         own = frozenset(self.specials)
+        self._spark, self._payload, self._word_fn = spark, bc, word_fn
 
         def encode(memo, word):
             found = memo.get(word)
@@ -167,6 +168,29 @@ class ModelTokenizer(Tokenizer):
     def encode_text(self, text: Column) -> Column:
         return self.wrap(self._per_line(self.pretokens(text)))
 
+    def encode_ids(self, text: Column, ids: dict, unk_id: int) -> Column:
+        """Ids of a whole text's pieces, in one pass over the line; ``ids`` is the
+        piece table (bounded by the vocabulary), other pieces get ``unk_id``."""
+        bc, own, per_word = self._payload, frozenset(self.specials), self._word_fn
+        table = self._spark.sparkContext.broadcast(ids)
+
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def _ids(lines: pa.Array) -> pa.Array:
+            memo: dict = {}
+            known = table.value
+
+            def of(word):
+                found = memo.get(word)
+                if found is None:
+                    pieces = [word] if word in own else per_word(bc.value, word)
+                    found = memo[word] = [known.get(p, unk_id) for p in pieces]
+                return found
+
+            return pa.array([None if words is None else [i for w in words for i in of(w)]
+                             for words in lines.to_pylist()], type=pa.list_(pa.int32()))
+
+        return _ids(self.pretokens(text))
+
 
 class FunctionTokenizer(ModelTokenizer):
     """A plain ``encode_fn(text) -> list[str]`` as a tokenizer.

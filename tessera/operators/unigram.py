@@ -3,14 +3,13 @@
 All corpus-sized work runs on the word-type table ``(word, freq)``:
 
 * V6 ``seed``: every substring of every word type up to ``max_piece_len``
-  characters, scored ``freq x length`` and summed per substring with a
-  map-side partial aggregate; the top ``seed_size`` (ties by piece) plus
-  every single character are kept.  ``seed_size`` bounds what later
-  reaches the driver.
-* V7 ``em_step``: expected piece counts by forward-backward over each
-  word's piece lattice, in ``mapInPandas`` with the (bounded) piece scores
-  broadcast; each task emits its partial sums, a ``groupBy(piece)`` adds
-  them.  The M-step is the Bayesian (digamma) update; pieces with an
+  characters, scored ``freq x length``, from a suffix array in parts; the top
+  ``seed_size`` (ties by piece) plus every single character are kept.
+  ``seed_size`` bounds what later reaches the driver.
+* V7 ``em_step``: expected piece counts by forward-backward over the words'
+  piece lattices (:mod:`tessera.operators.lattice`), many words at once, with the
+  (bounded) piece table broadcast; each task emits its partial sums, a
+  ``groupBy(piece)`` adds them.  The M-step is the Bayesian (digamma) update; pieces with an
   expected count below 0.5 leave the model, single characters never do.
 * V8 ``prune``: Viterbi counts per piece (distributed like V7); the loss of
   removing a piece compares its log-probability with that of its best
@@ -30,18 +29,24 @@ the model and scores are rounded to 1e-9 before ranking, ties by piece.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from dataclasses import dataclass, field
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators.bpe import bounded_plan_strings
+from tessera.operators.lattice import Lattice
 from tessera.operators.tokenizers import UNK, ModelTokenizer
 from tessera.session import Tables
 
 UNK_PENALTY = 10.0
+#: Suffixes that a task sums before it hands them on, and characters of words it runs at once.
+HELD_SUFFIXES, HELD_CHARS = 500_000, 500_000
 
 
 def digamma(x: float) -> float:
@@ -57,65 +62,83 @@ def digamma(x: float) -> float:
 # ---------------------------------------------------------------------------
 # V6
 # ---------------------------------------------------------------------------
+def _suffixes(word_freq: DataFrame, max_piece_len: int) -> DataFrame:
+    """``suffix, freq``: what follows each position of the word types, cut to
+    ``max_piece_len`` characters, equal ones of a task summed."""
+    def rows(held):
+        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())],
+                                          ["suffix", "freq"])
+
+    def run(batches):
+        held = defaultdict(int)
+        for batch in batches:
+            for word, freq in zip(batch.column("word").to_pylist(), batch.column("freq").to_pylist()):
+                for i in range(len(word)):
+                    held[word[i:i + max_piece_len]] += freq
+                    if len(held) >= HELD_SUFFIXES:
+                        yield rows(held)
+                        held = defaultdict(int)
+        if held:
+            yield rows(held)
+
+    return word_freq.select("word", F.col("freq").cast("bigint").alias("freq")).mapInArrow(run, "suffix string, freq bigint")
+
+
+def _intervals(batches):
+    """The distinct prefixes of two or more characters of sorted suffixes, each
+    once with its total: suffixes with a common prefix are neighbours, so a prefix is
+    complete at the first suffix whose common length with the one before is shorter."""
+    out, open_, before = [], [0], ""        # open_[l]: total so far of before[:l]
+
+    def close(length):
+        while len(open_) - 1 > length:
+            size, total = len(open_) - 1, open_.pop()
+            if size > 1:
+                out.append((before[:size], total * size))
+            open_[-1] += total
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64()))],
+                                          ["piece", "score"])
+
+    for batch in batches:
+        for suffix, freq in zip(batch.column("suffix").to_pylist(), batch.column("freq").to_pylist()):
+            common, most = 0, min(len(suffix), len(before))
+            while common < most and suffix[common] == before[common]:
+                common += 1
+            close(common)
+            open_ += [0] * (len(suffix) - common)
+            open_[-1] += freq
+            before = suffix
+            if len(out) >= 1 << 16:
+                yield rows()
+                out.clear()
+    close(0)
+    if out:
+        yield rows()
+
+
 def seed_pieces(word_freq: DataFrame, max_piece_len: int = 16,
                 seed_size: int = 1_000_000) -> DataFrame:
     """``piece, score, is_char``: top substrings by ``freq x length`` plus all
-    characters."""
-    n = F.length("word")
-    subs = (word_freq
-            .select("word", "freq", F.explode(F.sequence(F.lit(1), n)).alias("s"))
-            .select("word", "freq", "s",
-                    F.explode(F.sequence(F.lit(1), F.least(F.lit(max_piece_len), n - F.col("s") + 1)))
-                    .alias("l"))
-            .select(F.substring(F.col("word"), F.col("s"), F.col("l")).alias("piece"),
-                    (F.col("freq") * F.col("l")).alias("score"), (F.col("l") == 1).alias("is_char")))
-    scored = subs.groupBy("piece").agg(F.sum("score").alias("score"), F.max("is_char").alias("is_char"))
-    top = scored.filter(~F.col("is_char")).orderBy(F.desc("score"), F.asc("piece")).limit(seed_size)
-    return scored.filter(F.col("is_char")).unionByName(top)
+    characters.
+
+    Linear in the length of a word: its suffixes, one row a position, are dealt by
+    their first two characters and sorted there (a suffix array in parts);
+    the intervals of common prefixes give every substring once with its total.
+    """
+    chars = (word_freq.select(F.explode(tx.characters(F.col("word"))).alias("piece"), "freq")
+             .groupBy("piece").agg(F.sum("freq").cast("bigint").alias("score")).withColumn("is_char", F.lit(True)))
+    scored = (_suffixes(word_freq, max_piece_len).filter(F.length("suffix") > 1)
+              .repartition(F.substring("suffix", 1, 2)).sortWithinPartitions("suffix")
+              .mapInArrow(_intervals, "piece string, score bigint"))
+    top = scored.orderBy(F.desc("score"), F.asc("piece")).limit(seed_size).withColumn("is_char", F.lit(False))
+    return chars.unionByName(top)
 
 
 # ---------------------------------------------------------------------------
 # lattice helpers (per word, small)
 # ---------------------------------------------------------------------------
-def _forward_backward(word: str, logp: dict, max_len: int):
-    n = len(word)
-    alpha = [-math.inf] * (n + 1)
-    alpha[0] = 0.0
-    edges = []
-    for i in range(n):
-        for j in range(i + 1, min(n, i + max_len) + 1):
-            lp = logp.get(word[i:j])
-            if lp is not None:
-                edges.append((i, j, lp))
-    edges.sort()
-    for i, j, lp in edges:
-        if alpha[i] == -math.inf:
-            continue
-        a = alpha[i] + lp
-        alpha[j] = a if alpha[j] == -math.inf else max(alpha[j], a) + math.log1p(
-            math.exp(-abs(alpha[j] - a)))
-    z = alpha[n]
-    if z == -math.inf:
-        return z, {}
-    beta = [-math.inf] * (n + 1)
-    beta[n] = 0.0
-    for i, j, lp in sorted(edges, key=lambda e: (-e[0], -e[1])):
-        if beta[j] == -math.inf:
-            continue
-        b = beta[j] + lp
-        beta[i] = b if beta[i] == -math.inf else max(beta[i], b) + math.log1p(
-            math.exp(-abs(beta[i] - b)))
-    counts = {}
-    for i, j, lp in edges:
-        if alpha[i] == -math.inf or beta[j] == -math.inf:
-            continue
-        post = math.exp(alpha[i] + lp + beta[j] - z)
-        if post > 0:
-            p = word[i:j]
-            counts[p] = counts.get(p, 0.0) + post
-    return z, counts
-
-
 def viterbi(word: str, logp: dict, max_len: int, unk: str | None = UNK, unk_score: float = -1e9,
             unk_text: bool = False, without_itself: bool = False):
     """Best segmentation; a run of characters no piece covers is fused into
@@ -152,42 +175,49 @@ def viterbi(word: str, logp: dict, max_len: int, unk: str | None = UNK, unk_scor
 # ---------------------------------------------------------------------------
 # V7 / V8 distributed passes
 # ---------------------------------------------------------------------------
-def _lattice_pass(word_freq: DataFrame, logp: dict, max_len: int, mode: str) -> DataFrame:
-    """``piece, value``: expected counts (mode ``em``) or Viterbi counts
+def _lattice_pass(word_freq: DataFrame, shared, mode: str) -> DataFrame:
+    """``piece, value``: expected counts (mode ``em``) or counts on best paths
     (mode ``viterbi``) summed over all word types; the row with a NULL piece
-    carries the total log-likelihood."""
-    bc = word_freq.sparkSession.sparkContext.broadcast(logp)
-
+    carries the total log-likelihood.  ``shared`` is the broadcast :class:`Lattice`."""
     def run(batches):
-        scores = bc.value
-        acc, ll = {}, 0.0
-        for pdf in batches:
-            for w, f in zip(pdf["word"], pdf["freq"]):
-                if mode == "em":
-                    z, counts = _forward_backward(w, scores, max_len)
-                    if z == -math.inf:
-                        continue
-                    ll += f * z
-                    for p, c in counts.items():
-                        acc[p] = acc.get(p, 0.0) + f * c
-                else:
-                    pieces, z = viterbi(w, scores, max_len, unk=None)
-                    ll += f * z
-                    for p in pieces:
-                        acc[p] = acc.get(p, 0.0) + f
-        keys = sorted(acc)
-        yield pd.DataFrame({"piece": keys + [None], "value": [acc[k] for k in keys] + [ll]})
-
-    return (word_freq.select("word", "freq")
-            .mapInPandas(run, "piece string, value double")
+        lattice = shared.value
+        work = lattice.expected if mode == "em" else lattice.path_counts
+        total, ll, words, freq, chars = np.zeros(len(lattice.pieces)), 0.0, [], [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                more = batch.column("word").to_pylist()
+                words += more
+                freq += batch.column("freq").to_pylist()
+                chars += sum(map(len, more))
+            if words and (batch is None or chars >= HELD_CHARS):
+                found, score = work(words, freq)
+                total, ll, words, freq, chars = total + found, ll + score, [], [], 0
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*map(lattice.pieces.__getitem__, used.tolist()), None], pa.string()),
+             pa.array(np.append(total[used], ll))], ["piece", "value"])
+
+    return (word_freq.select("word", "freq").mapInArrow(run, "piece string, value double")
             .groupBy("piece").agg(F.sum("value").alias("value")))
 
 
+def _share(spark: SparkSession, logp: dict, max_len: int):
+    pieces = sorted(logp)
+    return spark.sparkContext.broadcast(Lattice(pieces, [logp[p] for p in pieces], max_len))
+
+
+def _counts(word_freq: DataFrame, logp: dict, max_len: int, mode: str) -> dict:
+    """The rows of :func:`_lattice_pass` (as many as pieces); the model sent for them is destroyed."""
+    shared = _share(word_freq.sparkSession, logp, max_len)
+    found = _lattice_pass(word_freq, shared, mode).toArrow()
+    shared.destroy()
+    return dict(zip(found.column("piece").to_pylist(), found.column("value").to_pylist()))
+
+
 def em_step(word_freq: DataFrame, logp: dict, max_len: int = 16, chars=()):
     """One EM iteration; returns ``(new_logp, log_likelihood, expected)``."""
-    rows = _lattice_pass(word_freq, logp, max_len, "em").collect()
-    ll = next((r["value"] for r in rows if r["piece"] is None), 0.0)
-    expected = {r["piece"]: r["value"] for r in rows if r["piece"] is not None}
+    expected = _counts(word_freq, logp, max_len, "em")
+    ll = expected.pop(None, 0.0)
     chars = set(chars)
     kept = {p: c for p, c in expected.items() if c >= 0.5 or p in chars}
     for ch in chars:
@@ -205,34 +235,43 @@ def prune(word_freq: DataFrame, logp: dict, keep: int, max_len: int, chars) -> d
     survivors, at most ``keep``, come back."""
     spark = word_freq.sparkSession
     chars = set(chars)
-    used = _lattice_pass(word_freq, logp, max_len, "viterbi")
-    vfreq = {r["piece"]: r["value"] for r in used.collect() if r["piece"] is not None}
+    vfreq = _counts(word_freq, logp, max_len, "viterbi")
+    vfreq.pop(None, None)
     total = sum(vfreq[p] for p in sorted(vfreq)) or 1.0
-    shared = spark.sparkContext.broadcast((logp, vfreq))
+    pieces = sorted(logp)
+    lattice = Lattice(pieces, [logp[p] for p in pieces], max_len)
+    shared = spark.sparkContext.broadcast((lattice, np.array([vfreq.get(p, 0.0) for p in pieces]),
+                                           np.array([p not in chars for p in pieces])))
 
     def losses(batches):
-        scores, freq = shared.value
-        for pdf in batches:
-            out = []
-            for p in pdf["piece"]:
-                f = freq.get(p, 0.0)
-                if f <= 0:
-                    out.append(0.0)
-                    continue
-                alt, _ = viterbi(p, scores, max_len, unk=None, without_itself=True)
-                # removing p moves its count to its alternatives; every
-                # alternative piece is then drawn from the new total
-                moved = math.log(total + f * (len(alt) - 1))
-                log_alt = sum(math.log(freq.get(a, 0.0) + f) - moved for a in alt)
-                out.append(round(f * (math.log(f) - math.log(total) - log_alt), 9))
-            yield pd.DataFrame({"piece": pdf["piece"], "loss": out})
+        lattice, freq, open_ = shared.value
+        for batch in batches:
+            rows = batch.column("row").to_numpy()
+            rows = rows[open_[rows]]
+            f = freq[rows]
+            used = f > 0
+            # removing a piece moves its count to its alternatives; every
+            # alternative piece is then drawn from the new total
+            alternatives, log_alt = np.zeros(len(rows)), np.zeros(len(rows))
+            for some, score, steps in lattice.best([lattice.pieces[r] for r in rows.tolist()], without_itself=True):
+                for live, piece in steps:
+                    alternatives[some[live]] += 1
+                    log_alt[some[live]] += np.log(np.maximum(freq[piece] + f[some[live]], 1e-300))
+                none = some[score == -np.inf]           # nothing else spells it: it is its own only path
+                alternatives[none], log_alt[none] = 1, np.log(np.maximum(2 * f[none], 1e-300))
+            moved = np.log(total + f * (alternatives - 1))
+            safe = np.where(used, f, 1.0)
+            loss = safe * (np.log(safe) - math.log(total) - (log_alt - alternatives * moved))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lattice.pieces[r] for r in rows.tolist()]), pa.array(np.where(used, np.round(loss, 9), 0.0))],
+                ["piece", "loss"])
 
     fixed = chars & set(logp)
     room = max(keep - len(fixed), 0)
-    rest = spark.createDataFrame([(p,) for p in sorted(logp) if p not in fixed], "piece string")
-    kept = (rest.repartition(spark.sparkContext.defaultParallelism * 2).mapInPandas(losses, "piece string, loss double")
+    rows = spark.range(0, len(pieces), 1, spark.sparkContext.defaultParallelism * 2).select(F.col("id").alias("row"))
+    kept = (rows.mapInArrow(losses, "piece string, loss double")
             .orderBy(F.desc("loss"), "piece").limit(room))
-    survivors = fixed | ({r["piece"] for r in kept.collect()} if room else set())
+    survivors = fixed | (set(kept.select("piece").toArrow().column("piece").to_pylist()) if room else set())
     shared.destroy()
     return {p: logp[p] for p in sorted(survivors)}
 

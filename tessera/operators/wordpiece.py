@@ -8,7 +8,8 @@ default), becomes one ``[UNK]``.
 A vocabulary of up to ``max_broadcast`` pieces is broadcast and applied by an
 Arrow UDF.  A larger one stays a table: the substrings of the distinct
 pre-tokens are joined with it, and the longest match at each position is
-walked; lines get their pieces by a join with the distinct pre-tokens.
+walked; lines get their pieces by a join with the distinct pre-tokens.  The rows
+are written with a number first, so that equal rows stay apart.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.tokenizers import UNK, ModelTokenizer
+from tessera.session import materialize
 
 PREFIX = "##"
 
@@ -51,13 +53,13 @@ def _wp(payload, word):
 class WordPieceTokenizer(ModelTokenizer):
     def __init__(self, vocab_df: DataFrame, spark: SparkSession, name: str = "wordpiece",
                  add_special_tokens: bool = False, unk: str = UNK, max_chars: int = 100,
-                 max_broadcast: int = 1_000_000):
+                 max_broadcast: int = 1_000_000, specials=()):
         self._vocab = vocab_df.select("piece").distinct()
         self.unk, self.max_chars = unk, max_chars
         rows = self._vocab.limit(max_broadcast + 1).collect()
         self.joined = len(rows) > max_broadcast
         known = set() if self.joined else {r["piece"] for r in rows}
-        super().__init__(spark, name, (known, unk, PREFIX, max_chars), _wp, add_special_tokens, ())
+        super().__init__(spark, name, (known, unk, PREFIX, max_chars), _wp, add_special_tokens, specials)
 
     def vocab(self, spark, train_pretokens=None):
         return self._vocab
@@ -68,12 +70,16 @@ class WordPieceTokenizer(ModelTokenizer):
     def encode_lines(self, df: DataFrame, text_col: str, out: str = "tokens") -> DataFrame:
         if not self.joined:
             return super().encode_lines(df, text_col, out)
-        rows = df.withColumn("_row", F.struct(*df.columns))
-        words = rows.select("_row", F.posexplode_outer(self.pretokens(F.col(text_col))).alias("_at", "_w"))
-        pieces = self._by_join(words.select("_w").distinct().filter("_w is not null"), "_w")
-        tokens = (words.join(pieces, "_w", "left").groupBy("_row")
-                  .agg(F.array_sort(F.collect_list(F.when(F.col("_w").isNotNull(), F.struct("_at", "pieces")))).alias("_p")))
-        return tokens.select("_row.*", self.wrap(F.flatten(F.transform("_p", lambda p: p["pieces"]))).alias(out))
+        # a written number tells rows apart, whatever they hold and however often they occur
+        rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "wordpiece-rows")
+        words = rows.select("_row", F.posexplode(self.pretokens(F.col(text_col))).alias("_at", "_w"))
+        pieces = self._by_join(words.select("_w").distinct(), "_w")
+        tokens = (words.join(pieces, "_w").groupBy("_row")
+                  .agg(F.array_sort(F.collect_list(F.struct("_at", "pieces"))).alias("_p")))
+        none = F.array().cast("array<string>")
+        found = F.coalesce(F.flatten(F.transform("_p", lambda p: p["pieces"])), none)
+        return (rows.join(tokens, "_row", "left")
+                .withColumn(out, F.when(F.col(text_col).isNotNull(), self.wrap(found))).select(*df.columns, out))
 
     def encode_text(self, text: Column) -> Column:
         if self.joined:

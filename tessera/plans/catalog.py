@@ -8,9 +8,11 @@ value hash compares like with like.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from tessera.operators.leaderboard import leaderboard
 from tessera.plans import oracle as o
 from tessera.plans import sqlfrag as s
 from tessera.plans.corpus import LINE_KEY, Corpus
-from tessera.session import Tables, materialize
+from tessera.session import Tables, materialize, path_exists, save_whole, shared_dir
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -342,17 +344,26 @@ def _word_freq(c: Corpus) -> DataFrame:
     return bp.word_frequency(c.split("train"), "text")
 
 
-def _model(spark, sf, kind: str, train):
-    """A model is learned once per application, data folder and kind."""
+def _model(spark, sf, kind: str, model_class, train):
+    """A model is learned once: it is saved in the shared folder under a digest of
+    its word table and settings, so that later applications load it."""
     key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _MODELS:
         with Tables() as t:
-            _MODELS[key] = train(t.keep(_word_freq(Corpus.of(spark, sf)), "word_freq"))
+            wf = t.keep(_word_freq(Corpus.of(spark, sf)), "word_freq")
+            cells = wf.agg(F.count("*"), F.sum("freq"), F.bit_xor(F.xxhash64("word", "freq")),
+                           F.bit_xor(F.xxhash64("freq", "word"))).first()
+            path = f"{shared_dir(spark)}/models/{kind}-{hashlib.md5(repr(tuple(cells)).encode()).hexdigest()}"
+            if path_exists(spark, path):
+                _MODELS[key] = model_class.load(spark, path)
+            else:
+                _MODELS[key] = model = train(wf)
+                save_whole(spark, path, lambda at: model.save(spark, at))
     return _MODELS[key]
 
 
 def bpe_model(spark, sf, vocab_size: int = VOCAB_SIZE):
-    return _model(spark, sf, f"bpe-{vocab_size}", lambda wf: bp.train_bpe(
+    return _model(spark, sf, f"bpe-{vocab_size}-{BPE_MIN_FREQUENCY}", bp.BpeModel, lambda wf: bp.train_bpe(
         wf, vocab_size=vocab_size, min_frequency=BPE_MIN_FREQUENCY))
 
 
@@ -530,15 +541,19 @@ def _batches_sql(order: str) -> str:
           FROM mw""")
 
 
-def _mlm_batches(spark, sf, by_length: bool) -> DataFrame:
-    c = Corpus.of(spark, sf)
-    masked = materialize(ml.mask(_mlm_examples(c), 5 + len(c.tokenizer("closed_vocab").words)), "mlm_masked")
+def _batched(masked: DataFrame, by_length: bool) -> DataFrame:
+    masked = materialize(masked, "mlm_masked")
     parts = [ml.batches(masked.filter(F.col("split") == x), MLM_BATCH, by_length=by_length) for x in ("train", "valid")]
     return reduce(DataFrame.unionByName, parts).select(
         "doc_id", "line_no", "split", "batch_id", "position", F.col("batch_len").cast("int"),
         *[_ids_str(F.col(x)).alias(x) for x in ("padded_ids", "padded_mask", "padded_labels")])
 
 
+def _mlm_batches(spark, sf, by_length: bool) -> DataFrame:
+    c = Corpus.of(spark, sf)
+    return _batched(ml.mask(_mlm_examples(c), 5 + len(c.tokenizer("closed_vocab").words)), by_length)
+
+
 @query("mlm_batches", _batches_sql(""))
 def mlm_batches(spark, sf):
     return _mlm_batches(spark, sf, by_length=False)
@@ -550,19 +565,38 @@ def mlm_batches_by_length(spark, sf):
     return _mlm_batches(spark, sf, by_length=True)
 
 
-@query("mlm_examples_learned")
-def mlm_examples_learned(spark, sf):
-    """M1 with the ids of the learned BPE vocabulary."""
-    c = Corpus.of(spark, sf)
+def _learned_examples(spark, sf) -> DataFrame:
+    """M1 with the ids of the learned BPE vocabulary, straight from the encoder."""
     model = bpe_model(spark, sf)
     tok = bp.BpeTokenizer(model, spark, add_special_tokens=False)
-    ids = ml.ids_by_join(tok.encode_lines(_mlm_lines(c), "text"), "tokens", model.vocab_df(spark),
-                         ["doc_id", "line_no", "split"], unk_id=model.token_to_id()[model.unk_token])
-    return ml.examples(ids, F.col("ids"), MLM_MAX_LENGTH).select(
+    ids = tok.encode_ids(F.col("text"), model.token_to_id(), model.token_to_id()[model.unk_token])
+    lines = _mlm_lines(Corpus.of(spark, sf)).select("doc_id", "line_no", "split", ids.alias("ids"))
+    return ml.examples(lines, F.col("ids"), MLM_MAX_LENGTH)
+
+
+@query("mlm_examples_learned")
+def mlm_examples_learned(spark, sf):
+    """M1 on learned ids: map-only."""
+    return _learned_examples(spark, sf).select(
         "doc_id", "line_no", "split", _ids_str(F.col("input_ids")).alias("input_ids"),
         F.size("input_ids").cast("bigint").alias("n_ids"))
 
 
+@query("mlm_masked_learned")
+def mlm_masked_learned(spark, sf):
+    """M2 on learned ids."""
+    m = ml.mask(_learned_examples(spark, sf), len(bpe_model(spark, sf).vocab))
+    return m.select("doc_id", "line_no", "split", _ids_str(F.col("masked_ids")).alias("masked_ids"),
+                    _ids_str(F.col("labels")).alias("labels"),
+                    F.size(F.filter("labels", lambda x: x != ml.IGNORE)).cast("bigint").alias("n_masked"))
+
+
+@query("mlm_batches_learned")
+def mlm_batches_learned(spark, sf):
+    """M3 on learned ids."""
+    return _batched(ml.mask(_learned_examples(spark, sf), len(bpe_model(spark, sf).vocab)), by_length=False)
+
+
 # ---------------------------------------------------------------------------
 # Unigram LM vocabulary (V6-V9)
 # ---------------------------------------------------------------------------
@@ -574,7 +608,7 @@ UNIGRAM_MAX_PIECE = 16
 
 
 def unigram_model(spark, sf, vocab_size: int = VOCAB_SIZE):
-    return _model(spark, sf, f"unigram-{vocab_size}", lambda wf: ug.train_unigram(
+    return _model(spark, sf, f"unigram-{vocab_size}-{UNIGRAM_SEED_SIZE}-{UNIGRAM_MAX_PIECE}", ug.UnigramModel, lambda wf: ug.train_unigram(
         wf, vocab_size=vocab_size, seed_size=UNIGRAM_SEED_SIZE, max_piece_len=UNIGRAM_MAX_PIECE))
 
 
@@ -596,12 +630,15 @@ def unigram_seed(spark, sf):
 @query("unigram_em_step")
 def unigram_em_step(spark, sf):
     """One EM pass from the seed scores: expected count per piece."""
-    wf = materialize(_word_freq(Corpus.of(spark, sf)), "em_words")
-    seed = ug.seed_pieces(wf, UNIGRAM_MAX_PIECE, UNIGRAM_SEED_SIZE).collect()
-    total = sum(float(r["score"]) for r in seed)
-    logp = {r["piece"]: math.log(r["score"] / total) for r in seed}
-    return (ug._lattice_pass(wf, logp, UNIGRAM_MAX_PIECE, "em")
-            .select("piece", F.col("value").alias("expected_count")))
+    with Tables() as t:
+        wf = t.keep(_word_freq(Corpus.of(spark, sf)), "em_words")
+        # the seed (bounded by its size and the characters) is the model that is sent out
+        seed = ug.seed_pieces(wf, UNIGRAM_MAX_PIECE, UNIGRAM_SEED_SIZE).toArrow()
+        scores = dict(zip(seed.column("piece").to_pylist(), seed.column("score").to_pylist()))
+        total = float(sum(scores.values()))
+        expected = ug._counts(wf, {p: math.log(n / total) for p, n in scores.items()}, UNIGRAM_MAX_PIECE, "em")
+    return spark.createDataFrame(pd.DataFrame({"piece": list(expected), "expected_count": list(expected.values())}),
+                                 "piece string, expected_count double")
 
 
 @query("unigram_vocab")

@@ -68,6 +68,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which applications share
+    (each one's checkpoints are in a folder of their own below it)."""
+    own = checkpoint_dir(spark)
+    return (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or own).rstrip("/")
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _hadoop_path(spark, path)
+    return bool(fs.exists(at))
+
+
+def save_whole(spark: SparkSession, path: str, write) -> None:
+    """``write(folder)`` into a folder that appears at ``path`` only when it is
+    complete; of several writers the first one's stays."""
+    import uuid
+
+    fs, at = _hadoop_path(spark, path)
+    part = f"{path}.{uuid.uuid4().hex[:12]}"
+    write(part)
+    fs.mkdirs(at.getParent())
+    if fs.exists(at) or not fs.rename(_hadoop_path(spark, part)[1], at):
+        fs.delete(_hadoop_path(spark, part)[1], True)
+
+
 def materialize(df, name: str, partition_by=None):
     """Write ``df`` once as parquet under the shared checkpoint folder and
     return a frame reading it back.
@@ -115,6 +145,13 @@ class Tables:
         self._kept.append(out)
         return out
 
+    def replace(self, old, df, name: str, partition_by=None):
+        """Write a new version of a kept table and delete the one before."""
+        out = self.keep(df, name, partition_by)
+        self._kept = [t for t in self._kept if t is not old]
+        discard(old)
+        return out
+
     def __enter__(self):
         return self
 

@@ -13,10 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_splits(split_df: DataFrame, path: str, text_col: str = "text",
-                 mode: str = "overwrite") -> None:
-    """K1: ``<path>/split=<name>/part-*.txt``, one UTF-8 line per row."""
-    (split_df.select(F.col(text_col).alias("value"), "split")
+def write_splits(split_df: DataFrame, path: str, text_col: str = "text", mode: str = "overwrite",
+                 key_cols=(), files: int = 64) -> None:
+    """K1: ``<path>/split=<name>/part-*.txt``, one UTF-8 line per row.
+
+    Rows with a ``shuffle_key`` (:func:`tessera.operators.split.exact_split`) are
+    written in the order of the seeded shuffle, ties by ``key_cols``: the key is
+    uniform, so ranges of its first digits are of like size without sampling; each
+    range goes to one task, is sorted there and becomes one file of at most two
+    splits.  The files of a split in the order of their names are its lines
+    in shuffled order.  ``files`` is the number of ranges (up to 65,536); other
+    rows are written as they lie, without an exchange.
+    """
+    rows = split_df
+    if "shuffle_key" in split_df.columns:
+        prefix = F.conv(F.substring("shuffle_key", 1, 4), 16, 10).cast("long")
+        rows = (split_df.repartitionById(files, F.floor(prefix * files / 65536).cast("int"))
+                .sortWithinPartitions("split", "shuffle_key", *key_cols))
+    (rows.select(F.col(text_col).alias("value"), "split")
      .write.mode(mode).partitionBy("split").option("lineSep", "\n").text(path))
 
 

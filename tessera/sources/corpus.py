@@ -14,12 +14,14 @@
 from __future__ import annotations
 
 import warnings
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as tx
+from tessera.session import materialize
 
 # Universal newlines, as Python's text-mode iteration splits lines.
 LINE_BREAK = r"\r\n|\r|\n"
@@ -62,16 +64,41 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
+#: File blocks whose line offsets are broadcast (some 150 bytes each); more are joined.
+MOST_BLOCKS = 1_000_000
+
+
+def _marked_files(spark: SparkSession, files) -> list[str]:
+    """Those of ``files`` that begin with a byte-order mark: the first three
+    bytes of each are read (Hadoop's line reader drops the mark)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def marked(name):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            return [stream.read() for _ in range(3)] == [0xEF, 0xBB, 0xBF]
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        return [name for name, hit in zip(files, pool.map(marked, files)) if hit]
+
+
 def read_language_files(spark: SparkSession, raw_dir: str, languages) -> DataFrame:
     """Lines of ``<raw_dir>/<lang>/*.txt`` for the given languages.
 
-    Returns ``lang, source, doc_id, line_no, line, valid_utf8``: ``doc_id`` is a
-    hash of language and file name and ``line_no`` counts the file's lines from
-    0, so a line's key does not depend on splits or partitions, nor on where
-    the corpus lies.  Files are read whole (a raw file is a document); lines end
-    as in Python's text mode.  Invalid UTF-8 is repaired with U+FFFD and shown
-    by ``valid_utf8``; a leading byte-order mark stays in the first line, as in
-    Python.  A language without a folder is skipped with a warning.
+    Returns ``lang, source, doc_id, line_no, line, valid_utf8, valid_line``:
+    ``doc_id`` is a hash of language and file name and ``line_no`` counts the file's
+    lines from 0, so a line's key does not depend on splits or partitions, nor on
+    where the corpus lies.  Lines end as in Python's text mode.  Invalid UTF-8 is
+    repaired with U+FFFD and shown by ``valid_line`` and, for the file as a whole, by
+    ``valid_utf8``; a leading byte-order mark stays in the first line, as in Python.  A
+    language without a folder is skipped with a warning.
+
+    Files are read in splits.  One job counts the lines of each (file, block); their
+    prefix sums, plus a line's place in its block, number the lines in the
+    pass that reads them.  Should the two passes see different splits, the read fails.
     """
     paths = []
     for lang in languages:
@@ -80,21 +107,34 @@ def read_language_files(spark: SparkSession, raw_dir: str, languages) -> DataFra
             paths.append(path)
         else:
             warnings.warn(f"no folder for language {lang!r}: {path}")
-    schema = "lang string, source string, doc_id bigint, line_no bigint, line string, valid_utf8 boolean"
+    schema = ("lang string, source string, doc_id bigint, line_no bigint, line string, valid_utf8 boolean, "
+              "valid_line boolean")
     if not paths:
         return spark.createDataFrame([], schema)
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.txt")
-             .option("recursiveFileLookup", "false").load(paths).select("path", "content"))
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    named = files.select(language_of_path(F.col("path")).alias("lang"), F.col("path").alias("source"),
-                         F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), text.alias("text"),
-                         F.is_valid_utf8(F.col("content").cast("string")).alias("valid_utf8"))
-    # a text that ends with a line break has no further, empty line
-    body = F.regexp_replace("text", rf"(?:{LINE_BREAK})\z", "")
-    return (named.filter(F.length("text") > 0)
-            .select("lang", "source", F.xxhash64("lang", "name").alias("doc_id"), "valid_utf8",
-                    F.posexplode(F.split(body, LINE_BREAK, -1)).alias("line_no", "line"))
-            .select("lang", "source", "doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line", "valid_utf8"))
+    read = (spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "false").text(paths)
+            .select("value", F.col("_metadata.file_path").alias("source"),
+                    F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")))
+    counted = materialize(read.groupBy("source", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.bool_and(F.is_valid_utf8("value")).alias("valid")),
+        "file-blocks")
+    n_blocks = counted.count()
+    marked = _marked_files(spark, [r["source"] for r in counted.select("source").distinct().collect()])
+    marks = spark.createDataFrame([(m,) for m in marked], "source string").withColumns(
+        {"block": F.lit(0).cast("long"), "mark": F.lit("\ufeff")})
+    of_file = Window.partitionBy("source")
+    blocks = (counted.join(marks, ["source", "block"], "left").withColumns({
+        "before": F.sum("n").over(of_file.orderBy("block")) - F.col("n"), "valid_utf8": F.bool_and("valid").over(of_file)}))
+    if n_blocks <= MOST_BLOCKS:
+        blocks = F.broadcast(blocks)
+    place = F.col("at") - F.col("first")
+    known = F.col("n").isNotNull() & (place >= 0) & (place < F.col("n"))
+    line_no = F.when(known, F.col("before") + place).otherwise(
+        F.raise_error(F.concat(F.lit("splits changed between two reads of "), "source")).cast("bigint"))
+    line = F.concat(F.when(place == 0, F.coalesce("mark", F.lit(""))).otherwise(F.lit("")), F.make_valid_utf8("value"))
+    lang = language_of_path(F.col("source"))
+    return read.join(blocks, ["source", "block"], "left").select(
+        lang.alias("lang"), "source", F.xxhash64(lang, F.regexp_extract("source", r"([^/]+)$", 1)).alias("doc_id"),
+        line_no.alias("line_no"), line.alias("line"), "valid_utf8", F.is_valid_utf8("value").alias("valid_line"))
 
 
 def language_of_path(path):

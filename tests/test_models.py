@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators import bpe, metrics
 from tessera.operators import unigram as ug
 from tessera.operators.metrics import token_counts, tokenizer_report
+from tessera.operators.mlm import ids_by_join
 from tessera.operators.wordpiece import WordPieceTokenizer, wordpiece_word
 from tessera.plans.corpus import Corpus
 from tessera.sources.models import load_tokenizers
@@ -138,6 +139,65 @@ def test_wordpiece_matches_library(spark):
     assert list(r) == ["un", "##aff", "##able", "a", "##b", "[UNK]"]
 
 
+def test_wordpiece_joined_keeps_rows_apart(spark):
+    """Repeated, null and empty rows and map columns, with any vocabulary size."""
+    rng = random.Random(12)
+    vocab = sorted({"".join(rng.choices("abc", k=rng.randrange(1, 4))) for _ in range(12)})
+    vocab = spark.createDataFrame([(v,) for v in vocab + ["##" + v for v in vocab] + ["[UNK]"]], "piece string")
+    texts = [" ".join("".join(rng.choices("abcd", k=rng.randrange(1, 7))) for _ in range(rng.randrange(4))) for _ in range(20)]
+    rows = [(1, t, {"k": 1}) for t in texts + texts[:6] + [None, None, "", "", " ", "ab c", "ab c"]]
+    df = spark.createDataFrame(rows, "k int, t string, m map<string,int>")
+    for special in (False, True):
+        small, large = (WordPieceTokenizer(vocab, spark, add_special_tokens=special, max_broadcast=n) for n in (100, 1))
+        want, got = (sorted(((r["t"], r["tokens"]) for r in x.encode_lines(df, "t").collect()), key=repr) for x in (small, large))
+        assert got == want and len(got) == len(rows)
+        assert large.encode_lines(df, "t").columns == ["k", "t", "m", "tokens"]
+
+
+def test_ids_from_the_encoder_equal_ids_by_join(spark):
+    m = bpe.BpeModel(SPECIALS + ["a", "b", "ab", "c"], [("a", "b")])
+    tok = bpe.BpeTokenizer(m, spark, add_special_tokens=False)
+    rows = [(i, t) for i, t in enumerate(["ab c abc", "", None, "x[MASK]ab", "ab ab"])]
+    df = spark.createDataFrame(rows, "k int, t string")
+    out = df.select("k", tok.encode_ids(F.col("t"), m.token_to_id(), 1).alias("ids"))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["k"]: r["ids"] for r in out.collect()}
+    want = {r["k"]: r["ids"] for r in ids_by_join(tok.encode_lines(df.filter("t is not null"), "t"), "tokens", m.vocab_df(spark), ["k"]).collect()}
+    assert {k: v for k, v in got.items() if k != 2} == want and not got[2]
+
+
+def test_merges_are_foreseen_from_any_sample(spark, train_lines):
+    """A sample that is too small or misleading costs rounds, not results."""
+    wf = bpe.word_frequency(train_lines, "text").orderBy(F.desc("freq")).limit(3000).cache()
+    want = bpe.train_bpe(wf, vocab_size=300)
+    assert want.rounds <= 4
+    for types, ahead, every in ((1, 50, 2), (40, 500, 5), (5000, 7, 3)):
+        got = bpe.train_bpe(wf, vocab_size=300, sample_types=types, ahead=ahead, checkpoint_every=every, max_pairs=400)
+        assert (got.merges, got.vocab) == (want.merges, want.vocab)
+    wf.unpersist()
+
+
+def test_changes_of_a_sequence_are_those_of_its_steps():
+    rng = random.Random(13)
+    for _ in range(200):
+        ids = [rng.randrange(3) for _ in range(rng.randrange(2, 25))]
+        sequence, now, want = [], list(ids), {}
+        for step in range(4):
+            pairs = sorted(set(zip(now, now[1:])))
+            if not pairs:
+                break
+            pair = rng.choice(pairs)
+            sequence.append((*pair, 10 + step))
+            nxt = bpe.merge_word(now, {pair: (0, 10 + step)})
+            for words, sign in ((now, -1), (nxt, 1)):
+                for p in zip(words, words[1:]):
+                    want[step, *p] = want.get((step, *p), 0) + 3 * sign
+            now = nxt
+        found = bpe.defaultdict(int)
+        assert bpe.merge_word(ids, bpe._table(sequence), found, 3) == now
+        assert {k: v for k, v in found.items() if v} == {k: v for k, v in want.items() if v}
+
+
 def test_wordpiece_too_large_to_broadcast(spark):
     vocab = spark.createDataFrame([(v,) for v in ["un", "##aff", "##able", "aff", "a", "##b", "b", "[UNK]"]], "piece string")
     texts = ["unaffable ab abc", "", "a a [MASK] b", "b" * 101]

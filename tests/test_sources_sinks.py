@@ -6,7 +6,7 @@ import pytest
 
 from tessera.operators import boundaries as bd
 from tessera.operators import tokenizers as tk
-from tessera.operators.split import split_summary
+from tessera.operators.split import exact_split, shuffled, split_summary
 from tessera.plans.corpus import prepare_corpus
 from tessera.sinks import io
 from tessera.sources import corpus as src
@@ -37,6 +37,47 @@ def test_language_files(spark, scratch):
     assert src.read_language_files(spark, f"{scratch}/raw", []).count() == 0
 
 
+def test_large_file_is_numbered_across_splits(spark, scratch):
+    """One file of many blocks, read by several tasks: the numbers are those of the lines in it."""
+    ends = ["\n", "\r\n", "\r", "\n\n"]
+    raw = "\ufeff" + "".join(f"line {i} {'x' * (i * 37 % 200)}\u00e9{ends[i * i % 4]}" for i in range(900)) + "last"
+    data = raw.encode().replace(b"line 500 ", b"line \xff500 ")
+    write(f"{scratch}/raw/xa/big.txt", data)
+    write(f"{scratch}/raw/xa/small.txt", "one\ntwo\n")
+    write(f"{scratch}/raw/xa/blank.txt", "\n")
+    big = data.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    want = [("big.txt", i, x, False, "\ufffd" not in x) for i, x in enumerate(big)] + [
+        ("blank.txt", 0, "", True, True), ("small.txt", 0, "one", True, True), ("small.txt", 1, "two", True, True)]
+    conf, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    keys = []
+    try:
+        for size in ("134217728", "50000", "1000"):
+            spark.conf.set(conf, size)
+            df = src.read_language_files(spark, f"{scratch}/raw", ["xa"])
+            rows = [tuple(r) for r in df.selectExpr("regexp_extract(source, '[^/]+$', 0) f", "line_no", "line", "valid_utf8",
+                                                    "valid_line").orderBy("f", "line_no").collect()]
+            assert rows == want
+            assert df.rdd.getNumPartitions() >= {"134217728": 1, "50000": 2, "1000": 40}[size]
+            keys.append({(r["doc_id"], r["line_no"]) for r in df.collect()})
+    finally:
+        spark.conf.set(conf, old)
+    assert keys[0] == keys[1] == keys[2] and len(keys[0]) == len(want)
+
+
+def test_split_files_are_in_shuffled_order(spark, scratch):
+    rows = [(i, k, f"<xa> line {i} {k}") for i in range(60) for k in range(5)]
+    split = exact_split(spark.createDataFrame(rows, "doc_id long, line_no long, text string").repartition(7), ["doc_id", "line_no"])
+    order = [r["text"] for r in shuffled(split.drop("shuffle_key"), ["doc_id", "line_no"]).orderBy("shuffle_rank").collect()]
+    of = {r["text"]: r["split"] for r in split.collect()}
+    for files in (1, 6):
+        io.write_splits(split, f"{scratch}/out{files}", key_cols=["doc_id", "line_no"], files=files)
+        for name in ("train", "valid", "test"):
+            parts = sorted(p for p in os.listdir(f"{scratch}/out{files}/split={name}") if p.startswith("part-"))
+            read = "".join(open(f"{scratch}/out{files}/split={name}/{p}", encoding="utf-8").read() for p in parts)
+            assert read.splitlines() == [t for t in order if of[t] == name]
+            assert len(parts) <= files
+
+
 def test_files_to_split_files(spark, scratch):
     """Three languages of raw files end up in the same splits, however they are partitioned."""
     for lang in ("xa", "xb", "xc"):

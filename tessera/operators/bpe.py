@@ -8,8 +8,8 @@ distinct pre-token, symbols as numbers -- never on the corpus:
    ``(count desc, left, right)`` are the driver's candidates; where there are
    more, the last candidate is the *frontier*: a pair that is not held ranks
    after it, and stays there, as merging others only lowers its count.
-2. the driver foresees the next merges, up to ``ahead`` of them: it merges a
-   bounded sample of the most frequent word types (``sample_types``), taking the
+2. the driver foresees the next merges, twice as many as came true the last time
+   (within ``ahead``): it merges a bounded sample of the most frequent word types (``sample_types``), taking the
    counts of the pairs met so far as they are and those of new pairs from the sample.
 3. one job applies this sequence, in order, to every word type and returns the
    changes of pair counts *step by step* -- for a merge at most four rows per
@@ -51,9 +51,10 @@ from tessera.session import Tables
 FIRST_MERGED = 0x110000
 #: Pairs the driver holds at most.
 MAX_PAIRS = 500_000
-#: Word types the driver holds to foresee merges, and merges foreseen at once.
-SAMPLE_TYPES = 50_000
-AHEAD = 2_000
+#: Word types the driver holds to foresee merges (about 1 KB each), and merges
+#: foreseen at once: at least the first number, at most the second.
+SAMPLE_TYPES = 200_000
+AHEAD = 50, 4_000
 #: Entries of a task's table of count changes before it is handed on.
 HELD_CHANGES = 200_000
 
@@ -234,7 +235,9 @@ class _Ranking:
         return self.heap[0] if self.heap else None
 
     def change(self, pair, by: int):
-        n = self.counts.get(pair, 0) + by
+        self.set(pair, self.counts.get(pair, 0) + by)
+
+    def set(self, pair, n: int):
         if n >= self.least:
             self.counts[pair] = n
             heapq.heappush(self.heap, (-n, *pair))
@@ -244,7 +247,7 @@ class _Ranking:
 
 def train_bpe(word_freq: DataFrame, vocab_size: int = 16000, min_frequency: int = 2,
               special_tokens=None, max_pairs: int = MAX_PAIRS, checkpoint_every: int = 5,
-              partitions: int | None = None, sample_types: int = SAMPLE_TYPES, ahead: int = AHEAD) -> BpeModel:
+              partitions: int | None = None, sample_types: int = SAMPLE_TYPES, ahead: tuple = AHEAD) -> BpeModel:
     """V4: exact BPE merges, foreseen in sequences and verified on all word types
     (see module doc).  ``partitions`` spreads the word types; by default as shuffles do.
     """
@@ -341,40 +344,41 @@ def _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, max_pairs,
                               F.transform(tx.characters(F.col("word")), lambda c: F.ascii(c)).alias("ids"))
              .filter(F.size("ids") > 1))
     words = tables.keep(words.repartition(partitions) if partitions else words, "bpe-words")
-    sample = _Sample([(r["freq"], r["ids"]) for r in
-                      words.orderBy(F.desc("freq"), "ids").limit(sample_types).collect()])
+    some = words.orderBy(F.desc("freq"), "ids").limit(sample_types).toArrow()
+    sample = _Sample(list(zip(some.column("freq").to_pylist(), some.column("ids").to_pylist())))
     counts, frontier = _candidates(words, least, max_pairs)
     ranking = _Ranking(counts, least)
-    merges, pending, rounds, written = [], [], 0, 0
+    merges, pending, rounds, written, reach = [], [], 0, 0, ahead[1]
 
     def foreseen():
         """The next merges ``(left, right, symbol)`` by the sample, and whether
         the last one's string is known already."""
-        guess, names = _Ranking(dict(counts), least), []
-        fresh = FIRST_MERGED + len(made)
+        names_made: set = set()
+        fresh, names, sequence, again = FIRST_MERGED + len(made), [], [], False
         name = lambda x: names[x - fresh] if x >= fresh else text(x)
-        new_names: set = set()
-        sequence = []
-        while len(sequence) < min(ahead, vocab_size - len(vocab)):
-            entry = guess.first()
+        before: dict = {}                       # counts as they are, of the pairs that are changed here
+        while len(sequence) < min(reach, vocab_size - len(vocab)) and not again:
+            entry = ranking.first()
             if entry is None or frontier is not None and entry > frontier:
                 break
             pair = entry[1:]
             joined = name(pair[0]) + name(pair[1])
-            again = joined in known or joined in new_names
-            symbol = known.get(joined, fresh + len(names))
-            if joined in new_names:             # made by this sequence itself: left to the next one
+            if joined in names_made:            # made by this sequence itself: left to the next one
                 break
-            sequence.append((*pair, symbol))
-            if again:
-                return sequence, True
-            names.append(joined)
-            new_names.add(joined)
-            for changed, by in sample.merge(pair, symbol).items():
-                if changed in guess.counts or max(changed) >= fresh:
-                    guess.change(changed, by)
-            guess.counts.pop(pair, None)        # also where the sample does not hold all of it
-        return sequence, False
+            again = joined in known
+            sequence.append((*pair, known.get(joined, fresh + len(names))))
+            if not again:
+                names.append(joined)
+                names_made.add(joined)
+                changes = sample.merge(pair, sequence[-1][2])
+                changes[pair] = -counts[pair]   # also where the sample does not hold all of it
+                for changed, by in changes.items():
+                    if changed in counts or max(changed) >= fresh:
+                        before.setdefault(changed, counts.get(changed, 0))
+                        ranking.change(changed, by)
+        for pair, n in before.items():
+            ranking.set(pair, n)
+        return sequence, again
 
     while len(vocab) < vocab_size:
         sequence, again = foreseen()
@@ -409,6 +413,7 @@ def _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, max_pairs,
                 if pair in counts or max(pair) >= fresh and n > 0:
                     ranking.change(pair, n)
             committed += 1
+        reach = max(ahead[0], min(ahead[1], 2 * committed))
         sample.keep(committed)
         pending += sequence[:committed]
         again = again and committed == len(sequence)

@@ -171,7 +171,7 @@ def test_merges_are_foreseen_from_any_sample(spark, train_lines):
     wf = bpe.word_frequency(train_lines, "text").orderBy(F.desc("freq")).limit(3000).cache()
     want = bpe.train_bpe(wf, vocab_size=300)
     assert want.rounds <= 4
-    for types, ahead, every in ((1, 50, 2), (40, 500, 5), (5000, 7, 3)):
+    for types, ahead, every in ((1, (50, 50), 2), (40, (1, 500), 5), (5000, (7, 7), 3)):
         got = bpe.train_bpe(wf, vocab_size=300, sample_types=types, ahead=ahead, checkpoint_every=every, max_pairs=400)
         assert (got.merges, got.vocab) == (want.merges, want.vocab)
     wf.unpersist()

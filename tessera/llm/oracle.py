@@ -137,5 +137,24 @@ SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS k
 FROM r
 """
 
+_SUFFIXES = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS MATERIALIZED (SELECT r, i, md5(b[i + 1:i + 200]) AS h
+                   FROM (SELECT r, b, unnest(range(0, octet_length(b) - 199)) AS i FROM d)),
+c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+m AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g
+      FROM (SELECT r, i, (coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200, true))::INT AS new FROM c)),
+s AS (SELECT r, min(i) AS a, max(i) + 200 AS z FROM m GROUP BY r, g),
+cut AS (SELECT r, a, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS start FROM
+        (SELECT r, a, z FROM s UNION ALL SELECT r, octet_length(b), NULL FROM d)),
+k AS (SELECT d.r, string_agg(hex(d.b[cut.start + 1:cut.a]), '' ORDER BY cut.a) AS kept
+      FROM d JOIN cut ON cut.r = d.r WHERE cut.a > cut.start GROUP BY d.r),
+n AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY r)
+SELECT d.doc_id, octet_length(d.b)::BIGINT AS n_bytes, coalesce(n.n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k ON k.r = d.r LEFT JOIN n ON n.r = d.r
+"""
+
 ORACLE: dict[str, str] = {"op1_url_filter": _URL, "op2_quality_rules": _QUALITY, "op10_sentence_spans": _SPANS,
-                          "op11_source_divergence": _DIVERGENCE, "op12_filter_audit": _FILTERS}
+                          "op11_source_divergence": _DIVERGENCE, "op12_filter_audit": _FILTERS,
+                          "op13_suffix_dedup": _SUFFIXES}

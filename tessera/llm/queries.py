@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (bpe_transducer, chat_format, divergence, filter_audit, language_id, mixing, multi_index,
-                         repetition, sentence_spans, sharding, simhash, url_filter)
+                         repetition, sentence_spans, sharding, simhash, suffix_dedup, url_filter)
 from tessera.sources.corpus import read_table
 
 #: The rules of op1: verdict, host, path.
@@ -94,7 +94,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans",
+                                                    F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_chat_format, op4_language_id, op5_byte_bpe,
                             op6_simhash, op7_neighbours, op8_mixing, op9_sharding, op10_sentence_spans,
-                            op11_source_divergence, op12_filter_audit)}
+                            op11_source_divergence, op12_filter_audit, op13_suffix_dedup)}

@@ -3,13 +3,14 @@
 Every function takes and returns a :class:`~pyspark.sql.Column`, so they
 compose into one projection that stays inside whole-stage codegen.  The only
 Python on the path is NFC normalisation (no Spark built-in), done by an
-Arrow-batched UDF that receives NULL for pure-ASCII rows.
+Arrow-batched UDF that receives NULL for rows that are NFC at a glance.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -70,10 +71,41 @@ def is_ascii(c) -> Column:
     return F.length(c) == F.octet_length(c)
 
 
+#: Stretches of characters that need no look are listed if they are this long.
+_STRETCH = 64
+
+
+@cache
+def nfc_unsure_pattern() -> str:
+    """A character class of all characters that NFC may change or that may
+    combine with one before them (UAX #15, quick check not "yes", or a combining class).
+
+    It is spelled as what it leaves out: the long stretches of characters that are
+    their own NFC, are not the second half of a composition, and have combining
+    class 0 -- text of such characters only is NFC as it is.
+    """
+    second = {0x110000}
+    for c in range(0x110000):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            second.add(int(parts[1], 16))
+    second.update(range(0x1161, 0x1176), range(0x11A8, 0x11C3))     # Hangul vowels and finals
+    second.update(range(0xD800, 0xE000))
+    stretches, start = [], 0
+    for c in range(0x110001):
+        sure = c not in second and not unicodedata.combining(chr(c)) and unicodedata.normalize("NFC", chr(c)) == chr(c)
+        if not sure:
+            if c - start >= _STRETCH:
+                stretches.append((start, c - 1))
+            start = c + 1
+    return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in stretches) + "]"
+
+
 def nfc(c) -> Column:
-    """Unicode NFC.  ASCII rows are already NFC and cross to Python as NULL."""
+    """Unicode NFC.  Rows of characters that NFC leaves alone (ASCII, accented
+    Latin, most scripts without separate marks) cross to Python as NULL."""
     c = _c(c)
-    return F.coalesce(_nfc_arrow(F.when(~is_ascii(c), c)), c)
+    return F.coalesce(_nfc_arrow(F.when(~is_ascii(c) & c.rlike(nfc_unsure_pattern()), c)), c)
 
 
 # ---------------------------------------------------------------------------

@@ -4,11 +4,11 @@ Every metric is a ratio of sums.  The plan never re-encodes a line per
 metric (the reference encodes each text eight times per tokenizer) and its
 shape does not grow with the number of tokenizers:
 
-1. one pass over the lines gives line-level sums per language (examples,
-   words, lines with words, characters), one gives the counts
-   ``(tokenizer, language, has_words, pretoken) -> n`` (partial aggregation
-   map-side, so a hot word like ``the`` is summed before the shuffle);
-   tokenizers that split texts alike share them;
+1. one pass over the lines counts everything that the report needs of them
+   (:func:`count_lines`): pre-tokens ``(language, has_words, pretoken) -> n`` for each
+   way of splitting a text, words, and the line-level sums, as rows of one
+   aggregate (partial sums map-side, so a hot word like ``the`` is summed before
+   the shuffle); tokenizers that split texts alike share them;
 2. each *distinct* pre-token is encoded once per tokenizer, after it has been
    spread, and written (``tokenizer, pretoken, n_pieces, n_unk, lens``); that
    small table is joined back to the counts on ``pretoken`` -- both sides are
@@ -64,15 +64,6 @@ def line_features(lines: DataFrame, text_col: str = "text") -> DataFrame:
                     F.length("clean").alias("n_chars")))
 
 
-def line_stats(features: DataFrame) -> DataFrame:
-    return (features.rollup("language").agg(
-        F.grouping_id().cast("int").alias("gid"),
-        F.count(F.lit(1)).alias("num_examples"),
-        F.sum(F.col("n_words").cast("bigint")).alias("words"),
-        F.sum(F.when(F.col("n_words") > 0, 1).otherwise(0).cast("bigint")).alias("lines_with_words"),
-        F.sum(F.col("n_chars").cast("bigint")).alias("chars")))
-
-
 def _splitters(tokenizers) -> dict:
     """Tokenizers by how they split a text: ``{key: [tokenizers]}``."""
     out: dict = {}
@@ -91,6 +82,39 @@ def pretoken_table(features: DataFrame, tokenizers) -> DataFrame:
             .groupBy("splitter", "language", "has_words", "pretoken").agg(F.count(F.lit(1)).alias("n")))
 
 
+#: What the rows of :func:`count_lines` count that are not pre-tokens of a splitter.
+WORDS, LINES, LINE_WORDS, LINE_CHARS = -1, -2, -3, -4
+
+
+def count_lines(features: DataFrame, tokenizers) -> DataFrame:
+    """``splitter, language, has_words, pretoken, n`` in one pass over the lines:
+    the rows of :func:`pretoken_table`, word types (``splitter`` WORDS) and, without a
+    pre-token, lines, their words and their characters."""
+    def counted(kind, token, n=None):
+        n = F.lit(1) if n is None else n
+        return F.struct(F.lit(kind).alias("splitter"), token.alias("pretoken"), n.cast("bigint").alias("n"))
+
+    def each(kind, tokens):
+        return F.transform(tokens, lambda t: counted(kind, t))
+
+    none = F.lit(None).cast("string")
+    rows = [each(i, group[0].pretokens(F.col("clean"))) for i, group in enumerate(_splitters(tokenizers).values())]
+    rows += [each(WORDS, tx.simple_words(F.col("_text"))),
+             F.array(counted(LINES, none), counted(LINE_WORDS, none, F.col("n_words")),
+                     counted(LINE_CHARS, none, F.col("n_chars")))]
+    return (features.select("language", (F.col("n_words") > 0).alias("has_words"), F.explode(F.concat(*rows)).alias("c"))
+            .groupBy("c.splitter", "language", "has_words", "c.pretoken").agg(F.sum("c.n").alias("n")))
+
+
+def line_stats(counts: DataFrame) -> DataFrame:
+    """Line-level sums per language and overall, from :func:`count_lines`."""
+    total = lambda kind: F.sum(F.when(F.col("splitter") == kind, F.col("n")).otherwise(0))
+    return (counts.filter(F.col("splitter") <= LINES).rollup("language").agg(
+        F.grouping_id().cast("int").alias("gid"), total(LINES).alias("num_examples"), total(LINE_WORDS).alias("words"),
+        F.sum(F.when((F.col("splitter") == LINES) & F.col("has_words"), F.col("n")).otherwise(0)).alias("lines_with_words"),
+        total(LINE_CHARS).alias("chars")))
+
+
 def encoded_pretokens(distinct: DataFrame, tokenizers, unk_tokens=tuple(tx.UNK_TOKENS)) -> DataFrame:
     """Per tokenizer and distinct ``(splitter, pretoken)``: pieces, unknowns
     (pieces in ``unk_tokens``), cleaned lengths."""
@@ -133,14 +157,15 @@ def piece_stats(joined: DataFrame) -> DataFrame:
         F.sum(F.col("n") * F.col("n_unk")).alias("unk"))
 
 
-def length_stats(joined: DataFrame, features: DataFrame, tokenizers) -> DataFrame:
-    """Mean / median / p95 of cleaned piece lengths (empties dropped)."""
+def length_stats(joined: DataFrame, counts: DataFrame, tokenizers) -> DataFrame:
+    """Mean / median / p95 of cleaned piece lengths (empties dropped); ``counts`` as
+    :func:`count_lines` gives them."""
     hist = (joined.select("tokenizer", "language", "n", F.explode("lens").alias("len"))
             .groupBy("tokenizer", "language", "len").agg(F.sum("n").alias("w")))
     with_specials = [t.name for t in tokenizers if t.add_special_tokens]
     if with_specials:
         special_lens = [L for L in (_clean_len(CLS), _clean_len(SEP)) if L > 0]
-        per_lang = features.groupBy("language").agg(F.count(F.lit(1)).alias("lines"))
+        per_lang = counts.filter(F.col("splitter") == LINES).groupBy("language").agg(F.sum("n").alias("lines"))
         extra = [per_lang.select(F.lit(name).alias("tokenizer"), "language",
                                  F.lit(L).alias("len"), F.col("lines").alias("w"))
                  for name in with_specials for L in special_lens]
@@ -160,8 +185,12 @@ def vocab_coverage(features: DataFrame, vocabs: dict) -> DataFrame:
     The vocabularies are stacked and joined on the word (a shuffle join;
     AQE turns it into a broadcast when the vocabularies are small).
     """
-    types = (features.select("language", F.explode(tx.simple_words(F.col("_text"))).alias("word"))
-             .distinct())
+    return types_coverage(features.select("language", F.explode(tx.simple_words(F.col("_text"))).alias("word"))
+                          .distinct(), vocabs)
+
+
+def types_coverage(types: DataFrame, vocabs: dict) -> DataFrame:
+    """:func:`vocab_coverage` of distinct ``language, word`` rows."""
     vocab = reduce(DataFrame.unionByName,
                    [v.select(F.lit(name).alias("tokenizer"), F.col("piece").alias("word"))
                     for name, v in vocabs.items()]).distinct()
@@ -201,19 +230,19 @@ def tokenizer_report(lines: DataFrame, tokenizers, vocabs: dict,
     ``unk_tokens`` count as unknown."""
     tokenizers = list(tokenizers)
     # counts and encodings are read by several branches of the plan: written
-    # once; the texts are not, their two cheap passes read the input again
-    features = line_features(lines, text_col)
-    pt = materialize(pretoken_table(features, tokenizers), "report_pretokens")
+    # once, the lines are read once
+    counts = materialize(count_lines(line_features(lines, text_col), tokenizers), "report_counts")
+    pt = counts.filter(F.col("splitter") >= 0)
     # distinct pre-tokens are few bytes but CPU-heavy to encode: spread them
     # over all cores instead of letting size-based coalescing pack them
     distinct = materialize(_spread(pt.select("splitter", "pretoken").distinct(), "pretoken"), "report_distinct")
     enc = materialize(encoded_pretokens(distinct, tokenizers, unk_tokens), "report_encodings")
-    discard(distinct)
     joined = pt.join(enc, ["splitter", "pretoken"])
-    ls = line_stats(features)
+    ls = line_stats(counts)
     ps = piece_stats(joined)
-    lens = length_stats(joined, features, tokenizers)
-    cov = vocab_coverage(features, {t.name: vocabs[t.name] for t in tokenizers})
+    lens = length_stats(joined, counts, tokenizers)
+    types = counts.filter(F.col("splitter") == WORDS).select("language", F.col("pretoken").alias("word")).distinct()
+    cov = types_coverage(types, {t.name: vocabs[t.name] for t in tokenizers})
     df = _join(_join(ps, lens), cov)
     df = _join(df, ls, on_tokenizer=False)
     specials = _specials_of(tokenizers)
@@ -239,7 +268,9 @@ def tokenizer_report(lines: DataFrame, tokenizers, vocabs: dict,
     for k, v in cols.items():
         v = v.cast("double")
         out.append((F.round(v, round_to) if round_to is not None else v).alias(k))
-    return (df.select(*out, F.col("gid"), order.alias("_tok_order"))
+    report = materialize(df.select(*out, F.col("gid"), order.alias("_tok_order")), "report")
+    discard(counts, distinct, enc)
+    return (report
             .orderBy(F.desc("gid"), F.asc("language"), F.asc("_tok_order"))
             .select(*REPORT_COLUMNS))
 

@@ -9,8 +9,9 @@
   -- repeatable on any engine and partitioning, no driver state.
 * M3 ``batches``: rows ranked by a seeded hash (a shuffled sampler), cut
   into batches of ``batch_size``, padded to the longest row of the batch.
-  The rank is exact and bucketed (no single-task window); the padding
-  length is a window per batch (bounded groups of ``batch_size`` rows).
+  The rank is exact and bucketed (no single-task window): the id arrays are
+  exchanged once, which gives rank and padding length; batches that
+  straddle two buckets are stitched from a pass over the lengths.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import global_rank, hash_key
+from tessera.operators.ranking import hash_key
 
 PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = 0, 1, 2, 3, 4
 IGNORE = -100
@@ -85,34 +86,53 @@ def batches(df: DataFrame, batch_size: int = 64, seed: int = 42, epoch: int = 0,
     """
     ids = "masked_ids" if "masked_ids" in df.columns else "input_ids"
     h = hash_key(seed, F.lit(epoch), *[F.col(c) for c in key_cols])
-    keyed = df.withColumn("_h", h)
-    if by_length:
-        ranked = _rank_by_length(keyed.withColumn("_n", F.size(ids)), key_cols)
-    else:
-        ranked = global_rank(keyed, "_h", list(key_cols), rank_col="_rank")
-    w = Window.partitionBy("batch_id")
-    out = (ranked.withColumn("batch_id", F.expr(f"_rank div {batch_size}"))
+    keyed = df.withColumns({"_h": h, "_n": F.size(ids)})
+    keyed, first = _cells(keyed, batch_size, by_length)
+    ranked = _ranked(keyed, first, key_cols, batch_size)
+    # a batch that lies inside a cell has its longest row there; the few that go
+    # on in the next cell (one a cell) have it from the rows' lengths alone
+    lengths = _ranked(keyed.select("_cell", "_h", "_n", *key_cols), first, key_cols, batch_size)
+    edges = lengths.filter((F.col("batch_id") * batch_size < F.col("_start"))
+                           | ((F.col("batch_id") + 1) * batch_size > F.col("_start") + F.col("_count"))).groupBy("batch_id").agg(
+        F.max("_n").alias("_edge"))
+    inside = F.max("_n").over(Window.partitionBy("_cell", "batch_id"))
+    out = (ranked.withColumn("_inside", inside).join(F.broadcast(edges), "batch_id", "left")
            .withColumn("position", (F.col("_rank") % batch_size).cast("int"))
-           .withColumn("batch_len", F.max(F.size(ids)).over(w)))
+           .withColumn("batch_len", F.coalesce("_edge", "_inside")))
     n_pad = F.col("batch_len") - F.size(ids)
     out = (out.withColumn("padded_ids", F.concat(ids, F.array_repeat(F.lit(PAD_ID), n_pad)))
            .withColumn("padded_mask", F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), n_pad))))
     if "labels" in df.columns:
         out = out.withColumn("padded_labels", F.concat("labels", F.array_repeat(F.lit(IGNORE), n_pad)))
-    return out.drop("_h", "_rank", "_n")
-
-
-def _rank_by_length(keyed: DataFrame, key_cols, digits: int = 2) -> DataFrame:
-    """Global rank by length, hash and key: rows are numbered inside cells of
-    one length and hash prefix, whose counts (lengths are bounded by the
-    examples' maximum) give each cell its first rank."""
-    cell = F.substring("_h", 1, digits)
-    cells = sorted(tuple(r) for r in keyed.groupBy("_n", cell.alias("c")).count().collect())
+    return out.drop("_h", "_rank", "_n", "_cell", "_start", "_count", "_edge", "_inside")
+
+
+def _cells(keyed: DataFrame, batch_size: int, by_length: bool):
+    """``keyed`` with its ``_cell`` and the table ``(_cell, _start, _count)``: rows in
+    order are cut into cells by the first digits of the uniform hash (``by_length``:
+    by length, then digits).  The digits, four at most, are so many that a
+    cell has tens of batches; the counts, one light pass, reach the driver."""
+    prefix = F.substring("_h", 1, 4)
+    rows = keyed.groupBy(*(["_n"] if by_length else []), prefix.alias("c")).count().collect()
+    total = sum(r["count"] for r in rows)
+    digits = 0
+    while digits < 4 and 16 ** (digits + 1) * batch_size * 32 <= total:
+        digits += 1
+    counts: dict = {}
+    for r in rows:
+        cell = (f"{r['_n']:010d}:" if by_length else "") + r["c"][:digits]
+        counts[cell] = counts.get(cell, 0) + r["count"]
     starts, at = [], 0
-    for n, c, count in cells:
-        starts.append((n, c, at))
-        at += count
-    first = keyed.sparkSession.createDataFrame(starts, "_n int, _c string, _start bigint")
-    w = Window.partitionBy("_n", "_c").orderBy("_h", *key_cols)
-    return (keyed.withColumn("_c", cell).join(first, ["_n", "_c"])
-            .withColumn("_rank", F.col("_start") + F.row_number().over(w) - 1).drop("_c", "_start"))
+    for cell in sorted(counts):
+        starts.append((cell, at, counts[cell]))
+        at += counts[cell]
+    part = F.substring("_h", 1, digits) if digits else F.lit("")
+    cell = F.concat(F.lpad(F.col("_n").cast("string"), 10, "0"), F.lit(":"), part) if by_length else part
+    return keyed.withColumn("_cell", cell), keyed.sparkSession.createDataFrame(starts, "_cell string, _start bigint, _count bigint")
+
+
+def _ranked(keyed: DataFrame, first: DataFrame, key_cols, batch_size: int) -> DataFrame:
+    """Global rank and batch of each row: numbered inside its cell."""
+    w = Window.partitionBy("_cell").orderBy("_h", *key_cols)
+    return (keyed.join(F.broadcast(first), "_cell").withColumn("_rank", F.col("_start") + F.row_number().over(w) - 1)
+            .withColumn("batch_id", F.expr(f"_rank div {batch_size}")))

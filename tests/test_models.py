@@ -169,10 +169,10 @@ def test_ids_from_the_encoder_equal_ids_by_join(spark):
 def test_merges_are_foreseen_from_any_sample(spark, train_lines):
     """A sample that is too small or misleading costs rounds, not results."""
     wf = bpe.word_frequency(train_lines, "text").orderBy(F.desc("freq")).limit(3000).cache()
-    want = bpe.train_bpe(wf, vocab_size=300)
+    want = bpe.train_bpe(wf, vocab_size=220)
     assert want.rounds <= 4
     for types, ahead, every in ((1, (50, 50), 2), (40, (1, 500), 5), (5000, (7, 7), 3)):
-        got = bpe.train_bpe(wf, vocab_size=300, sample_types=types, ahead=ahead, checkpoint_every=every, max_pairs=400)
+        got = bpe.train_bpe(wf, vocab_size=220, sample_types=types, ahead=ahead, checkpoint_every=every, max_pairs=400)
         assert (got.merges, got.vocab) == (want.merges, want.vocab)
     wf.unpersist()
 

@@ -1,4 +1,7 @@
 """Text functions: inputs and results written out by hand."""
+import random
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +73,22 @@ def test_a_filter_on_the_language_reaches_the_scan(spark, sf001):
     docs = spark.read.parquet(f"{sf001}/documents.parquet")
     plan = prepare_lines(document_lines(docs)).filter("lang = 'fr'")._jdf.queryExecution().toString()
     assert "EqualTo(lang,fr)" in plan and plan.count("ArrowEvalPython") <= 2  # once in each of two printed plans
+
+
+def test_nfc_of_every_character_and_of_marks(spark):
+    """Only texts that may change reach Python; the result is unicodedata's."""
+    rng = random.Random(5)
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    bases = [chr(c) for c in (0x41, 0x65, 0xE9, 0x3B1, 0x1100, 0x1161, 0x11A8, 0xAC00, 0x915, 0x9C7, 0x1B05, 0x11099)]
+    texts = ["".join(chr(c) for c in range(a, a + 64) if not 0xD800 <= c < 0xE000) for a in range(0, 0x110000, 64)]
+    texts += [chr(c) for c in range(0x300) if c] + ["x" + chr(c) for c in range(0xA0, 0x3000)]
+    texts += ["".join(rng.choice(bases) + "".join(rng.choices(marks, k=rng.randrange(4))) for _ in range(3)) for _ in range(5000)]
+    texts += ["".join(rng.choices(bases, k=4)) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(4)
+    got = {r["k"]: r["n"] for r in df.select("k", tx.nfc("t").alias("n")).collect()}
+    assert [k for k, t in enumerate(texts) if got[k] != unicodedata.normalize("NFC", t)] == []
+    sure = ["déjà vu für Größe", "ĀāČč łódź", "русский текст", "中文字符", "한국어", "plain"]
+    unsure = ["de\u0301ja", "\u212b", "ம்", "x\u0327"]
+    df = spark.createDataFrame([(t,) for t in sure + unsure], "t string")
+    found = [r["t"] for r in df.filter(F.col("t").rlike(tx.nfc_unsure_pattern())).collect()]
+    assert found == unsure

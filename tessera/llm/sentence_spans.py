@@ -7,11 +7,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import short_batches, utf8
+from tessera.llm.tables import release, short_batches, utf8
 
 #: A sentence ends with its marks or line and the blanks behind them, so a text
 #: is its sentences joined.
@@ -31,6 +32,8 @@ WINDOW = 10
 
 #: Characters of the texts whose runs are compared before they are shuffled.
 GATHER_CHARS = 16_000_000
+#: Runs that are compared at once at most, whatever the texts are like.
+GATHER_RUNS = 250_000
 
 
 def sentences(text: str) -> list[str]:
@@ -82,39 +85,49 @@ def pieces(text: str, window: int = WINDOW) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def runs(counts: np.ndarray, least_sentences: int, least_words: int) -> list[tuple[int, int]]:
-    """The runs ``[i, j)`` of consecutive sentences to hash: the shortest one
-    from each sentence on and the shortest one up to each sentence that has at
-    least ``least_sentences`` sentences and ``least_words`` words."""
+def _bounds(counts: np.ndarray, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of the runs to hash, in order; see :func:`runs`."""
     n = len(counts)
     total = np.concatenate([[0], np.cumsum(counts)])
     first, last = np.arange(n), np.arange(1, n + 1)
     to = np.maximum(np.searchsorted(total, total[:-1] + least_words), first + least_sentences)
     start = np.minimum(np.searchsorted(total, total[1:] - least_words, side="right") - 1, last - least_sentences)
-    found = set(zip(first[to <= n].tolist(), to[to <= n].tolist()))
-    found.update(zip(start[start >= 0].tolist(), last[start >= 0].tolist()))
-    return sorted(found)
+    both = np.unique(np.concatenate([first[to <= n] * (n + 1) + to[to <= n], start[start >= 0] * (n + 1) + last[start >= 0]]))
+    return both // (n + 1), both % (n + 1)
 
 
-def run_hashes(text: str, least_sentences: int, least_words: int, window: int | None = None):
-    """The runs of a text and the 128-bit hash of each; what counts of a
-    sentence are its words (runs of characters but the six ASCII blanks), A-Z in
-    lower case.  With a ``window`` the runs are of :func:`pieces`."""
+def runs(counts: np.ndarray, least_sentences: int, least_words: int) -> list[tuple[int, int]]:
+    """The runs ``[i, j)`` of consecutive sentences to hash: the shortest one
+    from each sentence on and the shortest one up to each sentence that has at
+    least ``least_sentences`` sentences and ``least_words`` words."""
+    i, j = _bounds(counts, least_sentences, least_words)
+    return list(zip(i.tolist(), j.tolist()))
+
+
+def _hashed_runs(text: str, least_sentences: int, least_words: int, window: int | None = None):
+    """``(i, j, digests)``: the runs of a text as two arrays and their hashes in a row."""
     if window:
         words, offset = _words(text)
         starts = np.append(_starts(text, words, offset, window), len(words)) if words else np.zeros(1, np.int64)
         ends = np.cumsum([0, *[len(w) + 1 for w in words]])
-        found = runs(np.diff(starts), 1, least_words)
-        joined, at = b" ".join([*words, b""]), ends[starts].tolist()
-        return found, [xxhash.xxh3_128_digest(joined[at[i]:at[j]]) for i, j in found]
-    parts = [utf8(s).lower().split() for s in sentences(text)]
-    counts = np.fromiter(map(len, parts), np.int64, len(parts))
-    # every word is followed by a blank, so a run is one slice
-    plain = [b"".join([w + b" " for w in p]) for p in parts]
-    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))]).tolist()
-    joined = b"".join(plain)
-    found = runs(counts, least_sentences, least_words)
-    return found, [xxhash.xxh3_128_digest(joined[at[i]:at[j]]) for i, j in found]
+        i, j = _bounds(np.diff(starts), 1, least_words)
+        joined, at = b" ".join([*words, b""]), ends[starts]
+    else:
+        parts = [utf8(s).lower().split() for s in sentences(text)]
+        i, j = _bounds(np.fromiter(map(len, parts), np.int64, len(parts)), least_sentences, least_words)
+        # every word is followed by a blank, so a run is one slice
+        plain = [b"".join([w + b" " for w in p]) for p in parts]
+        joined, at = b"".join(plain), np.cumsum([0, *map(len, plain)])
+    digest = xxhash.xxh3_128_digest
+    return i, j, b"".join([digest(joined[a:b]) for a, b in zip(at[i].tolist(), at[j].tolist())])
+
+
+def run_hashes(text: str, least_sentences: int, least_words: int, window: int | None = None):
+    """The runs of a text and the 128-bit hash of each; what counts of a
+    sentence are its words (runs of characters but the six ASCII blanks), A-Z in
+    lower case.  With a ``window`` the runs are of :func:`pieces`."""
+    i, j, digests = _hashed_runs(text, least_sentences, least_words, window)
+    return list(zip(i.tolist(), j.tolist())), [digests[k:k + 16] for k in range(0, len(digests), 16)]
 
 
 # Rows are packed while they are shuffled: h2 and key in ``p``; sure, no, i and
@@ -123,26 +136,29 @@ _SPAN = "h long, id long, p long, q long"
 _PLACE = ["no", "id", "key", "i", "j"]
 
 
-def _hashed(texts: pd.DataFrame, least_sentences: int, least_words: int, window: int | None = None) -> pd.DataFrame:
-    found, digests, n = [], [], []
-    for text in texts["text"]:
-        r, d = run_hashes(text, least_sentences, least_words, window)
-        found += r
-        digests += d
-        n.append(len(r))
-    h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-    where = np.array(found, np.int32).reshape(-1, 2)
-    out = pd.DataFrame({"h": h[:, 0], "h2": h[:, 1].astype(np.int32), "i": where[:, 0], "j": where[:, 1]})
-    for c in ("no", "id", "key"):
-        out[c] = np.repeat(texts[c].to_numpy(), n)
-    out = out.sort_values(_PLACE, ignore_index=True)
+def _packed(docs: list[tuple[bool, int, int]], found: list) -> pa.RecordBatch:
+    """Rows of the runs ``(i, j, digests)`` found in each document ``(no, id, key)``."""
+    n = np.fromiter((len(f[0]) for f in found), np.int64, len(found))
+    i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    h = np.frombuffer(b"".join([f[2] for f in found]), "<i8").reshape(-1, 2)
+    h, h2 = h[:, 0], h[:, 1].astype(np.int32)
+    no, ids, key = (np.array(c, t) for c, t in zip(zip(*docs), (np.int64, np.int64, np.int64)))
+    order = np.lexsort((key, ids, no))
+    other = np.any([c[order[1:]] != c[order[:-1]] for c in (no, ids, key)], axis=0) if len(docs) > 1 else np.zeros(0, bool)
+    rank = np.zeros(len(docs), np.int64)
+    rank[order[1:]] = np.cumsum(other)
+    doc = np.repeat(np.arange(len(docs)), n)
     # of equal runs in these texts, only those at the first place go on to meet others
-    first = out.groupby(["h", "h2"], sort=False).transform("first")[_PLACE]
-    out["sure"] = (first != out[_PLACE]).any(axis=1)
-    h2, key, sure, no, i, j = (out[c].to_numpy(np.int64) for c in ("h2", "key", "sure", "no", "i", "j"))
-    out["p"] = h2 << 32 | key & 0xFFFFFFFF
-    out["q"] = sure << 61 | no << 60 | i << 30 | j - i
-    return out[[c.split()[0] for c in _SPAN.split(", ")]]
+    place = rank[doc]
+    order = np.lexsort((j, i, place, h2, h))
+    head = np.ones(len(order), bool)
+    head[1:] = (h[order[1:]] != h[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
+    first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    sure = np.zeros(len(order), np.int64)
+    sure[order] = (place[order] != place[first]) | (i[order] != i[first]) | (j[order] != j[first])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(h), pa.array(ids[doc]), pa.array(h2.astype(np.int64) << 32 | key[doc] & 0xFFFFFFFF),
+         pa.array(sure << 61 | no[doc] << 60 | i << 30 | j - i)], [c.split()[0] for c in _SPAN.split(", ")])
 
 
 def _unpacked(found: DataFrame) -> DataFrame:
@@ -162,24 +178,30 @@ def spans(docs: DataFrame, least_sentences: int, least_words: int, id_col: str,
     short_batches(docs.sparkSession)
 
     def run(batches):
-        held, chars = [], 0
-        for pdf in batches:
-            held.append(pdf)
-            chars += int(pdf["text"].str.len().sum())
-            if chars >= GATHER_CHARS:
-                yield _hashed(pd.concat(held), least_sentences, least_words, window)
-                held, chars = [], 0
-        if chars:
-            yield _hashed(pd.concat(held), least_sentences, least_words, window)
+        release()
+        keys, found, chars, count = [], [], 0, 0
+        for batch in batches:
+            for key, text in zip(zip(*(batch.column(c).to_pylist() for c in ("no", "id", "key"))), batch.column("text")):
+                text = text.as_py()
+                keys.append(key)
+                found.append(_hashed_runs(text, least_sentences, least_words, window))
+                chars += len(text)
+                count += len(found[-1][0])
+                if chars >= GATHER_CHARS or count >= GATHER_RUNS:
+                    yield _packed(keys, found)
+                    keys, found, chars, count = [], [], 0, 0
+        if keys:
+            yield _packed(keys, found)
 
     return _keyed(docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("text")), "__i", "text").filter(
-        "text is not null").select("no", "id", "key", "text").mapInPandas(run, _SPAN)
+        "text is not null").select("no", "id", "key", "text").mapInArrow(run, _SPAN)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with what a document is known by: ``no, id, key``."""
+    """``docs`` with what a document is known by: ``no, id, key``; without an id
+    a hash of the text takes its place, so 96 bits tell such texts apart."""
     number = F.col(id_col).cast("long")
-    return docs.select("*", number.isNull().alias("no"), F.coalesce(number, F.lit(0)).cast("long").alias("id"),
+    return docs.select("*", number.isNull().alias("no"), F.coalesce(number, F.xxhash64(text_col)).alias("id"),
                        F.hash(text_col).alias("key"))
 
 

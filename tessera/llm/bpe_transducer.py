@@ -15,7 +15,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import short_batches, utf8
+from tessera.llm.tables import held, short_batches, utf8
 
 #: Memory bounds per Python worker: of a full table, what was met least
 #: recently goes and is worked out again when needed.
@@ -319,19 +319,19 @@ class Decoder:
         return "".join([*map(stream.feed, self.pieces(ids)), stream.end()])
 
 
-_WORKER: dict = {}
 
 
 def _coder(name: str, pattern: str):
     """Encoder and decoder of this Python worker; the rank file is one that
     ``addFile`` sent to every executor."""
-    if (name, pattern) not in _WORKER:
+    def make():
         with open(SparkFiles.get(name), "rb") as f:
             ranks = read_ranks(f)
-        _WORKER.clear()
-        _WORKER[name, pattern] = Encoder(ranks, pattern), Decoder(ranks)
+        coder = Encoder(ranks, pattern), Decoder(ranks)
         gc.freeze()  # the tables stay; the collector need not walk them again
-    return _WORKER[name, pattern]
+        return coder
+
+    return held(("bpe", name, pattern), make)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", as_ids: bool = True) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import chunks, discard, short_batches, stage
+from tessera.llm.tables import chunks, discard, release, short_batches, stage
 
 UNKNOWN = "und"
 #: Bounds of the model: labelled documents read per language, words kept per
@@ -205,6 +205,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(text: pd.Series) -> pd.DataFrame:
+        release()
         return shared.value.predict(text.tolist())
 
     others = [c for c in docs.columns if c not in ("lang_pred", "score")]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.tables import short_batches, stage, utf8
+from tessera.llm.tables import release, short_batches, stage, utf8
 
 BITS = 64
 
@@ -49,6 +49,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id",
     short_batches(docs.sparkSession)
 
     def run(batches):
+        release()
         for batch in batches:
             fp = [fold(shingle_hashes([] if t is None else utf8(t).lower().split(), shingle))
                   for t in batch.column("text").to_pylist()]

@@ -26,6 +26,24 @@ def stage(df: DataFrame, name: str, partition_by=None) -> DataFrame:
     return materialize(df, f"llm-{name}", partition_by)
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a Python worker keeps between tasks: the table asked for last, and
+    nothing else."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Let go of what another operator has left in this Python worker: workers are
+    reused, and their tables would add up."""
+    _HELD.clear()
+
+
 def chunks(sizes, most: int):
     """Cut a sequence of sizes into runs of about ``most`` in sum; yields
     ``(start, end)``.  One larger item is a run of its own."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.tables import WORD, stage
+from tessera.session import Tables
 
 #: Bits of the sampling key; one histogram pass resolves STEP of them.
 KEY_BITS, STEP = 48, 12
@@ -55,7 +56,7 @@ def _cell(key: Column, bits: int) -> Column:
     return F.shiftrightunsigned(key, KEY_BITS - bits)
 
 
-def _cuts(frame: DataFrame, need: DataFrame) -> DataFrame:
+def _cuts(frame: DataFrame, need: DataFrame, kept: Tables) -> DataFrame:
     """``(source, cut)``: a source takes its keys up to ``cut``.
 
     ``frame(source, key, size)`` is ordered by ``key``; ``need(source, need)``
@@ -80,11 +81,11 @@ def _cuts(frame: DataFrame, need: DataFrame) -> DataFrame:
                  .agg(F.sum("size").alias("n"))
                  .withColumn("to", F.col("below") + F.sum("n").over(run)))
         last = F.max("c").over(Window.partitionBy("t"))
-        state = stage(cells.withColumn("last", last)
+        state = kept.keep(cells.withColumn("last", last)
                       .filter((F.col("to") >= F.col("need")) | (F.col("c") == F.col("last")))
                       .groupBy("t", "need").agg(F.min(F.struct("c", (F.col("to") - F.col("n")).alias("below"))).alias("x"))
                       .select("t", "need", F.col("x.c").alias("cell"), F.col("x.below").cast("double").alias("below")),
-                      "cuts")
+                      "mix-cuts")
     run = Window.partitionBy("t").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     keys = (held.groupBy("t", "need", "below", "key").agg(F.sum("size").alias("n"))
             .withColumn("to", F.col("below") + F.sum("n").over(run)))
@@ -96,32 +97,57 @@ def _cuts(frame: DataFrame, need: DataFrame) -> DataFrame:
             .select("t", F.col("x.key").alias("cut")))
 
 
+def _chances(sizes: DataFrame, planned: DataFrame) -> DataFrame:
+    """``(t, c, certain, need)`` of the sources that take a part of their documents
+    once more: a document of ``size`` words is due ``c * size`` times, such that the
+    words expected are the words due.  Those due once or more are certain
+    (``size >= certain``): they are taken off the words due, and ``c`` is that of the
+    others, of which ``need`` words are left to take.
+
+    From the largest size on, a size is certain if it is due once when all
+    larger ones are certain.  Works on the counts of each source's sizes.
+    """
+    n, s = F.col("n").cast("double"), F.col("size").cast("double")
+    counted = (sizes.filter("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+               .join(planned.filter("p > 0").select("t", (F.col("p") * F.col("source_size")).alias("due")),
+                     F.col("source").eqNullSafe(F.col("t"))))
+    down = Window.partitionBy("t").orderBy(F.desc("size"))
+    larger = F.coalesce(F.sum(n * s).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum(n * s * s).over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    open_ = counted.withColumns({"need": F.col("due") - larger, "c": (F.col("due") - larger) / rest}).filter(F.col("c") * s < 1)
+    return open_.groupBy("t").agg(F.max(F.struct("size", "c", "need")).alias("x")).select(
+        "t", "x.c", (F.col("x.size") + 1).alias("certain"), "x.need")
+
+
 def plan(sizes: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 8) -> DataFrame:
-    """What the mix takes, one row a source: ``(t, source_size, target, whole, p,
-    cut)`` from ``sizes(id, h, source, size)``; see :func:`copies`."""
-    planned = stage(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-                    .withColumn("due", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
-                                .otherwise(F.lit(0.0)))
-                    .withColumn("whole", F.floor("due").cast("int"))
-                    .withColumn("p", F.col("due") - F.col("whole")).withColumnRenamed("source", "t"), "mix-targets")
-    ranked = (sizes.join(planned.filter("p > 0"), F.col("source").eqNullSafe(F.col("t")))
-              .select("source", _rank(seed).alias("key"), "size"))
-    need = planned.filter("p > 0").select(F.col("t").alias("source"), (F.col("p") * F.col("source_size")).alias("need"))
-    cuts = _cuts(ranked, need).withColumnRenamed("t", "c")
-    return stage(planned.join(cuts, F.col("t").eqNullSafe(F.col("c")), "left").drop("c", "due"), "mix-plan")
+    """What the mix takes, one row a source: ``(t, source_size, target, whole, p, c,
+    certain, cut)`` from ``sizes(id, h, source, size)``; see :func:`copies`."""
+    with Tables() as kept:
+        planned = (targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+                   .withColumn("due", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
+                               .otherwise(F.lit(0.0)))
+                   .withColumn("whole", F.floor("due").cast("int"))
+                   .withColumn("p", F.col("due") - F.col("whole")).withColumnRenamed("source", "t").drop("due"))
+        planned = kept.keep(planned, "mix-targets")
+        chances = kept.keep(_chances(sizes, planned), "mix-chances")
+        ranked = (sizes.filter("size > 0").join(chances, F.col("source").eqNullSafe(F.col("t"))).filter("size < certain")
+                  .select("source", _rank(seed).alias("key"), "size"))
+        cuts = _cuts(ranked, chances.select(F.col("t").alias("source"), "need"), kept).withColumnRenamed("t", "source")
+        return stage(planned.join(chances.withColumnRenamed("t", "k"), F.col("t").eqNullSafe(F.col("k")), "left")
+                     .join(cuts, F.col("t").eqNullSafe(F.col("source")), "left").drop("source", "k", "need"), "mix-plan")
 
 
 def _rank(seed: int) -> Column:
     """Random odds over inclusion odds as a fixed-point key: ``odds / (1 +
     odds)`` keeps their order and lies in (0, 1)."""
-    u, p = uniform(seed, "id", "h"), F.col("p")
+    u, p = uniform(seed, "id", "h"), F.col("c") * F.col("size")
     odds = (u / (1 - u)) * F.try_divide(1 - p, p)
     return F.floor(odds / (1 + odds) * float((1 << KEY_BITS) - 1))
 
 
 def _taken(seed: int) -> Column:
-    extra = F.when((F.col("p") > 0) & (_rank(seed) <= F.col("cut")), 1).otherwise(0)
-    return (F.col("whole") + extra).cast("int")
+    more = (F.col("size") >= F.col("certain")) | ((F.col("size") > 0) & (_rank(seed) <= F.col("cut")))
+    return (F.col("whole") + F.when(more, 1).otherwise(0)).cast("int")
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -135,15 +161,16 @@ def copies(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 8, id_
     ``(id_col, size, source_size, target, copies)``.
 
     ``size`` is the number of words (null text: none), :func:`targets` gives a
-    source its size in the mix.  A document is due ``target / source_size``
-    times: the whole part is certain; the rest is its probability ``p`` of one
-    more copy.  With ``u`` uniform by hash, documents of a source are ranked by
+    source its size in the mix.  A source is due ``target / source_size`` times:
+    the whole part is certain for each of its documents.  The words still due
+    are sampled, one more copy at most, with a document's probability ``p``
+    proportional to its size: what is due once or more by that is certain too (see
+    :func:`_chances`).  With ``u`` uniform by hash, the others are ranked by
     ``(u / (1 - u)) / (p / (1 - p))`` -- Pareto order sampling (Rosen 1997) --
     and taken from the smallest on until the words due are reached as nearly
-    as whole documents allow, so a sample's size is fixed and its documents'
-    probabilities follow their targets.
+    as whole documents allow: a sample of fixed size with unequal probabilities.
 
-    Documents of size zero are due as often as others of their source.  Rows
+    Documents of size zero add no words and get whole copies only.  Rows
     alike in id and text share a rank and are taken together.  Null sources
     are one source, the last.  A source without words has target zero and is
     not taken.  An empty table gives no rows.  The same input gives the same
@@ -159,10 +186,12 @@ def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 8, id_col
     """The mixed documents: each row of ``docs`` as often as :func:`copies`
     says, with the columns of ``docs``.  A row's copies follow from its id, its
     text and its source's row of the plan, so the texts are not shuffled."""
-    slim = stage(_slim(docs, id_col, text_col, source_col), "mix-sizes")
+    with Tables() as kept:
+        slim = kept.keep(_slim(docs, id_col, text_col, source_col), "mix-sizes")
+        planned = plan(slim, weights, most, seed)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"),
-                       F.col(source_col).cast("string").alias("source"))
-    return (rows.join(plan(slim, weights, most, seed), F.col("source").eqNullSafe(F.col("t")))
+                       F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    return (rows.join(planned, F.col("source").eqNullSafe(F.col("t")))
             .withColumn("copies", _taken(seed)).filter("copies > 0")
             .select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
             .select(*[F.col("row")[c].alias(c) for c in docs.columns]))

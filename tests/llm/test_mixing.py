@@ -59,6 +59,69 @@ def test_cells_are_split_until_they_are_small(spark, monkeypatch):
     assert sorted(map(tuple, mixing.copies(df).collect())) == want
 
 
+def plain_selection(rows, u, weights, most):
+    """Copies of ``rows`` (id, size, source) by the definition, in plain Python."""
+    sizes = {}
+    for _, n, s in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    out = {}
+    for s, target in plain_targets(sizes, weights, most).items():
+        mine = [(i, n) for i, n, x in rows if x == s]
+        due = target / sizes[s] if sizes[s] else 0.0
+        out.update({i: int(due) for i, _ in mine})
+        need, rest = (due - int(due)) * sizes[s], sorted((n, i) for i, n in mine if n)
+        if need <= 0:
+            continue
+        while True:
+            c = need / sum(n * n for n, _ in rest)
+            if c * rest[-1][0] < 1:
+                break
+            top = rest[-1][0]
+            for n, i in [x for x in rest if x[0] == top]:
+                out[i] += 1
+                need -= n
+            rest = [x for x in rest if x[0] < top]
+        order = sorted((u[i] / (1 - u[i]) * (1 - c * n) / (c * n), n, i) for n, i in rest)
+        best, total, take = abs(need), 0, 0
+        for k, (_, n, _) in enumerate(order):
+            total += n
+            if abs(total - need) < best:
+                best, take = abs(total - need), k + 1
+        for _, _, i in order[:take]:
+            out[i] += 1
+    return out
+
+
+def test_equals_the_selection_in_plain_python(spark):
+    rng = random.Random(5)
+    for weights in ((1, 2, 3), (5, 1)):
+        rows = [(i, rng.choice([0, 1, 2, 3, 8, 30, 31, 200]), rng.choice(["a", "b", "c", "d", None])) for i in range(300)]
+        df = spark.createDataFrame([(i, "w " * n, s) for i, n, s in rows], "doc_id long, text string, source string").repartition(5)
+        u = {r[0]: r[1] for r in df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).select(
+            "id", mixing.uniform(8, "id", "h")).collect()}
+        got = {r["doc_id"]: r["copies"] for r in mixing.copies(df, weights=weights).collect()}
+        assert got == plain_selection(rows, u, weights, 3)
+
+
+def test_inclusion_follows_size(spark):
+    """A document's chance of the extra copy is proportional to its size; the largest are certain."""
+    rows = [(i, (2, 4, 8)[i % 3], "a") for i in range(9000)] + [(9000 + i, 2000, "a") for i in range(3)] + [(10_000, 30_000, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, n int, source string").select(
+        "doc_id", F.repeat(F.lit("w "), F.col("n")).alias("text"), "source")
+    got = mixing.copies(df, weights=(1, 2)).join(df.select("doc_id", "source"), "doc_id").filter("source = 'a'").collect()
+    whole = min(r["copies"] for r in got)
+    size, target = got[0]["source_size"], got[0]["target"]
+    need = target - whole * size
+    extra = {n: [r["copies"] - whole for r in got if r["size"] == n] for n in (2, 4, 8, 2000)}
+    certain = need / sum(n * n for _, n, s in rows if s == "a") * 2000 >= 1
+    assert certain and extra[2000] == [1, 1, 1]
+    c = (need - 6000) / sum(n * n * 3000 for n in (2, 4, 8))
+    assert 0.5 < c * 8 < 1
+    for n in (2, 4, 8):
+        share = sum(extra[n]) / 3000
+        assert abs(share - c * n) < 0.04, (n, share, c * n)
+
+
 def test_ranks_are_pareto(spark):
     """Of many equal documents, each seed takes a share close to its odds' and a fixed size."""
     df = spark.createDataFrame([(i, "w", "a" if i % 4 else "b") for i in range(400)], "doc_id long, text string, source string")

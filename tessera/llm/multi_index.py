@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from typing import NamedTuple
 
 import numpy as np
@@ -90,17 +91,22 @@ def traverse(first: np.ndarray, second: np.ndarray, counts: dict[int, int], want
 
 
 def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``(id, v)`` of the rows that take part: an id, a vector that is not null,
-    not zero, without null or non-finite components, of the most frequent
-    length (ties: the longer one)."""
+    """``(id, v)`` of the rows that take part: an id and a vector that is not null,
+    not zero, without null or non-finite components, of any length."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"),
                           F.col(vec_col).cast("array<double>").alias("v")).dropna()
     # -0.0 is 0.0 for the distinct vectors below
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = (rows.filter(finite & F.exists("v", lambda x: x != 0))
+    return (rows.filter(finite & F.exists("v", lambda x: x != 0))
             .withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))))
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.filter(F.size("v") == (size["n"] if size else 0))
+
+
+def fit(sample: list[list[float]], seed: int) -> Codebooks:
+    """Codebooks of both halves of vectors of one length, 16 vectors a centroid."""
+    unit = unit_rows(matrix(sample))
+    half, centroids = unit.shape[1] // 2, max(1, min(MAX_CENTROIDS, len(sample) // 16))
+    first = k_means(unit[:, :half], centroids, ROUNDS, seed) if half else np.zeros((1, 0))
+    return Codebooks(first, k_means(unit[:, half:], centroids, ROUNDS, seed + 1))
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, fraction: float = 0.4, least: int = 2000,
@@ -113,6 +119,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, fraction: float = 0.4, leas
     vector is indexed under its pair of nearest centroids.  A query visits
     pairs by summed distance until their cells hold ``fraction`` of the distinct
     vectors (``least`` at least), and what it finds is ranked by exact cosine.
+    Vectors of unequal length have no cosine: each length has codebooks, cells and
+    neighbours of its own; one that is too rare for the sample has one cell.
     Embeddings without structure need a large fraction for a recall of 0.9;
     README has the figures.
 
@@ -129,27 +137,34 @@ def search(vectors: DataFrame, is_query, k: int = 5, fraction: float = 0.4, leas
     rows = stage(valid(vectors, id_col, vec_col).distinct(), "ann-rows")
     by_vector = Window.partitionBy("v").orderBy("id")
     kept = stage(rows.withColumn("r", F.row_number().over(by_vector)).filter(F.col("r") <= k + 1), "ann-distinct")
-    sample = [r["v"] for r in kept.filter("r = 1").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE)
-              .select("v").collect()]
-    if not sample:
+    lengths = sorted(r["n"] for r in kept.select(F.size("v").alias("n")).distinct().collect())
+    if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    unit = unit_rows(matrix(sample))
-    half, centroids = unit.shape[1] // 2, max(1, min(MAX_CENTROIDS, len(sample) // 16))
-    books = Codebooks(k_means(unit[:, :half], centroids, ROUNDS, seed),
-                      k_means(unit[:, half:], centroids, ROUNDS, seed + 1))
-    shared = spark.sparkContext.broadcast(books)
+    samples: dict[int, list] = {}
+    for r in kept.filter("r = 1").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE).select("v").collect():
+        samples.setdefault(len(r["v"]), []).append(r["v"])
+    # the cells of all lengths are numbered in one row
+    books, base, cells = {}, {}, 0
+    for n in lengths:
+        books[n], base[n] = fit(samples.get(n) or [[1.0] * n], seed), cells
+        cells += len(books[n].first) * len(books[n].second)
+    shared = spark.sparkContext.broadcast((books, base))
 
     def assign(batches):
+        books, base = shared.value
         for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(cell=shared.value.cells(unit_rows(matrix(pdf["v"]))).astype(np.int32))
+            for n, some in pdf.groupby(pdf["v"].map(len)):
+                yield some.assign(cell=(base[n] + books[n].cells(unit_rows(matrix(some["v"])))).astype(np.int32))
 
     index = stage(kept.select("id", "v").mapInPandas(assign, "id long, v array<double>, cell int"), "ann-index")
     counts = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}
-    total = sum(counts.values())
-    # blocks: cells in order of their number, packed; a large one takes several
-    first, parts, block, room = {}, {}, -1, 0
+    starts = sorted(base.values())
+    length_of = {cell: bisect_right(starts, cell) for cell in counts}
+    # blocks: cells of one length in order of their number, packed; a large one takes several
+    first, parts, block, room, before = {}, {}, -1, 0, None
     for cell in sorted(counts):
+        if length_of[cell] != before:
+            before, room = length_of[cell], 0
         if counts[cell] > room:
             block, room = block + 1, BLOCK_VECTORS
             parts[cell] = -(-counts[cell] // BLOCK_VECTORS)
@@ -161,27 +176,27 @@ def search(vectors: DataFrame, is_query, k: int = 5, fraction: float = 0.4, leas
     where = spark.sparkContext.broadcast((counts, first, parts))
     queries = rows.filter(is_query(F.col("id")))
     groups = max(1, -(-queries.count() // BLOCK_QUERIES))
-    want = max(least, int(fraction * total))
-
     def visit(batches):
-        counts, first, parts = where.value
-        books = shared.value
-        numbers = np.array(sorted(counts))
-        rows_of, columns_of = np.divmod(numbers, len(books.second))
+        (counts, first, parts), (all_books, base) = where.value, shared.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            a, b = books.distances(unit_rows(matrix(pdf["v"])))
-            out = []
-            for n, (i, v) in enumerate(zip(pdf["id"], pdf["v"])):
-                reach = traverse(a[n], b[n], counts, want)
-                visited = numbers[a[n][rows_of] + b[n][columns_of] <= reach]
-                blocks: dict[int, list[int]] = {}
-                for cell in visited.tolist():
-                    for part in range(parts[cell]):
-                        blocks.setdefault(first[cell] + part, []).append(cell)
-                out += [(i, v, block, cells) for block, cells in blocks.items()]
-            yield pd.DataFrame(out, columns=["id", "v", "block", "cells"])
+            for n, some in pdf.groupby(pdf["v"].map(len)):
+                books = all_books[n]
+                last = base[n] + len(books.first) * len(books.second)
+                mine = {c - base[n]: m for c, m in counts.items() if base[n] <= c < last}
+                want = max(least, int(fraction * sum(mine.values())))
+                numbers = np.array(sorted(mine))
+                rows_of, columns_of = np.divmod(numbers, len(books.second))
+                a, b = books.distances(unit_rows(matrix(some["v"])))
+                out = []
+                for at, (i, v) in enumerate(zip(some["id"], some["v"])):
+                    reach = traverse(a[at], b[at], mine, want)
+                    visited = numbers[a[at][rows_of] + b[at][columns_of] <= reach] + base[n]
+                    blocks: dict[int, list[int]] = {}
+                    for cell in visited.tolist():
+                        for part in range(parts[cell]):
+                            blocks.setdefault(first[cell] + part, []).append(cell)
+                    out += [(i, v, block, cells) for block, cells in blocks.items()]
+                yield pd.DataFrame(out, columns=["id", "v", "block", "cells"])
 
     def place(batches):
         _, first, parts = where.value
@@ -189,7 +204,9 @@ def search(vectors: DataFrame, is_query, k: int = 5, fraction: float = 0.4, leas
             yield pdf.assign(block=[first[c] + i % parts[c] for c, i in zip(pdf["cell"], pdf["id"])])
 
     group = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(groups)).cast("int")
-    asked = (queries.repartition(F.col("id")).mapInPandas(visit, "id long, v array<double>, block int, cells array<int>")
+    # a number of partitions, so that few bytes are not packed into one task
+    tasks = max(groups, 2 * spark.sparkContext.defaultParallelism)
+    asked = (queries.repartition(tasks, "id").mapInPandas(visit, "id long, v array<double>, block int, cells array<int>")
              .withColumn("g", group))
     held = (index.mapInPandas(place, "id long, v array<double>, cell int, block int")
             .withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))))

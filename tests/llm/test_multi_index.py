@@ -60,13 +60,29 @@ def test_odd_vectors(spark):
             (6, [1.0, 1.0]), (7, [1e300, 1e300]), (None, [1.0, 2.0]), (8, [1.0, 2.0, 3.0]), (9, []), (0, [1.0, 0.0]),
             (10, [-1e-300, 0.0]), (11, [-0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert sorted(r["id"] for r in mi.valid(df, "vec_id", "embedding").distinct().collect()) == [0, 6, 7, 10, 11]
+    assert sorted(r["id"] for r in mi.valid(df, "vec_id", "embedding").distinct().collect()) == [0, 6, 7, 8, 10, 11]
     got = rows_of(mi.search(df, lambda i: i == 0, k=5))
     assert [i for i, _ in got[0]][:2] == [6, 7] and len(got[0]) == 4
     assert mi.search(df.limit(0), lambda i: i == 0).count() == 0
     assert mi.search(df.filter("vec_id = 0"), lambda i: i == 0).count() == 0
 
 
+def test_every_length_has_neighbours_of_its_own(spark):
+    """Two sizes in bulk, a third that is rare: each is searched like a table of its own."""
+    rng = np.random.default_rng(4)
+    sizes = [4] * 150 + [7] * 120 + [3] * 5
+    rows = [(int(i), rng.normal(size=n).tolist()) for i, n in zip(rng.permutation(len(sizes)), sizes)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = rows_of(mi.search(df, lambda i: i % 3 == 0, k=5, least=10**6))
+    want = {}
+    for n in (3, 4, 7):
+        mine = [(i, v) for i, v in rows if len(v) == n]
+        want |= brute([i for i, _ in mine], np.array([v for _, v in mine]), [i for i, _ in mine if i % 3 == 0], 5)
+    assert got.keys() == {q for q in want if want[q]}
+    for q in got:
+        assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
+
+
 def test_recall_on_the_given_table(spark):
     path = "/root/testdata/sf0.1/embeddings.parquet"
     df = spark.read.parquet(path)

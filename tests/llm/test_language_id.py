@@ -1,4 +1,9 @@
+import math
+import random
+from collections import Counter
+
 import numpy as np
+import regex
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id as li
@@ -48,3 +53,53 @@ def test_the_fit_is_bounded(spark):
     items = spark.createDataFrame([("a", f"w{i}", i // 3) for i in range(30)] + [("b", "x", 1)], "lang string, g string, n long")
     got = li._top(items, 7, {"a": 0, "b": 1})
     assert sorted(got) == ["w24", "w25", "w26", "w27", "w28", "w29", "x"] and got["x"] == {1: 1}
+
+
+def test_training_and_prediction_equal_a_recount(spark):
+    """Every count of the model, and every prediction, worked out again in plain Python."""
+    rng = random.Random(6)
+    pools = {"a": ["haus", "baum", "über", "x"], "b": ["house", "tree", "x", "the"], "c": ["дом", "the", "baum"]}
+    rows = [(i, " ".join(rng.choices(pools[lang], k=rng.randrange(1, 9))).title() + " 12!", lang)
+            for i, lang in enumerate(rng.choices("abc", k=60))]
+    df = spark.createDataFrame(rows + [(90, None, "a"), (91, "nobody", None)], "doc_id long, text string, lang string")
+    model = li.train(df, longest=3)
+    langs = ["a", "b", "c"]
+    words, grams = {}, {n: {} for n in (1, 2, 3)}
+    for _, text, lang in rows:
+        for w in regex.findall(r"\p{L}+", text.lower()):
+            words.setdefault(w, Counter())[lang] += 1
+            padded = f" {w} "
+            for n in grams:
+                for k in range(len(padded) - n + 1):
+                    if padded[k:k + n] != " ":
+                        grams[n].setdefault(padded[k:k + n], Counter())[lang] += 1
+
+    def logs(counts):
+        total = {x: sum(c[x] for c in counts.values()) for x in langs}
+        return {i: [math.log((c[x] + 0.5) / (total[x] + 0.5 * len(counts))) for x in langs] for i, c in counts.items()}
+
+    want = {0: logs(words)} | {n: logs(g) for n, g in grams.items()}
+    for n, (at, table) in {0: model.words, **model.grams}.items():
+        assert at.keys() == want[n].keys()
+        assert all(np.allclose(table[k], want[n][item]) for item, k in at.items())
+
+    def predict(text):
+        total = [0.0] * 3
+        found = regex.findall(r"\p{L}+", (text or "").lower())
+        for w in found:
+            row = want[0].get(w)
+            for n in (3, 2, 1):
+                known = [want[n][f" {w} "[k:k + n]] for k in range(len(w) + 3 - n) if f" {w} "[k:k + n] in want[n]]
+                if row is None and known:
+                    row = [sum(x) / len(known) for x in zip(*known)]
+            total = [t + r for t, r in zip(total, row or [0.0] * 3)]
+        if not found:
+            return "und", 0.0
+        best = max(range(3), key=lambda k: (total[k], -k))
+        return langs[best], 1 / sum(math.exp(t - total[best]) for t in total)
+
+    texts = [t for _, t, _ in rows] + ["häuser bäume", "trees", "домик the", "qqq", "", None, "haus the the"]
+    got = li.identify(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), model).orderBy("k").collect()
+    for r, t in zip(got, texts):
+        lang, score = predict(t)
+        assert r["lang_pred"] == lang and math.isclose(r["score"], score, rel_tol=1e-9, abs_tol=1e-12)

@@ -62,3 +62,28 @@ def test_odd_rows(spark, odd, none):
     same = spark.range(300).select(F.lit(None).cast("string").alias("a"), F.lit(1).alias("b"))
     check(sharding.shuffle_into_shards(same, 7), 300, 7)
     assert sharding.shuffle_into_shards(none, 16).count() == 0
+
+
+def test_rows_equal_a_plain_restatement(spark):
+    """The same hashes, blocks, runs and cells, ordered in plain Python."""
+    seed, shards, size = 9, 4, 8
+    rows = [(i % 50, f"t{i % 50}") for i in range(300)]     # every row six times
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, sharding.shuffle_into_shards(df, shards, seed, block_rows=size).collect()))
+    once = spark.createDataFrame([(i, f"t{i}", c) for i in range(50) for c in range(1, 7)], "doc_id long, text string, c long")
+    once = once.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    items = once.select("doc_id", "text", "c", "h", *[F.xxhash64(F.lit(seed + k), "h", "c").alias(f"h{k}") for k in (1, 2, 3, 4)]).collect()
+    blocks = max(sharding.LEAST_BLOCKS, -(-300 // size))
+    of = {}
+    for r in items:
+        of.setdefault(r["h1"] % blocks, []).append(r)
+    matrix = sharding.communication_matrix([len(of[b]) for b in sorted(of)], shards, seed)
+    placed = {s: [] for s in range(shards)}
+    for b, line in zip(sorted(of), matrix.tolist()):
+        order = iter(sorted(of[b], key=lambda r: (r["h2"], r["h"], r["c"])))
+        for s, n in enumerate(line):
+            placed[s] += [next(order) for _ in range(n)]
+    cells = max(1, blocks // shards)
+    want = [(r["doc_id"], r["text"], s, slot) for s, mine in placed.items()
+            for slot, r in enumerate(sorted(mine, key=lambda r: (r["h3"] % cells, r["h4"], r["h"], r["c"])))]
+    assert got == sorted(want)

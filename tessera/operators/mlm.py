@@ -16,8 +16,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.ranking import hash_key
 
@@ -25,15 +29,42 @@ PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = 0, 1, 2, 3, 4
 IGNORE = -100
 
 
-def ids_by_join(df: DataFrame, tokens: str, vocab: DataFrame, keys, unk_id: int = UNK_ID) -> DataFrame:
+def ids_by_join(df: DataFrame, tokens: str, vocab: DataFrame, keys, unk_id: int = UNK_ID,
+                max_broadcast: int = 1_000_000) -> DataFrame:
     """``keys, ids``: the ids of the token strings, joined from ``vocab(piece,
-    id)``; a piece that is not in it gets ``unk_id``.  ``keys`` names a row."""
-    rows = df.select(*keys, F.posexplode_outer(tokens).alias("_at", "piece"))
+    id)``; a piece that is not in it gets ``unk_id``.  ``keys`` names a row; the ids of
+    rows that share it are put together by their places.
+
+    A vocabulary of up to ``max_broadcast`` pieces is sent to the tasks, and the only
+    exchange is that of the id arrays by ``keys``; a larger one is joined token by token.
+    """
     known = vocab.select("piece", F.col("id").cast("int").alias("id")).dropDuplicates(["piece"])
-    return (rows.join(known, "piece", "left")
-            .select(*keys, F.when(F.col("_at").isNotNull(), F.struct(
-                "_at", F.coalesce("id", F.lit(unk_id)).alias("id"))).alias("_t"))
-            .groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("_t")), lambda t: t["id"]).alias("ids")))
+    table = known.limit(max_broadcast + 1).toArrow()
+    if table.num_rows > max_broadcast:
+        rows = df.select(*keys, F.posexplode_outer(tokens).alias("_at", "piece"))
+        return (rows.join(known, "piece", "left")
+                .select(*keys, F.when(F.col("_at").isNotNull(), F.struct(
+                    "_at", F.coalesce("id", F.lit(unk_id)).alias("id"))).alias("_t"))
+                .groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("_t")), lambda t: t["id"]).alias("ids")))
+    shared = df.sparkSession.sparkContext.broadcast((table.column("piece").to_pylist(), table.column("id").to_pylist()))
+    rows = df.select(*keys, _looked_up(shared, unk_id)(tokens).alias("_ids")).groupBy(*keys).agg(F.collect_list("_ids").alias("_all"))
+    placed = F.flatten(F.transform("_all", lambda ids: F.transform(ids, lambda x, i: F.struct(i.alias("at"), x.alias("id")))))
+    return rows.select(*keys, F.when(F.size("_all") == 1, F.col("_all")[0]).otherwise(
+        F.transform(F.array_sort(placed), lambda t: t["id"])).alias("ids"))
+
+
+def _looked_up(shared, unk_id: int):
+    """Arrays of pieces as arrays of ids (null: none), whole batches at once."""
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(tokens: pa.Array) -> pa.Array:
+        pieces, numbers = shared.value
+        offsets = np.cumsum([0, *pc.fill_null(pc.list_value_length(tokens), 0).to_pylist()], dtype=np.int32)
+        flat = tokens.flatten()
+        at = pc.index_in(flat, pa.array(pieces, flat.type), skip_nulls=True)
+        found = pc.fill_null(pc.take(pa.array(numbers, pa.int32()), at), unk_id)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)
+
+    return ids
 
 
 def examples(df: DataFrame, ids: Column, max_length: int = 128) -> DataFrame:
@@ -107,28 +138,37 @@ def batches(df: DataFrame, batch_size: int = 64, seed: int = 42, epoch: int = 0,
     return out.drop("_h", "_rank", "_n", "_cell", "_start", "_count", "_edge", "_inside")
 
 
+#: Cells that the driver counts at most (besides one for each length).
+MAX_CELLS = 1 << 16
+
+
 def _cells(keyed: DataFrame, batch_size: int, by_length: bool):
     """``keyed`` with its ``_cell`` and the table ``(_cell, _start, _count)``: rows in
     order are cut into cells by the first digits of the uniform hash (``by_length``:
-    by length, then digits).  The digits, four at most, are so many that a
-    cell has tens of batches; the counts, one light pass, reach the driver."""
-    prefix = F.substring("_h", 1, 4)
-    rows = keyed.groupBy(*(["_n"] if by_length else []), prefix.alias("c")).count().collect()
-    total = sum(r["count"] for r in rows)
-    digits = 0
-    while digits < 4 and 16 ** (digits + 1) * batch_size * 32 <= total:
-        digits += 1
-    counts: dict = {}
-    for r in rows:
-        cell = (f"{r['_n']:010d}:" if by_length else "") + r["c"][:digits]
-        counts[cell] = counts.get(cell, 0) + r["count"]
+    by length, then digits).  The digits, four at most, are so many for each length that
+    a cell has tens of batches and there are ``MAX_CELLS`` cells at most; the
+    lengths and the cells are counted in one light pass each, and only these counts
+    reach the driver."""
+    sizes = {r["n"]: r["count"] for r in keyed.groupBy((F.col("_n") if by_length else F.lit(0)).alias("n")).count().collect()}
+    least = max(batch_size * 32, -(-sum(sizes.values()) // MAX_CELLS))
+
+    def digits_of(count):
+        return max((d for d in range(1, 5) if 16 ** d * least <= count), default=0)
+
+    digits = F.lit(0)
+    for d in range(1, 5):
+        some = [n for n, count in sizes.items() if digits_of(count) == d]
+        if some:
+            digits = F.when(F.col("_n").isin(some) if by_length else F.lit(True), F.lit(d)).otherwise(digits)
+    cell = F.substring("_h", F.lit(1), digits)
+    if by_length:
+        cell = F.concat(F.lpad(F.col("_n").cast("string"), 10, "0"), F.lit(":"), cell)
+    keyed = keyed.withColumn("_cell", cell)
     starts, at = [], 0
-    for cell in sorted(counts):
-        starts.append((cell, at, counts[cell]))
-        at += counts[cell]
-    part = F.substring("_h", 1, digits) if digits else F.lit("")
-    cell = F.concat(F.lpad(F.col("_n").cast("string"), 10, "0"), F.lit(":"), part) if by_length else part
-    return keyed.withColumn("_cell", cell), keyed.sparkSession.createDataFrame(starts, "_cell string, _start bigint, _count bigint")
+    for cell, count in sorted(tuple(r) for r in keyed.groupBy("_cell").count().collect()):
+        starts.append((cell, at, count))
+        at += count
+    return keyed, keyed.sparkSession.createDataFrame(starts, "_cell string, _start bigint, _count bigint")
 
 
 def _ranked(keyed: DataFrame, first: DataFrame, key_cols, batch_size: int) -> DataFrame:

@@ -67,6 +67,36 @@ def test_ids_by_join_and_collated_batches(spark):
     assert [len(r["masked_ids"]) for r in out] == sorted(len(r["masked_ids"]) for r in out)
 
 
+def test_ids_of_rows_that_share_a_key(spark):
+    rows = [(1, ["a", "b", "x"]), (1, ["b"]), (None, ["a", None]), (2, None), (3, []), (3, ["b"])]
+    df = spark.createDataFrame(rows, "k long, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 7), ("b", 5)], "piece string, id int")
+    for most in (10, 1):                    # sent to the tasks, joined
+        got = {r["k"]: list(r["ids"]) for r in mlm.ids_by_join(df, "tokens", vocab, ["k"], max_broadcast=most).collect()}
+        assert got == {1: [5, 7, 5, 1], None: [7, 1], 2: [], 3: [5]}
+
+
+def test_ids_exchange_arrays_not_tokens(spark):
+    df = spark.createDataFrame([(1, ["a"])], "k long, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 7)], "piece string, id int")
+    plan = mlm.ids_by_join(df, "tokens", vocab, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
+def test_cells_by_length_stay_few(spark):
+    """The driver counts cells of tens of batches, not lengths times hash prefixes."""
+    df = spark.range(30_000).selectExpr("id doc_id", "0L line_no", "array_repeat(7, int(pow(id % 100, 2) / 400)) input_ids")
+    keyed = df.withColumns({"_h": mlm.hash_key(42, F.lit(0), "doc_id", "line_no"), "_n": F.size("input_ids")})
+    for by_length, most in ((True, 25 + 30_000 // 64), (False, 30_000 // 64)):
+        _, first = mlm._cells(keyed, 2, by_length)
+        assert first.count() <= most and first.agg(F.sum("_count")).first()[0] == 30_000
+    out = mlm.batches(df, 2, by_length=True).orderBy("batch_id", "position").collect()
+    want = sorted((len(r["input_ids"]), hashlib.md5(f"42:0:{r['doc_id']}:0".encode()).hexdigest(), r["doc_id"]) for r in out)
+    assert [r["doc_id"] for r in out] == [d for _, _, d in want]
+    assert [(r["batch_id"], r["position"]) for r in out] == [(i // 2, i % 2) for i in range(30_000)]
+    assert all(r["batch_len"] == max(want[i][0], want[i ^ 1][0]) for i, r in enumerate(out))
+
+
 CHEAP = ["wordpiece_encode", "benchmark_coverage", "mlm_masked", "mlm_batches_by_length", "gold_segments", "corpus_lines", "clean_lines", "good_lines", "untag_lines", "line_words", "pretokens",
          "split_lines", "split_summary", "encoded_lines", "tokenizer_report", "boundary_summary",
          "word_frequency", "bpe_pair_counts", "mlm_batches", "unigram_seed"]

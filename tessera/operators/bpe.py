@@ -8,26 +8,30 @@ distinct pre-token, symbols as numbers -- never on the corpus:
    ``(count desc, left, right)`` are the driver's candidates; where there are
    more, the last candidate is the *frontier*: a pair that is not held ranks
    after it, and stays there, as merging others only lowers its count.
-2. the driver foresees the next merges, twice as many as came true the last time
-   (within ``ahead``): it merges a bounded sample of the most frequent word types (``sample_types``), taking the
-   counts of the pairs met so far as they are and those of new pairs from the sample.
-3. one job applies this sequence, in order, to every word type and returns the
-   changes of pair counts *step by step* -- for a merge at most four rows per
-   symbol of the vocabulary, whatever the corpus.  New pairs too rare to be
-   merged are dropped where they arise;
-4. the driver replays the steps with these exact counts and commits merges as
-   long as each one is the first of the true ranking.  What was foreseen wrongly is
-   taken back: the next job starts from the committed merges.  The first
-   merge of a sequence is always right, so a poor sample costs rounds, never results;
-5. with no candidate left before the frontier, step 1 is run again on the
+2. while a merge changes very many word types, the driver *foresees* the next ones, twice
+   as many as came true the last time (within ``ahead``): it merges a bounded sample of the
+   most frequent word types (``sample_types``), taking the counts of the pairs met so far as
+   they are and those of new pairs from the sample.  One job applies this sequence, in order,
+   to every word type and returns the changes of pair counts *step by step* -- for a
+   merge at most four rows per symbol of the vocabulary, whatever the corpus.  New pairs too
+   rare to be merged are dropped where they arise.  The driver replays the steps with
+   these exact counts and commits merges as long as each one is the first of the true
+   ranking.  What was foreseen wrongly is taken back.  The first merge of a
+   sequence is always right, so a poor sample costs rounds, never results;
+3. later on, merges are rare enough that the word types they change can be *held*: all
+   those that have one of the first M pairs of the ranking, M as large as ``held_symbols``
+   allows, come to the driver.  Merging such a pair changes held word types only, and the
+   pairs that arise are in held word types only, so counts stay exact without a job; this
+   goes on until a pair that is not held so comes first;
+4. with no candidate left before the frontier, step 1 is run again on the
    current words.
 
 A merge whose string exists already (made from other symbols) can raise the
 counts of pairs that are not held; it ends its sequence and step 1 follows.
 
 The word types are written to the checkpoint folder with the committed merges
-applied every ``checkpoint_every`` rounds (the table before is deleted); in
-between, a job applies the merges committed since then first.
+applied every ``checkpoint_every`` rounds of step 2 and before each of step 3 (the table
+before is deleted); in between, a job applies the merges committed since then first.
 
 Encoding applies the learned merges by rank to each *distinct* pre-token
 (Arrow UDF, model broadcast once), unseen characters become ``[UNK]``.
@@ -39,6 +43,7 @@ import heapq
 from collections import defaultdict
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +60,11 @@ MAX_PAIRS = 500_000
 #: foreseen at once: at least the first number, at most the second.
 SAMPLE_TYPES = 200_000
 AHEAD = 50, 4_000
-#: Entries of a task's table of count changes before it is handed on.
-HELD_CHANGES = 200_000
+#: Symbols of the word types that the driver holds (about 60 bytes each) or a task works on at once.
+HELD_SYMBOLS, TASK_SYMBOLS = 4_000_000, 1_000_000
+#: Of the ranking, so many pairs are looked for to hold their word types; fewer than
+#: the least number of merges that a round brings are rather foreseen.
+HELD_PAIRS, LEAST_HELD = 50_000, 24
 
 
 # ---------------------------------------------------------------------------
@@ -176,6 +184,112 @@ def merge_word(ids: list, table: dict, changes=None, freq: int = 1, first: int =
     return [x for x, here in zip(ids, alive) if here]
 
 
+class _Symbols:
+    """Word types as arrays: all symbols in a row, each word closed by an ``_END``,
+    linked over those that merges have taken.  A merge costs little more than
+    the places where its pair stands."""
+
+    def __init__(self, freq: np.ndarray, flat: np.ndarray, sizes: np.ndarray):
+        words = len(sizes)
+        self.freq, self.words = freq, words
+        self.word = np.repeat(np.arange(words, dtype=np.int32), sizes + 1)
+        self.ids = np.full(len(self.word) + 1, _END, np.int32)
+        ends = np.cumsum(sizes + 1) - 1
+        inside = np.ones(len(self.word), bool)
+        inside[ends] = False
+        self.ids[:-1][inside] = flat
+        n = len(self.ids)
+        self.after, self.before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        at = np.flatnonzero((self.ids[:-1] >= 0) & (self.ids[1:] >= 0)).astype(np.int32)
+        codes = _code(self.ids[at], self.ids[at + 1])
+        order = np.argsort(codes, kind="stable")
+        self.places = {None: [(codes[order], at[order])]}      # by the symbol that made the pairs: sorted pairs, where they stand
+
+    @classmethod
+    def of(cls, batch) -> "_Symbols":
+        column = batch.column("ids")
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return cls(batch.column("freq").to_numpy(), column.flatten().to_numpy(),
+                   np.diff(column.offsets.to_numpy()).astype(np.int64))
+
+    def merge(self, left: int, right: int, new: int):
+        """Merge a pair from left to right; ``(pairs, changes)`` of the weighted pair
+        counts, each pair once, where there are any."""
+        ids, after, before, code = self.ids, self.after, self.before, (left << 32) | right
+        found, sources = [], 0
+        for symbol in {None, left, right}:
+            for codes, at in self.places.get(symbol, ()):
+                i, j = np.searchsorted(codes, code), np.searchsorted(codes, code, "right")
+                if i < j:
+                    found.append(at[i:j])
+        if not found:
+            return None
+        p = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+        p = p[(ids[p] == left) & (ids[after[p]] == right)]
+        if left == right and len(p) > 1:        # of a run of equal symbols, every second pair
+            starts = np.ones(len(p), bool)
+            starts[1:] = after[p[:-1]] != p[1:]
+            k = np.arange(len(p))
+            p = p[(k - np.maximum.accumulate(np.where(starts, k, 0))) % 2 == 0]
+        if not len(p):
+            return None
+        q = after[p]
+        x, y, f = before[p], after[q], self.freq[self.word[p]]
+        joined = np.zeros(len(p), bool)         # right behind the merge before
+        joined[1:] = x[1:] == q[:-1]
+        follows = np.append(joined[1:], False)
+        on_left, on_right = ids[x] >= 0, (ids[y] >= 0) & ~follows
+        on_left &= x >= 0
+        old_left, old_right = ids[x[on_left]], ids[y[on_right]]
+        ids[p], ids[q], after[p], before[y] = new, _TAKEN, y, p
+        x = np.where(joined, np.append(-1, p[:-1]), x)[on_left]
+        new_left = _code(ids[x], new)
+        new_right = _code(np.full(len(old_right), new, np.int32), old_right)
+        made = np.concatenate([new_left, new_right])
+        if len(made):
+            at = np.concatenate([x, p[on_right]]).astype(np.int32)
+            order = np.lexsort((at, made))
+            self.places.setdefault(new, []).append((made[order], at[order]))
+        pairs = np.concatenate([[code], _code(old_left, left), _code(np.full(len(old_right), right, np.int32), old_right), made])
+        by = np.concatenate([[-f.sum()], -f[on_left], -f[on_right], f[on_left], f[on_right]])
+        pairs, which = np.unique(pairs, return_inverse=True)
+        sums = np.zeros(len(pairs), np.int64)
+        np.add.at(sums, which, by)
+        some = sums != 0
+        return pairs[some], sums[some]
+
+    def batch(self):
+        """The words as they are now (those of one symbol left out), with their frequencies."""
+        here = np.flatnonzero(self.ids[:-1] >= 0)
+        sizes = np.bincount(self.word[here], minlength=self.words)
+        keep = sizes > 1
+        flat = self.ids[here[keep[self.word[here]]]]
+        offsets = np.append(0, np.cumsum(sizes[keep])).astype(np.int32)
+        return self.freq[keep], flat, offsets
+
+
+_END, _TAKEN = -1, -2
+
+
+def _code(left, right):
+    return (np.asarray(left, np.int64) << 32) | np.asarray(right, np.int64)
+
+
+def _chunks(batches):
+    """Arrow batches of word types as :class:`_Symbols` of ``TASK_SYMBOLS`` or so."""
+    held, size = [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, 10_000):
+            part = batch.slice(start, 10_000)
+            held.append(part)
+            size += len(part.column("ids").flatten())
+            if size >= TASK_SYMBOLS:
+                yield _Symbols.of(pa.Table.from_batches(held))
+                held, size = [], 0
+    if size:
+        yield _Symbols.of(pa.Table.from_batches(held))
+
+
 class _Sample:
     """The most frequent word types on the driver, merged ahead of the others."""
 
@@ -234,6 +348,15 @@ class _Ranking:
             heapq.heappop(self.heap)
         return self.heap[0] if self.heap else None
 
+    def top(self, most: int, frontier):
+        """The first pairs in order, up to the frontier: ``(left, right)`` arrays."""
+        pairs = np.array(list(self.counts), np.int64).reshape(-1, 2)
+        n = np.fromiter(self.counts.values(), np.int64, len(self.counts))
+        order = np.lexsort((pairs[:, 1], pairs[:, 0], -n))[:most]
+        if frontier is not None:
+            order = [k for k in order.tolist() if (-int(n[k]), *pairs[k].tolist()) <= frontier]
+        return pairs[order, 0], pairs[order, 1]
+
     def change(self, pair, by: int):
         self.set(pair, self.counts.get(pair, 0) + by)
 
@@ -247,13 +370,15 @@ class _Ranking:
 
 def train_bpe(word_freq: DataFrame, vocab_size: int = 16000, min_frequency: int = 2,
               special_tokens=None, max_pairs: int = MAX_PAIRS, checkpoint_every: int = 5,
-              partitions: int | None = None, sample_types: int = SAMPLE_TYPES, ahead: tuple = AHEAD) -> BpeModel:
-    """V4: exact BPE merges, foreseen in sequences and verified on all word types
-    (see module doc).  ``partitions`` spreads the word types; by default as shuffles do.
+              partitions: int | None = None, sample_types: int = SAMPLE_TYPES, ahead: tuple = AHEAD,
+              held_symbols: int = HELD_SYMBOLS) -> BpeModel:
+    """V4: exact BPE merges, foreseen in sequences and verified on all word types, or made on all
+    the word types they change (see module doc).  ``partitions`` spreads the word types; by
+    default as shuffles do.  ``held_symbols`` of 0: all are foreseen.
     """
     with bounded_plan_strings(word_freq.sparkSession), Tables() as tables:
         return _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, max_pairs, checkpoint_every, partitions,
-                          sample_types, ahead, tables)
+                          sample_types, ahead, held_symbols, tables)
 
 
 class bounded_plan_strings:
@@ -291,48 +416,77 @@ def _table(merges: list, start: int = 0) -> dict:
     return {(left, right): (start + k, new) for k, (left, right, new) in enumerate(merges)}
 
 
-def _merged(words: DataFrame, merges: list) -> DataFrame:
-    """The word types after ``merges``."""
-    if not merges:
+def _merged(words: DataFrame, merges: list, top=None) -> DataFrame:
+    """The word types after ``merges``; with ``top``, the pairs ``(left, right)`` of a ranking,
+    also the place in it of the first one that a word has (``first``)."""
+    if not merges and top is None:
         return words
-    table = _table(merges)
+    if top is not None:
+        codes = _code(*top)
+        order = np.argsort(codes)
+        shared = words.sparkSession.sparkContext.broadcast((codes[order], order))
 
     def run(batches):
-        for batch in batches:
-            ids = [merge_word(x, table) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("freq"), pa.array(ids, pa.list_(pa.int32()))], ["freq", "ids"])
+        for symbols in _chunks(batches):
+            for left, right, new in merges:
+                symbols.merge(left, right, new)
+            freq, flat, offsets = symbols.batch()
+            if not len(freq):
+                continue
+            columns = [pa.array(freq), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))]
+            if top is not None:
+                codes, ranks = shared.value
+                none = len(codes)
+                mine = _code(flat, np.append(flat[1:], 0))
+                at = np.minimum(np.searchsorted(codes, mine), max(none - 1, 0))
+                first = np.where(codes[at] == mine, ranks[at], none) if none else np.full(len(mine), none)
+                first[offsets[1:] - 1] = none           # a word's last symbol begins no pair
+                first = np.minimum.reduceat(first, offsets[:-1])
+                columns.append(pa.array(first, pa.int32(), mask=first == none))
+            yield pa.RecordBatch.from_arrays(columns, ["freq", "ids", "first"][:len(columns)])
 
-    return words.mapInArrow(run, "freq bigint, ids array<int>").filter(F.size("ids") > 1)
+    return words.select("freq", "ids").mapInArrow(run, "freq bigint, ids array<int>" + (", first int" if top is not None else ""))
 
 
 def _changes(words: DataFrame, pending: list, sequence: list) -> DataFrame:
     """``step, left, right, n``: what each merge of the sequence, made after the
     pending ones, changes of the pair counts."""
-    table = _table(pending, -len(pending)) | _table(sequence)
-
-    def rows(found):
-        keys = list(found)
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array([k[c] for k in keys], pa.int32()) for c in range(3)), pa.array(found.values(), pa.int64())],
-            ["step", "left", "right", "n"])
-
     def run(batches):
-        found = defaultdict(int)
-        for batch in batches:
-            for freq, ids in zip(batch.column("freq").to_pylist(), batch.column("ids").to_pylist()):
-                merge_word(ids, table, found, freq)
-            if len(found) > HELD_CHANGES:
-                yield rows(found)
-                found = defaultdict(int)
-        if found:
-            yield rows(found)
-
-    return (words.mapInArrow(run, "step int, left int, right int, n bigint")
+        for symbols in _chunks(batches):
+            for left, right, new in pending:
+                symbols.merge(left, right, new)
+            steps, pairs, changes = [], [], []
+            for step, (left, right, new) in enumerate(sequence):
+                found = symbols.merge(left, right, new)
+                if found is not None:
+                    steps.append(np.full(len(found[0]), step, np.int32))
+                    pairs.append(found[0])
+                    changes.append(found[1])
+            if steps:
+                pairs = np.concatenate(pairs)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(steps)), pa.array((pairs >> 32).astype(np.int32)),
+                     pa.array((pairs & 0xFFFFFFFF).astype(np.int32)), pa.array(np.concatenate(changes))],
+                    ["step", "left", "right", "n"])
+
+    return (words.select("freq", "ids").mapInArrow(run, "step int, left int, right int, n bigint")
             .groupBy("step", "left", "right").agg(F.sum("n").alias("n")).filter("n != 0"))
 
 
+def _held(words: DataFrame, most: int):
+    """``(M, symbols)``: the word types whose ``first`` pair is one of the first M, with
+    at most ``most`` symbols in all."""
+    sizes = words.filter("first is not null").groupBy("first").agg(F.sum(F.size("ids") + 1).alias("n")).toArrow()
+    first, n = sizes.column("first").to_numpy(), sizes.column("n").to_numpy()
+    order = np.argsort(first)
+    fits = np.cumsum(n[order]) <= most
+    over = first[order][~fits]
+    m = int(over[0]) if len(over) else HELD_PAIRS
+    return m, (_Symbols.of(words.filter(F.col("first") < m).select("freq", "ids").toArrow()) if m and fits.any() else None)
+
+
 def _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, max_pairs, checkpoint_every, partitions,
-               sample_types, ahead, tables):
+               sample_types, ahead, held_symbols, tables):
     specials = list(special_tokens or tx.SPECIAL_TOKENS)
     alpha = [r["symbol"] for r in alphabet(word_freq, len(specials)).orderBy("id").collect()]
     vocab = specials + [a for a in alpha if a not in specials]
@@ -344,11 +498,44 @@ def _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, max_pairs,
                               F.transform(tx.characters(F.col("word")), lambda c: F.ascii(c)).alias("ids"))
              .filter(F.size("ids") > 1))
     words = tables.keep(words.repartition(partitions) if partitions else words, "bpe-words")
-    some = words.orderBy(F.desc("freq"), "ids").limit(sample_types).toArrow()
-    sample = _Sample(list(zip(some.column("freq").to_pylist(), some.column("ids").to_pylist())))
     counts, frontier = _candidates(words, least, max_pairs)
     ranking = _Ranking(counts, least)
     merges, pending, rounds, written, reach = [], [], 0, 0, ahead[1]
+    sample, came_true = None, ahead[1]          # merges that came true of the last sequence
+
+    def drawn():
+        some = words.orderBy(F.desc("freq"), "ids").limit(sample_types).toArrow()
+        return _Sample(list(zip(some.column("freq").to_pylist(), some.column("ids").to_pylist())))
+
+    def commit(left, right, symbol):
+        joined = text(left) + text(right)
+        merges.append((text(left), text(right)))
+        if joined not in known:
+            known[joined] = symbol
+            made.append(joined)
+            vocab.append(joined)
+
+    def merge_held(symbols, top):
+        """Merge what the held word types hold all of; whether the last one's string was known already."""
+        pairs, fresh = set(zip(*(c.tolist() for c in top))), FIRST_MERGED + len(made)
+        while len(vocab) < vocab_size:
+            entry = ranking.first()
+            if entry is None or frontier is not None and entry > frontier or not (
+                    entry[1:] in pairs or max(entry[1:]) >= fresh):
+                break
+            pair = entry[1:]
+            joined = text(pair[0]) + text(pair[1])
+            again = joined in known
+            symbol = known.get(joined, FIRST_MERGED + len(made))
+            commit(*pair, symbol)
+            pending.append((*pair, symbol))
+            codes, by = symbols.merge(*pair, symbol)
+            for left, right, n in zip((codes >> 32).tolist(), (codes & 0xFFFFFFFF).tolist(), by.tolist()):
+                if (left, right) in counts or max(left, right) >= fresh and n > 0:
+                    ranking.change((left, right), n)
+            if again:
+                return True
+        return False
 
     def foreseen():
         """The next merges ``(left, right, symbol)`` by the sample, and whether
@@ -381,6 +568,23 @@ def _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, max_pairs,
         return sequence, again
 
     while len(vocab) < vocab_size:
+        entry = ranking.first()
+        if held_symbols and came_true < ahead[0] and entry is not None and not (frontier is not None and entry > frontier):
+            came_true = ahead[1]                # if too few can be held, the next are foreseen
+            top = ranking.top(HELD_PAIRS, frontier)
+            words, pending, written = tables.replace(words, _merged(words, pending, top), "bpe-words"), [], rounds
+            m, symbols = _held(words, held_symbols)
+            if symbols is not None and m >= LEAST_HELD:
+                rounds, sample, came_true = rounds + 1, None, 0
+                if merge_held(symbols, [c[:m] for c in top]):
+                    words, pending = tables.replace(words, _merged(words, pending), "bpe-words"), []
+                    counts, frontier = _candidates(words, least, max_pairs)
+                    ranking = _Ranking(counts, least)
+                continue
+        if sample is None:
+            if pending:
+                words, pending, written = tables.replace(words, _merged(words, pending), "bpe-words"), [], rounds
+            sample = drawn()
         sequence, again = foreseen()
         if not sequence:
             if frontier is None:
@@ -403,17 +607,12 @@ def _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, max_pairs,
             entry = ranking.first()
             if entry is None or entry[1:] != (left, right) or frontier is not None and entry > frontier:
                 break
-            joined = text(left) + text(right)
-            merges.append((text(left), text(right)))
-            if joined not in known:
-                known[joined] = symbol
-                made.append(joined)
-                vocab.append(joined)
+            commit(left, right, symbol)
             for pair, n in steps[step]:
                 if pair in counts or max(pair) >= fresh and n > 0:
                     ranking.change(pair, n)
             committed += 1
-        reach = max(ahead[0], min(ahead[1], 2 * committed))
+        reach, came_true = max(ahead[0], min(ahead[1], 2 * committed)), committed
         sample.keep(committed)
         pending += sequence[:committed]
         again = again and committed == len(sequence)

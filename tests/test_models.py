@@ -5,6 +5,7 @@ import math
 import random
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,37 @@ def test_merges_are_foreseen_from_any_sample(spark, train_lines):
     wf.unpersist()
 
 
+def test_held_word_types_give_the_same_merges(spark, train_lines):
+    """Merges on the driver's share of the word types, large or small, are those foreseen."""
+    wf = bpe.word_frequency(train_lines, "text").orderBy(F.desc("freq")).limit(3000).cache()
+    want = bpe.train_bpe(wf, vocab_size=700, held_symbols=0)
+    for held, ahead in ((1_000_000, (1000, 1000)), (4000, (300, 300))):
+        got = bpe.train_bpe(wf, vocab_size=700, ahead=ahead, held_symbols=held)
+        assert (got.merges, got.vocab) == (want.merges, want.vocab)
+    wf.unpersist()
+
+
+def test_symbols_merge_as_words_do():
+    rng = random.Random(21)
+    for _ in range(150):
+        words = [[rng.randrange(3) for _ in range(rng.randrange(1, 20))] for _ in range(6)]
+        freq = [rng.randrange(1, 9) for _ in words]
+        symbols = bpe._Symbols(np.array(freq), np.array(sum(words, []), np.int32), np.array([len(w) for w in words]))
+        for step in range(5):
+            pairs = sorted({p for w in words for p in zip(w, w[1:])})
+            if not pairs:
+                break
+            pair = rng.choice(pairs)
+            want = bpe.defaultdict(int)
+            words = [bpe.merge_word(w, {pair: (0, 10 + step)}, want, f) for w, f in zip(words, freq)]
+            found = symbols.merge(*pair, 10 + step)
+            assert {(int(c) >> 32, int(c) & 0xFFFFFFFF): int(n) for c, n in zip(*found)} == {
+                k[1:]: v for k, v in want.items() if v}
+        left, flat, offsets = symbols.batch()
+        assert [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [w for w in words if len(w) > 1]
+        assert left.tolist() == [f for f, w in zip(freq, words) if len(w) > 1]
+
+
 def test_changes_of_a_sequence_are_those_of_its_steps():
     rng = random.Random(13)
     for _ in range(200):

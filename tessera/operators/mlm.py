@@ -16,6 +16,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -86,18 +88,22 @@ def mask(df: DataFrame, vocab_size: int, seed: int = 42, epoch: int = 0,
     """M2: add ``masked_ids`` and ``labels`` from ``input_ids``."""
     keys = [F.col(c) for c in key_cols]
 
+    def drawn(i, salt):
+        return hash_key(seed, F.lit(epoch), *keys, i, F.lit(salt))
+
+    def below(h, share):
+        """:func:`hash01` below ``share``, by the digits: a hash less and no number to parse."""
+        bound = max(math.ceil(share * 4294967296.0), 0)
+        return F.substring(h, 1, 8) < F.lit(f"{bound:08x}") if bound <= 0xFFFFFFFF else F.lit(True)
+
     def one(x, i):
-        special = x.isin(PAD_ID, CLS_ID, SEP_ID)
-        u = hash01(seed, F.lit(epoch), *keys, i, F.lit("p"))
-        v = hash01(seed, F.lit(epoch), *keys, i, F.lit("v"))
-        r = hash01(seed, F.lit(epoch), *keys, i, F.lit("r"))
-        chosen = (~special) & (u < F.lit(probability))
-        rand_id = F.floor(r * F.lit(vocab_size)).cast("int")
-        new = (F.when(~chosen, x)
-               .when(v < F.lit(0.8), F.lit(MASK_ID))
-               .when(v < F.lit(0.9), rand_id)
+        chosen = ~x.isin(PAD_ID, CLS_ID, SEP_ID) & below(drawn(i, "p"), probability)
+        rand_id = F.floor(hash01(seed, F.lit(epoch), *keys, i, F.lit("r")) * F.lit(vocab_size)).cast("int")
+        new = (F.when(below(drawn(i, "v"), 0.8), F.lit(MASK_ID))
+               .when(below(drawn(i, "v"), 0.9), rand_id)
                .otherwise(x))
-        return F.struct(new.alias("m"), F.when(chosen, x).otherwise(F.lit(IGNORE)).alias("l"))
+        return (F.when(chosen, F.struct(new.alias("m"), x.alias("l")))
+                .otherwise(F.struct(x.alias("m"), F.lit(IGNORE).alias("l"))))
 
     pairs = F.transform(F.col("input_ids"), one)
     return (df.withColumn("_mp", pairs)

@@ -542,7 +542,7 @@ def _batches_sql(order: str) -> str:
 
 
 def _batched(masked: DataFrame, by_length: bool) -> DataFrame:
-    masked = materialize(masked, "mlm_masked")
+    masked = materialize(masked.drop("input_ids", "attention_mask"), "mlm_masked")     # batches are of the masked ids
     parts = [ml.batches(masked.filter(F.col("split") == x), MLM_BATCH, by_length=by_length) for x in ("train", "valid")]
     return reduce(DataFrame.unionByName, parts).select(
         "doc_id", "line_no", "split", "batch_id", "position", F.col("batch_len").cast("int"),

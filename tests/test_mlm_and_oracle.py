@@ -83,6 +83,20 @@ def test_ids_exchange_arrays_not_tokens(spark):
     assert "Generate" not in plan and "Join" not in plan
 
 
+def test_mask_draws_once_for_the_choice(spark):
+    """The choice is drawn once a position, and by the digits as by the number."""
+    ex = spark.range(60).selectExpr("id doc_id", "0L line_no", "array(2, 10, 11, 12, 13, 3) input_ids")
+    m = mlm.mask(ex, 1000, probability=0.3)
+    assert m.select("masked_ids")._jdf.queryExecution().analyzed().toString().count("md5(") <= 4
+    draw = lambda d, i, salt: int(hashlib.md5(f"42:0:{d}:0:{i}:{salt}".encode()).hexdigest()[:8], 16) / 2 ** 32
+    for r in m.collect():
+        for i, x in enumerate(r["input_ids"]):
+            v = draw(r["doc_id"], i, "v")
+            new = 4 if v < 0.8 else int(draw(r["doc_id"], i, "r") * 1000) if v < 0.9 else x
+            want = (new, x) if x > 3 and draw(r["doc_id"], i, "p") < 0.3 else (x, -100)
+            assert (r["masked_ids"][i], r["labels"][i]) == want
+
+
 def test_cells_by_length_stay_few(spark):
     """The driver counts cells of tens of batches, not lengths times hash prefixes."""
     df = spark.range(30_000).selectExpr("id doc_id", "0L line_no", "array_repeat(7, int(pow(id % 100, 2) / 400)) input_ids")

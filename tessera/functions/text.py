@@ -71,6 +71,8 @@ def is_ascii(c) -> Column:
     return F.length(c) == F.octet_length(c)
 
 
+#: What is not below U+0300, before which every character is its own NFC and none combines.
+_BEYOND_LATIN = r"[^\x{0}-\x{2ff}]"
 #: Stretches of characters that need no look are listed if they are this long.
 _STRETCH = 64
 
@@ -103,9 +105,11 @@ def nfc_unsure_pattern() -> str:
 
 def nfc(c) -> Column:
     """Unicode NFC.  Rows of characters that NFC leaves alone (ASCII, accented
-    Latin, most scripts without separate marks) cross to Python as NULL."""
+    Latin, most scripts without separate marks) cross to Python as NULL; rows below
+    the first combining mark are told apart without the long class."""
     c = _c(c)
-    return F.coalesce(_nfc_arrow(F.when(~is_ascii(c) & c.rlike(nfc_unsure_pattern()), c)), c)
+    unsure = ~is_ascii(c) & c.rlike(_BEYOND_LATIN) & c.rlike(nfc_unsure_pattern())
+    return F.coalesce(_nfc_arrow(F.when(unsure, c)), c)
 
 
 # ---------------------------------------------------------------------------
@@ -178,7 +182,9 @@ def pretokens_with_specials(c, specials) -> Column:
     if not specials:
         return pretokens(c)
     special = "|".join(re.escape(x) for x in specials)
-    return F.regexp_extract_all(_c(c), F.lit(rf"(?U){special}|(?:(?!{special})\w)+|(?:(?!{special})[^\w\s])+"), 0)
+    # a special token that begins with no word character cannot begin inside a run of them
+    inside = r"\w+" if not any(re.match(r"\w", x) for x in specials) else rf"(?:(?!{special})\w)+"
+    return F.regexp_extract_all(_c(c), F.lit(rf"(?U){special}|{inside}|(?:(?!{special})[^\w\s])+"), 0)
 
 
 def characters(c) -> Column:

@@ -121,8 +121,9 @@ class Corpus:
     @cached_property
     def dirty(self) -> DataFrame:
         k = (F.col("doc_id") + F.col("line_no")) % 10
+        # explode of a one-element array, here and below: the column is computed once (see prepare_lines)
         return self.doc_lines.select("doc_id", "lang", "line_no",
-                                     dirty_line(F.col("line"), k).alias("line"))
+                                     F.explode(F.array(dirty_line(F.col("line"), k))).alias("line"))
 
     # -- prepared corpus (the real pipeline) -------------------------------
     @cached_property

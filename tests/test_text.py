@@ -92,3 +92,24 @@ def test_nfc_of_every_character_and_of_marks(spark):
     df = spark.createDataFrame([(t,) for t in sure + unsure], "t string")
     found = [r["t"] for r in df.filter(F.col("t").rlike(tx.nfc_unsure_pattern())).collect()]
     assert found == unsure
+
+
+def test_nfc_passes_latin_rows_without_the_long_class(spark):
+    """No character below U+0300 changes under NFC or combines, so one range tells such rows."""
+    import re
+    import unicodedata
+    assert all(unicodedata.normalize("NFC", a + chr(c)) == a + chr(c) for c in range(0x300) for a in ("", "e", "A"))
+    df = spark.createDataFrame([("caf\u00e9",), ("cafe\u0301",), ("x\u2014y",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(tx.nfc("t")).collect()] == ["caf\u00e9", "caf\u00e9", "x\u2014y", "", None]
+    plan = df.select(tx.nfc("t"))._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"RLIKE\(?t#\d+, \[\^\\x\{0\}-\\x\{2ff\}\]", plan) or r"[^\x{0}-\x{2ff}]" in plan
+
+
+def test_specials_are_not_looked_for_inside_words(spark):
+    df = spark.createDataFrame([("a[MASK]b [SEP]! <x>y",)], "t string")
+    for specials, want in ((["[MASK]", "[SEP]"], ["a", "[MASK]", "b", "[SEP]", "!", "<", "x", ">", "y"]),
+                           (["ab", "<x>"], ["a", "[", "MASK", "]", "b", "[", "SEP", "]!", "<x>", "y"])):
+        got = df.select(tx.pretokens_with_specials(F.col("t"), specials).alias("p"))
+        assert got.first()["p"] == want
+        looks = got._jdf.queryExecution().analyzed().toString().count("(?!")
+        assert looks == (1 if specials[0] == "[MASK]" else 2)

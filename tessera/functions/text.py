@@ -40,8 +40,8 @@ PRETOKEN_PATTERN = r"(?U)\w+|[^\w\s]+"
 TAG_PATTERN = r"(?U)^<[^>]+>\s*"
 
 # Python's str.strip() removes White_Space plus U+001C..U+001F.
-_STRIP_CLASS = r"[\s\x1c-\x1f]"
-_STRIP_PATTERN = "(?U)^" + _STRIP_CLASS + "+|" + _STRIP_CLASS + r"+\z"
+_STRIPPED = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                              0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _MARKER_PATTERN = "|".join(SUBWORD_MARKERS)
 
 
@@ -117,7 +117,7 @@ def nfc(c) -> Column:
 # ---------------------------------------------------------------------------
 def ustrip(c) -> Column:
     """Python ``str.strip()``: Unicode whitespace and U+001C..U+001F."""
-    return F.regexp_replace(_c(c), _STRIP_PATTERN, "")
+    return F.btrim(_c(c), F.lit(_STRIPPED))
 
 
 def lowercase(c) -> Column:
@@ -155,7 +155,8 @@ def render_tag(lang, c) -> Column:
 
 
 def strip_language_tag(c) -> Column:
-    return ustrip(F.regexp_replace(_c(c), TAG_PATTERN, ""))
+    c = _c(c)
+    return ustrip(F.when(c.startswith("<"), F.regexp_replace(c, TAG_PATTERN, "")).otherwise(c))
 
 
 def language_tag(c) -> Column:

@@ -144,7 +144,7 @@ class Corpus:
     def tagged_fixture(self) -> DataFrame:
         c = tx.clean_line(F.col("line"))
         k = (F.col("doc_id") * 3 + F.col("line_no")) % 6
-        base = self.dirty.select("doc_id", "lang", "line_no", c.alias("c"))
+        base = self.dirty.select("doc_id", "lang", "line_no", F.explode(F.array(c)).alias("c"))
         out = (base.filter(F.length("c") > 0)
                .select("doc_id", "line_no", "lang",
                         tag_variant(F.col("lang"), F.col("c"), k).alias("text")))

@@ -44,3 +44,16 @@ def test_tag_fixture_cleans_once(spark, tmp_path):
     finally:
         module.materialize = kept
     assert seen[0].count(tx.VERSE_PATTERN) == 1
+
+
+def test_gold_words_are_read_once(spark):
+    gold = spark.createDataFrame([("reopened", ["re", "open", "ed"]), ("at", ["at"]), ("up", None), (None, ["u"])],
+                                 "word string, segments array<string>")
+    df = bd.score_words(gold, TOKENIZERS, drop_specials=False)
+    text = plan(df)
+    assert "Union" not in text and text.count("array_intersect") == 1 and "array_except" not in text
+    got = {(r["tokenizer"], r["word"]): r for r in df.collect()}
+    assert len(got) == 20
+    chunk = got["chunk3", "reopened"]
+    assert (chunk["gold_boundaries"], chunk["predicted_boundaries"], chunk["true_positive"], chunk["f1"]) == ("2,6", "3,6", 1, 0.5)
+    assert got["chunk3", "up"]["f1"] is None and got["pretok", "at"]["f1"] == 1

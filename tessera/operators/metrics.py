@@ -285,19 +285,21 @@ def token_counts(lines: DataFrame, tokenizers, text_col: str = "text") -> DataFr
     """Frequency of every output piece over the tag-stripped lines,
     ``tokenizer, token, n``."""
     tokenizers = list(tokenizers)
-    features = line_features(lines, text_col)
-    pt = (pretoken_table(features, tokenizers).groupBy("splitter", "pretoken").agg(F.sum("n").alias("n")))
+    # explode of a one-element array: the text is stripped once
+    clean = lines.select(F.explode(F.array(tx.strip_language_tag(F.col(text_col)))).alias("clean"))
     parts = []
-    for i, group in enumerate(_splitters(tokenizers).values()):
-        mine = pt.filter(F.col("splitter") == i).select("splitter", "pretoken")
-        parts += [tok.encode_distinct(mine, "pretoken")
-                  .select(F.lit(tok.name).alias("tokenizer"), "splitter", "pretoken", "pieces") for tok in group]
-    enc = reduce(DataFrame.unionByName, parts)
-    counts = (pt.join(enc, ["splitter", "pretoken"])
-              .select("tokenizer", F.explode("pieces").alias("token"), "n"))
+    for group in _splitters(tokenizers).values():
+        # each way of splitting is counted and written once; a distinct pre-token carries
+        # its count through every tokenizer that splits so, without a join
+        pt = _spread(clean.select(F.explode(group[0].pretokens(F.col("clean"))).alias("pretoken"))
+                     .groupBy("pretoken").agg(F.count(F.lit(1)).alias("n")), "pretoken")
+        pt = materialize(pt, "token_counts")
+        parts += [tok.encode_distinct(pt, "pretoken")
+                  .select(F.lit(tok.name).alias("tokenizer"), F.explode("pieces").alias("token"), "n") for tok in group]
+    counts = reduce(DataFrame.unionByName, parts)
     with_specials = [t.name for t in tokenizers if t.add_special_tokens]
     if with_specials:
-        n_lines = features.agg(F.count(F.lit(1)).alias("n"))
+        n_lines = lines.agg(F.count(F.lit(1)).alias("n"))
         counts = reduce(DataFrame.unionByName, [counts] + [
             n_lines.select(F.lit(name).alias("tokenizer"), F.lit(s).alias("token"), "n")
             for name in with_specials for s in (CLS, SEP)])

@@ -46,6 +46,14 @@ def test_tag_fixture_cleans_once(spark, tmp_path):
     assert seen[0].count(tx.VERSE_PATTERN) == 1
 
 
+def test_token_counts_without_join(lines):
+    df = mt.token_counts(lines, TOKENIZERS)
+    assert "Join" not in plan(df) and "regexp_extract_all(text" not in plan(df)
+    got = {(r["tokenizer"], r["token"]): r["n"] for r in df.collect()}
+    assert got["pretok", "the"] == 4 and got["closed_vocab", "the"] == 4 and got["chars", "\u2581t"] == 5
+    assert got["pretok_special", "[CLS]"] == 8
+
+
 def test_gold_words_are_read_once(spark):
     gold = spark.createDataFrame([("reopened", ["re", "open", "ed"]), ("at", ["at"]), ("up", None), (None, ["u"])],
                                  "word string, segments array<string>")

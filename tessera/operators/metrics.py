@@ -90,20 +90,27 @@ def count_lines(features: DataFrame, tokenizers) -> DataFrame:
     """``splitter, language, has_words, pretoken, n`` in one pass over the lines:
     the rows of :func:`pretoken_table`, word types (``splitter`` WORDS) and, without a
     pre-token, lines, their words and their characters."""
-    def counted(kind, token, n=None):
-        n = F.lit(1) if n is None else n
-        return F.struct(F.lit(kind).alias("splitter"), token.alias("pretoken"), n.cast("bigint").alias("n"))
-
-    def each(kind, tokens):
-        return F.transform(tokens, lambda t: counted(kind, t))
-
-    none = F.lit(None).cast("string")
-    rows = [each(i, group[0].pretokens(F.col("clean"))) for i, group in enumerate(_splitters(tokenizers).values())]
-    rows += [each(WORDS, tx.simple_words(F.col("_text"))),
-             F.array(counted(LINES, none), counted(LINE_WORDS, none, F.col("n_words")),
-                     counted(LINE_CHARS, none, F.col("n_chars")))]
-    return (features.select("language", (F.col("n_words") > 0).alias("has_words"), F.explode(F.concat(*rows)).alias("c"))
-            .groupBy("c.splitter", "language", "has_words", "c.pretoken").agg(F.sum("c.n").alias("n")))
+    # a line's tokens of every kind and, last, three NULLs for its own numbers make one
+    # array: what an element is follows from its place
+    tokens = {i: group[0].pretokens(F.col("clean")) for i, group in enumerate(_splitters(tokenizers).values())}
+    tokens[WORDS] = tx.simple_words(F.col("_text"))
+    arrays = list(tokens.values())
+    ends = F.struct(*[reduce(lambda a, b: a + b, [F.size(F.col("a")[f"t{j}"]) for j in range(k + 1)]).alias(f"e{k}")
+                      for k in range(len(arrays))])
+    split = (features.select("language", "n_words", "n_chars",
+                             F.explode(F.array(F.struct(*[a.alias(f"t{k}") for k, a in enumerate(arrays)]))).alias("a"))
+             .select("language", "n_words", "n_chars", ends.alias("e"), F.posexplode(F.concat(
+                 *[F.col("a")[f"t{k}"] for k in range(len(arrays))], F.array(*[F.lit(None).cast("string")] * 3)))
+                 .alias("at", "pretoken")))
+    behind = F.col("at") - F.col("e")[f"e{len(arrays) - 1}"]
+    splitter = reduce(lambda rest, k: F.when(behind == k, (LINES, LINE_WORDS, LINE_CHARS)[k]).otherwise(rest), (1, 0),
+                      F.lit(LINE_CHARS))
+    for k, kind in reversed(list(enumerate(tokens))):
+        splitter = F.when(F.col("at") < F.col("e")[f"e{k}"], kind).otherwise(splitter)
+    n = F.when(behind == 1, F.col("n_words")).when(behind == 2, F.col("n_chars")).otherwise(1)
+    return (split.select(splitter.alias("splitter"), "language", (F.col("n_words") > 0).alias("has_words"), "pretoken",
+                         n.cast("bigint").alias("n"))
+            .groupBy("splitter", "language", "has_words", "pretoken").agg(F.sum("n").alias("n")))
 
 
 def line_stats(counts: DataFrame) -> DataFrame:
@@ -149,19 +156,35 @@ def _specials_of(tokenizers) -> F.Column:
     return expr
 
 
-def piece_stats(joined: DataFrame) -> DataFrame:
+#: The ``len`` of the rows of :func:`piece_cells` that carry the sums of all pieces.
+PIECES = -1
+
+
+def piece_cells(joined: DataFrame) -> DataFrame:
+    """``tokenizer, language, has_words, len, w, pieces, unk``: the length histogram of the
+    cleaned pieces and, in the rows of ``len`` PIECES, all pieces and the unknown ones.
+    All that the report needs of the pieces, from one pass over the joined pre-tokens."""
+    whole = F.col("len") == PIECES
+    return (joined.select("tokenizer", "language", "has_words", "n", "n_pieces", "n_unk",
+                          F.explode(F.concat("lens", F.array(F.lit(PIECES)))).alias("len"))
+            .groupBy("tokenizer", "language", "has_words", "len").agg(
+                F.sum("n").alias("w"), F.sum(F.when(whole, F.col("n") * F.col("n_pieces"))).alias("pieces"),
+                F.sum(F.when(whole, F.col("n") * F.col("n_unk"))).alias("unk")))
+
+
+def piece_stats(cells: DataFrame) -> DataFrame:
     return _by_tokenizer_and_language(
-        joined,
-        F.sum(F.col("n") * F.col("n_pieces")).alias("pieces_all"),
-        F.sum(F.when(F.col("has_words"), F.col("n") * F.col("n_pieces")).otherwise(0)).alias("pieces_words"),
-        F.sum(F.col("n") * F.col("n_unk")).alias("unk"))
+        cells.filter(F.col("len") == PIECES),
+        F.sum("pieces").alias("pieces_all"),
+        F.sum(F.when(F.col("has_words"), F.col("pieces")).otherwise(0)).alias("pieces_words"),
+        F.sum("unk").alias("unk"))
 
 
-def length_stats(joined: DataFrame, counts: DataFrame, tokenizers) -> DataFrame:
+def length_stats(cells: DataFrame, counts: DataFrame, tokenizers) -> DataFrame:
     """Mean / median / p95 of cleaned piece lengths (empties dropped); ``counts`` as
     :func:`count_lines` gives them."""
-    hist = (joined.select("tokenizer", "language", "n", F.explode("lens").alias("len"))
-            .groupBy("tokenizer", "language", "len").agg(F.sum("n").alias("w")))
+    hist = (cells.filter(F.col("len") != PIECES).select("tokenizer", "language", "len", "w")
+            .groupBy("tokenizer", "language", "len").agg(F.sum("w").alias("w")))
     with_specials = [t.name for t in tokenizers if t.add_special_tokens]
     if with_specials:
         special_lens = [L for L in (_clean_len(CLS), _clean_len(SEP)) if L > 0]
@@ -237,11 +260,12 @@ def tokenizer_report(lines: DataFrame, tokenizers, vocabs: dict,
     # over all cores instead of letting size-based coalescing pack them
     distinct = materialize(_spread(pt.select("splitter", "pretoken").distinct(), "pretoken"), "report_distinct")
     enc = materialize(encoded_pretokens(distinct, tokenizers, unk_tokens), "report_encodings")
-    joined = pt.join(enc, ["splitter", "pretoken"])
+    cells = materialize(piece_cells(pt.join(enc, ["splitter", "pretoken"])), "report_cells")
     ls = line_stats(counts)
-    ps = piece_stats(joined)
-    lens = length_stats(joined, counts, tokenizers)
-    types = counts.filter(F.col("splitter") == WORDS).select("language", F.col("pretoken").alias("word")).distinct()
+    ps = piece_stats(cells)
+    lens = length_stats(cells, counts, tokenizers)
+    types = materialize(counts.filter(F.col("splitter") == WORDS).select("language", F.col("pretoken").alias("word"))
+                        .distinct(), "report_types")
     cov = types_coverage(types, {t.name: vocabs[t.name] for t in tokenizers})
     df = _join(_join(ps, lens), cov)
     df = _join(df, ls, on_tokenizer=False)
@@ -269,7 +293,7 @@ def tokenizer_report(lines: DataFrame, tokenizers, vocabs: dict,
         v = v.cast("double")
         out.append((F.round(v, round_to) if round_to is not None else v).alias(k))
     report = materialize(df.select(*out, F.col("gid"), order.alias("_tok_order")), "report")
-    discard(counts, distinct, enc)
+    discard(counts, distinct, enc, cells, types)
     return (report
             .orderBy(F.desc("gid"), F.asc("language"), F.asc("_tok_order"))
             .select(*REPORT_COLUMNS))

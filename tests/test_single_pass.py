@@ -46,6 +46,17 @@ def test_tag_fixture_cleans_once(spark, tmp_path):
     assert seen[0].count(tx.VERSE_PATTERN) == 1
 
 
+def test_count_lines_without_struct_per_token(lines):
+    df = mt.count_lines(mt.line_features(lines), TOKENIZERS)
+    assert "lambda" not in plan(df)
+    got = {(r["splitter"], r["language"], r["has_words"], r["pretoken"]): r["n"] for r in df.collect()}
+    assert got[0, "en", True, "the"] == 4 and got[mt.WORDS, "en", True, "the"] == 4
+    assert got[0, "en", False, "!"] == 1 and (mt.WORDS, "en", False, "12") not in got
+    assert got[mt.LINES, "en", True, None] == 2 and got[mt.LINES, "unknown", False, None] == 1
+    assert got[mt.LINE_WORDS, "en", True, None] == 8 and got[mt.LINE_CHARS, "en", True, None] == 2 * len("the cat, the hat")
+    assert sum(n for key, n in got.items() if key[0] == mt.LINES) == 7          # a line without text is none
+
+
 def test_token_counts_without_join(lines):
     df = mt.token_counts(lines, TOKENIZERS)
     assert "Join" not in plan(df) and "regexp_extract_all(text" not in plan(df)
@@ -54,6 +65,14 @@ def test_token_counts_without_join(lines):
     assert got["pretok_special", "[CLS]"] == 8
 
 
+def test_report_joins_pieces_once(lines, monkeypatch):
+    plans, keep = {}, mt.materialize
+    monkeypatch.setattr(mt, "materialize", lambda df, name: plans.update({name: plan(df)}) or keep(df, name))
+    vocabs = {t.name: t.vocab(lines.sparkSession, lines.select(F.explode(tx.pretokens("text")).alias("pretoken"))) for t in TOKENIZERS}
+    mt.tokenizer_report(lines, TOKENIZERS, vocabs).collect()
+    assert "lens" not in plans["report"]
+
+
 def test_gold_words_are_read_once(spark):
     gold = spark.createDataFrame([("reopened", ["re", "open", "ed"]), ("at", ["at"]), ("up", None), (None, ["u"])],
                                  "word string, segments array<string>")

@@ -8,17 +8,19 @@ distinct pre-token, symbols as numbers -- never on the corpus:
    ``(count desc, left, right)`` are the driver's candidates; where there are
    more, the last candidate is the *frontier*: a pair that is not held ranks
    after it, and stays there, as merging others only lowers its count.
-2. while a merge changes very many word types, the driver *foresees* the next ones, twice
-   as many as came true the last time (within ``ahead``): it merges a bounded sample of the
-   most frequent word types (``sample_types``), taking the counts of the pairs met so far as
-   they are and those of new pairs from the sample.  One job applies this sequence, in order,
+2. while a merge changes very many word types (those that step 3 would need don't fit), the
+   driver *foresees* the next ones, twice as many as came true the last time (within
+   ``ahead``): it merges a bounded sample of the most frequent word types (``sample_types``),
+   taking the counts of the pairs met so far as they are; what a merge changes in the sample
+   is scaled by the pair's count in all words to that in the sample.  One job applies this sequence, in order,
    to every word type and returns the changes of pair counts *step by step* -- for a
    merge at most four rows per symbol of the vocabulary, whatever the corpus.  New pairs too
    rare to be merged are dropped where they arise.  The driver replays the steps with
    these exact counts and commits merges as long as each one is the first of the true
    ranking.  What was foreseen wrongly is taken back.  The first merge of a
    sequence is always right, so a poor sample costs rounds, never results;
-3. later on, merges are rare enough that the word types they change can be *held*: all
+3. from the start in small tables, later on in large ones, merges are rare enough that the
+   word types they change can be *held* (tried first, and when few came true): all
    those that have one of the first M pairs of the ranking, M as large as ``held_symbols``
    allows, come to the driver.  Merging such a pair changes held word types only, and the
    pairs that arise are in held word types only, so counts stay exact without a job; this
@@ -56,8 +58,8 @@ from tessera.session import Tables
 FIRST_MERGED = 0x110000
 #: Pairs the driver holds at most.
 MAX_PAIRS = 500_000
-#: Word types the driver holds to foresee merges (about 1 KB each), and merges
-#: foreseen at once: at least the first number, at most the second.
+#: Word types the driver holds to foresee merges (arrays, about 0.7 KB each), and merges
+#: foreseen at once: at least the first number (four times as many at first), at most the second.
 SAMPLE_TYPES = 200_000
 AHEAD = 50, 4_000
 #: Symbols of the word types that the driver holds (about 60 bytes each) or a task works on at once.
@@ -65,6 +67,8 @@ HELD_SYMBOLS, TASK_SYMBOLS = 4_000_000, 1_000_000
 #: Of the ranking, so many pairs are looked for to hold their word types; fewer than
 #: the least number of merges that a round brings are rather foreseen.
 HELD_PAIRS, LEAST_HELD = 50_000, 24
+#: Symbols of a word up to which encoding needs no heap.
+SHORT_WORD = 32
 
 
 # ---------------------------------------------------------------------------
@@ -258,6 +262,15 @@ class _Symbols:
         some = sums != 0
         return pairs[some], sums[some]
 
+    def state(self):
+        """What merges change, for :meth:`restore`."""
+        return self.ids.copy(), self.after.copy(), self.before.copy(), {symbol: list(p) for symbol, p in self.places.items()}
+
+    def restore(self, state):
+        ids, after, before, places = state
+        self.ids, self.after, self.before = ids.copy(), after.copy(), before.copy()
+        self.places = {symbol: list(p) for symbol, p in places.items()}
+
     def batch(self):
         """The words as they are now (those of one symbol left out), with their frequencies."""
         here = np.flatnonzero(self.ids[:-1] >= 0)
@@ -293,50 +306,32 @@ def _chunks(batches):
 class _Sample:
     """The most frequent word types on the driver, merged ahead of the others."""
 
-    def __init__(self, words: list):
-        self.freq, self.ids = [f for f, _ in words], [list(ids) for _, ids in words]
-        self.where = defaultdict(set)       # pair -> words that held it at some time
-        for w, ids in enumerate(self.ids):
-            for pair in zip(ids, ids[1:]):
-                self.where[pair].add(w)
-        self.log: list = []                 # per step, the words it changed as they were before
+    def __init__(self, symbols: _Symbols):
+        self.symbols, self.kept = symbols, symbols.state()
+        self.log: list = []                 # merges since the state that is kept
 
     def merge(self, pair, new) -> dict:
         """Merge one pair; returns the changes of pair counts."""
-        changes, old = defaultdict(int), []
-        for w in self.where.get(pair, ()):
-            ids, f = self.ids[w], self.freq[w]
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                hit = i + 1 < n and ids[i] == pair[0] and ids[i + 1] == pair[1]
-                out.append(new if hit else ids[i])
-                i += 2 if hit else 1
-            if len(out) == n:
-                continue
-            for p in zip(ids, ids[1:]):
-                changes[p] -= f
-            for p in zip(out, out[1:]):
-                changes[p] += f
-            old.append((w, ids))
-            self.ids[w] = out
-        for w, _ in old:
-            for p in zip(self.ids[w], self.ids[w][1:]):
-                if new in p:
-                    self.where[p].add(w)
-        self.log.append(old)
-        return changes
+        self.log.append((*pair, new))
+        found = self.symbols.merge(*pair, new)
+        if found is None:
+            return {}
+        codes, by = found
+        return dict(zip(zip((codes >> 32).tolist(), (codes & 0xFFFFFFFF).tolist()), by.tolist()))
 
     def keep(self, steps: int):
         """Take all but the first ``steps`` merges since the last call back."""
-        for old in reversed(self.log[steps:]):
-            for w, ids in old:
-                self.ids[w] = ids
-        self.log = []
+        if steps < len(self.log):
+            self.symbols.restore(self.kept)
+            for merge in self.log[:steps]:
+                self.symbols.merge(*merge)
+        self.kept, self.log = self.symbols.state(), []
 
 
 class _Ranking:
-    """Pair counts in the order ``(count desc, left, right)``: a heap from which
-    outdated entries are dropped when they come up."""
+    """Pair counts in the order ``(count desc, left, right)``: a heap that has an entry
+    of at least its count for each pair; one that is too high is put right when it comes
+    up, so that only rising counts are pushed."""
 
     def __init__(self, counts: dict, least: int):
         self.counts, self.least = counts, least
@@ -344,9 +339,16 @@ class _Ranking:
         heapq.heapify(self.heap)
 
     def first(self):
-        while self.heap and self.counts.get(self.heap[0][1:]) != -self.heap[0][0]:
-            heapq.heappop(self.heap)
-        return self.heap[0] if self.heap else None
+        while self.heap:
+            high, *pair = entry = self.heap[0]
+            n = self.counts.get(entry[1:])
+            if n == -high:
+                return entry
+            if n is None or n > -high:
+                heapq.heappop(self.heap)
+            else:
+                heapq.heapreplace(self.heap, (-n, *pair))
+        return None
 
     def top(self, most: int, frontier):
         """The first pairs in order, up to the frontier: ``(left, right)`` arrays."""
@@ -362,8 +364,9 @@ class _Ranking:
 
     def set(self, pair, n: int):
         if n >= self.least:
+            if n > self.counts.get(pair, 0):
+                heapq.heappush(self.heap, (-n, *pair))
             self.counts[pair] = n
-            heapq.heappush(self.heap, (-n, *pair))
         else:
             self.counts.pop(pair, None)
 
@@ -497,15 +500,18 @@ def _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, max_pairs,
     words = (word_freq.select(F.col("freq").cast("bigint").alias("freq"),
                               F.transform(tx.characters(F.col("word")), lambda c: F.ascii(c)).alias("ids"))
              .filter(F.size("ids") > 1))
+    cores = word_freq.sparkSession.sparkContext.defaultParallelism
+    if not partitions and words.rdd.getNumPartitions() < 2 * cores:
+        partitions = 2 * cores                  # a small table of few files
     words = tables.keep(words.repartition(partitions) if partitions else words, "bpe-words")
     counts, frontier = _candidates(words, least, max_pairs)
     ranking = _Ranking(counts, least)
-    merges, pending, rounds, written, reach = [], [], 0, 0, ahead[1]
-    sample, came_true = None, ahead[1]          # merges that came true of the last sequence
+    merges, pending, rounds, written, reach = [], [], 0, 0, min(ahead[1], 4 * ahead[0])
+    sample, came_true = None, 0                 # merges that came true of the last sequence
 
     def drawn():
         some = words.orderBy(F.desc("freq"), "ids").limit(sample_types).toArrow()
-        return _Sample(list(zip(some.column("freq").to_pylist(), some.column("ids").to_pylist())))
+        return _Sample(_Symbols.of(some))
 
     def commit(left, right, symbol):
         joined = text(left) + text(right)
@@ -557,12 +563,13 @@ def _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, max_pairs,
             if not again:
                 names.append(joined)
                 names_made.add(joined)
-                changes = sample.merge(pair, sequence[-1][2])
-                changes[pair] = -counts[pair]   # also where the sample does not hold all of it
+                changes, n = sample.merge(pair, sequence[-1][2]), counts[pair]
+                seen = -changes.get(pair, -n)   # the sample's share of the pair stands for all of it
+                changes[pair] = -seen
                 for changed, by in changes.items():
                     if changed in counts or max(changed) >= fresh:
                         before.setdefault(changed, counts.get(changed, 0))
-                        ranking.change(changed, by)
+                        ranking.change(changed, by * n // seen)
         for pair, n in before.items():
             ranking.set(pair, n)
         return sequence, again
@@ -633,9 +640,21 @@ def _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, max_pairs,
 def bpe_encode_word(word: str, ranks: dict, vocab: set, unk: str = UNK) -> list:
     """Apply merges by rank (lowest first, leftmost on ties) to one word: a
     heap of the pairs of neighbours over a linked list, so that a long word
-    takes little more than linear time."""
+    takes little more than linear time; a short one is looked through for each merge."""
     syms = [c if c in vocab else unk for c in word]
     n = len(syms)
+    if n <= SHORT_WORD:
+        none = float("inf")
+        found = [ranks.get(pair, none) for pair in zip(syms, syms[1:])]
+        while found and (first := min(found)) < none:
+            i = found.index(first)
+            syms[i:i + 2] = [syms[i] + syms[i + 1]]
+            del found[i]
+            if i:
+                found[i - 1] = ranks.get((syms[i - 1], syms[i]), none)
+            if i < len(found):
+                found[i] = ranks.get((syms[i], syms[i + 1]), none)
+        return syms
     after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     heap = [(ranks[pair], i, pair) for i, pair in enumerate(zip(syms, syms[1:])) if pair in ranks]
     heapq.heapify(heap)

@@ -58,7 +58,7 @@ from tessera.session import Tables
 FIRST_MERGED = 0x110000
 #: Pairs the driver holds at most.
 MAX_PAIRS = 500_000
-#: Word types the driver holds to foresee merges (arrays, about 0.7 KB each), and merges
+#: Word types the driver holds to foresee merges (as arrays, twice), and merges
 #: foreseen at once: at least the first number (four times as many at first), at most the second.
 SAMPLE_TYPES = 200_000
 AHEAD = 50, 4_000

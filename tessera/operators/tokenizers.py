@@ -15,6 +15,7 @@ Two ways to apply it:
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,14 +123,26 @@ class ClosedVocabTokenizer(Tokenizer):
         return spark.createDataFrame(rows, "piece string").distinct()
 
 
+def _pieces(words: pa.DictionaryArray, encode, kind: pa.DataType) -> pa.ListArray:
+    return pa.array([encode(w) for w in words.dictionary.to_pylist()], type=pa.list_(kind)).take(words.indices)
+
+
+def _line_pieces(lines: pa.ListArray, encode, kind: pa.DataType) -> pa.ListArray:
+    """The pieces ``encode(word)`` of each line's words, one after the other."""
+    pieces = _pieces(lines.flatten().dictionary_encode("encode"), encode, kind)
+    ends = [np.append(0, np.cumsum(a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))) for a in (lines, pieces)]
+    return pa.ListArray.from_arrays(pa.array(ends[1][ends[0]], pa.int32()), pieces.flatten(),
+                                    mask=lines.is_null() if lines.null_count else None)
+
+
 class ModelTokenizer(Tokenizer):
     """A tokenizer backed by a learned model applied per pre-token in Python.
 
     ``word_fn(payload, word) -> list[str]`` is a small per-word helper; the
     model ``payload`` (bounded by the vocabulary size) is broadcast once.
     Special tokens in the text are tokens of their own; what stands between
-    them is NFC-normalised and pre-tokenized, on every path.  Words are
-    memoised within an Arrow batch.
+    them is NFC-normalised and pre-tokenized, on every path.  Each
+    distinct word of an Arrow batch is encoded once.
     """
 
     def __init__(self, spark, name: str, payload, word_fn, add_special_tokens: bool = True,
@@ -139,23 +152,16 @@ class ModelTokenizer(Tokenizer):
         own = frozenset(self.specials)
         self._spark, self._payload, self._word_fn = spark, bc, word_fn
 
-        def encode(memo, word):
-            found = memo.get(word)
-            if found is None:
-                found = memo[word] = [word] if word in own else word_fn(bc.value, word)
-            return found
+        def encode(word):
+            return [word] if word in own else word_fn(bc.value, word)
 
         @F.arrow_udf(T.ArrayType(T.StringType()))
         def _per_word(words: pa.Array) -> pa.Array:
-            memo: dict = {}
-            return pa.array([None if w is None else encode(memo, w) for w in words.to_pylist()],
-                            type=pa.list_(pa.string()))
+            return _pieces(words.dictionary_encode(), encode, pa.string())
 
         @F.arrow_udf(T.ArrayType(T.StringType()))
         def _per_line(lines: pa.Array) -> pa.Array:
-            memo: dict = {}
-            return pa.array([None if words is None else [p for w in words for p in encode(memo, w)]
-                             for words in lines.to_pylist()], type=pa.list_(pa.string()))
+            return _line_pieces(lines, encode, pa.string())
 
         self._per_word, self._per_line = _per_word, _per_line
 
@@ -176,18 +182,12 @@ class ModelTokenizer(Tokenizer):
 
         @F.arrow_udf(T.ArrayType(T.IntegerType()))
         def _ids(lines: pa.Array) -> pa.Array:
-            memo: dict = {}
             known = table.value
 
-            def of(word):
-                found = memo.get(word)
-                if found is None:
-                    pieces = [word] if word in own else per_word(bc.value, word)
-                    found = memo[word] = [known.get(p, unk_id) for p in pieces]
-                return found
+            def encode(word):
+                return [known.get(p, unk_id) for p in ([word] if word in own else per_word(bc.value, word))]
 
-            return pa.array([None if words is None else [i for w in words for i in of(w)]
-                             for words in lines.to_pylist()], type=pa.list_(pa.int32()))
+            return _line_pieces(lines, encode, pa.int32())
 
         return _ids(self.pretokens(text))
 

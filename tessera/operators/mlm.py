@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -86,32 +87,58 @@ def hash01(seed, *parts) -> Column:
 def mask(df: DataFrame, vocab_size: int, seed: int = 42, epoch: int = 0,
          probability: float = 0.15, key_cols=("doc_id", "line_no")) -> DataFrame:
     """M2: add ``masked_ids`` and ``labels`` from ``input_ids``."""
-    keys = [F.col(c) for c in key_cols]
-
-    def drawn(i, salt):
-        return hash_key(seed, F.lit(epoch), *keys, i, F.lit(salt))
-
-    def below(h, share):
-        """:func:`hash01` below ``share``, by the digits: a hash less and no number to parse."""
-        bound = max(math.ceil(share * 4294967296.0), 0)
-        return F.substring(h, 1, 8) < F.lit(f"{bound:08x}") if bound <= 0xFFFFFFFF else F.lit(True)
-
-    def one(x, i):
-        chosen = ~x.isin(PAD_ID, CLS_ID, SEP_ID) & below(drawn(i, "p"), probability)
-        rand_id = F.floor(hash01(seed, F.lit(epoch), *keys, i, F.lit("r")) * F.lit(vocab_size)).cast("int")
-        new = (F.when(below(drawn(i, "v"), 0.8), F.lit(MASK_ID))
-               .when(below(drawn(i, "v"), 0.9), rand_id)
-               .otherwise(x))
-        return (F.when(chosen, F.struct(new.alias("m"), x.alias("l")))
-                .otherwise(F.struct(x.alias("m"), F.lit(IGNORE).alias("l"))))
-
-    pairs = F.transform(F.col("input_ids"), one)
-    return (df.withColumn("_mp", pairs)
+    # what the hashes of a row begin with; the position and the salt follow
+    row = F.concat_ws(":", *[F.lit(str(x)) for x in (seed, epoch)], *[F.col(c).cast("string") for c in key_cols])
+    number = df.schema["input_ids"].dataType.elementType
+    number = number if isinstance(number, T.LongType) else T.IntegerType()
+    return (df.withColumn("_mp", _masked(vocab_size, probability, number)("input_ids", row.cast("binary")))
             .withColumn("masked_ids", F.col("_mp.m"))
             .withColumn("labels", F.col("_mp.l"))
             .drop("_mp"))
 
 
+def _masked(vocab_size: int, probability: float, number: T.DataType):
+    """Arrays of ids and what their rows' hashes begin with as ``(m, l)`` arrays: a
+    position's first 32 bits of md5, compared as bytes, are one hash of some 40 bytes each."""
+    def bound(share):
+        """Digests of :func:`hash01` below ``share`` come before these bytes."""
+        least = max(math.ceil(share * 4294967296.0), 0)
+        return least.to_bytes(4, "big") if least <= 0xFFFFFFFF else b"\xff" * 17
+
+    below, masked, drawn = bound(probability), bound(0.8), bound(0.9)
+    kind = pa.int64() if isinstance(number, T.LongType) else pa.int32()
+
+    @F.arrow_udf(T.StructType([T.StructField(c, T.ArrayType(number)) for c in "ml"]))
+    def mask_ids(ids: pa.Array, rows: pa.Array) -> pa.Array:
+        md5 = hashlib.md5
+        sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        flat = ids.flatten().cast(kind)
+        here = flat.is_valid().to_numpy(zero_copy_only=False)
+        old = flat.fill_null(0).to_numpy(zero_copy_only=False)
+        open_ = here & ~np.isin(old, (PAD_ID, CLS_ID, SEP_ID))
+        salted = [b":%d:" % i for i in range(sizes.max(initial=0))]
+        first = [x + b"p" for x in salted]
+        new, labels, at = old.copy(), np.full(len(old), IGNORE, old.dtype), 0
+        for row, size in zip(rows.to_pylist(), sizes.tolist()):
+            for i in np.flatnonzero(open_[at:at + size]).tolist():
+                if md5(row + first[i]).digest() < below:
+                    labels[at + i] = old[at + i]
+                    value = md5(row + salted[i] + b"v").digest()
+                    if value < masked:
+                        new[at + i] = MASK_ID
+                    elif value < drawn:
+                        part = int.from_bytes(md5(row + salted[i] + b"r").digest()[:4], "big") / 4294967296.0
+                        new[at + i] = math.floor(part * vocab_size)
+            at += size
+        none = ids.is_null() if ids.null_count else None
+        return pa.StructArray.from_arrays(
+            [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=none)
+             for values in (pa.array(new, kind, mask=~here), pa.array(labels, kind))], ["m", "l"])
+
+    return mask_ids
+
+
 def batches(df: DataFrame, batch_size: int = 64, seed: int = 42, epoch: int = 0,
             key_cols=("doc_id", "line_no"), by_length: bool = False) -> DataFrame:
     """M3: ``batch_id``, ``position`` and the padded arrays of each row.

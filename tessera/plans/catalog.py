@@ -475,7 +475,7 @@ def _mlm_examples(c: Corpus) -> DataFrame:
 
 
 def _ids_str(c):
-    return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    return F.array_join(c.cast("array<string>"), " ")
 
 
 _MLM_SQL = [

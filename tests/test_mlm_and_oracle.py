@@ -97,6 +97,26 @@ def test_mask_draws_once_for_the_choice(spark):
             assert (r["masked_ids"][i], r["labels"][i]) == want
 
 
+def test_mask_hashes_outside_the_plan(spark):
+    """No hash of a position is an expression of the plan, which is slow there; null keys, ids and
+    rows are as they were (a null key is left out of what is hashed)."""
+    rows = [(1, 0, [2, 10, None, 11, 3]), (None, 1, [12] * 40), (2, None, [13] * 40), (3, 0, None), (4, 0, [])]
+    m = mlm.mask(spark.createDataFrame(rows, "doc_id long, line_no long, input_ids array<int>"), 1000, probability=0.5)
+    assert "md5(" not in m._jdf.queryExecution().analyzed().toString()
+    for r in m.collect():
+        if r["input_ids"] is None:
+            assert r["masked_ids"] is None and r["labels"] is None
+            continue
+        key = ":".join(str(k) for k in ("42", "0", r["doc_id"], r["line_no"]) if k is not None)
+        draw = lambda i, salt: int(hashlib.md5(f"{key}:{i}:{salt}".encode()).hexdigest()[:8], 16) / 2 ** 32
+        want = []
+        for i, x in enumerate(r["input_ids"]):
+            v = draw(i, "v")
+            new = 4 if v < 0.8 else int(draw(i, "r") * 1000) if v < 0.9 else x
+            want.append((new, x) if x is not None and x > 3 and draw(i, "p") < 0.5 else (x, -100))
+        assert list(zip(r["masked_ids"], r["labels"])) == want
+
+
 def test_cells_by_length_stay_few(spark):
     """The driver counts cells of tens of batches, not lengths times hash prefixes."""
     df = spark.range(30_000).selectExpr("id doc_id", "0L line_no", "array_repeat(7, int(pow(id % 100, 2) / 400)) input_ids")

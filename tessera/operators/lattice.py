@@ -14,6 +14,9 @@ import numpy as np
 _CHARS = np.int64(1 << 21)
 #: Cells (words x positions x lengths) of a group that are worked on at once.
 CELLS = 4_000_000
+#: Words of up to so many characters, no path of which has a log-probability below the
+#: second, are summed without logarithms.
+PLAIN, LEAST_LOG = 500, -600.0
 
 
 def code_points(words: list) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +95,13 @@ class Lattice:
         """Expected number of each piece over all segmentations, times the words'
         ``freq``, and the log-likelihood (of the words that can be segmented)."""
         freq, total, ll = np.asarray(freq, np.float64), np.zeros(len(self.pieces)), 0.0
+        least, most = self.logp[:-1].min(initial=0.0), self.logp[:-1].max(initial=0.0)
+        chance = np.exp(self.logp)
         for some, ids in self.groups(words):
             m, n, w = ids.shape
+            if most <= 0 and n <= PLAIN and n * least >= LEAST_LOG:
+                ll += self._plain(ids, chance, freq[some], total)
+                continue
             ahead, back = np.full((m, n + w + 1), -np.inf), np.full((m, n + w + 1), -np.inf)
             ahead[:, 0] = back[:, n] = 0.0
             for i in range(n):
@@ -114,6 +122,25 @@ class Lattice:
                 total += np.bincount(part[used], weights=(share * f[:, None, None])[used], minlength=len(total))
         return total, ll
 
+    def _plain(self, ids, chance, f, total) -> float:
+        """:meth:`expected` of a group with the chances themselves, as none of its paths
+        is too rare or too many for a double; adds to ``total``, returns the log-likelihood."""
+        m, n, w = ids.shape
+        ahead, back = np.zeros((m, n + w + 1)), np.zeros((m, n + w + 1))
+        ahead[:, 0] = back[:, n] = 1.0
+        for i in range(n):
+            ahead[:, i + 1:i + 1 + w] += ahead[:, i:i + 1] * chance[ids[:, i]]
+        for i in range(n - 1, -1, -1):
+            back[:, i] = (chance[ids[:, i]] * back[:, i + 1:i + 1 + w]).sum(axis=1)
+        z = ahead[:, n]
+        whole = z > 0
+        f = np.where(whole, f, 0.0) / np.where(whole, z, 1.0)
+        word, start, length = np.nonzero(ids >= 0)
+        piece = ids[word, start, length]
+        share = ahead[word, start] * chance[piece] * back[word, start + length + 1] * f[word]
+        total += np.bincount(piece, weights=share, minlength=len(total))
+        return float((f * z)[whole] @ np.log(z[whole]))
+
     def best(self, words: list, without_itself: bool = False):
         """Yield ``(indices, score, steps)`` for groups of words: the best path's
         score (-inf if there is none) and its pieces from the last to the first as

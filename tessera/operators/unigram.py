@@ -59,6 +59,17 @@ def digamma(x: float) -> float:
         1.0 / 240 - f / 132))))
 
 
+def digammas(x: np.ndarray) -> np.ndarray:
+    """:func:`digamma` of each number."""
+    x, r = np.array(x, np.float64), np.zeros(len(x))
+    while (low := x < 6.0).any():
+        r[low] -= 1.0 / x[low]
+        x[low] += 1.0
+    f = 1.0 / (x * x)
+    return r + np.log(x) - 0.5 / x - f * (1.0 / 12 - f * (1.0 / 120 - f * (1.0 / 252 - f * (
+        1.0 / 240 - f / 132))))
+
+
 # ---------------------------------------------------------------------------
 # V6
 # ---------------------------------------------------------------------------
@@ -176,9 +187,9 @@ def viterbi(word: str, logp: dict, max_len: int, unk: str | None = UNK, unk_scor
 # V7 / V8 distributed passes
 # ---------------------------------------------------------------------------
 def _lattice_pass(word_freq: DataFrame, shared, mode: str) -> DataFrame:
-    """``piece, value``: expected counts (mode ``em``) or counts on best paths
-    (mode ``viterbi``) summed over all word types; the row with a NULL piece
-    carries the total log-likelihood.  ``shared`` is the broadcast :class:`Lattice`."""
+    """``row, value``: expected counts (mode ``em``) or counts on best paths
+    (mode ``viterbi``) of the lattice's pieces, by their places, summed over all word
+    types; row -1 carries the total log-likelihood.  ``shared`` is the broadcast :class:`Lattice`."""
     def run(batches):
         lattice = shared.value
         work = lattice.expected if mode == "em" else lattice.path_counts
@@ -194,11 +205,10 @@ def _lattice_pass(word_freq: DataFrame, shared, mode: str) -> DataFrame:
                 total, ll, words, freq, chars = total + found, ll + score, [], [], 0
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([*map(lattice.pieces.__getitem__, used.tolist()), None], pa.string()),
-             pa.array(np.append(total[used], ll))], ["piece", "value"])
+            [pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(total[used], ll))], ["row", "value"])
 
-    return (word_freq.select("word", "freq").mapInArrow(run, "piece string, value double")
-            .groupBy("piece").agg(F.sum("value").alias("value")))
+    return (word_freq.select("word", "freq").mapInArrow(run, "row int, value double")
+            .groupBy("row").agg(F.sum("value").alias("value")))
 
 
 def _share(spark: SparkSession, logp: dict, max_len: int):
@@ -207,11 +217,13 @@ def _share(spark: SparkSession, logp: dict, max_len: int):
 
 
 def _counts(word_freq: DataFrame, logp: dict, max_len: int, mode: str) -> dict:
-    """The rows of :func:`_lattice_pass` (as many as pieces); the model sent for them is destroyed."""
+    """The rows of :func:`_lattice_pass` (as many as pieces) by piece, the log-likelihood
+    by None; the model sent for them is destroyed."""
     shared = _share(word_freq.sparkSession, logp, max_len)
     found = _lattice_pass(word_freq, shared, mode).toArrow()
+    names = [*shared.value.pieces, None]        # row -1 is the last one
     shared.destroy()
-    return dict(zip(found.column("piece").to_pylist(), found.column("value").to_pylist()))
+    return dict(zip(map(names.__getitem__, found.column("row").to_pylist()), found.column("value").to_pylist()))
 
 
 def em_step(word_freq: DataFrame, logp: dict, max_len: int = 16, chars=()):
@@ -222,11 +234,10 @@ def em_step(word_freq: DataFrame, logp: dict, max_len: int = 16, chars=()):
     kept = {p: c for p, c in expected.items() if c >= 0.5 or p in chars}
     for ch in chars:
         kept.setdefault(ch, 0.5)
-    kept = {p: max(c, 0.5) if p in chars else c for p, c in kept.items()}
-    total = sum(kept[p] for p in sorted(kept))
-    dt = digamma(total)
-    new = {p: round(digamma(kept[p]) - dt, 9) for p in sorted(kept)}
-    return new, ll, expected
+    pieces = sorted(kept)
+    counts = np.maximum([kept[p] for p in pieces], 0.5)         # below it are characters only
+    scores = np.round(digammas(counts) - digamma(sum(counts.tolist())), 9)
+    return dict(zip(pieces, scores.tolist())), ll, expected
 
 
 def prune(word_freq: DataFrame, logp: dict, keep: int, max_len: int, chars) -> dict:
@@ -235,16 +246,16 @@ def prune(word_freq: DataFrame, logp: dict, keep: int, max_len: int, chars) -> d
     survivors, at most ``keep``, come back."""
     spark = word_freq.sparkSession
     chars = set(chars)
-    vfreq = _counts(word_freq, logp, max_len, "viterbi")
-    vfreq.pop(None, None)
-    total = sum(vfreq[p] for p in sorted(vfreq)) or 1.0
     pieces = sorted(logp)
-    lattice = Lattice(pieces, [logp[p] for p in pieces], max_len)
-    shared = spark.sparkContext.broadcast((lattice, np.array([vfreq.get(p, 0.0) for p in pieces]),
-                                           np.array([p not in chars for p in pieces])))
+    shared = _share(spark, logp, max_len)
+    found = _lattice_pass(word_freq, shared, "viterbi").filter("row >= 0").toArrow()
+    vfreq = np.zeros(len(pieces))
+    vfreq[found.column("row").to_numpy()] = found.column("value").to_numpy()
+    total = sum(vfreq.tolist()) or 1.0
+    own = spark.sparkContext.broadcast((vfreq, np.array([p not in chars for p in pieces], bool)))
 
     def losses(batches):
-        lattice, freq, open_ = shared.value
+        lattice, (freq, open_) = shared.value, own.value
         for batch in batches:
             rows = batch.column("row").to_numpy()
             rows = rows[open_[rows]]
@@ -273,6 +284,7 @@ def prune(word_freq: DataFrame, logp: dict, keep: int, max_len: int, chars) -> d
             .orderBy(F.desc("loss"), "piece").limit(room))
     survivors = fixed | (set(kept.select("piece").toArrow().column("piece").to_pylist()) if room else set())
     shared.destroy()
+    own.destroy()
     return {p: logp[p] for p in sorted(survivors)}
 
 
@@ -317,11 +329,11 @@ def train_unigram(word_freq: DataFrame, vocab_size: int = 16000, special_tokens=
     target = vocab_size - len(specials)
     with bounded_plan_strings(spark), Tables() as tables:
         wf = tables.keep(word_freq.select("word", "freq"), "unigram_words")
-        seed = seed_pieces(wf, max_piece_len, seed_size).collect()
-        chars = sorted(r["piece"] for r in seed if r["is_char"])
-        total = sum(float(r["score"]) for r in sorted(seed, key=lambda r: r["piece"]))
-        logp = {r["piece"]: round(math.log(r["score"] / total), 9)
-                for r in sorted(seed, key=lambda r: r["piece"])}
+        seed = seed_pieces(wf, max_piece_len, seed_size).toArrow()
+        seed = sorted(zip(*(seed.column(c).to_pylist() for c in ("piece", "score", "is_char"))))
+        chars = [piece for piece, _, is_char in seed if is_char]
+        total = sum(float(score) for _, score, _ in seed)
+        logp = {piece: round(math.log(score / total), 9) for piece, score, _ in seed}
         rounds = 0
         while True:
             for _ in range(em_iters):

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 
+from tessera.operators import lattice as lattice_module
 from tessera.operators import unigram as ug
 from tessera.operators.lattice import Lattice
 
@@ -46,6 +47,30 @@ def test_equals_all_segmentations():
         assert np.allclose(paths, [best[p] for p in pieces]) and np.isclose(got_score, score)
 
 
+def test_expected_counts_need_no_logarithms(monkeypatch):
+    """Words of ordinary length are summed without logarithms, with the same counts; long and
+    unlikely ones, whose chances a double cannot hold, as before."""
+    rng = random.Random(3)
+    logp = {"".join(rng.choices("abc", k=rng.randrange(1, 5))): -9 * rng.random() for _ in range(40)} | dict.fromkeys("abc", -9.0)
+    pieces = sorted(logp)
+    lattice = Lattice(pieces, [logp[p] for p in pieces], 4)
+    words = ["".join(rng.choices("abcd"[:3 + k % 2], k=rng.randrange(1, 30))) for k in range(300)]
+    long = ["abc" * 700, "a" * 400]
+    freq = [rng.randrange(1, 9) for _ in words + long]
+    plain = lattice.expected(words + long, freq)
+    monkeypatch.setattr(lattice_module, "PLAIN", 0)
+    logs = lattice.expected(words + long, freq)
+    assert np.allclose(plain[0], logs[0], rtol=1e-12) and np.isclose(plain[1], logs[1], rtol=1e-12)
+    monkeypatch.undo()
+    monkeypatch.setattr(np, "logaddexp", None)
+    lattice.expected(words, freq[:len(words)])
+
+
+def test_digammas_equal_the_scalar_ones():
+    x = [0.5, 0.75, 1.0, 5.9999, 6.0, 42.0, 1e7]
+    assert np.allclose(ug.digammas(np.array(x)), [ug.digamma(v) for v in x], rtol=1e-14)
+
+
 def test_best_paths_equal_the_scalar_ones():
     """Also where scores tie, and without the piece that is the word."""
     rng = random.Random(2)

@@ -94,10 +94,14 @@ def alphabet(word_freq: DataFrame, n_special: int = 5) -> DataFrame:
 
     The alphabet is bounded by the character repertoire, not by the data.
     """
-    chars = word_freq.select(F.explode(tx.characters(F.col("word"))).alias("symbol")).distinct()
-    rows = sorted(r["symbol"] for r in chars.collect())
     return word_freq.sparkSession.createDataFrame(
-        [(s, n_special + i) for i, s in enumerate(rows)], "symbol string, id int")
+        [(s, n_special + i) for i, s in enumerate(_symbols(word_freq))], "symbol string, id int")
+
+
+def _symbols(word_freq: DataFrame) -> list:
+    """The distinct characters in order."""
+    chars = word_freq.select(F.explode(tx.characters(F.col("word"))).alias("symbol")).distinct()
+    return sorted(r["symbol"] for r in chars.collect())
 
 
 def pair_counts(words: DataFrame, sym_col: str = "symbols", freq_col: str = "freq") -> DataFrame:
@@ -491,7 +495,7 @@ def _held(words: DataFrame, most: int):
 def _train_bpe(word_freq, vocab_size, min_frequency, special_tokens, max_pairs, checkpoint_every, partitions,
                sample_types, ahead, held_symbols, tables):
     specials = list(special_tokens or tx.SPECIAL_TOKENS)
-    alpha = [r["symbol"] for r in alphabet(word_freq, len(specials)).orderBy("id").collect()]
+    alpha = _symbols(word_freq)
     vocab = specials + [a for a in alpha if a not in specials]
     made: list[str] = []                        # merged symbols, in order
     known = {t: ord(t) for t in alpha}          # string -> symbol

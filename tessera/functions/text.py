@@ -42,7 +42,6 @@ TAG_PATTERN = r"(?U)^<[^>]+>\s*"
 # Python's str.strip() removes White_Space plus U+001C..U+001F.
 _STRIPPED = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                               0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_MARKER_PATTERN = "|".join(SUBWORD_MARKERS)
 
 
 def _c(c) -> Column:
@@ -167,9 +166,14 @@ def language_tag(c) -> Column:
             .otherwise(F.lit("unknown")))
 
 
+def words(c) -> Column:
+    """Runs of letters joined by apostrophe, right single quotation mark or hyphen."""
+    return F.regexp_extract_all(_c(c), F.lit(WORD_PATTERN), 0)
+
+
 def simple_words(c) -> Column:
     """Words of the line after (another) tag strip."""
-    return F.regexp_extract_all(strip_language_tag(c), F.lit(WORD_PATTERN), 0)
+    return words(strip_language_tag(c))
 
 
 def pretokens(c) -> Column:
@@ -198,7 +202,11 @@ def characters(c) -> Column:
 # ---------------------------------------------------------------------------
 def clean_subword_marker(c) -> Column:
     """Remove every ``##``, U+2581 and U+0120, then strip.  Keeps specials."""
-    return ustrip(F.regexp_replace(_c(c), _MARKER_PATTERN, ""))
+    # one after the other: the others are single characters, so none makes a marker of another kind
+    out = _c(c)
+    for marker in SUBWORD_MARKERS:
+        out = F.replace(out, F.lit(marker))
+    return ustrip(out)
 
 
 def clean_token(c) -> Column:

@@ -75,18 +75,20 @@ SHORT_WORD = 32
 # V1-V3
 # ---------------------------------------------------------------------------
 def word_frequency(lines: DataFrame, text_col: str = "text", normalize: bool = True,
-                   strip_tags: bool = False) -> DataFrame:
+                   strip_tags: bool = False, count_col: str | None = None) -> DataFrame:
     """V1: ``word, freq`` over the pre-tokens of the (NFC) training lines.
 
-    Training lines keep their ``<lang>`` tag unless ``strip_tags``.
+    Training lines keep their ``<lang>`` tag unless ``strip_tags``.  With ``count_col``,
+    each text counts so often.
     """
     t = F.col(text_col)
     if strip_tags:
         t = tx.strip_language_tag(t)
     if normalize:
         t = tx.nfc(t)
-    return (lines.select(F.explode(tx.pretokens(t)).alias("word"))
-            .groupBy("word").agg(F.count(F.lit(1)).alias("freq")))
+    freq = F.count(F.lit(1)) if count_col is None else F.sum("_n")
+    return (lines.select(F.explode(tx.pretokens(t)).alias("word"), (F.lit(1) if count_col is None else F.col(count_col)).alias("_n"))
+            .groupBy("word").agg(freq.alias("freq")))
 
 
 def alphabet(word_freq: DataFrame, n_special: int = 5) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,8 @@ from pyspark.sql import types as T
 from tessera.functions import text as tx
 
 CLS, SEP, UNK = "[CLS]", "[SEP]", "[UNK]"
+#: Stretches of text that a task counts at once.
+HELD_STRETCHES = 4_000_000
 
 
 class Tokenizer:
@@ -123,13 +126,18 @@ class ClosedVocabTokenizer(Tokenizer):
         return spark.createDataFrame(rows, "piece string").distinct()
 
 
-def _pieces(words: pa.DictionaryArray, encode, kind: pa.DataType) -> pa.ListArray:
-    return pa.array([encode(w) for w in words.dictionary.to_pylist()], type=pa.list_(kind)).take(words.indices)
+def _pieces(words: pa.DictionaryArray, encode, kind: pa.DataType, encode_all=None) -> pa.ListArray:
+    """``encode(word)`` of each word; ``encode_all`` of many, where it is given and takes them."""
+    distinct = words.dictionary.to_pylist()
+    found = encode_all(distinct) if encode_all is not None else None
+    if found is None:
+        found = pa.array([encode(w) for w in distinct], type=pa.list_(kind))
+    return found.take(words.indices)
 
 
-def _line_pieces(lines: pa.ListArray, encode, kind: pa.DataType) -> pa.ListArray:
+def _line_pieces(lines: pa.ListArray, encode, kind: pa.DataType, encode_all=None) -> pa.ListArray:
     """The pieces ``encode(word)`` of each line's words, one after the other."""
-    pieces = _pieces(lines.flatten().dictionary_encode("encode"), encode, kind)
+    pieces = _pieces(lines.flatten().dictionary_encode("encode"), encode, kind, encode_all)
     ends = [np.append(0, np.cumsum(a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))) for a in (lines, pieces)]
     return pa.ListArray.from_arrays(pa.array(ends[1][ends[0]], pa.int32()), pieces.flatten(),
                                     mask=lines.is_null() if lines.null_count else None)
@@ -138,7 +146,8 @@ def _line_pieces(lines: pa.ListArray, encode, kind: pa.DataType) -> pa.ListArray
 class ModelTokenizer(Tokenizer):
     """A tokenizer backed by a learned model applied per pre-token in Python.
 
-    ``word_fn(payload, word) -> list[str]`` is a small per-word helper; the
+    ``word_fn(payload, word) -> list[str]`` is a small per-word helper, ``words_fn(payload,
+    words)`` one for many words at once, whose pieces are a ``pa.ListArray``; the
     model ``payload`` (bounded by the vocabulary size) is broadcast once.
     Special tokens in the text are tokens of their own; what stands between
     them is NFC-normalised and pre-tokenized, on every path.  Each
@@ -146,7 +155,7 @@ class ModelTokenizer(Tokenizer):
     """
 
     def __init__(self, spark, name: str, payload, word_fn, add_special_tokens: bool = True,
-                 specials=tuple(tx.SPECIAL_TOKENS)):
+                 specials=tuple(tx.SPECIAL_TOKENS), words_fn=None):
         self.name, self.add_special_tokens, self.specials = name, add_special_tokens, tuple(specials)
         bc = spark.sparkContext.broadcast(payload)
         own = frozenset(self.specials)
@@ -155,13 +164,16 @@ class ModelTokenizer(Tokenizer):
         def encode(word):
             return [word] if word in own else word_fn(bc.value, word)
 
+        def encode_all(words):
+            return words_fn(bc.value, words) if words_fn is not None and own.isdisjoint(words) else None
+
         @F.arrow_udf(T.ArrayType(T.StringType()))
         def _per_word(words: pa.Array) -> pa.Array:
-            return _pieces(words.dictionary_encode(), encode, pa.string())
+            return _pieces(words.dictionary_encode(), encode, pa.string(), encode_all)
 
         @F.arrow_udf(T.ArrayType(T.StringType()))
         def _per_line(lines: pa.Array) -> pa.Array:
-            return _line_pieces(lines, encode, pa.string())
+            return _line_pieces(lines, encode, pa.string(), encode_all)
 
         self._per_word, self._per_line = _per_word, _per_line
 
@@ -206,10 +218,45 @@ class FunctionTokenizer(ModelTokenizer):
         return F.array(text)
 
 
-def pretoken_counts(lines: DataFrame, text_col: str = "text") -> DataFrame:
-    """``pretoken, n``: pre-token frequencies (partial aggregation map-side)."""
-    return (lines.select(F.explode(tx.pretokens(F.col(text_col))).alias("pretoken"))
-            .groupBy("pretoken").agg(F.count(F.lit(1)).alias("n")))
+def stretch_counts(lines: DataFrame, texts: dict) -> DataFrame:
+    """``part, stretch, n``: what stands between blanks in the texts of each part, and how often;
+    ``texts`` names the column of a text's part (an int) by the column of the text.
+
+    No word and no pre-token holds a blank and NFC joins nothing across one, so they can
+    be looked for in the distinct stretches.  The texts are split and counted as Arrow arrays,
+    ``HELD_STRETCHES`` at a time, before the shuffle.
+    """
+    def run(batches):
+        held, rows = {}, 0
+
+        def counted():
+            for part, arrays in held.items():
+                found = pc.value_counts(pa.chunked_array(arrays))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), part, np.int32)), *found.flatten()], ["part", "stretch", "n"])
+
+        for batch in batches:
+            for k in range(len(texts)):
+                text, parts = batch.column(2 * k), batch.column(2 * k + 1)
+                for part in pc.unique(parts).drop_null().to_pylist():
+                    held.setdefault(part, []).append(pc.split_pattern(text.filter(pc.equal(parts, part)), " ").flatten())
+                    rows += len(held[part][-1])
+            if rows >= HELD_STRETCHES:
+                yield from counted()
+                held, rows = {}, 0
+        yield from counted()
+
+    return (lines.select(*[c for text, part in texts.items() for c in (text, F.col(part).cast("int"))])
+            .mapInArrow(run, "part int, stretch string, n bigint")
+            .groupBy("part", "stretch").agg(F.sum("n").alias("n")))
+
+
+def pretoken_counts(lines: DataFrame, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """``pretoken, n``: pre-token frequencies (partial aggregation map-side); with
+    ``count_col``, each text counts so often."""
+    n = F.count(F.lit(1)) if count_col is None else F.sum("_n")
+    return (lines.select(F.explode(tx.pretokens(F.col(text_col))).alias("pretoken"),
+                         (F.lit(1) if count_col is None else F.col(count_col)).alias("_n"))
+            .groupBy("pretoken").agg(n.alias("n")))
 
 
 def rule_tokenizers(train_counts: DataFrame, top_k: int = 500):

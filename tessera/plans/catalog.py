@@ -25,7 +25,7 @@ from tessera.operators.leaderboard import leaderboard
 from tessera.plans import oracle as o
 from tessera.plans import sqlfrag as s
 from tessera.plans.corpus import LINE_KEY, Corpus
-from tessera.session import Tables, materialize, path_exists, save_whole, shared_dir
+from tessera.session import materialize, path_exists, save_whole, shared_dir
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -63,7 +63,7 @@ def nonempty_lines(spark, sf):
 def gold_words(c: Corpus) -> DataFrame:
     """Gold segmentations derived from the corpus words (FIXTURES.md §4): every
     distinct word as prefix, stem, suffix and ending, those of them it has."""
-    words = c.prepared.select(F.explode(tx.simple_words(F.col("text"))).alias("word")).distinct()
+    words = c.stretches.filter("stripped").select(F.explode(tx.words(F.col("stretch"))).alias("word")).distinct()
     parts = F.array(*[F.regexp_extract("word", o.GOLD, i) for i in range(1, 5)])
     return words.select("word", F.filter(parts, lambda x: x != "").alias("segments"))
 
@@ -341,7 +341,7 @@ _MODELS: dict = {}
 
 
 def _word_freq(c: Corpus) -> DataFrame:
-    return bp.word_frequency(c.split("train"), "text")
+    return c.word_freq
 
 
 def _model(spark, sf, kind: str, model_class, train):
@@ -349,16 +349,15 @@ def _model(spark, sf, kind: str, model_class, train):
     its word table and settings, so that later applications load it."""
     key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _MODELS:
-        with Tables() as t:
-            wf = t.keep(_word_freq(Corpus.of(spark, sf)), "word_freq")
-            cells = wf.agg(F.count("*"), F.sum("freq"), F.bit_xor(F.xxhash64("word", "freq")),
-                           F.bit_xor(F.xxhash64("freq", "word"))).first()
-            path = f"{shared_dir(spark)}/models/{kind}-{hashlib.md5(repr(tuple(cells)).encode()).hexdigest()}"
-            if path_exists(spark, path):
-                _MODELS[key] = model_class.load(spark, path)
-            else:
-                _MODELS[key] = model = train(wf)
-                save_whole(spark, path, lambda at: model.save(spark, at))
+        wf = _word_freq(Corpus.of(spark, sf))
+        cells = wf.agg(F.count("*"), F.sum("freq"), F.bit_xor(F.xxhash64("word", "freq")),
+                       F.bit_xor(F.xxhash64("freq", "word"))).first()
+        path = f"{shared_dir(spark)}/models/{kind}-{hashlib.md5(repr(tuple(cells)).encode()).hexdigest()}"
+        if path_exists(spark, path):
+            _MODELS[key] = model_class.load(spark, path)
+        else:
+            _MODELS[key] = model = train(wf)
+            save_whole(spark, path, lambda at: model.save(spark, at))
     return _MODELS[key]
 
 
@@ -630,13 +629,12 @@ def unigram_seed(spark, sf):
 @query("unigram_em_step")
 def unigram_em_step(spark, sf):
     """One EM pass from the seed scores: expected count per piece."""
-    with Tables() as t:
-        wf = t.keep(_word_freq(Corpus.of(spark, sf)), "em_words")
-        # the seed (bounded by its size and the characters) is the model that is sent out
-        seed = ug.seed_pieces(wf, UNIGRAM_MAX_PIECE, UNIGRAM_SEED_SIZE).toArrow()
-        scores = dict(zip(seed.column("piece").to_pylist(), seed.column("score").to_pylist()))
-        total = float(sum(scores.values()))
-        expected = ug._counts(wf, {p: math.log(n / total) for p, n in scores.items()}, UNIGRAM_MAX_PIECE, "em")
+    wf = _word_freq(Corpus.of(spark, sf))
+    # the seed (bounded by its size and the characters) is the model that is sent out
+    seed = ug.seed_pieces(wf, UNIGRAM_MAX_PIECE, UNIGRAM_SEED_SIZE).toArrow()
+    scores = dict(zip(seed.column("piece").to_pylist(), seed.column("score").to_pylist()))
+    total = float(sum(scores.values()))
+    expected = ug._counts(wf, {p: math.log(n / total) for p, n in scores.items()}, UNIGRAM_MAX_PIECE, "em")
     return spark.createDataFrame(pd.DataFrame({"piece": list(expected), "expected_count": list(expected.values())}),
                                  "piece string, expected_count double")
 

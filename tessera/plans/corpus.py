@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import split as sp
 from tessera.operators import tokenizers as tk
-from tessera.session import materialize
+from tessera.session import few_rows_a_batch, materialize
 from tessera.sources.corpus import document_lines, read_table
 
 LINE_KEY = ["doc_id", "line_no"]
@@ -150,12 +150,38 @@ class Corpus:
                         tag_variant(F.col("lang"), F.col("c"), k).alias("text")))
         return materialize(out, "tagged_fixture")
 
-    # -- tokenizers ----------------------------------------------------------
+    # -- words and tokenizers ------------------------------------------------
+    @cached_property
+    def stretches(self) -> DataFrame:
+        """``train, tagged, stripped, stretch, n``: what stands between blanks in the prepared lines, counted
+        once for the tables of words: in training lines or others, with their tag, without it, or in both."""
+        whole, rest = F.col("text"), F.col("rest")
+        size = F.length(whole) - F.length(rest)
+        lines = self.splits.select((F.col("split") == "train").cast("int").alias("train"), "text",
+                                   F.explode(F.array(tx.strip_language_tag(whole))).alias("rest"))
+        # the tag goes with a blank behind it; if not, the line is counted twice
+        apart = whole.endswith(rest) & whole.substr(F.lit(1), size).endswith(" ")
+        tagged, stripped, both = 1, 2, 3
+        lines = lines.select("rest", (4 * F.col("train") + F.when(apart, both).otherwise(stripped)).alias("rest_part"),
+                             F.when(apart, whole.substr(F.lit(1), size - 1)).otherwise(whole).alias("tag"),
+                             (4 * F.col("train") + tagged).alias("tag_part"))
+        with few_rows_a_batch(self.spark):
+            counts = materialize(tk.stretch_counts(lines, {"rest": "rest_part", "tag": "tag_part"}), "stretches")
+        part = F.col("part")
+        return counts.select((part >= 4).alias("train"), (part % 2 == 1).alias("tagged"), (part % 4 >= 2).alias("stripped"), "stretch", "n")
+
+    @cached_property
+    def word_freq(self) -> DataFrame:
+        """``word, freq`` over the training lines with their tags."""
+        from tessera.operators.bpe import word_frequency
+        lines = self.stretches.filter("train and tagged")
+        return materialize(word_frequency(lines, "stretch", count_col="n"), "word_freq")
+
     @cached_property
     def train_pretokens(self) -> DataFrame:
         """``pretoken, n`` over the tag-stripped training lines."""
-        lines = self.split("train").select(tx.strip_language_tag(F.col("text")).alias("t"))
-        return materialize(tk.pretoken_counts(lines, "t"), "train_pretokens")
+        lines = self.stretches.filter("train and stripped")
+        return materialize(tk.pretoken_counts(lines, "stretch", count_col="n"), "train_pretokens")
 
     @cached_property
     def rule_tokenizers(self):

@@ -122,6 +122,25 @@ def materialize(df, name: str, partition_by=None):
     return out
 
 
+class few_rows_a_batch:
+    """While a table is written: Arrow batches of few rows, as one line may be very long."""
+
+    NAME, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def __enter__(self):
+        self.old = self.spark.conf.get(self.NAME, None)
+        self.spark.conf.set(self.NAME, str(min(int(self.ROWS), int(self.old or self.ROWS))))
+
+    def __exit__(self, *exc):
+        if self.old is None:
+            self.spark.conf.unset(self.NAME)
+        else:
+            self.spark.conf.set(self.NAME, self.old)
+
+
 def discard(*tables) -> None:
     """Delete tables that :func:`materialize` returned and nothing reads any
     more; frames without such a table are left alone."""
